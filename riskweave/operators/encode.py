@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.feature import SQLTransformer, VectorAssembler
+from pyspark.ml.feature import Bucketizer, SQLTransformer, VectorAssembler
 from pyspark.sql import DataFrame, Window, functions as F
 
 from riskweave.operators.features import CATEGORIES, NUMERIC_FEATURES, TARGET
-from riskweave.operators.ranking import _distinct_edges, bucketed, order_statistics, small, with_offsets
+from riskweave.operators.ranking import _distinct_edges, order_statistics, small, with_offsets
 
 MAX_LEVELS = 1000
 
@@ -26,36 +26,32 @@ def column_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     sketch = df.agg(
         *[F.percentile_approx(F.col(c).cast("double"), probabilities, max(1000, 20 * buckets)).alias(c) for c in columns]
     ).first()
-    known = df.select([F.col(c).cast("double").alias(c) for c in columns])
-    pairs = []
-    for i, c in enumerate(columns):
-        edges, _ = _distinct_edges(sketch[c])
-        if not edges:
-            continue
-        known = _bucket_nullable(known, c, edges, f"__b{i}")
-        pairs.append(
-            F.when(
-                F.col(c).isNotNull(),
-                F.struct(F.lit(c).alias("column"), F.col(f"__b{i}").alias("bucket"), F.col(c).alias("score")),
-            )
-        )
-    long = known.select(F.explode(F.array_compact(F.array(*pairs))).alias("v")).select("v.*")
-    runs = long.groupBy("column", "bucket", "score").agg(F.count(F.lit(1)).alias("n"))
-    per_bucket = runs.groupBy("column", "bucket").agg(F.sum("n").alias("n"))
-    offsets = with_offsets(per_bucket, F.desc("bucket"), ["column"], ["n"])
-    inside = Window.partitionBy("column", "bucket").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    edges = {c: _distinct_edges(sketch[c])[0] for c in columns}
+    known = [c for c in columns if edges[c]]
+    cut = Bucketizer(
+        splitsArray=[[float("-inf"), *edges[c], float("inf")] for c in known],
+        inputCols=known,
+        outputCols=[f"__b{i}" for i in range(len(known))],
+        handleInvalid="error",
+    )
+    doubles = cut.transform(df.select([F.col(c).cast("double").alias(c) for c in known]))
+    pairs = [
+        F.when(F.col(c).isNotNull(), F.struct(F.lit(i).alias("at"), F.col(f"__b{i}").cast("int").alias("bucket"), F.col(c).alias("score")))
+        for i, c in enumerate(known)
+    ]
+    names = F.array(*[F.lit(c) for c in known])
+    long = doubles.select(F.explode(F.array_compact(F.array(*pairs))).alias("v")).select("v.*")
+    runs = long.groupBy("at", "bucket", "score").agg(F.count(F.lit(1)).alias("n"))
+    per_bucket = runs.groupBy("at", "bucket").agg(F.sum("n").alias("n"))
+    offsets = with_offsets(per_bucket, F.desc("bucket"), ["at"], ["n"])
+    inside = Window.partitionBy("at", "bucket").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
     curve = (
         runs.withColumn("cum_n", F.sum("n").over(inside))
-        .join(small(offsets, len(columns) * buckets), ["column", "bucket"])
+        .join(small(offsets, len(columns) * buckets), ["at", "bucket"])
         .withColumn("cum_n", F.col("cum_n") + F.col("n_before"))
     )
-    return order_statistics(curve, ["column"], {"median": (1, 2)})
-
-
-def _bucket_nullable(df: DataFrame, column: str, edges: Sequence[float], out: str) -> DataFrame:
-    """Bucket number with nulls passed through (they are counted nowhere)."""
-    filled = df.withColumn("__filled", F.coalesce(F.col(column), F.lit(edges[0])))
-    return bucketed(filled, "__filled", edges, out).drop("__filled")
+    middle = order_statistics(curve, ["at"], {"median": (1, 2)})
+    return middle.select(F.element_at(names, F.col("at") + 1).alias("column"), "median")
 
 
 def category_levels(df: DataFrame, columns: Sequence[str], max_levels: int = MAX_LEVELS) -> dict[str, list[str]]:

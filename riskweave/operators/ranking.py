@@ -69,14 +69,18 @@ def plan_layout(
 
 
 def bucketed(df: DataFrame, column: str, edges: Sequence[float], out: str) -> DataFrame:
-    """Add the number of edges at or below the value; a null or NaN value is an error."""
+    """Add the number of edges at or below the value; a null or NaN value is an error.
+
+    An error, because a row without a place in the order would otherwise vanish.
+    """
     if not edges:
         return df.withColumn(out, F.lit(0))
     raw = f"{out}_raw"
     splits = [float("-inf"), *edges, float("inf")]
     cut = Bucketizer(splits=splits, inputCol=f"{out}_in", outputCol=raw, handleInvalid="error")
     widened = df.withColumn(f"{out}_in", F.col(column).cast("double"))
-    return cut.transform(widened).withColumn(out, F.col(raw).cast("int")).drop(raw, f"{out}_in")
+    placed = F.when(F.col(raw).isNull(), F.raise_error(F.lit(f"null in {column}"))).otherwise(F.col(raw))
+    return cut.transform(widened).withColumn(out, placed.cast("int")).drop(raw, f"{out}_in")
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
