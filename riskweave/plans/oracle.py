@@ -406,5 +406,180 @@ counted AS (
     }
 
 
+_TRAIN = """
+months AS (SELECT EncMonth, row_number() OVER (ORDER BY EncMonth) AS i, count(*) OVER () AS m FROM (SELECT DISTINCT EncMonth FROM feat)),
+train AS (SELECT * FROM feat WHERE EncMonth IN (SELECT EncMonth FROM months WHERE i <= (m * 85) // 100))"""
+
+# Exact inputs for medians: the rounding of the feature view must not show.
+_NUMERIC = [
+    "flag_blindness", "flag_cataract", "flag_hypertension", "flag_obesity", "flag_ckd", "flag_hf", "flag_ihd", "flag_afib",
+    "flag_depression", "flag_anxiety", "flag_tobacco", "flag_cancer",
+    "last_12months_diagnosis_count_ccw", "last_12months_chronic_count",
+    "ADINatrank", "ADIStaterank", "CAHPIPercentile", "straight_line_distance_miles", "distance_log",
+    "high_deprivation", "low_cahpi", "far_from_care",
+    "last_12months_officevisit_count", "last_6months_officevisit_count",
+    "last_12months_officevisit_distinct_specialty", "last_6months_officevisit_distinct_specialty",
+    "op_recency_ratio", "high_specialty_breadth",
+    "Specialty_internal_medicine", "Specialty_family_practice", "Specialty_nephrology", "Specialty_cardiology",
+    "cardio_visit_ratio",
+]
+
+
+def _unrounded(ctes: str) -> str:
+    return (
+        ctes.replace("round(miles, 6)", "miles")
+        .replace("round(ln(1 + miles), 6)", "ln(1 + miles)")
+        .replace("round(coalesce(v6, 0) / (coalesce(v12, 0) + CAST(0.001 AS DOUBLE)), 6)", "coalesce(v6, 0) / (coalesce(v12, 0) + CAST(0.001 AS DOUBLE))")
+        .replace("round(coalesce(sp3, 0) / (coalesce(v12, 0) + CAST(0.001 AS DOUBLE)), 6)", "coalesce(sp3, 0) / (coalesce(v12, 0) + CAST(0.001 AS DOUBLE))")
+    )
+
+
+def matrix_oracles() -> dict[str, str]:
+    features = _unrounded(_FEATURES)
+    medians = " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", round(median(CAST({c} AS DOUBLE)), 6) AS median FROM train" for c in _NUMERIC
+    )
+    filled = ", ".join(
+        f"round(coalesce({c}, (SELECT median({c}) FROM train)), 6) AS {c}"
+        for c in ("ADINatrank", "CAHPIPercentile", "straight_line_distance_miles")
+    )
+    # Sorted levels without the first, then the null column.
+    levels = {
+        "DerivedRaceEthnicity": ["BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"],
+        "MaritalStatus": ["AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"],
+        "sex": ["Male"],
+    }
+    hot = ", ".join(
+        ", ".join(f"CASE WHEN {c} = '{v}' THEN 1.0 ELSE 0.0 END::DOUBLE AS \"{c}_{v}\"" for v in vs)
+        + f", CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END::DOUBLE AS {c}_nan"
+        for c, vs in levels.items()
+    )
+    isotonic = """
+halves AS (SELECT patientID, y_prob, y_true, row_number() OVER (ORDER BY EncMonth, patientID) <= count(*) OVER () // 2 AS cal FROM sc),
+pts AS (SELECT y_prob AS x, count(*) AS w, sum(y_true) AS s, row_number() OVER (ORDER BY y_prob) AS i FROM halves WHERE cal GROUP BY y_prob),
+cum AS (SELECT *, sum(w) OVER (ORDER BY i) AS cw, sum(s) OVER (ORDER BY i) AS cs FROM pts),
+spans AS (SELECT j.i AS j, k.i AS k, CAST(k.cs - j.cs + j.s AS DOUBLE) / (k.cw - j.cw + j.w) AS a FROM cum j JOIN cum k ON j.i <= k.i),
+lows AS (SELECT j, k AS i, min(a) OVER (PARTITION BY j ORDER BY k DESC) AS lo FROM spans),
+fit AS (SELECT p.x, max(lo) AS f FROM lows JOIN pts p ON p.i = lows.i GROUP BY p.x),
+asked AS (SELECT DISTINCT y_prob AS p FROM halves WHERE NOT cal),
+ends AS (
+  SELECT p, max(x) FILTER (WHERE x <= p) AS x0, min(x) FILTER (WHERE x >= p) AS x1 FROM asked, fit GROUP BY p
+),
+answer AS (
+  SELECT p, CASE WHEN x0 IS NULL THEN b.f WHEN x1 IS NULL THEN a.f WHEN x1 = x0 THEN a.f
+    ELSE a.f + (b.f - a.f) * (p - x0) / (x1 - x0) END AS v
+  FROM ends LEFT JOIN fit a ON a.x = x0 LEFT JOIN fit b ON b.x = x1
+)"""
+    return {
+        "medians": with_(features, _TRAIN, select=medians),
+        "encoded_features": with_(features, _TRAIN, select=f"SELECT patientID, {filled}, {hot} FROM feat"),
+        "class_weights": with_(
+            _FEATURES,
+            select="""SELECT Outcome, count(*) AS n, round((SELECT count(*) FROM feat) / (2.0 * count(*)), 6) AS weight
+FROM feat GROUP BY Outcome""",
+        ),
+        "aligned_columns": with_(
+            _BASE, select="SELECT patientID, EncMonth, CAST(0 AS DOUBLE) AS Specialty_cardiology FROM pl WHERE EncMonth >= 200101"
+        ),
+        "calibration_half": with_(
+            _SCORES,
+            select="""SELECT patientID, EncMonth, CASE WHEN row_number() OVER (ORDER BY EncMonth, patientID) <= count(*) OVER () // 2
+  THEN 'calibrate' ELSE 'evaluate' END AS half FROM sc""",
+        ),
+        "isotonic_scores": with_(
+            _SCORES, isotonic,
+            select="SELECT patientID, y_prob, round(v, 6) AS p_cal FROM halves JOIN answer ON p = y_prob WHERE NOT cal",
+        ),
+        "logit": with_(
+            _SCORES,
+            select="""SELECT patientID, round(ln(p_rf / (1 - p_rf + CAST(1e-9 AS DOUBLE)) + CAST(1e-9 AS DOUBLE)), 6) AS l_rf,
+  CASE WHEN p_rf >= 0.25 THEN 1 ELSE 0 END AS over FROM sc""",
+        ),
+        "risk_level": with_(
+            _SCORES,
+            select="""SELECT subgroup, CASE WHEN p_gbt >= 0.15 THEN 'high' WHEN p_gbt >= 0.07 THEN 'moderate' ELSE 'low' END AS level,
+  count(*) AS n FROM sc GROUP BY ALL""",
+        ),
+    }
+
+
+_LONG = """
+long AS (
+  SELECT subgroup, EncMonth, 'logreg' AS model, p_logreg AS p FROM sc
+  UNION ALL SELECT subgroup, EncMonth, 'rf', p_rf FROM sc UNION ALL SELECT subgroup, EncMonth, 'gbt', p_gbt FROM sc
+),
+monthly AS (SELECT subgroup, model, EncMonth, count(*) AS n, avg(p) AS v FROM long GROUP BY ALL),
+points AS (
+  SELECT subgroup, model, round(v, 4) AS v, 7 - row_number() OVER (PARTITION BY subgroup, model ORDER BY EncMonth DESC) AS at FROM monthly
+),
+trend AS (
+  SELECT subgroup, model, max(v) FILTER (WHERE at = 1) AS t1, max(v) FILTER (WHERE at = 2) AS t2, max(v) FILTER (WHERE at = 3) AS t3,
+    max(v) FILTER (WHERE at = 4) AS t4, max(v) FILTER (WHERE at = 5) AS t5, max(v) FILTER (WHERE at = 6) AS t6
+  FROM points WHERE at BETWEEN 1 AND 6 GROUP BY ALL
+),
+cm AS (
+  SELECT subgroup, model, risk_score, CASE WHEN risk_score >= 0.15 THEN 'high' WHEN risk_score >= 0.07 THEN 'moderate' ELSE 'low' END AS risk_level,
+    t1, t2, t3, t4, t5, t6
+  FROM (SELECT subgroup, model, round(avg(p), 4) AS risk_score FROM long GROUP BY ALL) JOIN trend USING (subgroup, model)
+),
+burden AS (
+  SELECT subgroup, count(*) AS population, round(avg(chronic) / greatest((SELECT max(chronic) FROM sc), 1), 3) AS disease_burden
+  FROM sc GROUP BY subgroup
+),
+cfg AS (
+  SELECT * FROM (VALUES ('Glaucoma only', 'cohort_glaucoma', 'Glaucoma', 'optic_nerve'),
+    ('Diabetic only', 'cohort_diabetic', 'Diabetic', 'retinal'),
+    ('Glaucoma+Diabetic', 'cohort_glaucoma_diabetic', 'Glaucoma + Diabetic', 'retinal')) t(subgroup, id, name, category)
+),
+dc AS (
+  SELECT *, CAST(floor(t1 * 100 + 0.5) AS INTEGER) || '%' AS p1, CAST(floor(t6 * 100 + 0.5) AS INTEGER) || '%' AS p6,
+    CAST(floor(risk_score * 100 + 0.5) AS INTEGER) || '%' AS risk_pct,
+    CASE WHEN max(disease_burden) OVER () = min(disease_burden) OVER () THEN 'risk score' ELSE 'disease burden' END AS depth_basis,
+    CASE WHEN max(disease_burden) OVER () = min(disease_burden) OVER ()
+      THEN (risk_score - min(risk_score) OVER ()) / CASE WHEN max(risk_score) OVER () = min(risk_score) OVER () THEN 1 ELSE max(risk_score) OVER () - min(risk_score) OVER () END
+      ELSE (disease_burden - min(disease_burden) OVER ()) / (max(disease_burden) OVER () - min(disease_burden) OVER ()) END AS depth
+  FROM cfg JOIN burden USING (subgroup) JOIN cm USING (subgroup) WHERE model = 'rf'
+)"""
+
+
+def export_oracles() -> dict[str, str]:
+    return {
+        "monthly_trend": with_(_SCORES, _LONG, select="SELECT subgroup, model, EncMonth, n, round(v, 6) AS mean_score FROM monthly"),
+        "disease_burden": with_(_SCORES, _LONG, select="SELECT * FROM burden"),
+        "cohort_models": with_(_SCORES, _LONG, select="SELECT * FROM cm"),
+        "document_flat": with_(
+            _SCORES, _LONG,
+            select="""SELECT id, name, category, population, disease_burden, model, model = 'rf' AS is_default, risk_score, risk_level,
+  t6 AS latest, 6 AS points FROM cfg JOIN burden USING (subgroup) JOIN cm USING (subgroup)""",
+        ),
+        "normalised_burden": with_(
+            _SCORES, _LONG,
+            select="SELECT id, population, disease_burden, depth_basis, round(depth, 6) AS normalized_disease_burden FROM dc",
+        ),
+        "cohort_panel": with_(
+            _SCORES, _LONG,
+            select="""SELECT id, upper(name) AS heading, risk_pct || ' ' || risk_level || ' risk · ' || population || ' patients' AS risk_line,
+  CAST(floor(1 / risk_score + 0.5) AS BIGINT) AS one_in,
+  CASE WHEN t6 > t1 THEN 'worsening' WHEN t6 < t1 THEN 'improving' ELSE 'flat' END AS direction,
+  'Pulse shows trend direction: ' || CASE WHEN t6 > t1 THEN 'worsening' ELSE 'stable or improving' END || ' from ' || p1 || ' to ' || p6 || '.' AS pulse,
+  'Center distance uses normalized ' || depth_basis || ': ' || CAST(floor(depth * 100 + 0.5) AS INTEGER)
+    || '%. Closer to center means higher burden or risk in this dataset.' AS depth,
+  'now,+2m,+5m,+7m,+10m,+12m' AS timeline FROM dc""",
+        ),
+        "insights": with_(
+            _SCORES, _LONG,
+            select="""SELECT id, 'summary' AS source, name || ' cohort: ' || risk_pct || ' predicted 12-month admission risk across ' || population
+    || ' patients. Risk level is ' || risk_level || ' relative to the full cohort.' AS summary,
+  'Feature importance not available for this model type.' AS drivers,
+  'Six-point trend is ' || CASE WHEN t6 > t1 THEN 'worsening from ' || p1 || ' to ' || p6 WHEN t6 < t1 THEN 'improving from ' || p1 || ' to ' || p6
+    ELSE 'flat at ' || p6 END || '. Each point represents a rolling risk estimate across the observation window.' AS trendInterpretation,
+  2 AS caveats, 'ok' AS status FROM dc""",
+        ),
+        "cohort_lookup": with_(
+            _SCORES, _LONG, select="SELECT id, name, population, risk_score FROM dc WHERE id = 'cohort_diabetic'"
+        ),
+    }
+
+
 def all_oracles() -> dict[str, str]:
-    return profile_oracles() | score_oracles()
+    return profile_oracles() | score_oracles() | matrix_oracles() | export_oracles()

@@ -6,15 +6,34 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from riskweave.operators import fairness, metrics, profile, ranking, split, thresholds
-from riskweave.operators.features import build_features
+from riskweave.functions.columns import binarise, logit, risk_level
+from riskweave.operators import (
+    attribution,
+    clusters,
+    encode,
+    export,
+    fairness,
+    insights,
+    metrics,
+    models,
+    profile,
+    ranking,
+    split,
+    thresholds,
+)
+from riskweave.operators.features import NUMERIC_FEATURES, build_features
+from riskweave.plans import training
+from riskweave.sources import documents
 from riskweave.sources.adapter import patient_level, scores
+from riskweave.sources.tables import align_columns
 
 Query = Callable[[SparkSession, str], DataFrame]
 MODEL_SCORES = {"logreg": "p_logreg", "rf": "p_rf", "gbt": "p_gbt"}
 _RAW_FLAGS = [
     "Outcome", "cms_ccw_glaucoma_36", "cms_ccw_diabetes_36", "cms_ccw_chronic_kidney_disease_36", "cms_ccw_heart_failure_36",
 ]
+# The supplied tables have no holdout; rows from this month on stand for it.
+HOLDOUT_FROM = 200101
 _COHORT = ["patientID", "EncMonth", "Outcome", "cms_ccw_glaucoma_36", "cms_ccw_diabetes_36"]
 
 
@@ -114,5 +133,185 @@ def score_queries() -> dict[str, Query]:
     }
 
 
+def _train_side(spark: SparkSession, d: str) -> DataFrame:
+    return split.temporal_split(_features(spark, d)).filter(F.col("split") == "train")
+
+
+def _encoded(spark: SparkSession, d: str) -> DataFrame:
+    """Imputed numerics and one-hot categories of every row, fitted on the training months."""
+    encoding = encode.fit_encoding(
+        _train_side(spark, d), ["ADINatrank", "CAHPIPercentile", "straight_line_distance_miles"], sensitive_as_features=True
+    )
+    expand = encoding.stages()[0]
+    return expand.transform(_features(spark, d)).select("patientID", *[F.col(f"x_{n}").alias(n) for n in encoding.names])
+
+
+def _class_weights(df: DataFrame) -> DataFrame:
+    weighted = encode.balance_weights(df)
+    return weighted.groupBy("Outcome").agg(F.count(F.lit(1)).alias("n"), F.max("weight").alias("weight"))
+
+
+def _aligned(spark: SparkSession, d: str) -> DataFrame:
+    """A later table that lacks a training column and has one too many."""
+    later = patient_level(spark, d, ["patientID", "EncMonth", "sex"]).filter(F.col("EncMonth") >= HOLDOUT_FROM)
+    return align_columns(later, ["patientID", "EncMonth", "Specialty_cardiology"])
+
+
+def _isotonic(df: DataFrame) -> DataFrame:
+    halves = split.calibration_half(df.select("patientID", "EncMonth", "y_true", "y_prob"))
+    fitted = models.fit_isotonic(halves.filter(F.col("half") == "calibrate"), "y_prob", "y_true")
+    rest = halves.filter(F.col("half") == "evaluate")
+    return models.apply_isotonic(rest, fitted, "y_prob", "p_cal").select("patientID", "y_prob", "p_cal")
+
+
+def _cohort_models(df: DataFrame) -> DataFrame:
+    flat = export.cohort_models(df, MODEL_SCORES)
+    points = [F.element_at("trend", i + 1).alias(f"t{i + 1}") for i in range(6)]
+    return flat.select("subgroup", "model", "risk_score", "risk_level", *points)
+
+
+def _document(df: DataFrame) -> DataFrame:
+    """The nested document of the deterministic scores, through JSON text and back."""
+    records = export.cohort_records(df, MODEL_SCORES)
+    built = export.assemble_document(records, list(MODEL_SCORES), "rf", generated_at="2024-01-01")
+    return documents.parse_json(documents.as_json(built))
+
+
+def _flat_document(df: DataFrame) -> DataFrame:
+    flat = documents.flatten(_document(df))
+    return flat.select(
+        "id", "name", "category", "population", "disease_burden", "model", "is_default", "risk_score", "risk_level",
+        F.element_at("trend", -1).alias("latest"), F.size("trend").alias("points"),
+    )
+
+
+def _deep_cohorts(df: DataFrame) -> DataFrame:
+    return insights.with_depth(documents.default_cohorts(_document(df)))
+
+
+def _insight_rows(df: DataFrame) -> DataFrame:
+    records = insights.validate_insights(insights.insights(_deep_cohorts(df)))
+    return records.select(
+        "id", "source", "summary", F.array_join("riskDrivers", "; ").alias("drivers"), "trendInterpretation",
+        F.size("caveats").alias("caveats"), "status",
+    )
+
+
+def _depth_rows(df: DataFrame) -> DataFrame:
+    keep = ["id", "population", "disease_burden", "depth_basis", "normalized_disease_burden"]
+    return insights.ranked_cohorts(_deep_cohorts(df)).select(*keep)
+
+
+def matrix_queries() -> dict[str, Query]:
+    return {
+        "medians": lambda spark, d: rounded(encode.column_medians(_train_side(spark, d), NUMERIC_FEATURES)),
+        "encoded_features": lambda spark, d: rounded(_encoded(spark, d)),
+        "class_weights": _on(_cohort, _class_weights),
+        "aligned_columns": _aligned,
+        "calibration_half": _on(
+            scores, lambda df: split.calibration_half(df.select("patientID", "EncMonth")).select("patientID", "EncMonth", "half")
+        ),
+        "isotonic_scores": _on(scores, _isotonic),
+        "logit": _on(scores, lambda df: df.select("patientID", logit("p_rf").alias("l_rf"), binarise("p_rf", 0.25).alias("over"))),
+        "risk_level": _on(
+            scores,
+            lambda df: df.groupBy("subgroup", risk_level("p_gbt").alias("level")).agg(F.count(F.lit(1)).alias("n")),
+        ),
+    }
+
+
+def export_queries() -> dict[str, Query]:
+    return {
+        "monthly_trend": _on(
+            scores,
+            lambda df: export.monthly_means(df, MODEL_SCORES).withColumn("mean_score", F.col("score_sum") / F.col("n")).drop("score_sum"),
+        ),
+        "disease_burden": _on(scores, export.disease_burden),
+        "cohort_models": _on(scores, _cohort_models),
+        "document_flat": _on(scores, _flat_document),
+        "normalised_burden": _on(scores, _depth_rows),
+        "cohort_panel": _on(scores, lambda df: insights.panel(_deep_cohorts(df))),
+        "insights": _on(scores, _insight_rows),
+        "cohort_lookup": _on(
+            scores,
+            lambda df: documents.select_cohort(documents.default_cohorts(_document(df)), "cohort_diabetic").select(
+                "id", "name", "population", "model.risk_score"
+            ),
+        ),
+    }
+
+
+# Trees and rounds of the registered runs; the library's defaults are the full sizes.
+REGISTERED_SETTINGS = models.Settings(rf_trees=20, rf_depth=5, gbt_rounds=8, gbt_depth=3, lr_iterations=100)
+_runs: dict[tuple[str, str], training.Run] = {}
+
+
+def _run(spark: SparkSession, d: str) -> training.Run:
+    """One training run per session and folder, shared by the queries below."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _runs:
+        earlier = patient_level(spark, d).filter(F.col("EncMonth") < HOLDOUT_FROM)
+        _runs[key] = training.train_run(earlier, REGISTERED_SETTINGS)
+    return _runs[key]
+
+
+_cluster_runs: dict[tuple[str, str], training.ClusterRun] = {}
+
+
+def _clusters(spark: SparkSession, d: str) -> training.ClusterRun:
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _cluster_runs:
+        _cluster_runs[key] = training.cluster_run(_run(spark, d), restarts=3)
+    return _cluster_runs[key]
+
+
+def _importance(run: training.Run, spark: SparkSession) -> DataFrame:
+    return attribution.importances(spark, run.trained.models, run.trained.encoding.names)
+
+
+def _attribution(spark: SparkSession, d: str) -> DataFrame:
+    run = _run(spark, d)
+    sample = attribution.explained_sample(run.val)
+    parts = [
+        attribution.attribution(sample, pipeline, run.trained.encoding.names).withColumn("model", F.lit(name))
+        for name, pipeline in run.trained.models.items()
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def _trained_document(spark: SparkSession, d: str) -> DataFrame:
+    run = _run(spark, d)
+    best = attribution.top_features(_importance(run, spark))
+    records = export.cohort_records(run.val, run.score_columns, best)
+    return export.assemble_document(records, list(run.score_columns), run.best, generated_at="2024-01-01")
+
+
+def _holdout(spark: SparkSession, d: str) -> DataFrame:
+    later = patient_level(spark, d).filter(F.col("EncMonth") >= HOLDOUT_FROM)
+    return training.score_holdout(_run(spark, d), later)
+
+
+def model_queries() -> dict[str, Query]:
+    """Fitted models have no SQL equal; the driver checks rows only."""
+    return {
+        "model_compare": lambda spark, d: training.comparison(_run(spark, d)),
+        "calibrated_scores": lambda spark, d: training.calibrated(_run(spark, d)).select("patientID", "Outcome", "p_calibrated"),
+        "specialised_vs_general": lambda spark, d: training.general_vs_specialised(_run(spark, d)),
+        "rubric_specialised": lambda spark, d: training.general_vs_specialised(_run(spark, d), "rubric", training.RUBRIC_TRAINED),
+        "cluster_sizes": lambda spark, d: clusters.cluster_sizes(
+            _clusters(spark, d).train.select("cluster", "split", "Outcome").unionByName(
+                _clusters(spark, d).val.select("cluster", "split", "Outcome")
+            )
+        ),
+        "cluster_profile": lambda spark, d: clusters.cluster_means(_clusters(spark, d).val),
+        "cluster_comparison": lambda spark, d: training.cluster_comparison(_run(spark, d), _clusters(spark, d)),
+        "importance": lambda spark, d: attribution.label_features(_importance(_run(spark, d), spark)),
+        "attribution": _attribution,
+        "holdout_scores": lambda spark, d: models.holdout_report(_holdout(spark, d), "p_calibrated"),
+        "export_document": lambda spark, d: documents.as_json(_trained_document(spark, d)),
+        "trained_insights": lambda spark, d: insights.insights(documents.default_cohorts(_trained_document(spark, d))),
+    }
+
+
 def all_queries() -> dict[str, Query]:
-    return profile_queries() | score_queries()
+    return profile_queries() | score_queries() | matrix_queries() | export_queries() | model_queries()
