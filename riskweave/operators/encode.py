@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from riskweave.operators.features import CATEGORIES, NUMERIC_FEATURES, TARGET
 from riskweave.operators.ranking import _distinct_edges, order_statistics, small, with_offsets
+from riskweave.session import materialise
 
 MAX_LEVELS = 1000
 
@@ -41,7 +42,7 @@ def column_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     ]
     names = F.array(*[F.lit(c) for c in known])
     long = doubles.select(F.explode(F.array_compact(F.array(*pairs))).alias("v")).select("v.*")
-    runs = long.groupBy("at", "bucket", "score").agg(F.count(F.lit(1)).alias("n"))
+    runs = materialise(long.groupBy("at", "bucket", "score").agg(F.count(F.lit(1)).alias("n")), "values")
     per_bucket = runs.groupBy("at", "bucket").agg(F.sum("n").alias("n"))
     offsets = with_offsets(per_bucket, F.desc("bucket"), ["at"], ["n"])
     inside = Window.partitionBy("at", "bucket").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)

@@ -10,16 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from riskweave.functions.columns import share
-from riskweave.operators.ranking import (
-    Layout,
-    _curve,
-    _open_key,
-    _rank_within,
-    ntile_of,
-    plan_layout,
-    tile_totals,
-    top_count,
-)
+from riskweave.operators.ranking import keyed_curve, ntile_of, open_key, ranked_ties, tile_totals, top_count
 
 # Bins of the calibration error and denominators of the top share.
 CALIBRATION_BINS = 10
@@ -66,7 +57,6 @@ def evaluate(
     by: Sequence[str] = (),
     threshold: float = 0.5,
     top: bool = True,
-    layout: Layout | None = None,
 ) -> DataFrame:
     """The full metric record, one row per group.
 
@@ -74,8 +64,8 @@ def evaluate(
     (score, count) pairs. AUROC counts ties as half; AUPRC is average precision
     (a step sum). Both are null for a group of one class, with ``status`` saying so.
     """
-    layout = layout or plan_layout(df, score, tie, by)
-    curve = _curve(df, score, label, by, layout)
+    keyed = keyed_curve(df, score, label, by)
+    curve = keyed.rows
     n, pos, s = F.col("n"), F.col("pos"), F.col("score")
     total, positives = F.col("n_total"), F.col("pos_total")
     neg = n - pos
@@ -111,7 +101,7 @@ def evaluate(
         cut = curve.filter((before < k) & (F.col("cum_n") > k)).select(
             "__g", "score", before.alias("before"), "n_total"
         )
-        single = _rank_within(df, score, label, tie, by, cut, 2, layout)
+        single = ranked_ties(df, score, label, tie, by, cut, keyed.straddlers(2))
         taken = F.col("before") + F.col("rank") <= top_count(F.col("n_total"), TOP_DENOMINATOR)
         edge = single.filter(taken).groupBy("__g").agg(F.sum("pos").alias("top_pos"))
         merged = record.unionByName(edge, allowMissingColumns=True).groupBy("__g")
@@ -119,7 +109,7 @@ def evaluate(
             *[F.max(c).alias(c) for c in record.columns if c not in ("__g", "top_pos")],
             F.sum("top_pos").alias("top_pos"),
         )
-    return _open_key(_finish_record(record), by)
+    return open_key(_finish_record(record), by)
 
 
 def _finish_record(record: DataFrame) -> DataFrame:

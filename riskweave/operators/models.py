@@ -20,13 +20,13 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.storagelevel import StorageLevel
 
 from riskweave.functions.columns import logit
 from riskweave.operators.encode import Encoding, balance_weights, fit_encoding
 from riskweave.operators.features import CATEGORIES, ID, NUMERIC_FEATURES, TARGET
 from riskweave.operators.metrics import evaluate
 from riskweave.operators.split import fold
+from riskweave.session import materialise
 
 MODEL_NAMES = ("logreg", "rf", "gbt")
 LOWEST_GAIN = 0.01
@@ -139,11 +139,11 @@ def train_models(
 ) -> tuple[Trained, DataFrame]:
     """Fit the encoding and every named model on training rows.
 
-    Returns the trained set and the persisted training frame (unpersist when done).
+    Returns the trained set and the training frame, written once and read by every fit.
     """
     encoding = fit_encoding(train, numeric, categories, sensitive_as_features)
     prepare = PipelineModel(encoding.stages())
-    prepared = training_frame(prepare.transform(train), keep).persist(StorageLevel.MEMORY_AND_DISK)
+    prepared = materialise(training_frame(prepare.transform(train), keep), "train")
     n = prepared.count()
     models = {name: fit_one(name, prepared, n, settings) for name in names}
     return Trained(encoding, prepare, models, settings, n), prepared
@@ -188,7 +188,7 @@ def out_of_fold(prepared: DataFrame, settings: Settings, names: Sequence[str] =
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out.drop("__fold", "features")
+    return materialise(out.drop("__fold", "features"), "out-of-fold")
 
 
 def stack_inputs(df: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -245,6 +245,8 @@ def specialised_scores(
         part = add_probability(prepared_val.filter(F.col(group) == g), name, model, out).drop("features")
         scored = part if scored is None else scored.unionByName(part)
     spark = prepared_train.sparkSession
+    if scored is not None:
+        scored = materialise(scored, "specialised")
     return scored, spark.createDataFrame(status, "`group` string, n_train long, n_val long, status string")
 
 

@@ -10,6 +10,9 @@ Two things keep buckets small when one score holds a large part of all rows:
 running counts are taken over (score, count) pairs after a map-side combine, so a
 tied score is a single row; and where single rows must be told apart, a tied score
 is cut further at quantiles of the unique tie-break.
+
+The (score, count) pairs are written to the shared folder: sketch, bucket totals and
+running counts then read that narrow table, and the input is read once.
 """
 
 from __future__ import annotations
@@ -20,8 +23,12 @@ from dataclasses import dataclass
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from riskweave.session import materialise
+
 # A frame known to have at most this many narrow rows may be broadcast.
 BROADCAST_ROWS = 200_000
+# So few (score, count) pairs are ordered in one window per group, without buckets.
+ONE_WINDOW_ROWS = 100_000
 
 TileOf = Callable[[Column, Column], Column]
 
@@ -75,12 +82,12 @@ def bucketed(df: DataFrame, column: str, edges: Sequence[float], out: str) -> Da
     """
     if not edges:
         return df.withColumn(out, F.lit(0))
-    raw = f"{out}_raw"
+    raw, wide = f"{out}_raw", f"{out}_in"
     splits = [float("-inf"), *edges, float("inf")]
-    cut = Bucketizer(splits=splits, inputCol=f"{out}_in", outputCol=raw, handleInvalid="error")
-    widened = df.withColumn(f"{out}_in", F.col(column).cast("double"))
+    cut = Bucketizer(splits=splits, inputCol=wide, outputCol=raw, handleInvalid="error")
     placed = F.when(F.col(raw).isNull(), F.raise_error(F.lit(f"null in {column}"))).otherwise(F.col(raw))
-    return cut.transform(widened).withColumn(out, placed.cast("int")).drop(raw, f"{out}_in")
+    binned = cut.transform(df.withColumn(wide, F.col(column).cast("double")))
+    return binned.select(*df.columns, placed.cast("int").alias(out))
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
@@ -93,7 +100,8 @@ def _key(by: Sequence[str]) -> Column:
     return F.struct(*by) if by else F.lit(0)
 
 
-def _open_key(df: DataFrame, by: Sequence[str]) -> DataFrame:
+def open_key(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Replace the key struct by the group columns."""
     rest = [c for c in df.columns if c != "__g"]
     return df.select(*[F.col(f"__g.{c}").alias(c) for c in by], *rest)
 
@@ -102,31 +110,69 @@ def with_offsets(counts: DataFrame, order: Column, keys: Sequence[str], values:
     """Totals per group and sums over earlier buckets, from one small row per bucket."""
     group = Window.partitionBy(*keys)
     earlier = group.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    out = counts
-    for v in values:
-        out = out.withColumn(f"{v}_before", F.coalesce(F.sum(v).over(earlier), F.lit(0).cast("bigint")))
-        out = out.withColumn(f"{v}_total", F.sum(v).over(group))
-    return out.drop(*values)
+    added = {f"{v}_before": F.coalesce(F.sum(v).over(earlier), F.lit(0).cast("bigint")) for v in values}
+    added |= {f"{v}_total": F.sum(v).over(group) for v in values}
+    return counts.withColumns(added).drop(*values)
+
+
+def score_runs(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
+    """Rows and positives per distinct (group, score), as a written table."""
+    runs = df.groupBy(_key(by).alias("__g"), F.col(score).cast("double").alias("score")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("bigint")).alias("pos")
+    )
+    return materialise(runs, "runs")
 
 
-def score_curve(df: DataFrame, score: str, label: str, by: Sequence[str] = (), layout: Layout | None = None) -> DataFrame:
+def score_curve(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
     """Running counts over descending distinct scores, per group.
 
     Columns: the group columns, ``score, n, pos`` (rows and positives at this score),
     ``cum_n, cum_pos`` (at or above it), ``n_total, pos_total``.
     """
-    return _open_key(_curve(df, score, label, by, layout or plan_layout(df, score, by=by)), by)
+    return open_key(keyed_curve(df, score, label, by).rows, by)
 
 
-def _curve(df: DataFrame, score: str, label: str, by: Sequence[str], layout: Layout) -> DataFrame:
-    runs = df.groupBy(_key(by).alias("__g"), F.col(score).cast("double").alias("score")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("bigint")).alias("pos")
+@dataclass(frozen=True)
+class KeyedCurve:
+    """A curve under its group key, with bounds on its groups and its rows."""
+
+    rows: DataFrame
+    groups: int
+    most_rows: int
+
+    def straddlers(self, tiles: int) -> int:
+        """How many scores can straddle a tile boundary, at most."""
+        return min(self.groups * max(tiles - 1, 1), self.most_rows)
+
+
+def keyed_curve(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> KeyedCurve:
+    runs = score_runs(df, score, label, by)
+    rows = runs.count()  # from the footers of the table just written
+    if rows <= ONE_WINDOW_ROWS:
+        return KeyedCurve(_one_window_curve(runs), rows if by else 1, rows)
+    layout = plan_layout(runs, "score", by=["__g"] if by else [])
+    return KeyedCurve(_bucketed_curve(runs, layout), layout.groups, rows)
+
+
+def _one_window_curve(runs: DataFrame) -> DataFrame:
+    group = Window.partitionBy("__g")
+    running = group.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    return runs.withColumns(
+        {
+            "cum_n": F.sum("n").over(running),
+            "cum_pos": F.sum("pos").over(running),
+            "n_total": F.sum("n").over(group),
+            "pos_total": F.sum("pos").over(group),
+        }
     )
+
+
+def _bucketed_curve(runs: DataFrame, layout: Layout) -> DataFrame:
     runs = bucketed(runs, "score", layout.edges, "__b")
     per_bucket = runs.groupBy("__g", "__b").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
     offsets = with_offsets(per_bucket, F.desc("__b"), ["__g"], ["n", "pos"])
     inside = Window.partitionBy("__g", "__b").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = runs.withColumn("cum_n", F.sum("n").over(inside)).withColumn("cum_pos", F.sum("pos").over(inside))
+    ranked = runs.withColumns({"cum_n": F.sum("n").over(inside), "cum_pos": F.sum("pos").over(inside)})
     joined = ranked.join(small(offsets, layout.groups * (len(layout.edges) + 1)), ["__g", "__b"])
     return joined.select(
         "__g",
@@ -241,31 +287,29 @@ def tile_totals(
     tiles: int,
     by: Sequence[str] = (),
     descending: bool = True,
-    layout: Layout | None = None,
 ) -> DataFrame:
     """Rows, positives and score sum per tile of the global order.
 
     Whole runs of one score are counted from the curve. Only scores that straddle a
     tile boundary (fewer than ``tiles`` per group) go back to single rows.
     """
-    layout = layout or plan_layout(df, score, tie, by)
-    curve = _curve(df, score, label, by, layout)
+    curve = keyed_curve(df, score, label, by)
     before = F.col("cum_n") - F.col("n") if descending else F.col("n_total") - F.col("cum_n")
-    placed = (
-        curve.withColumn("before", before)
-        .withColumn("tile", tile_of(F.col("before") + 1, F.col("n_total")))
-        .withColumn("last_tile", tile_of(F.col("before") + F.col("n"), F.col("n_total")))
+    placed = curve.rows.withColumn("before", before).withColumns(
+        {
+            "tile": tile_of(F.col("before") + 1, F.col("n_total")),
+            "last_tile": tile_of(F.col("before") + F.col("n"), F.col("n_total")),
+        }
     )
     whole = placed.filter(F.col("tile") == F.col("last_tile")).select(
         "__g", "tile", "n", "pos", (F.col("n") * F.col("score")).alias("score_sum")
     )
     cut = placed.filter(F.col("tile") != F.col("last_tile")).select("__g", "score", "before", "n_total")
-    single = _rank_within(df, score, label, tie, by, cut, tiles, layout)
-    split = single.select(
+    split = ranked_ties(df, score, label, tie, by, cut, curve.straddlers(tiles)).select(
         "__g",
         tile_of(F.col("before") + F.col("rank"), F.col("n_total")).alias("tile"),
         F.lit(1).cast("bigint").alias("n"),
-        F.col("pos"),
+        "pos",
         F.col("score").alias("score_sum"),
     )
     totals = (
@@ -273,33 +317,38 @@ def tile_totals(
         .groupBy("__g", "tile")
         .agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"), F.sum("score_sum").alias("score_sum"))
     )
-    return _open_key(totals, by)
+    return open_key(totals, by)
 
 
-def _rank_within(
-    df: DataFrame, score: str, label: str, tie: str, by: Sequence[str], cut: DataFrame, tiles: int, layout: Layout
+def ranked_ties(
+    df: DataFrame, score: str, label: str, tie: str, by: Sequence[str], cut: DataFrame, cut_rows: int
 ) -> DataFrame:
-    """Rank by tie-break of the rows whose (group, score) is in ``cut``.
+    """The single rows of the (group, score) pairs in ``cut``, ranked by tie-break.
 
-    One score may hold a third of all rows, so its rows are bucketed by the
-    tie-break's quantiles and ranked per bucket.
+    One score may hold a third of all rows. Ranking its rows by tie-break is the curve
+    problem again, one level down: the tie-break is the score and (group, score) the
+    group, so it is bucketed the same way.
     """
+    cut = _settled(cut, cut_rows)
     rows = df.select(
-        _key(by).alias("__g"),
-        F.col(score).cast("double").alias("score"),
-        F.col(label).cast("bigint").alias("pos"),
-        F.col(tie).alias("__tie"),
+        _key(by).alias("__g"), F.col(score).cast("double").alias("score"), F.col(label).alias("__y"), F.col(tie).alias("__tie")
     )
-    rows = rows.join(small(cut, layout.groups * tiles), ["__g", "score"])
-    rows = bucketed(rows, "__tie", layout.tie_edges, "__t")
-    per_bucket = rows.groupBy("__g", "score", "__t").agg(F.count(F.lit(1)).alias("n"))
-    offsets = with_offsets(per_bucket, F.col("__t"), ["__g", "score"], ["n"])
-    offsets = offsets.select("__g", "score", "__t", "n_before")
-    inside = Window.partitionBy("__g", "score", "__t").orderBy("__tie")
-    ranked = rows.withColumn("__rn", F.row_number().over(inside)).join(
-        small(offsets, layout.groups * tiles * (len(layout.tie_edges) + 1)), ["__g", "score", "__t"]
+    chosen = rows.join(small(cut.select("__g", "score"), cut_rows), ["__g", "score"])
+    inner = keyed_curve(chosen, "__tie", "__y", ["__g", "score"])
+    ranked = inner.rows.select(
+        F.col("__g.__g").alias("__g"),
+        F.col("__g.score").alias("score"),
+        "pos",
+        (F.col("n_total") - F.col("cum_n") + 1).alias("rank"),
     )
-    return ranked.withColumn("rank", F.col("__rn") + F.col("n_before"))
+    return ranked.join(small(cut, cut_rows), ["__g", "score"])
+
+
+def _settled(df: DataFrame, bound: int) -> DataFrame:
+    """The frame computed once: through the driver if it is provably small, else as a table."""
+    if bound <= ONE_WINDOW_ROWS:
+        return df.sparkSession.createDataFrame(df.collect(), df.schema)
+    return materialise(df, "settled")
 
 
 def order_statistics(curve: DataFrame, by: Sequence[str], fractions: dict[str, tuple[int, int]]) -> DataFrame:

@@ -510,12 +510,12 @@ long AS (
 ),
 monthly AS (SELECT subgroup, model, EncMonth, count(*) AS n, avg(p) AS v FROM long GROUP BY ALL),
 points AS (
-  SELECT subgroup, model, round(v, 4) AS v, 7 - row_number() OVER (PARTITION BY subgroup, model ORDER BY EncMonth DESC) AS at FROM monthly
+  SELECT subgroup, model, round(v, 4) AS v, 7 - row_number() OVER (PARTITION BY subgroup, model ORDER BY EncMonth DESC) AS place FROM monthly
 ),
 trend AS (
-  SELECT subgroup, model, max(v) FILTER (WHERE at = 1) AS t1, max(v) FILTER (WHERE at = 2) AS t2, max(v) FILTER (WHERE at = 3) AS t3,
-    max(v) FILTER (WHERE at = 4) AS t4, max(v) FILTER (WHERE at = 5) AS t5, max(v) FILTER (WHERE at = 6) AS t6
-  FROM points WHERE at BETWEEN 1 AND 6 GROUP BY ALL
+  SELECT subgroup, model, max(v) FILTER (WHERE place = 1) AS t1, max(v) FILTER (WHERE place = 2) AS t2, max(v) FILTER (WHERE place = 3) AS t3,
+    max(v) FILTER (WHERE place = 4) AS t4, max(v) FILTER (WHERE place = 5) AS t5, max(v) FILTER (WHERE place = 6) AS t6
+  FROM points WHERE place BETWEEN 1 AND 6 GROUP BY ALL
 ),
 cm AS (
   SELECT subgroup, model, risk_score, CASE WHEN risk_score >= 0.15 THEN 'high' WHEN risk_score >= 0.07 THEN 'moderate' ELSE 'low' END AS risk_level,

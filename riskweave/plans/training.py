@@ -6,7 +6,6 @@ from dataclasses import dataclass
 
 from pyspark.ml.regression import IsotonicRegressionModel
 from pyspark.sql import DataFrame, functions as F
-from pyspark.storagelevel import StorageLevel
 
 from riskweave.functions.columns import first_match
 from riskweave.operators import clusters as archetypes
@@ -15,13 +14,18 @@ from riskweave.operators.features import ID, TARGET, build_features
 from riskweave.operators.groups import EXCLUSIVE_GROUPS, exclusive_label, rubric_conditions
 from riskweave.operators.metrics import evaluate, score_models
 from riskweave.operators.split import calibration_half, temporal_split
+from riskweave.session import materialise
 
 RUBRIC_TRAINED = ["CKD only", "HF only", "Cancer only", "Multi-condition"]
 
 
 @dataclass
 class Run:
-    """What a training run leaves behind. ``val`` is persisted with one probability column per model."""
+    """What a training run leaves behind.
+
+    ``train`` and ``val`` are tables in the shared folder; ``val`` has one probability
+    column per model.
+    """
 
     trained: m.Trained
     train: DataFrame
@@ -33,10 +37,6 @@ class Run:
     def score_columns(self) -> dict[str, str]:
         return {name: f"p_{name}" for name in self.trained.models}
 
-    def release(self) -> None:
-        self.train.unpersist()
-        self.val.unpersist()
-
 
 def _labelled(features: DataFrame) -> DataFrame:
     conditions = rubric_conditions()
@@ -47,15 +47,14 @@ def _labelled(features: DataFrame) -> DataFrame:
 def train_run(patients: DataFrame, settings: m.Settings = m.Settings(), sensitive_as_features: bool = False) -> Run:
     """Fit all models on the earlier months, score the later ones, calibrate the best on half of them."""
     # Sketches, medians, weights and both sides read these rows: keep them, read the source once.
-    rows = _labelled(temporal_split(build_features(patients))).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = materialise(_labelled(temporal_split(build_features(patients))), "features")
     train = rows.filter(F.col("split") == "train")
     keep = ["subgroup", "rubric", "split"]
     trained, prepared = m.train_models(train, settings, sensitive_as_features=sensitive_as_features, keep=keep)
     val = trained.score(rows.filter(F.col("split") == "val"), keep_features=True)
-    val = calibration_half(val.withColumn(TARGET, F.col(TARGET).cast("int"))).persist(StorageLevel.MEMORY_AND_DISK)
+    val = materialise(calibration_half(materialise(val.withColumn(TARGET, F.col(TARGET).cast("int")), "scored")), "val")
     records = score_models(val, {n: f"p_{n}" for n in trained.models}, TARGET)
     best = records.orderBy(F.desc("auroc"), "model").first()["model"]
-    rows.unpersist()
     first_half = val.filter(F.col("half") == "calibrate")
     calibrator = m.fit_isotonic(first_half, f"p_{best}", TARGET)
     return Run(trained, prepared, val, best, calibrator)
@@ -73,7 +72,8 @@ def stacked(run: Run) -> DataFrame:
     stacker = m.fit_stacker(m.out_of_fold(run.train, run.trained.settings, names), run.trained.settings, names)
     scored = m.apply_stacker(run.val.drop("features"), stacker, names)
     fitted = m.fit_isotonic(scored.filter(F.col("half") == "calibrate"), "p_stack", TARGET)
-    return m.apply_isotonic(scored.filter(F.col("half") == "evaluate"), fitted, "p_stack", "p_stack_calibrated")
+    out = m.apply_isotonic(scored.filter(F.col("half") == "evaluate"), fitted, "p_stack", "p_stack_calibrated")
+    return materialise(out, "stacked")
 
 
 def comparison(run: Run) -> DataFrame:
@@ -115,7 +115,9 @@ class ClusterRun:
 def cluster_run(run: Run, restarts: int = archetypes.RESTARTS) -> ClusterRun:
     """Cluster training rows; assign both sides to the nearest centre."""
     fitted = archetypes.fit_archetypes(run.train, restarts=restarts)
-    return ClusterRun(fitted, fitted.assign(run.train), fitted.assign(run.val))
+    return ClusterRun(
+        fitted, materialise(fitted.assign(run.train), "clusters-train"), materialise(fitted.assign(run.val), "clusters-val")
+    )
 
 
 def cluster_comparison(run: Run, found: ClusterRun) -> DataFrame:
@@ -135,6 +137,7 @@ def cluster_comparison(run: Run, found: ClusterRun) -> DataFrame:
     if per_cluster is not None:
         part = per_cluster.select(ID, TARGET, F.lit("per_cluster").alias("model"), F.col("p_special").alias("score"))
         long = long.unionByName(part)
+    long = materialise(long, "cluster-scores")
     record = evaluate(long, "score", TARGET, ID, ["model"])
     general = record.filter(F.col("model") == "general")
     rows, base = general.select("n").scalar(), general.select("auroc").scalar()

@@ -17,6 +17,20 @@ from riskweave.operators.groups import exclusive_label
 
 
 
+# Columns read from each supplied table; a given schema saves reading footers first.
+_SCHEMAS = {
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "customer": "c_custkey bigint, c_nationkey int, c_mktsegment string",
+    "nation": "n_nationkey int, n_regionkey int",
+    "region": "r_regionkey int, r_name string",
+    "lineitem": "l_orderkey bigint, l_suppkey bigint, l_linenumber int",
+}
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.schema(_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
+
+
 def _null_every(n: int, value: Column) -> Column:
     """Value, but null on every n-th order."""
     return F.when(F.col("o_orderkey") % n != 0, value)
@@ -80,7 +94,7 @@ _VISIT_COLUMNS = [
 
 def _visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Visit counts per order in one aggregation; distinct specialties as bits of a mask."""
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    lines = _table(spark, sf_dir, "lineitem")
     recent = F.col("l_linenumber") <= 3
     specialty = (F.col("l_suppkey") % 6).cast("int")
     bit = F.pow(F.lit(2), specialty).cast("int")
@@ -97,20 +111,20 @@ def _visits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def patient_level(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> DataFrame:
     """The wide patient table (or the named columns of it) over the supplied tables."""
     wanted = columns or list(SOURCE_COLUMNS)
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    orders = _table(spark, sf_dir, "orders")
     known = _order_columns()
     customer = _customer_columns()
     burden = {"last_12months_chronic_count", "last_12months_diagnosis_count_ccw"}
 
     rows = orders
     if set(wanted) & (customer.keys() | burden | {"MaritalStatus"}):
-        people = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_nationkey", "c_mktsegment")
+        people = _table(spark, sf_dir, "customer")
         rows = rows.join(people, F.col("o_custkey") == F.col("c_custkey"))
         known |= customer
         known |= _burden_columns(known)
     if "MaritalStatus" in wanted:
-        nation = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_regionkey")
-        region = spark.read.parquet(f"{sf_dir}/region.parquet").select("r_regionkey", "r_name")
+        nation = _table(spark, sf_dir, "nation")
+        region = _table(spark, sf_dir, "region")
         rows = rows.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(
             region, F.col("n_regionkey") == F.col("r_regionkey")
         )
