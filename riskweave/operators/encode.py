@@ -9,7 +9,14 @@ from pyspark.ml.feature import Bucketizer, SQLTransformer, VectorAssembler
 from pyspark.sql import DataFrame, Window, functions as F
 
 from riskweave.operators.features import CATEGORIES, NUMERIC_FEATURES, TARGET
-from riskweave.operators.ranking import _distinct_edges, order_statistics, small, with_offsets
+from riskweave.operators.ranking import (
+    _distinct_edges,
+    default_buckets,
+    order_statistics,
+    sketch_quantiles,
+    small,
+    with_offsets,
+)
 from riskweave.session import materialise
 
 MAX_LEVELS = 1000
@@ -22,13 +29,11 @@ def column_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     Here values are counted per (column, bucket, value) with each column cut at its
     own quantiles, and the middle ranks are read off the running counts.
     """
-    buckets = max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    probabilities = [i / buckets for i in range(1, buckets)]
-    sketch = df.agg(
-        *[F.percentile_approx(F.col(c).cast("double"), probabilities, max(1000, 20 * buckets)).alias(c) for c in columns]
-    ).first()
-    edges = {c: _distinct_edges(sketch[c])[0] for c in columns}
-    known = [c for c in columns if edges[c]]
+    buckets = default_buckets(df)
+    quantiles = sketch_quantiles(df, columns, buckets, df.count())
+    known = list(columns)
+    # A column the sample saw no value of gets one arbitrary edge: it may have values elsewhere.
+    edges = {c: _distinct_edges(quantiles[c])[0] or (0.0,) for c in known}
     cut = Bucketizer(
         splitsArray=[[float("-inf"), *edges[c], float("inf")] for c in known],
         inputCols=known,

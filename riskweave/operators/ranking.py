@@ -29,6 +29,8 @@ from riskweave.session import materialise
 BROADCAST_ROWS = 200_000
 # So few (score, count) pairs are ordered in one window per group, without buckets.
 ONE_WINDOW_ROWS = 100_000
+# Sampled rows per bucket when bucket edges are sketched.
+SKETCH_ROWS_PER_BUCKET = 500
 
 TileOf = Callable[[Column, Column], Column]
 
@@ -47,6 +49,11 @@ class Layout:
         return 2 * (len(self.edges) + 1) + sum(self.repeats)
 
 
+def default_buckets(df: DataFrame) -> int:
+    """As many buckets as the session has shuffle partitions, and never a mere handful."""
+    return max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _distinct_edges(quantiles: Sequence[float] | None) -> tuple[tuple[float, ...], tuple[int, ...]]:
     seen: dict[float, int] = {}
     for q in quantiles or ():
@@ -55,24 +62,39 @@ def _distinct_edges(quantiles: Sequence[float] | None) -> tuple[tuple[float, ...
     return edges, tuple(seen[e] for e in edges)
 
 
+def sketch_quantiles(df: DataFrame, columns: Sequence[str], buckets: int, rows: int) -> dict[str, list[float] | None]:
+    """Approximate quantiles that cut each column into ``buckets``.
+
+    They only place rows into buckets and never enter a result, so a sample of some
+    hundred rows per bucket will do; sketches of all tasks then meet in one task
+    without outgrowing it.
+    """
+    wanted = SKETCH_ROWS_PER_BUCKET * buckets
+    source = df.select(*columns)
+    if rows > wanted:
+        source = source.sample(wanted / rows, seed=7)
+    probabilities = [i / buckets for i in range(1, buckets)]
+    accuracy = max(1000, 20 * buckets)
+    found = source.agg(
+        *[F.percentile_approx(F.col(c).cast("double"), probabilities, accuracy).alias(f"q{i}") for i, c in enumerate(columns)]
+    ).first()
+    return {c: found[i] for i, c in enumerate(columns)}
+
+
 def plan_layout(
     df: DataFrame, score: str, tie: str | None = None, by: Sequence[str] = (), buckets: int | None = None
 ) -> Layout:
-    """One aggregation pass: quantile sketches of score and tie-break, group count."""
-    if buckets is None:
-        buckets = max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    probabilities = [i / buckets for i in range(1, buckets)]
-    accuracy = max(1000, 20 * buckets)
-    aggs = [F.percentile_approx(F.col(score).cast("double"), probabilities, accuracy).alias("s")]
-    if tie is not None:
-        aggs.append(F.percentile_approx(F.col(tie).cast("double"), probabilities, accuracy).alias("t"))
+    """Two small jobs: rows and groups, then quantile sketches of score and tie-break."""
+    buckets = buckets or default_buckets(df)
+    aggs = [F.count(F.lit(1)).alias("n")]
     if by:
         aggs.append(F.approx_count_distinct(F.struct(*by)).alias("g"))
-    found = df.agg(*aggs).first().asDict()
-    edges, repeats = _distinct_edges(found["s"])
-    tie_edges, _ = _distinct_edges(found.get("t"))
+    found = df.agg(*aggs).first()
+    quantiles = sketch_quantiles(df, [score] if tie is None else [score, tie], buckets, found["n"])
+    edges, repeats = _distinct_edges(quantiles[score])
+    tie_edges, _ = _distinct_edges(quantiles[tie]) if tie is not None else ((), ())
     # The sketch is off by a few per cent; double it before it bounds a broadcast.
-    return Layout(edges, repeats, tie_edges, 2 * found.get("g", 0) + 8 if by else 1)
+    return Layout(edges, repeats, tie_edges, 2 * found["g"] + 8 if by else 1)
 
 
 def bucketed(df: DataFrame, column: str, edges: Sequence[float], out: str) -> DataFrame:

@@ -581,5 +581,29 @@ def export_oracles() -> dict[str, str]:
     }
 
 
+def recurring_oracles() -> dict[str, str]:
+    return {
+        "monthly_worklist": with_(
+            _SCORES,
+            """
+placed AS (
+  SELECT patientID, EncMonth, y_prob, row_number() OVER (PARTITION BY EncMonth ORDER BY y_prob DESC, patientID) AS place,
+    count(*) OVER (PARTITION BY EncMonth) AS n FROM sc
+)""",
+            select="""SELECT patientID, EncMonth, y_prob, place,
+  CASE WHEN y_prob >= 0.15 THEN 'high' WHEN y_prob >= 0.07 THEN 'moderate' ELSE 'low' END AS level
+FROM placed WHERE place <= n * 15 // 100""",
+        ),
+        "audit_stream": """
+SELECT CAST(time_bucket(INTERVAL 90 DAY, o_orderdate, TIMESTAMP '1970-01-01') AS DATE) AS period_start,
+  CASE WHEN o_custkey % 2 = 0 THEN 'Female' ELSE 'Male' END AS sex, count(*) AS n,
+  round(avg(CAST(o_orderstatus = 'F' AS INTEGER)), 6) AS actual_rate,
+  round(avg(CAST(o_orderkey * 7919 % 1000 AS DOUBLE) / 1000), 6) AS mean_prob,
+  round(avg(CAST(o_orderstatus = 'F' AS INTEGER)) - avg(CAST(o_orderkey * 7919 % 1000 AS DOUBLE) / 1000), 6) AS cal_gap,
+  abs(avg(CAST(o_orderstatus = 'F' AS INTEGER)) - avg(CAST(o_orderkey * 7919 % 1000 AS DOUBLE) / 1000)) > 0.02 AS flagged
+FROM orders GROUP BY 1, 2""",
+    }
+
+
 def all_oracles() -> dict[str, str]:
-    return profile_oracles() | score_oracles() | matrix_oracles() | export_oracles()
+    return profile_oracles() | score_oracles() | matrix_oracles() | export_oracles() | recurring_oracles()

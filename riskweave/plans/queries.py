@@ -22,10 +22,13 @@ from riskweave.operators import (
     thresholds,
 )
 from riskweave.operators.features import NUMERIC_FEATURES, build_features
+from riskweave.operators.worklist import monthly_worklist
 from riskweave.plans import training
+from riskweave.session import fresh_path
 from riskweave.sources import documents
 from riskweave.sources.adapter import patient_level, scores
 from riskweave.sources.tables import align_columns
+from riskweave.streaming.scoring import audit_windows, latest, write_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
 MODEL_SCORES = {"logreg": "p_logreg", "rf": "p_rf", "gbt": "p_gbt"}
@@ -313,5 +316,29 @@ def model_queries() -> dict[str, Query]:
     }
 
 
+def _audit_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Quarterly calibration audit of a stream of scored orders, run to completion."""
+    schema = "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_orderdate timestamp_ntz"
+    arriving = spark.readStream.schema(schema).parquet(f"{d}/orders*.parquet")
+    midnight = F.unix_date(F.col("o_orderdate").cast("date")).cast("bigint") * 86400
+    scored = arriving.select(
+        F.timestamp_seconds(midnight).alias("at"),
+        F.when(F.col("o_custkey") % 2 == 0, "Female").otherwise("Male").alias("sex"),
+        (F.col("o_orderstatus") == "F").cast("int").alias("y_true"),
+        (F.col("o_orderkey") * 7919 % 1000 / 1000.0).alias("y_prob"),
+    )
+    out, state = fresh_path(spark, "audit"), fresh_path(spark, "audit-state")
+    write_batches(audit_windows(scored, "at", "sex"), out, state, "update").awaitTermination()
+    return rounded(latest(spark.read.parquet(out), ["period_start", "sex"]))
+
+
+def recurring_queries() -> dict[str, Query]:
+    """The recurring jobs around the models: ranked worklist and streaming audit."""
+    return {
+        "monthly_worklist": _on(scores, monthly_worklist),
+        "audit_stream": _audit_stream,
+    }
+
+
 def all_queries() -> dict[str, Query]:
-    return profile_queries() | score_queries() | matrix_queries() | export_queries() | model_queries()
+    return recurring_queries() | profile_queries() | score_queries() | matrix_queries() | export_queries() | model_queries()
