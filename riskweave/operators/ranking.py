@@ -138,8 +138,11 @@ def with_offsets(counts: DataFrame, order: Column, keys: Sequence[str], values:
 
 
 def score_runs(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
-    """Rows and positives per distinct (group, score), as a written table."""
-    runs = df.groupBy(_key(by).alias("__g"), F.col(score).cast("double").alias("score")).agg(
+    """Rows and positives per distinct (group, score), as a written table.
+
+    The score keeps its type: a long id must not lose digits.
+    """
+    runs = df.groupBy(_key(by).alias("__g"), F.col(score).alias("score")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("bigint")).alias("pos")
     )
     return materialise(runs, "runs")
@@ -353,7 +356,7 @@ def ranked_ties(
     """
     cut = _settled(cut, cut_rows)
     rows = df.select(
-        _key(by).alias("__g"), F.col(score).cast("double").alias("score"), F.col(label).alias("__y"), F.col(tie).alias("__tie")
+        _key(by).alias("__g"), F.col(score).alias("score"), F.col(label).alias("__y"), F.col(tie).alias("__tie")
     )
     chosen = rows.join(small(cut.select("__g", "score"), cut_rows), ["__g", "score"])
     inner = keyed_curve(chosen, "__tie", "__y", ["__g", "score"])
@@ -366,6 +369,12 @@ def ranked_ties(
     return ranked.join(small(cut, cut_rows), ["__g", "score"])
 
 
+def nth_smallest(df: DataFrame, column: str, n: int):
+    """The n-th smallest value (1-based) of a column of distinct values."""
+    curve = keyed_curve(df.withColumn("__one", F.lit(1)), column, "__one").rows
+    return curve.filter(F.col("n_total") - F.col("cum_n") + 1 == n).first()["score"]
+
+
 def _settled(df: DataFrame, bound: int) -> DataFrame:
     """The frame computed once: through the driver if it is provably small, else as a table."""
     if bound <= ONE_WINDOW_ROWS:

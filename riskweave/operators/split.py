@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from riskweave.functions.columns import month_start
 from riskweave.operators.features import ID, MONTH, TARGET
-from riskweave.operators.ranking import global_row_number
+from riskweave.operators.ranking import nth_smallest
 
 # Fixed value: part of the distinct months that go to training.
 TRAIN_PERCENT = 85
@@ -51,10 +51,23 @@ def split_summary(df: DataFrame, month: str = MONTH, target: str = TARGET) -> Da
 
 
 def calibration_half(df: DataFrame, month: str = MONTH, tie: str = ID, out: str = "half") -> DataFrame:
-    """Mark the first n // 2 rows in (month, id) order ``calibrate``, the rest ``evaluate``."""
-    numbered = global_row_number(df, month, tie, descending=False, out="__rn", total="__n")
-    half = F.when(F.col("__rn") <= F.floor(F.col("__n") / 2), "calibrate").otherwise("evaluate")
-    return numbered.withColumn(out, half).drop("__rn", "__n")
+    """Mark the first n // 2 rows in (month, id) order ``calibrate``, the rest ``evaluate``.
+
+    Only the row at the cut is looked for: row counts per month name its month, and its
+    id is an order statistic of that month. The marking itself moves no rows.
+    """
+    counts = df.groupBy(month).agg(F.count(F.lit(1)).alias("n")).orderBy(month).collect()
+    left = sum(r["n"] for r in counts) // 2
+    mark = F.lit("evaluate")
+    for r in counts:
+        if left <= r["n"]:
+            if left:
+                at = nth_smallest(df.filter(F.col(month) == r[month]), tie, left)
+                early = (F.col(month) < r[month]) | ((F.col(month) == r[month]) & (F.col(tie) <= at))
+                mark = F.when(early, "calibrate").otherwise("evaluate")
+            break
+        left -= r["n"]
+    return df.withColumn(out, mark)
 
 
 def fold(key: str = ID, folds: int = 5) -> Column:

@@ -24,7 +24,7 @@ from riskweave.operators import (
 from riskweave.operators.features import NUMERIC_FEATURES, build_features
 from riskweave.operators.worklist import monthly_worklist
 from riskweave.plans import training
-from riskweave.session import fresh_path
+from riskweave.session import fresh_path, materialise
 from riskweave.sources import documents
 from riskweave.sources.adapter import patient_level, scores
 from riskweave.sources.tables import align_columns
@@ -137,7 +137,8 @@ def score_queries() -> dict[str, Query]:
 
 
 def _train_side(spark: SparkSession, d: str) -> DataFrame:
-    return split.temporal_split(_features(spark, d)).filter(F.col("split") == "train")
+    """Training rows as a table, as a training run keeps them: several passes follow."""
+    return materialise(split.temporal_split(_features(spark, d)).filter(F.col("split") == "train"), "train")
 
 
 def _encoded(spark: SparkSession, d: str) -> DataFrame:
@@ -161,7 +162,7 @@ def _aligned(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _isotonic(df: DataFrame) -> DataFrame:
-    halves = split.calibration_half(df.select("patientID", "EncMonth", "y_true", "y_prob"))
+    halves = split.calibration_half(materialise(df.select("patientID", "EncMonth", "y_true", "y_prob"), "scores"))
     fitted = models.fit_isotonic(halves.filter(F.col("half") == "calibrate"), "y_prob", "y_true")
     rest = halves.filter(F.col("half") == "evaluate")
     return models.apply_isotonic(rest, fitted, "y_prob", "p_cal").select("patientID", "y_prob", "p_cal")

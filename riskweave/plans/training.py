@@ -52,7 +52,7 @@ def train_run(patients: DataFrame, settings: m.Settings = m.Settings(), sensitiv
     keep = ["subgroup", "rubric", "split"]
     trained, prepared = m.train_models(train, settings, sensitive_as_features=sensitive_as_features, keep=keep)
     val = trained.score(rows.filter(F.col("split") == "val"), keep_features=True)
-    val = materialise(calibration_half(materialise(val.withColumn(TARGET, F.col(TARGET).cast("int")), "scored")), "val")
+    val = calibration_half(materialise(val.withColumn(TARGET, F.col(TARGET).cast("int")), "val"))
     records = score_models(val, {n: f"p_{n}" for n in trained.models}, TARGET)
     best = records.orderBy(F.desc("auroc"), "model").first()["model"]
     first_half = val.filter(F.col("half") == "calibrate")

@@ -98,3 +98,21 @@ def test_tile_formula(spark):
     for t in (1, 3, 7, 10, 12):
         rows = df.filter(F.col("t") == t).select("r", "n", ranking.ntile_of(t)(F.col("r"), F.col("n")).alias("g"))
         assert all(x.g == tiles(x.n, t)[x.r - 1] for x in rows.collect())
+
+
+def test_long_ids_keep_their_digits(spark, many_buckets):
+    big = 2**60
+    df = spark.createDataFrame([(big + i, 0.5, i % 2) for i in range(50)], "id long, p double, y int")
+    got = ranking.tile_totals(df, "p", "y", "id", ranking.top_share_of(10), 2).orderBy("tile").collect()
+    assert [(r.tile, r.n, r.pos) for r in got] == [(1, 5, 2), (2, 45, 23)]
+    assert ranking.nth_smallest(df, "id", 7) == big + 6
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 7, 100])
+def test_calibration_half(spark, n, many_buckets):
+    from riskweave.operators.split import calibration_half
+
+    rows = [(i * 7919 % 1009, 202001 + (i % 3 == 0)) for i in range(n)]
+    df = spark.createDataFrame(rows, "patientID long, EncMonth int")
+    got = {r.patientID for r in calibration_half(df).filter("half = 'calibrate'").collect()}
+    assert got == {i for i, _ in sorted(rows, key=lambda r: (r[1], r[0]))[: n // 2]}
