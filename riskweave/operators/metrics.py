@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from riskweave.functions.columns import share
-from riskweave.operators.ranking import keyed_curve, ntile_of, open_key, ranked_ties, tile_totals, top_count
+from riskweave.operators.ranking import keyed_curve, ntile_of, open_key, ranked_ties, settled, tile_totals, top_count
 
 # Bins of the calibration error and denominators of the top share.
 CALIBRATION_BINS = 10
@@ -77,6 +77,8 @@ def evaluate(
     )
     over = s >= F.lit(float(threshold))
     k = top_count(total, TOP_DENOMINATOR)
+    before = F.col("cum_n") - n
+    crossed = (before < k) & (F.col("cum_n") > k)
     zero = F.lit(0).cast("bigint")
     binned = curve.groupBy("__g", calibration_bin.alias("__bin")).agg(
         F.max(total).alias("n"),
@@ -90,23 +92,30 @@ def evaluate(
         F.sum(F.when(over, n).otherwise(zero)).alias("flagged"),
         F.sum(F.when(over, pos).otherwise(zero)).alias("tp"),
         F.sum(F.when(F.col("cum_n") <= k, pos).otherwise(zero)).alias("top_pos"),
+        # The one run that the top-share cut goes through, if any. Plain columns keep the
+        # aggregation hashed; a struct would have it sort.
+        F.max(F.when(crossed, s)).alias("score"),
+        F.max(F.when(crossed, before)).alias("before"),
     )
     gap = F.abs(F.col("bin_pos") / F.col("bin_n") - F.col("bin_score") / F.col("bin_n"))
     sums = ["bin_score", "pairs", "precision_steps", "squares", "flagged", "tp", "top_pos"]
     record = binned.groupBy("__g").agg(
-        F.max("n").alias("n"), F.max("p").alias("p"), F.avg(gap).alias("mace"), *[F.sum(c).alias(c) for c in sums]
+        F.max("n").alias("n"),
+        F.max("p").alias("p"),
+        F.avg(gap).alias("mace"),
+        *[F.sum(c).alias(c) for c in sums],
+        F.max("score").alias("score"),
+        F.max("before").alias("before"),
     )
     if top:
-        before = F.col("cum_n") - n
-        cut = curve.filter((before < k) & (F.col("cum_n") > k)).select(
-            "__g", "score", before.alias("before"), "n_total"
-        )
+        record = settled(record, keyed.straddlers(2))
+        cut = record.filter(F.col("score").isNotNull()).select("__g", "score", "before", F.col("n").alias("n_total"))
         single = ranked_ties(df, score, label, tie, by, cut, keyed.straddlers(2))
         taken = F.col("before") + F.col("rank") <= top_count(F.col("n_total"), TOP_DENOMINATOR)
         edge = single.filter(taken).groupBy("__g").agg(F.sum("pos").alias("top_pos"))
-        merged = record.unionByName(edge, allowMissingColumns=True).groupBy("__g")
+        merged = record.drop("score", "before").unionByName(edge, allowMissingColumns=True).groupBy("__g")
         record = merged.agg(
-            *[F.max(c).alias(c) for c in record.columns if c not in ("__g", "top_pos")],
+            *[F.max(c).alias(c) for c in record.columns if c not in ("__g", "top_pos", "score", "before")],
             F.sum("top_pos").alias("top_pos"),
         )
     return open_key(_finish_record(record), by)

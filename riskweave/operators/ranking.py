@@ -82,14 +82,19 @@ def sketch_quantiles(df: DataFrame, columns: Sequence[str], buckets: int, rows:
 
 
 def plan_layout(
-    df: DataFrame, score: str, tie: str | None = None, by: Sequence[str] = (), buckets: int | None = None
+    df: DataFrame,
+    score: str,
+    tie: str | None = None,
+    by: Sequence[str] = (),
+    buckets: int | None = None,
+    rows: int | None = None,
 ) -> Layout:
     """Two small jobs: rows and groups, then quantile sketches of score and tie-break."""
     buckets = buckets or default_buckets(df)
     aggs = [F.count(F.lit(1)).alias("n")]
     if by:
         aggs.append(F.approx_count_distinct(F.struct(*by)).alias("g"))
-    found = df.agg(*aggs).first()
+    found = df.agg(*aggs).first() if by or rows is None else {"n": rows}
     quantiles = sketch_quantiles(df, [score] if tie is None else [score, tie], buckets, found["n"])
     edges, repeats = _distinct_edges(quantiles[score])
     tie_edges, _ = _distinct_edges(quantiles[tie]) if tie is not None else ((), ())
@@ -175,7 +180,7 @@ def keyed_curve(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -
     rows = runs.count()  # from the footers of the table just written
     if rows <= ONE_WINDOW_ROWS:
         return KeyedCurve(_one_window_curve(runs), rows if by else 1, rows)
-    layout = plan_layout(runs, "score", by=["__g"] if by else [])
+    layout = plan_layout(runs, "score", by=["__g"] if by else [], rows=rows)
     return KeyedCurve(_bucketed_curve(runs, layout), layout.groups, rows)
 
 
@@ -326,16 +331,27 @@ def tile_totals(
             "last_tile": tile_of(F.col("before") + F.col("n"), F.col("n_total")),
         }
     )
-    whole = placed.filter(F.col("tile") == F.col("last_tile")).select(
-        "__g", "tile", "n", "pos", (F.col("n") * F.col("score")).alias("score_sum")
+    inside = F.col("tile") == F.col("last_tile")
+    zero = F.lit(0).cast("bigint")
+    # At most one run leaves each tile; it is carried along so that the curve is read once.
+    # Plain columns keep the aggregation hashed; a struct would have it sort.
+    per_tile = placed.groupBy("__g", "tile").agg(
+        F.sum(F.when(inside, F.col("n")).otherwise(zero)).alias("n"),
+        F.sum(F.when(inside, F.col("pos")).otherwise(zero)).alias("pos"),
+        F.sum(F.when(inside, F.col("n") * F.col("score")).otherwise(0.0)).alias("score_sum"),
+        F.max(F.when(~inside, F.col("score"))).alias("score"),
+        F.max(F.when(~inside, F.col("before"))).alias("before"),
+        F.max("n_total").alias("n_total"),
     )
-    cut = placed.filter(F.col("tile") != F.col("last_tile")).select("__g", "score", "before", "n_total")
+    per_tile = settled(per_tile, curve.straddlers(tiles + 1))
+    whole = per_tile.drop("score", "before", "n_total")
+    cut = per_tile.filter(F.col("score").isNotNull()).select("__g", "score", "before", "n_total")
     split = ranked_ties(df, score, label, tie, by, cut, curve.straddlers(tiles)).select(
         "__g",
         tile_of(F.col("before") + F.col("rank"), F.col("n_total")).alias("tile"),
         F.lit(1).cast("bigint").alias("n"),
         "pos",
-        F.col("score").alias("score_sum"),
+        F.col("score").cast("double").alias("score_sum"),
     )
     totals = (
         whole.unionByName(split)
@@ -348,13 +364,12 @@ def tile_totals(
 def ranked_ties(
     df: DataFrame, score: str, label: str, tie: str, by: Sequence[str], cut: DataFrame, cut_rows: int
 ) -> DataFrame:
-    """The single rows of the (group, score) pairs in ``cut``, ranked by tie-break.
+    """The single rows of the (group, score) pairs in ``cut`` (a settled frame), ranked by tie-break.
 
     One score may hold a third of all rows. Ranking its rows by tie-break is the curve
     problem again, one level down: the tie-break is the score and (group, score) the
     group, so it is bucketed the same way.
     """
-    cut = _settled(cut, cut_rows)
     rows = df.select(
         _key(by).alias("__g"), F.col(score).alias("score"), F.col(label).alias("__y"), F.col(tie).alias("__tie")
     )
@@ -375,7 +390,7 @@ def nth_smallest(df: DataFrame, column: str, n: int):
     return curve.filter(F.col("n_total") - F.col("cum_n") + 1 == n).first()["score"]
 
 
-def _settled(df: DataFrame, bound: int) -> DataFrame:
+def settled(df: DataFrame, bound: int) -> DataFrame:
     """The frame computed once: through the driver if it is provably small, else as a table."""
     if bound <= ONE_WINDOW_ROWS:
         return df.sparkSession.createDataFrame(df.collect(), df.schema)
