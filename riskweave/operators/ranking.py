@@ -21,7 +21,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F, types as T
 
 from riskweave.session import materialise
 
@@ -49,6 +49,23 @@ class Layout:
         return 2 * (len(self.edges) + 1) + sum(self.repeats)
 
 
+def tie_key(df: DataFrame, tie: str) -> Column:
+    """A tie-break that can be bucketed: a number as it is, a text behind its hash.
+
+    Texts with a common prefix would crowd into one bucket; hashes spread, and the text
+    itself still parts two equal hashes.
+    """
+    if isinstance(df.schema[tie].dataType, T.StringType):
+        return F.struct(F.xxhash64(tie).alias("h"), F.col(tie).alias("id"))
+    return F.col(tie)
+
+
+def _number(df: DataFrame, column: str) -> Column:
+    """The number by which a column is bucketed."""
+    kind = df.schema[column].dataType
+    return F.col(f"{column}.h" if isinstance(kind, T.StructType) else column).cast("double")
+
+
 def default_buckets(df: DataFrame) -> int:
     """As many buckets as the session has shuffle partitions, and never a mere handful."""
     return max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -70,13 +87,13 @@ def sketch_quantiles(df: DataFrame, columns: Sequence[str], buckets: int, rows:
     without outgrowing it.
     """
     wanted = SKETCH_ROWS_PER_BUCKET * buckets
-    source = df.select(*columns)
+    source = df.select(*[_number(df, c).alias(f"c{i}") for i, c in enumerate(columns)])
     if rows > wanted:
         source = source.sample(wanted / rows, seed=7)
     probabilities = [i / buckets for i in range(1, buckets)]
     accuracy = max(1000, 20 * buckets)
     found = source.agg(
-        *[F.percentile_approx(F.col(c).cast("double"), probabilities, accuracy).alias(f"q{i}") for i, c in enumerate(columns)]
+        *[F.percentile_approx(c, probabilities, accuracy) for c in source.columns]
     ).first()
     return {c: found[i] for i, c in enumerate(columns)}
 
@@ -113,7 +130,7 @@ def bucketed(df: DataFrame, column: str, edges: Sequence[float], out: str) -> Da
     splits = [float("-inf"), *edges, float("inf")]
     cut = Bucketizer(splits=splits, inputCol=wide, outputCol=raw, handleInvalid="error")
     placed = F.when(F.col(raw).isNull(), F.raise_error(F.lit(f"null in {column}"))).otherwise(F.col(raw))
-    binned = cut.transform(df.withColumn(wide, F.col(column).cast("double")))
+    binned = cut.transform(df.withColumn(wide, _number(df, column)))
     return binned.select(*df.columns, placed.cast("int").alias(out))
 
 
@@ -145,9 +162,15 @@ def with_offsets(counts: DataFrame, order: Column, keys: Sequence[str], values:
 def score_runs(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
     """Rows and positives per distinct (group, score), as a written table.
 
-    The score keeps its type: a long id must not lose digits.
+    The score keeps its type: a long id must not lose digits. A score that has no place
+    in the order (null or NaN) is an error.
     """
-    runs = df.groupBy(_key(by).alias("__g"), F.col(score).alias("score")).agg(
+    c = F.col(score)
+    unplaced = c.isNull()
+    if isinstance(df.schema[score].dataType, (T.DoubleType, T.FloatType)):
+        unplaced = unplaced | F.isnan(c)
+    placed = F.when(unplaced, F.raise_error(F.lit(f"null in {score}"))).otherwise(c)
+    runs = df.groupBy(_key(by).alias("__g"), placed.alias("score")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("bigint")).alias("pos")
     )
     return materialise(runs, "runs")
@@ -226,19 +249,19 @@ def global_row_number(
     total: str | None = None,
     layout: Layout | None = None,
 ) -> DataFrame:
-    """``row_number`` over (score, then the unique numeric tie-break ascending), per group.
+    """``row_number`` over (score, then the unique tie-break ascending), per group.
 
-    ``total`` also adds the group's row count under that name.
+    A text tie-break is ordered by its hash first. ``total`` also adds the group's row count under that name.
     """
-    layout = layout or plan_layout(df, score, tie, by)
     columns = df.columns
-    rows = bucketed(df, score, layout.edges, "__b").withColumn("__g", _key(by))
-    cell = _cell(score, layout, descending)
-    rows = bucketed(rows, tie, layout.tie_edges, "__t").withColumn("__cell", cell)
+    rows = df.withColumns({"__g": _key(by), "__tie": tie_key(df, tie)})
+    layout = layout or plan_layout(rows, score, "__tie", by)
+    rows = bucketed(bucketed(rows, score, layout.edges, "__b"), "__tie", layout.tie_edges, "__t")
+    rows = rows.withColumn("__cell", _cell(score, layout, descending))
     per_cell = rows.groupBy("__g", "__cell").agg(F.count(F.lit(1)).alias("n"))
     offsets = with_offsets(per_cell, F.col("__cell"), ["__g"], ["n"])
     first = F.desc(score) if descending else F.asc(score)
-    inside = Window.partitionBy("__g", "__cell").orderBy(first, F.asc(tie))
+    inside = Window.partitionBy("__g", "__cell").orderBy(first, F.asc("__tie"))
     numbered = rows.withColumn("__rn", F.row_number().over(inside)).join(
         small(offsets, layout.groups * layout.max_cells), ["__g", "__cell"]
     )
@@ -351,7 +374,7 @@ def tile_totals(
         tile_of(F.col("before") + F.col("rank"), F.col("n_total")).alias("tile"),
         F.lit(1).cast("bigint").alias("n"),
         "pos",
-        F.col("score").cast("double").alias("score_sum"),
+        F.col("score").alias("score_sum"),
     )
     totals = (
         whole.unionByName(split)
@@ -371,7 +394,7 @@ def ranked_ties(
     group, so it is bucketed the same way.
     """
     rows = df.select(
-        _key(by).alias("__g"), F.col(score).alias("score"), F.col(label).alias("__y"), F.col(tie).alias("__tie")
+        _key(by).alias("__g"), F.col(score).alias("score"), F.col(label).alias("__y"), tie_key(df, tie).alias("__tie")
     )
     chosen = rows.join(small(cut.select("__g", "score"), cut_rows), ["__g", "score"])
     inner = keyed_curve(chosen, "__tie", "__y", ["__g", "score"])
@@ -384,10 +407,14 @@ def ranked_ties(
     return ranked.join(small(cut, cut_rows), ["__g", "score"])
 
 
-def nth_smallest(df: DataFrame, column: str, n: int):
-    """The n-th smallest value (1-based) of a column of distinct values."""
-    curve = keyed_curve(df.withColumn("__one", F.lit(1)), column, "__one").rows
-    return curve.filter(F.col("n_total") - F.col("cum_n") + 1 == n).first()["score"]
+def at_most_nth(df: DataFrame, tie: str, n: int) -> Column:
+    """Condition of the rows up to the n-th smallest (1-based) tie-break of the frame."""
+    keys = df.select(tie_key(df, tie).alias("__tie"), F.lit(1).alias("__one"))
+    curve = keyed_curve(keys, "__tie", "__one").rows
+    at = curve.filter(F.col("n_total") - F.col("cum_n") + 1 == n).first()["score"]
+    if isinstance(at, Row):
+        at = F.struct(F.lit(at["h"]).alias("h"), F.lit(at["id"]).alias("id"))
+    return tie_key(df, tie) <= at
 
 
 def settled(df: DataFrame, bound: int) -> DataFrame:

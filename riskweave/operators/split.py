@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from riskweave.functions.columns import month_start
 from riskweave.operators.features import ID, MONTH, TARGET
-from riskweave.operators.ranking import nth_smallest
+from riskweave.operators.ranking import at_most_nth
 
 # Fixed value: part of the distinct months that go to training.
 TRAIN_PERCENT = 85
@@ -62,8 +62,8 @@ def calibration_half(df: DataFrame, month: str = MONTH, tie: str = ID, out: str
     for r in counts:
         if left <= r["n"]:
             if left:
-                at = nth_smallest(df.filter(F.col(month) == r[month]), tie, left)
-                early = (F.col(month) < r[month]) | ((F.col(month) == r[month]) & (F.col(tie) <= at))
+                first = at_most_nth(df.filter(F.col(month) == r[month]), tie, left)
+                early = (F.col(month) < r[month]) | ((F.col(month) == r[month]) & first)
                 mark = F.when(early, "calibrate").otherwise("evaluate")
             break
         left -= r["n"]

@@ -137,3 +137,17 @@ def test_scores_a_stream_with_the_batch_steps(spark, tmp_path):
     scored = scoring.score_stream(stream, lambda df: df.withColumn("p", F.lit(0.3))).select("patientID", "subgroup", "p")
     scoring.write_batches(scored, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).drop("batch").collect()] == [(0, "Glaucoma only", 0.3)]
+
+
+def test_reports_have_every_section(spark, capsys):
+    from conftest import SF_DIR
+
+    from riskweave.plans import reports
+    from riskweave.sources.adapter import patient_level, scores
+
+    eda = reports.eda_report(patient_level(spark, SF_DIR))
+    assert len(eda) == 7 and eda["missing values"].count() == 5 and eda["subgroups"].count() == 5
+    validation = reports.validation_report(scores(spark, SF_DIR))
+    assert len(validation) == 7 and validation["decile lift"].count() == 10
+    reports.show({"months": eda["months"]})
+    assert "n_months" in capsys.readouterr().out

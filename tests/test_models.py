@@ -147,7 +147,7 @@ def test_tree_contributions_add_up_to_the_model(run, name):
 def test_attribution_finds_the_planted_features(run):
     sample = at.explained_sample(run.val, 100)
     for pipeline in run.trained.models.values():
-        top = [r.feature for r in at.attribution(sample, pipeline, run.trained.encoding.names).limit(4).collect()]
+        top = [r.feature for r in at.strongest(at.attribution(sample, pipeline, run.trained.encoding.names), 4).collect()]
         assert "flag_ckd" in top and "last_12months_officevisit_count" in top
 
 

@@ -45,10 +45,13 @@ def test_hot_score_is_cut_into_cells(spark):
     assert rows.select("c").distinct().count() <= layout.max_cells
 
 
-def test_null_score_is_an_error(spark):
-    df = spark.createDataFrame([(i, i / 100 if i else None) for i in range(100)], "id long, p double")
-    with pytest.raises(Exception, match="null in p"):
+@pytest.mark.parametrize("bad", [None, float("nan")])
+def test_unplaced_score_is_an_error(spark, bad):
+    df = spark.createDataFrame([(i, i / 100 if i else bad, 1) for i in range(100)], "id long, p double, y int")
+    with pytest.raises(Exception, match="null in p|NaN"):
         ranking.global_row_number(df, "p", "id").collect()
+    with pytest.raises(Exception, match="null in p"):
+        ranking.score_curve(df, "p", "y").collect()
 
 
 @pytest.mark.parametrize("descending", [True, False])
@@ -105,7 +108,24 @@ def test_long_ids_keep_their_digits(spark, many_buckets):
     df = spark.createDataFrame([(big + i, 0.5, i % 2) for i in range(50)], "id long, p double, y int")
     got = ranking.tile_totals(df, "p", "y", "id", ranking.top_share_of(10), 2).orderBy("tile").collect()
     assert [(r.tile, r.n, r.pos) for r in got] == [(1, 5, 2), (2, 45, 23)]
-    assert ranking.nth_smallest(df, "id", 7) == big + 6
+    assert df.filter(ranking.at_most_nth(df, "id", 7)).agg(F.max("id")).first()[0] == big + 6
+
+
+@pytest.mark.parametrize("path", ["one window", "buckets"])
+def test_text_ids(spark, path, request):
+    if path == "buckets":
+        request.getfixturevalue("many_buckets")
+    rows = [(f"patient-{i:06d}", 0.5 if i % 3 else i / 900, i % 2, 202001) for i in range(900)]
+    df = spark.createDataFrame(rows, "patientID string, p double, y int, EncMonth int")
+    order = Window.orderBy(F.desc("p"), F.xxhash64("patientID"), "patientID")
+    got = ranking.global_row_number(df, "p", "patientID").withColumn("w", F.row_number().over(order))
+    assert got.filter("w <> rn").count() == 0
+    want = df.withColumn("tile", F.ntile(10).over(order)).groupBy("tile").agg(F.count("*").alias("n"), F.sum("y").alias("pos"))
+    totals = ranking.tile_totals(df, "p", "y", "patientID", ranking.ntile_of(10), 10).select("tile", "n", "pos")
+    assert sorted(totals.collect()) == sorted(want.collect())
+    from riskweave.operators.split import calibration_half
+
+    assert calibration_half(df).filter("half = 'calibrate'").count() == 450
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 7, 100])
