@@ -175,24 +175,24 @@ counted AS (
 ),
 rec AS (
   SELECT c.g, ps / n AS mean_raw, (ranksum - pos * (pos + 1) / 2.0) / nullif(CAST(pos AS DOUBLE) * (n - pos), 0) AS auroc_raw,
-    n, pos AS events, CAST(pos AS DOUBLE) / n AS prevalence, round(ps / n, 6) AS mean_score,
-    CASE WHEN pos > 0 AND pos < n THEN round((ranksum - pos * (pos + 1) / 2.0) / (CAST(pos AS DOUBLE) * (n - pos)), 6) END AS auroc,
-    CASE WHEN pos > 0 AND pos < n THEN round(steps / pos, 6) END AS auprc,
-    round(sq / n, 6) AS brier, round(mace, 6) AS mace,
-    coalesce(round(CAST(tp AS DOUBLE) / nullif(tp + fn, 0), 6), 0) AS sensitivity,
-    coalesce(round(CAST(tn AS DOUBLE) / nullif(tn + fp, 0), 6), 0) AS specificity,
-    coalesce(round(CAST(tp AS DOUBLE) / nullif(tp + fp, 0), 6), 0) AS ppv,
-    coalesce(round(CAST(tn AS DOUBLE) / nullif(tn + fn, 0), 6), 0) AS npv,
-    coalesce(round(2.0 * tp / nullif(2 * tp + fp + fn, 0), 6), 0) AS f1,
-    coalesce(round((CAST(top_pos AS DOUBLE) * n) / nullif(CAST(k AS DOUBLE) * pos, 0), 6), 0) AS lift_top_decile,
-    coalesce(round(CAST(top_pos AS DOUBLE) / nullif(pos, 0), 6), 0) AS capture_top_decile,
+    n, pos AS events, CAST(pos AS DOUBLE) / n AS prevalence, round(ps / n, 10) AS mean_score,
+    CASE WHEN pos > 0 AND pos < n THEN round((ranksum - pos * (pos + 1) / 2.0) / (CAST(pos AS DOUBLE) * (n - pos)), 10) END AS auroc,
+    CASE WHEN pos > 0 AND pos < n THEN round(steps / pos, 10) END AS auprc,
+    round(sq / n, 10) AS brier, round(mace, 10) AS mace,
+    coalesce(round(CAST(tp AS DOUBLE) / nullif(tp + fn, 0), 10), 0) AS sensitivity,
+    coalesce(round(CAST(tn AS DOUBLE) / nullif(tn + fp, 0), 10), 0) AS specificity,
+    coalesce(round(CAST(tp AS DOUBLE) / nullif(tp + fp, 0), 10), 0) AS ppv,
+    coalesce(round(CAST(tn AS DOUBLE) / nullif(tn + fn, 0), 10), 0) AS npv,
+    coalesce(round(2.0 * tp / nullif(2 * tp + fp + fn, 0), 10), 0) AS f1,
+    coalesce(round((CAST(top_pos AS DOUBLE) * n) / nullif(CAST(k AS DOUBLE) * pos, 0), 10), 0) AS lift_top_decile,
+    coalesce(round(CAST(top_pos AS DOUBLE) / nullif(pos, 0), 10), 0) AS capture_top_decile,
     tp, fp, fn, tn,
     CASE WHEN pos > 0 AND pos < n THEN 'ok' ELSE 'one class' END AS status
   FROM counted c JOIN ap ON c.g = ap.g JOIN maces m ON c.g = m.g
 )"""
 
 
-_RECORD = """n, events, round(prevalence, 6) AS prevalence, mean_score, auroc, auprc, brier, mace,
+_RECORD = """n, events, round(prevalence, 10) AS prevalence, mean_score, auroc, auprc, brier, mace,
   sensitivity, specificity, ppv, npv, f1, lift_top_decile, capture_top_decile, tp, fp, fn, tn"""
 
 _CURVE = """
@@ -213,15 +213,15 @@ tiled AS (
 def _gap(column: str, source: str) -> str:
     return with_(
         _SCORES,
-        select=f"""SELECT {source} AS {column}, count(*) AS n, round(avg(y_true), 6) AS actual_rate,
-  round(avg(y_prob), 6) AS mean_prob, round(avg(y_true) - avg(y_prob), 6) AS cal_gap,
+        select=f"""SELECT {source} AS {column}, count(*) AS n, round(avg(y_true), 10) AS actual_rate,
+  round(avg(y_prob), 10) AS mean_prob, round(avg(y_true) - avg(y_prob), 10) AS cal_gap,
   abs(avg(y_true) - avg(y_prob)) > 0.02 AS flagged
 FROM sc GROUP BY {source}""",
     )
 
 
 def profile_oracles() -> dict[str, str]:
-    rate = "round(avg(CAST(Outcome AS DOUBLE)), 6) AS rate"
+    rate = "round(avg(CAST(Outcome AS DOUBLE)), 10) AS rate"
     correlated = {
         "r_adi": "ADINatrank", "r_cahpi": "CAHPIPercentile", "r_op12": "last_12months_officevisit_count",
         "r_glaucoma": "flag_glaucoma", "r_diabetes": "flag_diabetes", "r_glaucoma_diabetic": "flag_glaucoma_diabetic",
@@ -229,12 +229,12 @@ def profile_oracles() -> dict[str, str]:
         "r_chronic_count": "last_12months_chronic_count",
     }
     corr = " UNION ALL ".join(
-        f"SELECT '{n}' AS feature, round(corr({c}, Outcome), 6) AS r FROM feat" for n, c in correlated.items()
+        f"SELECT '{n}' AS feature, round(corr({c}, Outcome), 10) AS r FROM feat" for n, c in correlated.items()
     )
     nulls = {"null_adi": "adi", "null_cahpi": "cahpi", "null_dist": "miles", "null_race": "race", "null_target": "Outcome"}
     null_rows = " UNION ALL ".join(
         f"SELECT '{n}' AS column_name, count(*) AS n, count(*) FILTER (WHERE {c} IS NULL) AS nulls, "
-        f"round(count(*) FILTER (WHERE {c} IS NULL) * 100.0 / count(*), 6) AS pct FROM pl"
+        f"round(count(*) FILTER (WHERE {c} IS NULL) * 100.0 / count(*), 10) AS pct FROM pl"
         for n, c in nulls.items()
     )
     dims = {"ADINatRankQuintile": "adi_q", "DerivedRaceEthnicity": "race", "sex": "sex"}
@@ -258,7 +258,7 @@ split AS (SELECT EncMonth, CASE WHEN i <= (m * 85) // 100 THEN 'train' ELSE 'val
         ),
         "exclusive_groups": with_(
             _SCORES,
-            select="SELECT subgroup, count(*) AS n, CAST(sum(y_true) AS BIGINT) AS events, round(avg(y_true), 6) AS rate FROM sc GROUP BY subgroup",
+            select="SELECT subgroup, count(*) AS n, CAST(sum(y_true) AS BIGINT) AS events, round(avg(y_true), 10) AS rate FROM sc GROUP BY subgroup",
         ),
         "rate_by_quintile": with_(_BASE, select=f"SELECT adi_q AS grp, count(*) AS n, {rate} FROM pl GROUP BY adi_q"),
         "rate_by_race": with_(_BASE, select=f"SELECT race AS grp, count(*) AS n, {rate} FROM pl GROUP BY race"),
@@ -283,7 +283,7 @@ FROM (SELECT CAST(strptime(CAST(EncMonth AS VARCHAR), '%Y%m') AS DATE) AS d FROM
         ),
         "split_summary": with_(
             _FEATURES, split_ctes,
-            select="""SELECT s.split, count(*) AS n, round(avg(Outcome), 6) AS rate,
+            select="""SELECT s.split, count(*) AS n, round(avg(Outcome), 10) AS rate,
   CAST(strptime(CAST(min(f.EncMonth) AS VARCHAR), '%Y%m') AS DATE) AS first_month,
   CAST(strptime(CAST(max(f.EncMonth) AS VARCHAR), '%Y%m') AS DATE) AS last_month
 FROM feat f JOIN split s ON f.EncMonth = s.EncMonth GROUP BY s.split""",
@@ -292,11 +292,11 @@ FROM feat f JOIN split s ON f.EncMonth = s.EncMonth GROUP BY s.split""",
 
 
 def score_oracles() -> dict[str, str]:
-    rates = """coalesce(round(CAST(tp AS DOUBLE) / nullif(tp + fn, 0), 6), 0) AS sensitivity,
-  coalesce(round(CAST(tn AS DOUBLE) / nullif(tn + fp, 0), 6), 0) AS specificity,
-  coalesce(round(CAST(tp AS DOUBLE) / nullif(tp + fp, 0), 6), 0) AS ppv,
-  coalesce(round(CAST(tn AS DOUBLE) / nullif(tn + fn, 0), 6), 0) AS npv,
-  coalesce(round(2.0 * tp / nullif(2 * tp + fp + fn, 0), 6), 0) AS f1"""
+    rates = """coalesce(round(CAST(tp AS DOUBLE) / nullif(tp + fn, 0), 10), 0) AS sensitivity,
+  coalesce(round(CAST(tn AS DOUBLE) / nullif(tn + fp, 0), 10), 0) AS specificity,
+  coalesce(round(CAST(tp AS DOUBLE) / nullif(tp + fp, 0), 10), 0) AS ppv,
+  coalesce(round(CAST(tn AS DOUBLE) / nullif(tn + fn, 0), 10), 0) AS npv,
+  coalesce(round(2.0 * tp / nullif(2 * tp + fp + fn, 0), 10), 0) AS f1"""
     cells = """count(*) AS n, count(*) FILTER (WHERE y_true = 1 AND y_pred = 1) AS tp,
   count(*) FILTER (WHERE y_true = 0 AND y_pred = 1) AS fp, count(*) FILTER (WHERE y_true = 1 AND y_pred = 0) AS fn,
   count(*) FILTER (WHERE y_true = 0 AND y_pred = 0) AS tn"""
@@ -315,26 +315,26 @@ eq AS (
     eq_src = metric_ctes("dims", "dimension || '|' || grp")
     return {
         "confusion_overall": with_(
-            _SCORES, select=f"SELECT n, tp, fp, fn, tn, round(CAST(tp + fn AS DOUBLE) / n, 6) AS prevalence, {rates} FROM (SELECT {cells} FROM sc)"
+            _SCORES, select=f"SELECT n, tp, fp, fn, tn, round(CAST(tp + fn AS DOUBLE) / n, 10) AS prevalence, {rates} FROM (SELECT {cells} FROM sc)"
         ),
         "confusion_by_group": with_(
             _SCORES,
-            select=f"""SELECT subgroup, n, tp, fp, fn, tn, round(CAST(tp + fn AS DOUBLE) / n, 6) AS prevalence, {rates}
+            select=f"""SELECT subgroup, n, tp, fp, fn, tn, round(CAST(tp + fn AS DOUBLE) / n, 10) AS prevalence, {rates}
 FROM (SELECT subgroup, {cells} FROM sc GROUP BY subgroup)""",
         ),
         "decile_lift": with_(
             _SCORES, _TILED,
             select="""SELECT CAST(d AS INTEGER) AS decile, count(*) AS n, CAST(sum(y_true) AS BIGINT) AS n_events,
-  round(avg(y_true), 6) AS event_rate, round(avg(y_true) / (SELECT avg(y_true) FROM sc), 6) AS lift FROM tiled GROUP BY d""",
+  round(avg(y_true), 10) AS event_rate, round(avg(y_true) / (SELECT avg(y_true) FROM sc), 10) AS lift FROM tiled GROUP BY d""",
         ),
         "decile_capture": with_(
             _SCORES, _TILED,
-            select="SELECT round(sum(CASE WHEN d = 1 THEN y_true ELSE 0 END) * 1.0 / sum(y_true), 6) AS capture FROM tiled",
+            select="SELECT round(sum(CASE WHEN d = 1 THEN y_true ELSE 0 END) * 1.0 / sum(y_true), 10) AS capture FROM tiled",
         ),
         "calibration_bins": with_(
             _SCORES, _TILED,
-            select="""SELECT CAST(a AS INTEGER) AS bin, round(avg(y_prob), 6) AS mean_pred, round(avg(y_true), 6) AS mean_actual, count(*) AS n,
-  round(avg(y_true) - avg(y_prob), 6) AS gap, abs(avg(y_true) - avg(y_prob)) > 0.05 AS flagged FROM tiled GROUP BY a""",
+            select="""SELECT CAST(a AS INTEGER) AS bin, round(avg(y_prob), 10) AS mean_pred, round(avg(y_true), 10) AS mean_actual, count(*) AS n,
+  round(avg(y_true) - avg(y_prob), 10) AS gap, abs(avg(y_true) - avg(y_prob)) > 0.05 AS flagged FROM tiled GROUP BY a""",
         ),
         "global_ntile": with_(
             _SCORES,
@@ -377,8 +377,8 @@ FROM (SELECT subgroup, {cells} FROM sc GROUP BY subgroup)""",
         "calibration_gap_adi": _gap("ADINatRankQuintile", "adi_q"),
         "pr_curve": with_(
             _SCORES, _CURVE,
-            select="""SELECT t AS threshold, cp AS tp, cn - cp AS fp, round(CAST(cp AS DOUBLE) / cn, 6) AS precision,
-  round(CAST(cp AS DOUBLE) / pos, 6) AS recall FROM curve""",
+            select="""SELECT t AS threshold, cp AS tp, cn - cp AS fp, round(CAST(cp AS DOUBLE) / cn, 10) AS precision,
+  round(CAST(cp AS DOUBLE) / pos, 10) AS recall FROM curve""",
         ),
         "threshold_table": with_(
             _SCORES, _CURVE,
@@ -398,10 +398,10 @@ counted AS (
     count(*) FILTER (WHERE y_true = 0 AND y_prob >= t) AS fp, count(*) FILTER (WHERE y_true = 1 AND y_prob < t) AS fn,
     count(*) FILTER (WHERE y_true = 0 AND y_prob < t) AS tn FROM sc, points GROUP BY kind, target, t
 )""",
-            select="""SELECT kind, target, round(t, 6) AS threshold, tp, fp, fn, tn,
-  round(CAST(tp AS DOUBLE) / (tp + fn), 6) AS sensitivity, round(CAST(tn AS DOUBLE) / (tn + fp), 6) AS specificity,
-  round(CAST(tp AS DOUBLE) / (tp + fp), 6) AS ppv, round(2.0 * tp / (2 * tp + fp + fn), 6) AS f1,
-  round((tp + fp) * 100.0 / n, 6) AS flagged_pct, round(CAST(tp + fp AS DOUBLE) / tp, 6) AS contacts_per_event FROM counted""",
+            select="""SELECT kind, target, round(t, 10) AS threshold, tp, fp, fn, tn,
+  round(CAST(tp AS DOUBLE) / (tp + fn), 10) AS sensitivity, round(CAST(tn AS DOUBLE) / (tn + fp), 10) AS specificity,
+  round(CAST(tp AS DOUBLE) / (tp + fp), 10) AS ppv, round(2.0 * tp / (2 * tp + fp + fn), 10) AS f1,
+  round((tp + fp) * 100.0 / n, 10) AS flagged_pct, round(CAST(tp + fp AS DOUBLE) / tp, 10) AS contacts_per_event FROM counted""",
         ),
     }
 
@@ -437,10 +437,10 @@ def _unrounded(ctes: str) -> str:
 def matrix_oracles() -> dict[str, str]:
     features = _unrounded(_FEATURES)
     medians = " UNION ALL ".join(
-        f"SELECT '{c}' AS \"column\", round(median(CAST({c} AS DOUBLE)), 6) AS median FROM train" for c in _NUMERIC
+        f"SELECT '{c}' AS \"column\", round(median(CAST({c} AS DOUBLE)), 10) AS median FROM train" for c in _NUMERIC
     )
     filled = ", ".join(
-        f"round(coalesce({c}, (SELECT median({c}) FROM train)), 6) AS {c}"
+        f"round(coalesce({c}, (SELECT median({c}) FROM train)), 10) AS {c}"
         for c in ("ADINatrank", "CAHPIPercentile", "straight_line_distance_miles")
     )
     # Sorted levels without the first, then the null column.
@@ -475,7 +475,7 @@ answer AS (
         "encoded_features": with_(features, _TRAIN, select=f"SELECT patientID, {filled}, {hot} FROM feat"),
         "class_weights": with_(
             _FEATURES,
-            select="""SELECT Outcome, count(*) AS n, round((SELECT count(*) FROM feat) / (2.0 * count(*)), 6) AS weight
+            select="""SELECT Outcome, count(*) AS n, round((SELECT count(*) FROM feat) / (2.0 * count(*)), 10) AS weight
 FROM feat GROUP BY Outcome""",
         ),
         "aligned_columns": with_(
@@ -488,7 +488,7 @@ FROM feat GROUP BY Outcome""",
         ),
         "isotonic_scores": with_(
             _SCORES, isotonic,
-            select="SELECT patientID, y_prob, round(v, 6) AS p_cal FROM halves JOIN answer ON p = y_prob WHERE NOT cal",
+            select="SELECT patientID, y_prob, round(v, 10) AS p_cal FROM halves JOIN answer ON p = y_prob WHERE NOT cal",
         ),
         "logit": with_(
             _SCORES,
@@ -544,7 +544,7 @@ dc AS (
 
 def export_oracles() -> dict[str, str]:
     return {
-        "monthly_trend": with_(_SCORES, _LONG, select="SELECT subgroup, model, EncMonth, n, round(v, 6) AS mean_score FROM monthly"),
+        "monthly_trend": with_(_SCORES, _LONG, select="SELECT subgroup, model, EncMonth, n, round(v, 10) AS mean_score FROM monthly"),
         "disease_burden": with_(_SCORES, _LONG, select="SELECT * FROM burden"),
         "cohort_models": with_(_SCORES, _LONG, select="SELECT * FROM cm"),
         "document_flat": with_(
@@ -554,7 +554,7 @@ def export_oracles() -> dict[str, str]:
         ),
         "normalised_burden": with_(
             _SCORES, _LONG,
-            select="SELECT id, population, disease_burden, depth_basis, round(depth, 6) AS normalized_disease_burden FROM dc",
+            select="SELECT id, population, disease_burden, depth_basis, round(depth, 10) AS normalized_disease_burden FROM dc",
         ),
         "cohort_panel": with_(
             _SCORES, _LONG,
@@ -597,9 +597,9 @@ FROM placed WHERE place <= n * 15 // 100""",
         "audit_stream": """
 SELECT CAST(time_bucket(INTERVAL 90 DAY, o_orderdate, TIMESTAMP '1970-01-01') AS DATE) AS period_start,
   CASE WHEN o_custkey % 2 = 0 THEN 'Female' ELSE 'Male' END AS sex, count(*) AS n,
-  round(avg(CAST(o_orderstatus = 'F' AS INTEGER)), 6) AS actual_rate,
-  round(avg(CAST(o_orderkey * 7919 % 1000 AS DOUBLE) / 1000), 6) AS mean_prob,
-  round(avg(CAST(o_orderstatus = 'F' AS INTEGER)) - avg(CAST(o_orderkey * 7919 % 1000 AS DOUBLE) / 1000), 6) AS cal_gap,
+  round(avg(CAST(o_orderstatus = 'F' AS INTEGER)), 10) AS actual_rate,
+  round(avg(CAST(o_orderkey * 7919 % 1000 AS DOUBLE) / 1000), 10) AS mean_prob,
+  round(avg(CAST(o_orderstatus = 'F' AS INTEGER)) - avg(CAST(o_orderkey * 7919 % 1000 AS DOUBLE) / 1000), 10) AS cal_gap,
   abs(avg(CAST(o_orderstatus = 'F' AS INTEGER)) - avg(CAST(o_orderkey * 7919 % 1000 AS DOUBLE) / 1000)) > 0.02 AS flagged
 FROM orders GROUP BY 1, 2""",
     }

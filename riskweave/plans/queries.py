@@ -40,7 +40,12 @@ HOLDOUT_FROM = 200101
 _COHORT = ["patientID", "EncMonth", "Outcome", "cms_ccw_glaucoma_36", "cms_ccw_diabetes_36"]
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+# Digits compared: means of many rows agree to ten; logarithms of single rows, which two
+# math libraries may round differently in the last bit, are compared to six.
+MEAN_DIGITS, LOG_DIGITS = 10, 6
+
+
+def rounded(df: DataFrame, digits: int = MEAN_DIGITS) -> DataFrame:
     """Doubles to fixed digits, so that the order of a floating sum does not show."""
     return df.select(
         [F.round(c.name, digits).alias(c.name) if isinstance(c.dataType, T.DoubleType) else F.col(c.name) for c in df.schema]
@@ -51,8 +56,8 @@ def _patients(columns: list[str] | None = None):
     return lambda spark, d: patient_level(spark, d, columns)
 
 
-def _on(source, operator) -> Query:
-    return lambda spark, d: rounded(operator(source(spark, d)))
+def _on(source, operator, digits: int = MEAN_DIGITS) -> Query:
+    return lambda spark, d: rounded(operator(source(spark, d)), digits)
 
 
 def _features(spark: SparkSession, d: str) -> DataFrame:
@@ -91,7 +96,7 @@ def profile_queries() -> dict[str, Query]:
         "date_span": _on(_cohort, profile.date_span),
         "correlations": _on(_features, profile.correlations),
         "flag_totals": _on(_cohort, profile.flag_totals),
-        "feature_view": _on(_features, lambda df: df),
+        "feature_view": _on(_features, lambda df: df, LOG_DIGITS),
         "temporal_split": _on(_cohort, lambda df: split.temporal_split(df).select("patientID", "EncMonth", "split")),
         "split_summary": _on(_cohort, lambda df: split.split_summary(split.temporal_split(df))),
     }
@@ -216,7 +221,11 @@ def matrix_queries() -> dict[str, Query]:
             scores, lambda df: split.calibration_half(df.select("patientID", "EncMonth")).select("patientID", "EncMonth", "half")
         ),
         "isotonic_scores": _on(scores, _isotonic),
-        "logit": _on(scores, lambda df: df.select("patientID", logit("p_rf").alias("l_rf"), binarise("p_rf", 0.25).alias("over"))),
+        "logit": _on(
+            scores,
+            lambda df: df.select("patientID", logit("p_rf").alias("l_rf"), binarise("p_rf", 0.25).alias("over")),
+            LOG_DIGITS,
+        ),
         "risk_level": _on(
             scores,
             lambda df: df.groupBy("subgroup", risk_level("p_gbt").alias("level")).agg(F.count(F.lit(1)).alias("n")),
