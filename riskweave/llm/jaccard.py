@@ -37,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from riskweave.llm.common import WordHash, ngram_hashes, ship, space_words, table
 from riskweave.llm.components import components
@@ -192,6 +192,11 @@ def classes(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
     return np.array([region.find(i) for i in range(len(sets))])
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """A hash that names a row by its id and text, nulls included."""
+    return F.xxhash64(doc_id.cast("long"), F.coalesce(text.cast("string"), F.lit("")))
+
+
 def _frequent(docs: DataFrame, n: int, sample: int) -> np.ndarray:
     """Hashes of frequent shingles, most frequent last. From a sample, of bounded number."""
     total = docs.count()
@@ -210,7 +215,7 @@ def _frequent(docs: DataFrame, n: int, sample: int) -> np.ndarray:
 
 
 def _sign(docs: DataFrame, n: int, percent: int, sample: int) -> DataFrame:
-    """(doc_id, n_shingles, sid, prefix) of every document; sid null for empty sets."""
+    """(doc_id, key, n_shingles, sid, prefix) of every document; sid null for empty sets."""
     frequent = _frequent(docs, n, sample)
     order = np.argsort(frequent)
     shared = docs.sparkSession.sparkContext.broadcast((frequent[order], order.astype(np.int64)))  # at most FREQUENT entries
@@ -219,7 +224,7 @@ def _sign(docs: DataFrame, n: int, percent: int, sample: int) -> DataFrame:
         known, rank = shared.value
         for b in batches:
             sizes, ids, prefixes = [], [], []
-            for text in b.column(1):
+            for text in b.column(2):
                 s = shingles(text.as_py(), n)
                 sizes.append(len(s))
                 ids.append(set_id(s) if len(s) else None)
@@ -230,10 +235,12 @@ def _sign(docs: DataFrame, n: int, percent: int, sample: int) -> DataFrame:
                 first = np.lexsort((s, place))[: prefix_size(len(s), percent)] if len(s) else []
                 prefixes.append(s[first].view(np.int64) if len(s) else [])
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "sid", "prefix"]
+                [b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))],
+                ["doc_id", "key", "n_shingles", "sid", "prefix"],
             )
 
-    return materialise(docs.mapInArrow(run, "doc_id long, n_shingles long, sid long, prefix array<long>"), "signatures")
+    keyed = docs.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("key"), "text")
+    return materialise(keyed.mapInArrow(run, "doc_id long, key long, n_shingles long, sid long, prefix array<long>"), "signatures")
 
 
 def _sets_of(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
@@ -348,7 +355,10 @@ def jaccard_classes(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, percent: int = PERCENT,
     capacity: int = CAPACITY, sample: int = SAMPLE,
 ) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row."""
+    """(doc_id, n_shingles, component_id, key, class_key) of every row.
+
+    ``key`` is ``row_key`` of the row; rows of one class, and no others, share ``class_key``.
+    """
     ship(docs.sparkSession)
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = _sign(narrow, n, percent, sample)
@@ -357,10 +367,25 @@ def jaccard_classes(
     first = signed.filter("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("first_id")).join(found, "sid", "left")
     first = materialise(first.select("sid", "first_id", F.coalesce("root", "sid").alias("root")), "firsts")
     least = first.groupBy("root").agg(F.min("first_id").alias("component"))
-    of_set = first.join(least, "root").select("sid", "component")
-    joined = signed.select("doc_id", "n_shingles", "sid").join(of_set, "sid", "left")
-    return joined.select("doc_id", "n_shingles", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
+    of_set = first.join(least, "root").select("sid", "root", "component")
+    joined = signed.select("doc_id", "key", "n_shingles", "sid").join(of_set, "sid", "left")
+    alone = F.col("sid").isNull()
+    return joined.select(
+        "doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"),
+        "key", F.when(alone, F.col("key")).otherwise(F.col("root")).alias("class_key"),
+    )
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The input's rows, one of each class: that of the smallest id (nulls last), then of the
+    smallest ``row_key``; of repeated rows one stays. All columns are kept."""
+    rows = jaccard_classes(docs, id_col, text_col, **options)
+    order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("key").alias("c"))
+    # An empty text is a class of its own, and its key could equal a set's: they are kept apart.
+    stay = rows.groupBy("class_key", (F.col("n_shingles") == 0).alias("empty")).agg(F.min(order).alias("first")).select(F.col("first.c").alias("_row_key")).distinct()
+    keyed = docs.withColumn("_row_key", row_key(F.col(id_col), F.col(text_col)))
+    return keyed.join(stay, "_row_key", "left_semi").dropDuplicates(["_row_key"]).drop("_row_key")
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_classes(table(spark, sf_dir, "documents"))
+    return jaccard_classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")

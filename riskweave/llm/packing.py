@@ -14,6 +14,8 @@ long text is tokenised chunk by chunk, cut where the tokeniser's pre-tokeniser a
 from __future__ import annotations
 
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,31 +38,61 @@ def piece_lengths(n: int, full: int = FULL) -> list[int]:
     return [full] * (n // full) + [1 << b for b in range(full.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
+#: Fixed value: where the byte-level pre-tokeniser cuts.
+PRE_TOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+class _Memory(dict):
+    """Ids of words seen lately: when full, the older half is looked up once more and then lost."""
+
+    def __init__(self, bound: int):
+        super().__init__()
+        self.bound = bound
+        self.old: dict[str, bytes] = {}
+
+    def missing(self, words: set[str]) -> list[str]:
+        """The words not remembered; those of the older half become recent again."""
+        if len(self) + len(words) > self.bound:
+            self.old = dict(self)
+            self.clear()
+        out = []
+        for w in words:
+            if w not in self:
+                found = self.old.get(w)
+                if found is None:
+                    out.append(w)
+                else:
+                    self[w] = found
+        return out
+
+
 class Encoder:
-    """Ids of whole texts, remembering the ids of blank-led words.
+    """Ids of whole texts, remembering the ids of blank-led words and of their pre-tokens.
 
     The byte-level pre-tokeniser starts a new token at every blank that follows a non-blank,
     so a text without two blanks in a row is its words' ids one after the other. Texts with
-    longer runs of blanks go to the tokeniser in chunks cut only at such places. The memory
-    is bounded by ``bound`` words and emptied when full.
+    longer runs of blanks go to the tokeniser in chunks cut only at such places. All ids come
+    from the tokeniser; the memories are bounded and never change a result.
     """
 
     CHUNK = 1 << 18
 
-    def __init__(self, path: str, bound: int = 400_000):
+    def __init__(self, path: str, bound: int = 350_000):
         import os
 
+        import regex
+
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.bound = bound
-        self.known: dict[str, bytes] = {}
+        self.cut = regex.compile(PRE_TOKENS).findall
+        self.words, self.tokens = _Memory(bound), _Memory(bound)
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
+        return [_pack_ids(x.ids) for x in found]
 
     def _chunked(self, text: str) -> bytes:
         if len(text) <= self.CHUNK:
@@ -73,6 +105,15 @@ class Encoder:
             start = end
         return b"".join(parts)
 
+    def _learn(self, words: list[str]) -> None:
+        """Words are kept without their leading blank, but encoded with it."""
+        cuts = {w: self.cut(f" {w}") if w.isprintable() else [f" {w}"] for w in words}
+        fresh = self.tokens.missing({t for c in cuts.values() for t in c})
+        self.tokens.update(zip(fresh, self._raw(fresh)))
+        known = self.tokens
+        for w, c in cuts.items():
+            self.words[w] = known[c[0]] if len(c) == 1 else b"".join([known[t] for t in c])
+
     def __call__(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids of the whole text, without the end id."""
         if not text:
@@ -80,21 +121,22 @@ class Encoder:
         if _DOUBLE_BLANK.search(text):
             return self._chunked(text)
         first, *rest = text.split(" ")
-        known = self.known
         head = self._raw([first])[0] if first else b""
+        known = self.words
         try:
             return head + b"".join([known[w] for w in rest])
         except KeyError:
-            pass
-        # Words are kept without their leading blank, but encoded with it.
-        fresh = [w for w in set(rest) if w not in known]
-        if len(known) + len(fresh) > self.bound:
-            known.clear()
-            fresh = list(set(rest))
-        known.update(zip(fresh, self._raw([f" {w}" for w in fresh])))
+            self._learn(known.missing(set(rest)))
         return head + b"".join([known[w] for w in rest])
 
 
+def _pack_ids(ids: list[int]) -> bytes:
+    packed = array("I", ids)
+    if sys.byteorder == "big":
+        packed.byteswap()
+    return packed.tobytes()
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
