@@ -78,7 +78,3 @@ def first_match(pairs: Iterable[tuple[Column, str]], default: str) -> Column:
 def share(part: Column | str, whole: Column | str) -> Column:
     """part / whole, and 0 where the whole is 0."""
     return F.coalesce(F.try_divide(_col(part).cast("double"), _col(whole).cast("double")), F.lit(0.0))
-
-
-def clamp(c: Column | str, low: float = 0.0, high: float = 1.0) -> Column:
-    return F.least(F.greatest(_col(c), F.lit(low)), F.lit(high))

@@ -5,59 +5,72 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.feature import Bucketizer, SQLTransformer, VectorAssembler
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from riskweave.operators.features import CATEGORIES, NUMERIC_FEATURES, TARGET
-from riskweave.operators.ranking import (
-    _distinct_edges,
-    default_buckets,
-    order_statistics,
-    sketch_quantiles,
-    small,
-    with_offsets,
-)
-from riskweave.session import materialise
 
 MAX_LEVELS = 1000
+BRACKET_ROWS = 1_000_000  # values of one column that are ranked in one task at most
 
 
-def column_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def column_medians(df: DataFrame, columns: Sequence[str], in_one_window: int = BRACKET_ROWS) -> DataFrame:
     """Exact median per column, ignoring nulls: rows (column, median).
 
-    Built-in exact percentiles keep every distinct value of a column in one task.
-    Here values are counted per (column, bucket, value) with each column cut at its
-    own quantiles, and the middle ranks are read off the running counts.
+    Built-in exact percentiles keep every distinct value of a column in one task. Here an
+    approximate percentile of every column gives a bracket around its median, a second pass counts the
+    values below and inside, and only values inside are shuffled and ranked. A bracket that
+    missed is widened, one with more than ``in_one_window`` rows is narrowed, so the answer is exact.
     """
-    buckets = default_buckets(df)
-    quantiles = sketch_quantiles(df, columns, buckets, df.count())
     known = list(columns)
-    # A column the sample saw no value of gets one arbitrary edge: it may have values elsewhere.
-    edges = {c: _distinct_edges(quantiles[c])[0] or (0.0,) for c in known}
-    cut = Bucketizer(
-        splitsArray=[[float("-inf"), *edges[c], float("inf")] for c in known],
-        inputCols=known,
-        outputCols=[f"__b{i}" for i in range(len(known))],
-        handleInvalid="error",
-    )
-    doubles = cut.transform(df.select([F.col(c).cast("double").alias(c) for c in known]))
-    pairs = [
-        F.when(F.col(c).isNotNull(), F.struct(F.lit(i).alias("at"), F.col(f"__b{i}").cast("int").alias("bucket"), F.col(c).alias("score")))
-        for i, c in enumerate(known)
-    ]
-    names = F.array(*[F.lit(c) for c in known])
-    long = doubles.select(F.explode(F.array_compact(F.array(*pairs))).alias("v")).select("v.*")
-    runs = materialise(long.groupBy("at", "bucket", "score").agg(F.count(F.lit(1)).alias("n")), "values")
-    per_bucket = runs.groupBy("at", "bucket").agg(F.sum("n").alias("n"))
-    offsets = with_offsets(per_bucket, F.desc("bucket"), ["at"], ["n"])
-    inside = Window.partitionBy("at", "bucket").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    curve = (
-        runs.withColumn("cum_n", F.sum("n").over(inside))
-        .join(small(offsets, len(columns) * buckets), ["at", "bucket"])
-        .withColumn("cum_n", F.col("cum_n") + F.col("n_before"))
-    )
-    middle = order_statistics(curve, ["at"], {"median": (1, 2)})
-    return middle.select(F.element_at(names, F.col("at") + 1).alias("column"), "median")
+    doubles = df.select([F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(known)])
+    first = doubles.agg(*[F.count(c).alias(f"n_{c}") for c in doubles.columns], *[_near(F.col(c), 0.5, 0.01).alias(c) for c in doubles.columns]).first()
+    size = {c: first[f"n_{c}"] for c in doubles.columns}
+    bracket = {c: tuple(first[c]) for c in doubles.columns if size[c]}
+    spread = dict.fromkeys(bracket, 0.01)
+    below: dict[str, int] = {}
+    while unsure := [c for c in bracket if c not in below]:
+        inside = {c: F.col(c).between(*map(F.lit, bracket[c])) for c in unsure}
+        counted = doubles.agg(
+            *[F.count_if(F.col(c) < bracket[c][0]).alias(f"b_{c}") for c in unsure], *[F.count_if(i).alias(f"i_{c}") for c, i in inside.items()]
+        ).first()
+        again = {}
+        for c in unsure:
+            under, within = counted[f"b_{c}"], counted[f"i_{c}"]
+            low, high = (size[c] - 1) // 2, size[c] // 2
+            if not (under <= low and high < under + within):
+                spread[c] *= 8
+                again[c] = _near(F.col(c), 0.5, spread[c])
+            elif within > in_one_window and bracket[c][0] < bracket[c][1]:
+                again[c] = _near(F.when(inside[c], F.col(c)), (low - under) / within, max(0.01, 2 / within))
+            else:
+                below[c] = under
+        if again:
+            # A missed bracket that reached the ends, and one that no longer shrinks, stay as they are.
+            found = doubles.agg(*[v.alias(c) for c, v in again.items()]).first()
+            for c in again:
+                wide = (float("-inf"), float("inf")) if spread[c] >= 0.5 else tuple(found[c])
+                if wide == bracket[c]:
+                    below[c] = counted[f"b_{c}"]
+                bracket[c] = wide
+    index = {c: i for i, c in enumerate(doubles.columns)}
+    pairs = [F.when(F.col(c).between(*map(F.lit, bracket[c])), F.struct(F.lit(index[c]).alias("at"), F.col(c).alias("score"))) for c in bracket]
+    places = [(index[c], known[index[c]], below[c], (size[c] - 1) // 2, size[c] // 2) for c in bracket]
+    dim = df.sparkSession.createDataFrame(places, "at int, column string, below long, low long, high long")
+    if not pairs:
+        return dim.select("column", F.lit(None).cast("double").alias("median"))
+    # Counted before they are shuffled: a value that many rows share is one row.
+    runs = doubles.select(F.explode(F.array_compact(F.array(*pairs))).alias("v")).groupBy("v.at", "v.score").agg(F.count(F.lit(1)).alias("n"))
+    running = Window.partitionBy("at").orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = runs.withColumn("upto", F.sum("n").over(running)).join(F.broadcast(dim), "at").withColumn("upto", F.col("upto") + F.col("below"))
+    holds = lambda r: F.max(F.when((F.col("upto") > r) & (F.col("upto") - F.col("n") <= r), F.col("score")))
+    low, high = holds(F.col("low")), holds(F.col("high"))
+    return ranked.groupBy("column").agg((low + (high - low) * 0.5).alias("median"))
+
+
+def _near(c: Column, at: float, spread: float) -> Column:
+    """An approximate bracket around a quantile."""
+    return F.percentile_approx(c, [max(0.0, at - spread), min(1.0, at + spread)], 2000)
 
 
 def category_levels(df: DataFrame, columns: Sequence[str], max_levels: int = MAX_LEVELS) -> dict[str, list[str]]:
@@ -114,14 +127,15 @@ def fit_encoding(
     numeric: Sequence[str] = tuple(NUMERIC_FEATURES),
     categories: Sequence[str] = tuple(CATEGORIES),
     sensitive_as_features: bool = False,
+    max_levels: int = MAX_LEVELS,
 ) -> Encoding:
-    """Medians and levels from training rows only.
+    """Medians and levels from training rows only; more than ``max_levels`` levels are an error.
 
     Race, marital status and sex stay out of the features unless asked for; they
     remain columns for auditing either way.
     """
     medians = {r["column"]: r["median"] for r in column_medians(train, numeric).collect()}
-    levels = category_levels(train, categories) if sensitive_as_features and categories else {}
+    levels = category_levels(train, categories, max_levels) if sensitive_as_features and categories else {}
     return Encoding({c: medians.get(c, 0.0) for c in numeric}, levels)
 
 

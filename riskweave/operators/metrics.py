@@ -10,18 +10,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from riskweave.functions.columns import share
-from riskweave.operators.ranking import keyed_curve, ntile_of, open_key, ranked_ties, settled, tile_totals, top_count
+from riskweave.operators.ranking import KeyedCurve, keyed_curve, ntile_of, once, open_key, ranked_ties, tile_totals, top_count
+from riskweave.session import materialise
 
 # Bins of the calibration error and denominators of the top share.
 CALIBRATION_BINS = 10
 TOP_DENOMINATOR = 10
 BIN_GAP_TOLERANCE = 0.05
 
-RECORD_COLUMNS = [
-    "auroc", "auprc", "brier", "mace", "sensitivity", "specificity", "ppv", "npv", "f1",
-    "lift_top_decile", "capture_top_decile", "tp", "fp", "fn", "tn",
-]
-
 
 def rates(tp: Column, fp: Column, fn: Column, tn: Column) -> dict[str, Column]:
     """Rates of a confusion table; a rate over nothing is 0."""
@@ -64,6 +60,7 @@ def evaluate(
     (score, count) pairs. AUROC counts ties as half; AUPRC is average precision
     (a step sum). Both are null for a group of one class, with ``status`` saying so.
     """
+    df = once(df, score, label, tie, by) if top else df
     keyed = keyed_curve(df, score, label, by)
     curve = keyed.rows
     n, pos, s = F.col("n"), F.col("pos"), F.col("score")
@@ -108,7 +105,7 @@ def evaluate(
         F.max("before").alias("before"),
     )
     if top:
-        record = settled(record, keyed.straddlers(2))
+        record = materialise(record, "records")
         cut = record.filter(F.col("score").isNotNull()).select("__g", "score", "before", F.col("n").alias("n_total"))
         single = ranked_ties(df, score, label, tie, by, cut, keyed.straddlers(2))
         taken = F.col("before") + F.col("rank") <= top_count(F.col("n_total"), TOP_DENOMINATOR)
@@ -188,10 +185,10 @@ def best_model(records: DataFrame) -> DataFrame:
 
 
 def lift_table(
-    df: DataFrame, score: str = "y_prob", label: str = "y_true", tie: str = "patientID", tiles: int = 10
+    df: DataFrame, score: str = "y_prob", label: str = "y_true", tie: str = "patientID", tiles: int = 10, curve: KeyedCurve | None = None
 ) -> DataFrame:
     """Per tile of the descending score: rows, events, rate and lift over the overall rate."""
-    totals = tile_totals(df, score, label, tie, ntile_of(tiles), tiles)
+    totals = tile_totals(df, score, label, tie, ntile_of(tiles), tiles, curve=curve)
     everything = Window.partitionBy()
     rate = F.col("pos") / F.col("n")
     overall = F.sum("pos").over(everything) / F.sum("n").over(everything)
@@ -205,10 +202,10 @@ def lift_table(
 
 
 def tile_capture(
-    df: DataFrame, score: str = "y_prob", label: str = "y_true", tie: str = "patientID", tiles: int = 10
+    df: DataFrame, score: str = "y_prob", label: str = "y_true", tie: str = "patientID", tiles: int = 10, curve: KeyedCurve | None = None
 ) -> DataFrame:
     """Share of all events that the first tile holds."""
-    totals = tile_totals(df, score, label, tie, ntile_of(tiles), tiles)
+    totals = tile_totals(df, score, label, tie, ntile_of(tiles), tiles, curve=curve)
     return totals.agg(
         share(F.sum(F.when(F.col("tile") == 1, F.col("pos")).otherwise(0)), F.sum("pos")).alias("capture")
     )
@@ -221,9 +218,10 @@ def calibration_table(
     tie: str = "patientID",
     bins: int = CALIBRATION_BINS,
     tolerance: float = BIN_GAP_TOLERANCE,
+    curve: KeyedCurve | None = None,
 ) -> DataFrame:
     """Per tile of the ascending score: mean predicted, mean actual, gap and flag."""
-    totals = tile_totals(df, score, label, tie, ntile_of(bins), bins, descending=False)
+    totals = tile_totals(df, score, label, tie, ntile_of(bins), bins, descending=False, curve=curve)
     predicted, actual = F.col("score_sum") / F.col("n"), F.col("pos") / F.col("n")
     return totals.select(
         F.col("tile").alias("bin"),

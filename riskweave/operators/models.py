@@ -11,24 +11,30 @@ leaf by leaf; the scaler divides by the sample deviation.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import partial
+from typing import Any
+
+from pyspark import inheritable_thread_target
 
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from riskweave.functions.columns import logit
-from riskweave.operators.encode import Encoding, balance_weights, fit_encoding
+from riskweave.operators.encode import MAX_LEVELS, Encoding, balance_weights, fit_encoding
 from riskweave.operators.features import CATEGORIES, ID, NUMERIC_FEATURES, TARGET
 from riskweave.operators.metrics import evaluate
 from riskweave.operators.split import fold
 from riskweave.session import materialise
 
 MODEL_NAMES = ("logreg", "rf", "gbt")
+FITS_AT_ONCE = 8
 LOWEST_GAIN = 0.01
 
 
@@ -44,6 +50,7 @@ class Settings:
     gbt_step: float = 0.05
     gbt_depth: int = 6
     gbt_subsample: float = 0.8
+    gbt_columns: float = 0.8
     min_leaf: int = 20
     stack_c: float = 1.0
     stack_iterations: int = 500
@@ -72,11 +79,19 @@ def _forest(features: str, s: Settings) -> RandomForestClassifier:
 def _boosted(features: str, s: Settings) -> GBTClassifier:
     gbt = GBTClassifier(
         featuresCol=features, labelCol=TARGET, weightCol="weight", maxIter=s.gbt_rounds, stepSize=s.gbt_step,
-        maxDepth=s.gbt_depth, subsamplingRate=s.gbt_subsample, minInstancesPerNode=s.min_leaf, seed=s.seed,
+        maxDepth=s.gbt_depth, subsamplingRate=s.gbt_subsample, featureSubsetStrategy=str(s.gbt_columns),
+        minInstancesPerNode=s.min_leaf, seed=s.seed,
     )
     return gbt.setRawPredictionCol("raw_gbt").setProbabilityCol("prob_gbt").setPredictionCol("pred_gbt")
 
 
+def concurrently(jobs: Sequence[Callable[[], Any]], at_once: int = FITS_AT_ONCE) -> list:
+    """Results of independent fits, submitted together: a boosted fit alone is a long line of small jobs."""
+    inherit = inheritable_thread_target(SparkSession.active())
+    with ThreadPoolExecutor(max_workers=max(1, min(at_once, len(jobs)))) as pool:
+        return [f.result() for f in [pool.submit(inherit(j)) for j in jobs]]
+
+
 def fit_one(name: str, prepared: DataFrame, n: int, settings: Settings, features: str = "features") -> PipelineModel:
     """Fit one named model on rows that have features, target and weight."""
     if name == "logreg":
@@ -117,9 +132,17 @@ class Trained:
             out = add_probability(out, name, self.models[name])
         return out if keep_features else out.drop("features")
 
-    def pipeline(self, name: str) -> PipelineModel:
-        """Encoding and model as one unit for saving."""
-        return PipelineModel([*self.prepare.stages, *self.models[name].stages])
+    def pipeline(self, name: str, calibrator: IsotonicRegressionModel | None = None) -> PipelineModel:
+        """Encoding, model and, if given, its calibrator as one unit for saving.
+
+        The calibrator reads the positive class out of the probability vector, so the loaded
+        unit gives ``p_calibrated`` from raw feature rows.
+        """
+        stages = [*self.prepare.stages, *self.models[name].stages]
+        if calibrator is not None:
+            applied = calibrator.copy().setFeaturesCol(f"prob_{name}").setFeatureIndex(1)
+            stages.append(applied.setPredictionCol("p_calibrated"))
+        return PipelineModel(stages)
 
 
 def training_frame(prepared: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
@@ -136,16 +159,18 @@ def train_models(
     categories: Sequence[str] = tuple(CATEGORIES),
     sensitive_as_features: bool = False,
     keep: Sequence[str] = (),
+    max_levels: int = MAX_LEVELS,
 ) -> tuple[Trained, DataFrame]:
     """Fit the encoding and every named model on training rows.
 
     Returns the trained set and the training frame, written once and read by every fit.
+    A category with more than ``max_levels`` levels is an error.
     """
-    encoding = fit_encoding(train, numeric, categories, sensitive_as_features)
+    encoding = fit_encoding(train, numeric, categories, sensitive_as_features, max_levels)
     prepare = PipelineModel(encoding.stages())
     prepared = materialise(training_frame(prepare.transform(train), keep), "train")
     n = prepared.count()
-    models = {name: fit_one(name, prepared, n, settings) for name in names}
+    models = dict(zip(names, concurrently([partial(fit_one, name, prepared, n, settings) for name in names])))
     return Trained(encoding, prepare, models, settings, n), prepared
 
 
@@ -177,13 +202,16 @@ def apply_isotonic(df: DataFrame, model: IsotonicRegressionModel, score: str, ou
 def out_of_fold(prepared: DataFrame, settings: Settings, names: Sequence[str] = MODEL_NAMES) -> DataFrame:
     """``p_<name>`` of every training row from models that did not see it."""
     tagged = prepared.withColumn("__fold", fold(ID, settings.folds))
+    sizes = {r["__fold"]: r["n"] for r in tagged.groupBy("__fold").agg(F.count(F.lit(1)).alias("n")).collect()}
+    total = sum(sizes.values())
+    tasks = [(k, name) for k in range(settings.folds) for name in names]
+    jobs = [partial(fit_one, name, tagged.filter(F.col("__fold") != k), total - sizes.get(k, 0), settings) for k, name in tasks]
+    fitted = dict(zip(tasks, concurrently(jobs)))
     parts = []
     for k in range(settings.folds):
-        fit_on = tagged.filter(F.col("__fold") != k)
-        n = fit_on.count()
         part = tagged.filter(F.col("__fold") == k)
         for name in names:
-            part = add_probability(part, name, fit_one(name, fit_on, n, settings))
+            part = add_probability(part, name, fitted[k, name])
         parts.append(part)
     out = parts[0]
     for part in parts[1:]:
@@ -230,18 +258,20 @@ def specialised_scores(
     """
     train_n, classes = _group_sizes(prepared_train, group, groups)
     val_n, _ = _group_sizes(prepared_val, group, groups)
-    scored, status = None, []
+    status, large = [], []
     for g in groups:
         n_tr, n_va = train_n.get(g, 0), val_n.get(g, 0)
         if n_tr < min_train or n_va < min_val:
             status.append((str(g), n_tr, n_va, "too small"))
-            continue
-        if classes.get(g, 0) < 2:
+        elif classes.get(g, 0) < 2:
             status.append((str(g), n_tr, n_va, "one class"))
-            continue
-        status.append((str(g), n_tr, n_va, "ok"))
-        rows = balance_weights(prepared_train.filter(F.col(group) == g).drop("weight"))
-        model = fit_one(name, rows, n_tr, settings)
+        else:
+            status.append((str(g), n_tr, n_va, "ok"))
+            large.append(g)
+    rows = {g: balance_weights(prepared_train.filter(F.col(group) == g).drop("weight")) for g in large}
+    fitted = concurrently([partial(fit_one, name, rows[g], train_n[g], settings) for g in large])
+    scored = None
+    for g, model in zip(large, fitted):
         part = add_probability(prepared_val.filter(F.col(group) == g), name, model, out).drop("features")
         scored = part if scored is None else scored.unionByName(part)
     spark = prepared_train.sparkSession
@@ -282,15 +312,6 @@ def three_way_verdict(delta: Column) -> Column:
     )
 
 
-def stack_lifts(records: DataFrame, stacked: str = "stacker_calibrated") -> DataFrame:
-    """Whether the stacker beats the best of the other models."""
-    split = records.agg(
-        F.max(F.when(F.col("model") == stacked, F.col("auroc"))).alias("stacked_auroc"),
-        F.max(F.when(F.col("model") != stacked, F.col("auroc"))).alias("best_other_auroc"),
-    )
-    return split.withColumn("lifts", F.col("stacked_auroc") > F.col("best_other_auroc"))
-
-
 def holdout_report(
     scored: DataFrame, score: str, label: str = TARGET, tie: str = ID, subgroup: str = "subgroup", min_events: int = 2
 ) -> DataFrame:

@@ -27,8 +27,6 @@ from riskweave.session import materialise
 
 # A frame known to have at most this many narrow rows may be broadcast.
 BROADCAST_ROWS = 200_000
-# So few (score, count) pairs are ordered in one window per group, without buckets.
-ONE_WINDOW_ROWS = 100_000
 # Sampled rows per bucket when bucket edges are sketched.
 SKETCH_ROWS_PER_BUCKET = 500
 
@@ -43,10 +41,12 @@ class Layout:
     repeats: tuple[int, ...]  # how many quantiles fell on the edge: its weight
     tie_edges: tuple[float, ...]
     groups: int
+    # For scores that doubles cannot tell apart: the one frequent score of each edge, if any.
+    exact: tuple | None = None
 
     @property
     def max_cells(self) -> int:
-        return 2 * (len(self.edges) + 1) + sum(self.repeats)
+        return 3 * (len(self.edges) + 1) + sum(self.repeats)
 
 
 def tie_key(df: DataFrame, tie: str) -> Column:
@@ -66,6 +66,30 @@ def _number(df: DataFrame, column: str) -> Column:
     return F.col(f"{column}.h" if isinstance(kind, T.StructType) else column).cast("double")
 
 
+def _outgrows_doubles(kind: T.DataType) -> bool:
+    """Whether two different values of the type can be one double."""
+    return isinstance(kind, (T.LongType, T.DecimalType))
+
+
+def _frequent_scores(df: DataFrame, score: str, edges: Sequence[float], buckets: int, rows: int) -> tuple:
+    """The most frequent score behind each edge, in the score's own type; None where there is no frequent one.
+
+    Like the sketch, it places rows and enters no result.
+    """
+    wanted = SKETCH_ROWS_PER_BUCKET * buckets
+    source = df.select(F.col(score).alias("s"))
+    if rows > wanted:
+        source = source.sample(wanted / rows, seed=7)
+    # A score that fills an edge holds a bucket's share of the sample; at most 2 * buckets scores do.
+    counted = source.groupBy("s").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= max(2, min(rows, wanted) // (2 * buckets)))
+    best: dict[float, tuple] = {}
+    for r in counted.collect():
+        at = float(r.s)
+        if at not in best or (r.n, r.s) > best[at]:
+            best[at] = (r.n, r.s)
+    return tuple(best[e][1] if e in best else None for e in edges)
+
+
 def default_buckets(df: DataFrame) -> int:
     """As many buckets as the session has shuffle partitions, and never a mere handful."""
     return max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -115,8 +139,11 @@ def plan_layout(
     quantiles = sketch_quantiles(df, [score] if tie is None else [score, tie], buckets, found["n"])
     edges, repeats = _distinct_edges(quantiles[score])
     tie_edges, _ = _distinct_edges(quantiles[tie]) if tie is not None else ((), ())
+    exact = None
+    if tie is not None and _outgrows_doubles(df.schema[score].dataType):
+        exact = _frequent_scores(df, score, edges, buckets, found["n"])
     # The sketch is off by a few per cent; double it before it bounds a broadcast.
-    return Layout(edges, repeats, tie_edges, 2 * found["g"] + 8 if by else 1)
+    return Layout(edges, repeats, tie_edges, 2 * found["g"] + 8 if by else 1, exact)
 
 
 def bucketed(df: DataFrame, column: str, edges: Sequence[float], out: str) -> DataFrame:
@@ -201,25 +228,10 @@ class KeyedCurve:
 def keyed_curve(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> KeyedCurve:
     runs = score_runs(df, score, label, by)
     rows = runs.count()  # from the footers of the table just written
-    if rows <= ONE_WINDOW_ROWS:
-        return KeyedCurve(_one_window_curve(runs), rows if by else 1, rows)
     layout = plan_layout(runs, "score", by=["__g"] if by else [], rows=rows)
     return KeyedCurve(_bucketed_curve(runs, layout), layout.groups, rows)
 
 
-def _one_window_curve(runs: DataFrame) -> DataFrame:
-    group = Window.partitionBy("__g")
-    running = group.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    return runs.withColumns(
-        {
-            "cum_n": F.sum("n").over(running),
-            "cum_pos": F.sum("pos").over(running),
-            "n_total": F.sum("n").over(group),
-            "pos_total": F.sum("pos").over(group),
-        }
-    )
-
-
 def _bucketed_curve(runs: DataFrame, layout: Layout) -> DataFrame:
     runs = bucketed(runs, "score", layout.edges, "__b")
     per_bucket = runs.groupBy("__g", "__b").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
@@ -255,9 +267,12 @@ def global_row_number(
     """
     columns = df.columns
     rows = df.withColumns({"__g": _key(by), "__tie": tie_key(df, tie)})
-    layout = layout or plan_layout(rows, score, "__tie", by)
+    if layout is None:
+        # Sketch, cell totals and the rows themselves read this table, and the source is read once.
+        rows = materialise(rows, "ranked")
+        layout = plan_layout(rows, score, "__tie", by)
     rows = bucketed(bucketed(rows, score, layout.edges, "__b"), "__tie", layout.tie_edges, "__t")
-    rows = rows.withColumn("__cell", _cell(score, layout, descending))
+    rows = rows.withColumn("__cell", _cell(score, layout, descending, rows.schema[score].dataType))
     per_cell = rows.groupBy("__g", "__cell").agg(F.count(F.lit(1)).alias("n"))
     offsets = with_offsets(per_cell, F.col("__cell"), ["__g"], ["n"])
     first = F.desc(score) if descending else F.asc(score)
@@ -271,26 +286,32 @@ def global_row_number(
     return numbered.select(*columns, *added)
 
 
-def _cell(score: str, layout: Layout, descending: bool) -> Column:
+def _cell(score: str, layout: Layout, descending: bool, kind: T.DataType | None = None) -> Column:
     """Sort position of a row's cell.
 
-    A score bucket splits into the edge value itself and the open stretch above it.
-    An edge that r quantiles fell on holds about r buckets of rows, and is cut into
-    r pieces by the tie-break.
+    A score bucket splits into the scores up to its edge value, the edge value itself and the open stretch
+    above it. An edge that r quantiles fell on holds about r buckets of rows, and is cut into
+    r pieces by the tie-break. Only rows of truly equal scores are cut so: where scores
+    outgrow doubles, the edge value is one score in the scores' own type.
     """
     if not layout.edges:
         return F.lit(0).cast("bigint")
-    edge_at = F.array(*[F.lit(e) for e in (float("-inf"), *layout.edges)])
-    weight_at = F.array(*[F.lit(r) for r in (1, *layout.repeats)])
     position = F.col("__b") + 1
-    on_edge = F.col(score).cast("double") == F.element_at(edge_at, position)
-    pieces = F.element_at(weight_at, position)
+    value, number = F.col(score), F.col(score).cast("double")
+    edge = F.element_at(F.array(*[F.lit(e) for e in (float("-inf"), *layout.edges)]), position)
+    if layout.exact is None:
+        on_edge, under = number == edge, F.lit(False)
+    else:
+        known = F.element_at(F.array(*[F.lit(e).cast(kind) for e in (None, *layout.exact)]), position)
+        on_edge = F.coalesce(value == known, F.lit(False))
+        under = (number == edge) & F.coalesce(value < known, F.lit(False))
+    pieces = F.element_at(F.array(*[F.lit(r) for r in (1, *layout.repeats)]), position)
     ties = len(layout.tie_edges) + 1
     piece = F.when(on_edge & (pieces > 1), F.floor(F.col("__t") * pieces / ties)).otherwise(0)
-    half = 2 * F.col("__b") + F.when(on_edge, 0).otherwise(1)
+    third = 3 * F.col("__b") + F.when(under, 0).when(on_edge, 1).otherwise(2)
     if descending:
-        half = F.lit(2 * len(layout.edges) + 1) - half
-    return half.cast("bigint") * (max(layout.repeats) + 1) + piece
+        third = F.lit(3 * len(layout.edges) + 2) - third
+    return third.cast("bigint") * (max(layout.repeats) + 1) + piece
 
 
 def ntile_of(tiles: int) -> TileOf:
@@ -340,13 +361,17 @@ def tile_totals(
     tiles: int,
     by: Sequence[str] = (),
     descending: bool = True,
+    curve: KeyedCurve | None = None,
 ) -> DataFrame:
     """Rows, positives and score sum per tile of the global order.
 
     Whole runs of one score are counted from the curve. Only scores that straddle a
-    tile boundary (fewer than ``tiles`` per group) go back to single rows.
+    tile boundary (fewer than ``tiles`` per group) go back to single rows. Several reports on
+    one written table can share its ``curve``.
     """
-    curve = keyed_curve(df, score, label, by)
+    if curve is None:
+        df = once(df, score, label, tie, by)
+        curve = keyed_curve(df, score, label, by)
     before = F.col("cum_n") - F.col("n") if descending else F.col("n_total") - F.col("cum_n")
     placed = curve.rows.withColumn("before", before).withColumns(
         {
@@ -366,7 +391,7 @@ def tile_totals(
         F.max(F.when(~inside, F.col("before"))).alias("before"),
         F.max("n_total").alias("n_total"),
     )
-    per_tile = settled(per_tile, curve.straddlers(tiles + 1))
+    per_tile = materialise(per_tile, "tiles")
     whole = per_tile.drop("score", "before", "n_total")
     cut = per_tile.filter(F.col("score").isNotNull()).select("__g", "score", "before", "n_total")
     split = ranked_ties(df, score, label, tie, by, cut, curve.straddlers(tiles)).select(
@@ -384,10 +409,15 @@ def tile_totals(
     return open_key(totals, by)
 
 
+def once(df: DataFrame, score: str, label: str, tie: str, by: Sequence[str]) -> DataFrame:
+    """Only what a curve and its tied rows need, as a table: both read it, and the source is read once."""
+    return materialise(df.select(*dict.fromkeys([*by, score, label, tie])), "scored")
+
+
 def ranked_ties(
     df: DataFrame, score: str, label: str, tie: str, by: Sequence[str], cut: DataFrame, cut_rows: int
 ) -> DataFrame:
-    """The single rows of the (group, score) pairs in ``cut`` (a settled frame), ranked by tie-break.
+    """The single rows of the (group, score) pairs in ``cut`` (a written table), ranked by tie-break.
 
     One score may hold a third of all rows. Ranking its rows by tie-break is the curve
     problem again, one level down: the tie-break is the score and (group, score) the
@@ -417,13 +447,6 @@ def at_most_nth(df: DataFrame, tie: str, n: int) -> Column:
     return tie_key(df, tie) <= at
 
 
-def settled(df: DataFrame, bound: int) -> DataFrame:
-    """The frame computed once: through the driver if it is provably small, else as a table."""
-    if bound <= ONE_WINDOW_ROWS:
-        return df.sparkSession.createDataFrame(df.collect(), df.schema)
-    return materialise(df, "settled")
-
-
 def order_statistics(curve: DataFrame, by: Sequence[str], fractions: dict[str, tuple[int, int]]) -> DataFrame:
     """Linearly interpolated quantiles per group, read off the curve by exact rank.
 

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from riskweave.functions.columns import month_start
 from riskweave.operators.features import ID, MONTH, TARGET
 from riskweave.operators.ranking import at_most_nth
+from riskweave.session import materialise
 
 # Fixed value: part of the distinct months that go to training.
 TRAIN_PERCENT = 85
@@ -50,23 +51,25 @@ def split_summary(df: DataFrame, month: str = MONTH, target: str = TARGET) -> Da
     )
 
 
-def calibration_half(df: DataFrame, month: str = MONTH, tie: str = ID, out: str = "half") -> DataFrame:
+def calibration_half(df: DataFrame, month: str = MONTH, tie: str = ID, out: str = "half", written: bool = False) -> DataFrame:
     """Mark the first n // 2 rows in (month, id) order ``calibrate``, the rest ``evaluate``.
 
     Only the row at the cut is looked for: row counts per month name its month, and its
-    id is an order statistic of that month. The marking itself moves no rows.
+    id is an order statistic of that month. The marking itself moves no rows. All steps read
+    one table, which is the frame itself if the caller says that it is ``written``.
     """
-    counts = df.groupBy(month).agg(F.count(F.lit(1)).alias("n")).orderBy(month).collect()
-    left = sum(r["n"] for r in counts) // 2
+    df = df if written else materialise(df, "halves")
+    counts = df.groupBy(month).agg(F.count(F.lit(1)).alias("n"))
+    everything = Window.partitionBy()
+    before = F.coalesce(F.sum("n").over(everything.orderBy(month).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # The one month that the cut falls into, and how many of its rows come before it.
+    placed = counts.select(F.col(month).alias("m"), "n", before.alias("before"), F.floor(F.sum("n").over(everything) / 2).alias("half"))
+    at = placed.filter((F.col("before") < F.col("half")) & (F.col("before") + F.col("n") >= F.col("half"))).first()
     mark = F.lit("evaluate")
-    for r in counts:
-        if left <= r["n"]:
-            if left:
-                first = at_most_nth(df.filter(F.col(month) == r[month]), tie, left)
-                early = (F.col(month) < r[month]) | ((F.col(month) == r[month]) & first)
-                mark = F.when(early, "calibrate").otherwise("evaluate")
-            break
-        left -= r["n"]
+    if at is not None:
+        first = at_most_nth(df.filter(F.col(month) == at["m"]), tie, at["half"] - at["before"])
+        early = (F.col(month) < at["m"]) | ((F.col(month) == at["m"]) & first)
+        mark = F.when(early, "calibrate").otherwise("evaluate")
     return df.withColumn(out, mark)
 
 

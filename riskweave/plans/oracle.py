@@ -130,6 +130,11 @@ dims AS (
 )"""
 
 
+_SPLIT = """
+months AS (SELECT EncMonth, row_number() OVER (ORDER BY EncMonth) AS i, count(*) OVER () AS m FROM (SELECT DISTINCT EncMonth FROM feat)),
+split AS (SELECT EncMonth, CASE WHEN i <= (m * 85) // 100 THEN 'train' ELSE 'val' END AS split FROM months)"""
+
+
 def with_(*ctes: str, select: str) -> str:
     return "WITH " + ",".join(c.strip() for c in ctes) + "\n" + select
 
@@ -242,9 +247,6 @@ def profile_oracles() -> dict[str, str]:
         f"SELECT '{n}' AS dimension, coalesce(CAST({c} AS VARCHAR), 'Unknown') AS grp, count(*) AS n, {rate} FROM pl GROUP BY {c}"
         for n, c in dims.items()
     )
-    split_ctes = """
-months AS (SELECT EncMonth, row_number() OVER (ORDER BY EncMonth) AS i, count(*) OVER () AS m FROM (SELECT DISTINCT EncMonth FROM feat)),
-split AS (SELECT EncMonth, CASE WHEN i <= (m * 85) // 100 THEN 'train' ELSE 'val' END AS split FROM months)"""
     return {
         "cohort_summary": with_(_BASE, select=f"SELECT count(*) AS n, {rate}, CAST(sum(Outcome) AS BIGINT) AS events FROM pl"),
         "overlap_groups": with_(
@@ -278,11 +280,11 @@ FROM (SELECT CAST(strptime(CAST(EncMonth AS VARCHAR), '%Y%m') AS DATE) AS d FROM
         ),
         "feature_view": with_(_FEATURES, select="SELECT * FROM feat"),
         "temporal_split": with_(
-            _FEATURES, split_ctes,
+            _FEATURES, _SPLIT,
             select="SELECT f.patientID, f.EncMonth, s.split FROM feat f JOIN split s ON f.EncMonth = s.EncMonth",
         ),
         "split_summary": with_(
-            _FEATURES, split_ctes,
+            _FEATURES, _SPLIT,
             select="""SELECT s.split, count(*) AS n, round(avg(Outcome), 10) AS rate,
   CAST(strptime(CAST(min(f.EncMonth) AS VARCHAR), '%Y%m') AS DATE) AS first_month,
   CAST(strptime(CAST(max(f.EncMonth) AS VARCHAR), '%Y%m') AS DATE) AS last_month
@@ -479,7 +481,7 @@ answer AS (
 FROM feat GROUP BY Outcome""",
         ),
         "aligned_columns": with_(
-            _BASE, select="SELECT patientID, EncMonth, CAST(0 AS DOUBLE) AS Specialty_cardiology FROM pl WHERE EncMonth >= 200101"
+            _BASE, select="SELECT patientID, EncMonth, CAST(0 AS DOUBLE) AS Specialty_cardiology FROM pl"
         ),
         "calibration_half": with_(
             _SCORES,
@@ -605,5 +607,122 @@ FROM orders GROUP BY 1, 2""",
     }
 
 
+_NAMES = "CASE feature WHEN 'flag_ckd' THEN 'Chronic Kidney Disease' WHEN 'flag_hf' THEN 'Heart Failure' WHEN 'flag_cancer' THEN 'Cancer' ELSE feature END"
+
+_IMPORTANCE = """
+importance AS (
+  SELECT m.model, f.feature, avg(CASE m.model WHEN 'logreg' THEN p_logreg WHEN 'rf' THEN p_rf ELSE p_gbt END
+    * CASE f.feature WHEN 'flag_ckd' THEN ckd WHEN 'flag_hf' THEN hf WHEN 'flag_cancer' THEN cancer ELSE 1 END) AS importance
+  FROM sc, (VALUES ('logreg'), ('rf'), ('gbt')) m(model), (VALUES ('flag_ckd'), ('flag_hf'), ('flag_cancer'), ('N/A')) f(feature)
+  GROUP BY ALL
+),
+best AS (
+  SELECT model, place, feature, round(importance / (sum(importance) OVER (PARTITION BY model) + 1e-9), 3) AS importance
+  FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY importance DESC) - 1 AS place FROM importance) WHERE place < 3
+)"""
+
+
+def fixed_oracles() -> dict[str, str]:
+    profile = " UNION ALL ".join(
+        f"SELECT CAST(patientID % 4 AS INTEGER) AS cluster, '{c}' AS feature, round(avg({c}), 10) AS mean FROM feat GROUP BY 1"
+        for c in (
+            "flag_glaucoma", "flag_diabetes", "flag_glaucoma_diabetic", "flag_ckd", "flag_hf", "flag_hypertension", "flag_depression",
+            "ADINatrank", "CAHPIPercentile", "last_12months_officevisit_count", "last_12months_chronic_count",
+        )
+    )
+    two = "g AS (WITH {} SELECT * FROM rec), s AS (WITH {} SELECT * FROM rec)".format(
+        metric_ctes("sc", "subgroup", "p_rf"), metric_ctes("sc", "subgroup", "p_gbt")
+    )
+    parts = """
+parts AS (
+  SELECT patientID, y_true, p_rf AS y_prob, 'Overall' AS part FROM sc UNION ALL SELECT patientID, y_true, p_rf, subgroup FROM sc
+)"""
+    slopes = " UNION ALL ".join(
+        f"SELECT '{name}' AS feature, round(avg(abs({slope} * ({column} - {mean}))), 10) AS mean_abs_shap FROM sc"
+        for name, column, slope, mean in (
+            ("flag_ckd", "ckd", "CAST(0.5 AS DOUBLE)", "CAST(0.25 AS DOUBLE)"), ("flag_hf", "hf", "CAST(-2 AS DOUBLE)", "CAST(0.125 AS DOUBLE)"),
+            ("last_12months_chronic_count", "chronic", "CAST(0.25 AS DOUBLE)", "CAST(2 AS DOUBLE)"),
+        )
+    )
+    return {
+        "global_row_number_wide": with_(
+            _SCORES,
+            select="""SELECT patientID, 1152921504606846976 + patientID % 5000 AS score,
+  row_number() OVER (ORDER BY patientID % 5000 DESC, patientID) AS rn FROM sc""",
+        ),
+        "specialised_verdicts": with_(
+            _SCORES, two,
+            select="""SELECT g.g AS subgroup, round(g.auroc_raw, 4) AS general_auroc, round(g.auprc, 4) AS general_auprc,
+  round(s.auroc_raw, 4) AS specialized_auroc, round(s.auprc, 4) AS specialized_auprc, round(s.auroc_raw - g.auroc_raw, 4) AS auroc_delta,
+  CASE WHEN s.auroc_raw - g.auroc_raw > 0.01 THEN 'specialize' ELSE 'general_sufficient' END AS recommendation,
+  CASE WHEN s.auroc_raw - g.auroc_raw > 0.01 THEN 'specialize' WHEN s.auroc_raw - g.auroc_raw >= -0.01 THEN 'general sufficient'
+    ELSE 'general better' END AS verdict,
+  CASE WHEN round(s.auroc_raw - g.auroc_raw, 4) > 0.01 THEN 'adopt' WHEN round(s.auroc_raw - g.auroc_raw, 4) > 0 THEN 'marginal' ELSE 'no gain' END AS cluster_verdict
+FROM g LEFT JOIN s ON g.g = s.g""",
+        ),
+        "cluster_sizes_fixed": with_(
+            _FEATURES, _SPLIT,
+            select="""SELECT CAST(patientID % 4 AS INTEGER) AS cluster, count(*) FILTER (WHERE s.split = 'train') AS n_train,
+  count(*) FILTER (WHERE s.split = 'val') AS n_val, round(avg(Outcome) FILTER (WHERE s.split = 'train'), 10) AS train_pos_rate,
+  round(avg(Outcome) FILTER (WHERE s.split = 'val'), 10) AS val_pos_rate
+FROM feat f JOIN split s ON f.EncMonth = s.EncMonth GROUP BY 1""",
+        ),
+        "cluster_means_fixed": with_(_unrounded(_FEATURES), select=profile),
+        "cluster_coverage": with_(
+            _SCORES,
+            select="""SELECT CAST(patientID % 4 AS INTEGER) AS cluster, count(*) AS n, count(*) FILTER (WHERE patientID % 2 = 0) AS covered,
+  round(avg(p_rf) FILTER (WHERE patientID % 2 = 0), 10) AS mean FROM sc GROUP BY 1""",
+        ),
+        "holdout_fixed": with_(
+            _SCORES, parts, metric_ctes("parts", "part"),
+            select="""SELECT g AS subgroup, n, events, round(prevalence, 10) AS event_rate, auroc, auprc, brier, mean_score, 'ok' AS status FROM rec""",
+        ),
+        "top_features_fixed": with_(
+            _SCORES, _IMPORTANCE, select=f"SELECT model, CAST(place AS INTEGER) AS place, {_NAMES} AS feature, importance FROM best"
+        ),
+        "insight_drivers": with_(
+            _SCORES, _LONG, _IMPORTANCE,
+            select=f"""SELECT id, drivers FROM dc, (
+  SELECT string_agg({_NAMES} || ' (' || CAST(floor(importance * 100 + 0.5) AS INTEGER) || '%)', '; ' ORDER BY place) AS drivers
+  FROM best WHERE model = 'rf' AND feature <> 'N/A')""",
+        ),
+        "linear_attribution_fixed": with_(_SCORES, select=slopes),
+    }
+
+
+def source_oracles() -> dict[str, str]:
+    pct = lambda v: f"CAST(floor({v} * 100 + 0.5) AS INTEGER) || '%'"
+    way = "CASE WHEN v IS NULL OR n < 2 THEN 'limited' WHEN v[n] > v[1] THEN 'worsening' WHEN v[n] < v[1] THEN 'improving' ELSE 'flat' END"
+    shown = ", ".join(
+        f"round(CASE WHEN n >= 6 THEN v[n - {5 - i}] WHEN {i} < 6 - n THEN coalesce(v[1], 0.05) * {i} / 6 ELSE v[{i + 1} - (6 - n)] END, 4) AS t{i + 1}"
+        for i in range(6)
+    )
+    return {
+        "view_rows": "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1",
+        "table_columns": """SELECT CAST(row_number() OVER () AS INTEGER) AS position, column_name AS col_name FROM (DESCRIBE lineitem)""",
+        "missing_columns": "SELECT column_name AS col_name FROM (DESCRIBE lineitem) EXCEPT SELECT column_name FROM (DESCRIBE orders)",
+        "document_files": with_(
+            _SCORES, _LONG,
+            select="SELECT id, model, model = 'rf' AS is_default, population, risk_score, 6 AS points FROM cfg JOIN burden USING (subgroup) JOIN cm USING (subgroup)",
+        ),
+        "trend_labels": f"""WITH made AS (
+  SELECT c_custkey, c_custkey % 8 AS n, list_transform(range(1, c_custkey % 8 + 1), lambda i: CAST((c_custkey * 31 + i * i * 17) % 100 AS DOUBLE) / 128) AS v FROM customer
+), named AS (SELECT *, {way} AS direction, {pct("v[1]")} AS p1, {pct("v[n]")} AS pn FROM made)
+SELECT c_custkey, {shown}, direction,
+  CASE direction WHEN 'limited' THEN 'limited trend data' WHEN 'flat' THEN 'flat at ' || pn ELSE direction || ' from ' || p1 || ' to ' || pn END AS phrase,
+  CASE WHEN direction = 'limited' THEN 'Pulse shows cohort activity; trend data is limited.'
+    ELSE 'Pulse shows trend direction: ' || CASE WHEN direction = 'worsening' THEN 'worsening' ELSE 'stable or improving' END
+      || ' from ' || p1 || ' to ' || pn || '.' END AS pulse,
+  CASE WHEN n <= 1 THEN '+12m' ELSE 'now,' || array_to_string(list_transform(range(1, n), lambda i: '+' || CAST(floor(CAST(i AS DOUBLE) / (n - 1) * 12 + 0.5) AS INTEGER) || 'm'), ',') END AS timeline,
+  CASE WHEN v[1] > 0 THEN CAST(floor(1 / v[1] + 0.5) AS BIGINT) END AS one_in
+FROM named""",
+        "text_seeds": """SELECT c_custkey, CAST(list_sum(list_transform(string_split(c_mktsegment, ''), lambda c: unicode(c))) AS INTEGER) AS seed,
+  format('{:,}', c_custkey * 1000) AS shown FROM customer""",
+        "feature_labels": with_(_SCORES, _IMPORTANCE, select=f"SELECT model, feature, round(importance, 10) AS importance, {_NAMES} AS label FROM importance"),
+    }
+
+
 def all_oracles() -> dict[str, str]:
-    return profile_oracles() | score_oracles() | matrix_oracles() | export_oracles() | recurring_oracles()
+    return (
+        profile_oracles() | score_oracles() | matrix_oracles() | export_oracles() | recurring_oracles() | fixed_oracles() | source_oracles()
+    )

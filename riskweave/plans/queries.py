@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from riskweave.functions import text
 from riskweave.functions.columns import binarise, logit, risk_level
 from riskweave.operators import (
     attribution,
@@ -27,16 +29,14 @@ from riskweave.plans import training
 from riskweave.session import fresh_path, materialise
 from riskweave.sources import documents
 from riskweave.sources.adapter import patient_level, scores
-from riskweave.sources.tables import align_columns
-from riskweave.streaming.scoring import audit_windows, latest, write_batches
+from riskweave.sources.tables import align_columns, describe, missing_columns, publish, read_table
+from riskweave.streaming.scoring import audit_report, audit_sums, write_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
 MODEL_SCORES = {"logreg": "p_logreg", "rf": "p_rf", "gbt": "p_gbt"}
 _RAW_FLAGS = [
     "Outcome", "cms_ccw_glaucoma_36", "cms_ccw_diabetes_36", "cms_ccw_chronic_kidney_disease_36", "cms_ccw_heart_failure_36",
 ]
-# The supplied tables have no holdout; rows from this month on stand for it.
-HOLDOUT_FROM = 200101
 _COHORT = ["patientID", "EncMonth", "Outcome", "cms_ccw_glaucoma_36", "cms_ccw_diabetes_36"]
 
 
@@ -161,9 +161,8 @@ def _class_weights(df: DataFrame) -> DataFrame:
 
 
 def _aligned(spark: SparkSession, d: str) -> DataFrame:
-    """A later table that lacks a training column and has one too many."""
-    later = patient_level(spark, d, ["patientID", "EncMonth", "sex"]).filter(F.col("EncMonth") >= HOLDOUT_FROM)
-    return align_columns(later, ["patientID", "EncMonth", "Specialty_cardiology"])
+    """A table that lacks a training column and has one too many."""
+    return align_columns(patient_level(spark, d, ["patientID", "EncMonth", "sex"]), ["patientID", "EncMonth", "Specialty_cardiology"])
 
 
 def _isotonic(df: DataFrame) -> DataFrame:
@@ -254,28 +253,33 @@ def export_queries() -> dict[str, Query]:
     }
 
 
-# Trees and rounds of the registered runs; the library's defaults are the full sizes.
-REGISTERED_SETTINGS = models.Settings(rf_trees=20, rf_depth=5, gbt_rounds=8, gbt_depth=3, lr_iterations=100)
-_runs: dict[tuple[str, str], training.Run] = {}
+_runs: dict[tuple[str, str, str], Any] = {}
 
 
-def _run(spark: SparkSession, d: str) -> training.Run:
-    """One training run per session and folder, shared by the queries below."""
-    key = (spark.sparkContext.applicationId, d)
+def _shared(spark: SparkSession, d: str, what: str, make: Callable[[], Any]) -> Any:
+    """Made once per session and folder, shared by the queries below."""
+    key = (spark.sparkContext.applicationId, d, what)
     if key not in _runs:
-        earlier = patient_level(spark, d).filter(F.col("EncMonth") < HOLDOUT_FROM)
-        _runs[key] = training.train_run(earlier, REGISTERED_SETTINGS)
+        _runs[key] = make()
     return _runs[key]
 
 
-_cluster_runs: dict[tuple[str, str], training.ClusterRun] = {}
+def _run(spark: SparkSession, d: str) -> training.Run:
+    """One training run over the whole table, in the library's full sizes."""
+    return _shared(spark, d, "run", lambda: training.train_run(patient_level(spark, d)))
 
 
 def _clusters(spark: SparkSession, d: str) -> training.ClusterRun:
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _cluster_runs:
-        _cluster_runs[key] = training.cluster_run(_run(spark, d), restarts=3)
-    return _cluster_runs[key]
+    return _shared(spark, d, "clusters", lambda: training.cluster_run(_run(spark, d)))
+
+
+def _stacked(spark: SparkSession, d: str) -> DataFrame:
+    return _shared(spark, d, "stacked", lambda: training.stacked(_run(spark, d)))
+
+
+def _trained_scores(spark: SparkSession, d: str) -> DataFrame:
+    made = lambda: materialise(training.scores_of(_run(spark, d), _stacked(spark, d)), "scores")
+    return publish(_shared(spark, d, "scores", made), "scores")
 
 
 def _importance(run: training.Run, spark: SparkSession) -> DataFrame:
@@ -284,9 +288,8 @@ def _importance(run: training.Run, spark: SparkSession) -> DataFrame:
 
 def _attribution(spark: SparkSession, d: str) -> DataFrame:
     run = _run(spark, d)
-    sample = attribution.explained_sample(run.val)
     parts = [
-        attribution.attribution(sample, pipeline, run.trained.encoding.names).withColumn("model", F.lit(name))
+        attribution.attribution(run.val, pipeline, run.trained.encoding.names).withColumn("model", F.lit(name))
         for name, pipeline in run.trained.models.items()
     ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
@@ -296,18 +299,18 @@ def _trained_document(spark: SparkSession, d: str) -> DataFrame:
     run = _run(spark, d)
     best = attribution.top_features(_importance(run, spark))
     records = export.cohort_records(run.val, run.score_columns, best)
-    return export.assemble_document(records, list(run.score_columns), run.best, generated_at="2024-01-01")
+    return export.assemble_document(records, list(run.score_columns), run.best, generated_at="2024-01-01", validation_auroc=run.auroc)
 
 
 def _holdout(spark: SparkSession, d: str) -> DataFrame:
-    later = patient_level(spark, d).filter(F.col("EncMonth") >= HOLDOUT_FROM)
-    return training.score_holdout(_run(spark, d), later)
+    """The supplied tables have no holdout: the whole table goes through the scoring unit."""
+    return training.score_holdout(_run(spark, d), patient_level(spark, d))
 
 
 def model_queries() -> dict[str, Query]:
     """Fitted models have no SQL equal; the driver checks rows only."""
     return {
-        "model_compare": lambda spark, d: training.comparison(_run(spark, d)),
+        "model_compare": lambda spark, d: training.comparison(_run(spark, d), _stacked(spark, d)),
         "calibrated_scores": lambda spark, d: training.calibrated(_run(spark, d)).select("patientID", "Outcome", "p_calibrated"),
         "specialised_vs_general": lambda spark, d: training.general_vs_specialised(_run(spark, d)),
         "rubric_specialised": lambda spark, d: training.general_vs_specialised(_run(spark, d), "rubric", training.RUBRIC_TRAINED),
@@ -316,16 +319,153 @@ def model_queries() -> dict[str, Query]:
                 _clusters(spark, d).val.select("cluster", "split", "Outcome")
             )
         ),
-        "cluster_profile": lambda spark, d: clusters.cluster_means(_clusters(spark, d).val),
+        "cluster_profile": lambda spark, d: training.cluster_profile(_run(spark, d), _clusters(spark, d)),
         "cluster_comparison": lambda spark, d: training.cluster_comparison(_run(spark, d), _clusters(spark, d)),
         "importance": lambda spark, d: attribution.label_features(_importance(_run(spark, d), spark)),
         "attribution": _attribution,
         "holdout_scores": lambda spark, d: models.holdout_report(_holdout(spark, d), "p_calibrated"),
         "export_document": lambda spark, d: documents.as_json(_trained_document(spark, d)),
+        "trained_scores": _trained_scores,
+        "trained_equity": lambda spark, d: fairness.equity_table(_trained_scores(spark, d)),
+        "trained_thresholds": lambda spark, d: thresholds.threshold_table(_trained_scores(spark, d)),
         "trained_insights": lambda spark, d: insights.insights(documents.default_cohorts(_trained_document(spark, d))),
     }
 
 
+# --- the parts of the model plans that need no fitted model, on fixed columns ---------------
+
+
+def _wide_ranks(df: DataFrame) -> DataFrame:
+    """Ranks by a score that doubles cannot tell apart."""
+    wide = df.select("patientID", (F.lit(2**60) + F.col("patientID") % 5000).alias("score"))
+    return ranking.global_row_number(wide, "score", "patientID")
+
+
+def _verdicts(df: DataFrame) -> DataFrame:
+    """The forest's column as the general model, the boosted one as the specialised models."""
+    general, special = (metrics.evaluate(df, c, by=["subgroup"], top=False) for c in ("p_rf", "p_gbt"))
+    compared = models.compare_general_special(general, special)
+    return compared.withColumn("cluster_verdict", clusters.cluster_verdict(F.col("auroc_delta")))
+
+
+def _fixed_clusters(df: DataFrame) -> DataFrame:
+    return df.withColumn("cluster", (F.col("patientID") % 4).cast("int"))
+
+
+def _coverage(df: DataFrame) -> DataFrame:
+    """Scores of two of four clusters, put back together beside all rows."""
+    rows = _fixed_clusters(df).select("patientID", "cluster", "p_rf")
+    parts = [rows.filter(F.col("cluster") == c).select("patientID", F.col("p_rf").alias("p_special")) for c in (0, 2)]
+    whole = rows.join(parts[0].unionByName(parts[1]), "patientID", "left")
+    return whole.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.count("p_special").alias("covered"), F.avg("p_special").alias("mean"))
+
+
+_WEIGHED = ("flag_ckd", "flag_hf", "flag_cancer", "N/A")
+
+
+def _fixed_importance(df: DataFrame) -> DataFrame:
+    """(model, feature, importance) from means of the deterministic scores over flagged rows."""
+    flags = df.withColumn("N/A", F.lit(1))
+    sums = flags.agg(*[F.avg(F.col(c) * F.col(f)).alias(f"{m}|{f}") for m, c in MODEL_SCORES.items() for f in _WEIGHED])
+    long = sums.unpivot([], sums.columns, "key", "importance")
+    return long.select(F.split("key", "[|]")[0].alias("model"), F.split("key", "[|]")[1].alias("feature"), "importance")
+
+
+def _top_rows(df: DataFrame) -> DataFrame:
+    best = attribution.top_features(_fixed_importance(df))
+    return best.select("model", F.posexplode("top_features").alias("place", "f")).select("model", "place", "f.feature", "f.importance")
+
+
+def _drivers(df: DataFrame) -> DataFrame:
+    """Insight drivers of cohorts that have features, a placeholder among them."""
+    records = export.cohort_records(df, MODEL_SCORES, attribution.top_features(_fixed_importance(df)))
+    document = export.assemble_document(records, list(MODEL_SCORES), "rf", generated_at="2024-01-01")
+    return insights.insights(documents.default_cohorts(document)).select("id", F.array_join("riskDrivers", "; ").alias("drivers"))
+
+
+def _fixed_slopes(df: DataFrame) -> DataFrame:
+    rows = df.select(F.array(*[F.col(c).cast("double") for c in ("flag_ckd", "flag_hf", "last_12months_chronic_count")]).alias("features"))
+    slopes = [(0, "flag_ckd", 0.5, 0.25), (1, "flag_hf", -2.0, 0.125), (2, "last_12months_chronic_count", 0.25, 2.0)]
+    dim = df.sparkSession.createDataFrame(slopes, "pos int, feature string, slope double, mean double")
+    return attribution.linear_attribution(rows, dim)
+
+
+def fixed_queries() -> dict[str, Query]:
+    return {
+        "global_row_number_wide": _on(scores, _wide_ranks),
+        "specialised_verdicts": _on(scores, _verdicts),
+        "cluster_sizes_fixed": _on(
+            _cohort, lambda df: clusters.cluster_sizes(_fixed_clusters(split.temporal_split(df)).select("cluster", "split", "Outcome"))
+        ),
+        "cluster_means_fixed": _on(_features, lambda df: clusters.cluster_means(_fixed_clusters(df))),
+        "cluster_coverage": _on(scores, _coverage),
+        "holdout_fixed": _on(scores, lambda df: models.holdout_report(df, "p_rf", "y_true")),
+        "top_features_fixed": _on(scores, _top_rows),
+        "insight_drivers": _on(scores, _drivers),
+        "linear_attribution_fixed": _on(scores, _fixed_slopes),
+    }
+
+
+# --- sources and text functions --------------------------------------------------------------
+
+
+def _view_rows(spark: SparkSession, d: str) -> DataFrame:
+    """A table read by path, published under a name, and read again by SQL."""
+    publish(read_table(spark, f"{d}/orders.parquet"), "orders_view")
+    return read_table(spark, "orders_view").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _columns_of(spark: SparkSession, d: str) -> DataFrame:
+    return describe(read_table(spark, f"{d}/lineitem.parquet")).select("position", "col_name")
+
+
+def _not_in_orders(spark: SparkSession, d: str) -> DataFrame:
+    """Columns of the line items that orders lack."""
+    found = missing_columns(read_table(spark, f"{d}/orders.parquet"), read_table(spark, f"{d}/lineitem.parquet").columns)
+    return spark.createDataFrame([(c,) for c in found], "col_name string")
+
+
+def _document_files(spark: SparkSession, d: str) -> DataFrame:
+    """The document written as a JSON file and read back under its key."""
+    path = fresh_path(spark, "document")
+    records = export.cohort_records(scores(spark, d), MODEL_SCORES)
+    documents.write_document(export.assemble_document(records, list(MODEL_SCORES), "rf", generated_at="2024-01-01"), path)
+    flat = documents.flatten(documents.read_dataset(spark, "main", {"main": path}))
+    return flat.select("id", "model", "is_default", "population", "risk_score", F.size("trend").alias("points"))
+
+
+def _trend_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Trends of no to seven points of every customer, with their labels."""
+    people = read_table(spark, f"{d}/customer.parquet").select("c_custkey", (F.col("c_custkey") % 8).cast("int").alias("points"))
+    value = lambda i: ((F.col("c_custkey") * 31 + i * i * 17) % 100) / F.lit(128.0)
+    series = F.when(F.col("points") > 0, F.transform(F.sequence(F.lit(1), F.col("points")), value)).otherwise(F.array().cast("array<double>"))
+    rows = people.withColumn("series", series)
+    shown = [F.element_at(text.padded_trend(F.col("series")), i + 1).alias(f"t{i + 1}") for i in range(6)]
+    # An empty series has no ends to look at.
+    ends = F.when(F.col("points") > 0, F.col("series"))
+    return rows.select(
+        "c_custkey", *shown, text.trend_direction(ends).alias("direction"), text.trend_phrase(ends).alias("phrase"), text.pulse_label(ends).alias("pulse"),
+        F.array_join(text.timeline_labels(F.col("points")), ",").alias("timeline"), text.one_in_n(F.try_element_at("series", F.lit(1))).alias("one_in"),
+    )
+
+
+def _text_rows(spark: SparkSession, d: str) -> DataFrame:
+    people = read_table(spark, f"{d}/customer.parquet")
+    return people.select("c_custkey", text.code_point_sum(F.col("c_mktsegment")).alias("seed"), text.thousands(F.col("c_custkey") * 1000).alias("shown"))
+
+
+def source_queries() -> dict[str, Query]:
+    return {
+        "view_rows": _view_rows,
+        "table_columns": _columns_of,
+        "missing_columns": _not_in_orders,
+        "document_files": lambda spark, d: rounded(_document_files(spark, d)),
+        "trend_labels": lambda spark, d: rounded(_trend_rows(spark, d)),
+        "text_seeds": _text_rows,
+        "feature_labels": _on(scores, lambda df: attribution.label_features(_fixed_importance(df))),
+    }
+
+
 def _audit_stream(spark: SparkSession, d: str) -> DataFrame:
     """Quarterly calibration audit of a stream of scored orders, run to completion."""
     schema = "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_orderdate timestamp_ntz"
@@ -338,8 +478,8 @@ def _audit_stream(spark: SparkSession, d: str) -> DataFrame:
         (F.col("o_orderkey") * 7919 % 1000 / 1000.0).alias("y_prob"),
     )
     out, state = fresh_path(spark, "audit"), fresh_path(spark, "audit-state")
-    write_batches(audit_windows(scored, "at", "sex"), out, state, "update").awaitTermination()
-    return rounded(latest(spark.read.parquet(out), ["period_start", "sex"]))
+    write_batches(scored, out, state, lambda batch: audit_sums(batch, "at", "sex")).awaitTermination()
+    return rounded(audit_report(spark.read.parquet(out), "sex"))
 
 
 def recurring_queries() -> dict[str, Query]:
@@ -351,4 +491,7 @@ def recurring_queries() -> dict[str, Query]:
 
 
 def all_queries() -> dict[str, Query]:
-    return recurring_queries() | profile_queries() | score_queries() | matrix_queries() | export_queries() | model_queries()
+    return (
+        recurring_queries() | profile_queries() | score_queries() | matrix_queries() | export_queries()
+        | fixed_queries() | source_queries() | model_queries()
+    )

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from riskweave.operators import fairness, metrics, profile
+from riskweave.operators import fairness, metrics, profile, ranking
+from riskweave.session import materialise
 
 
 def eda_report(patients: DataFrame) -> dict[str, DataFrame]:
@@ -21,15 +22,21 @@ def eda_report(patients: DataFrame) -> dict[str, DataFrame]:
 
 
 def validation_report(scores: DataFrame) -> dict[str, DataFrame]:
-    """Confusion tables, lift, capture, calibration gaps and calibration bins of scored rows."""
+    """Confusion tables, lift, capture, calibration gaps and calibration bins of scored rows.
+
+    The scored rows are read once; lift, capture and calibration bins share one curve.
+    """
+    groups = ["subgroup", "DerivedRaceEthnicity", "ADINatRankQuintile"]
+    scores = materialise(scores.select("patientID", "y_true", "y_prob", "y_pred", *groups), "scores")
+    curve = ranking.keyed_curve(scores, "y_prob", "y_true")
     return {
         "confusion": metrics.confusion(scores),
         "confusion by subgroup": metrics.confusion(scores, ["subgroup"]),
-        "decile lift": metrics.lift_table(scores),
-        "top-decile capture": metrics.tile_capture(scores),
+        "decile lift": metrics.lift_table(scores, curve=curve),
+        "top-decile capture": metrics.tile_capture(scores, curve=curve),
         "equity by race/ethnicity": fairness.calibration_gap(scores, "DerivedRaceEthnicity"),
         "equity by deprivation quintile": fairness.calibration_gap(scores, "ADINatRankQuintile"),
-        "calibration": metrics.calibration_table(scores),
+        "calibration": metrics.calibration_table(scores, curve=curve),
     }
 
 

@@ -4,17 +4,20 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.ml import PipelineModel
 from pyspark.ml.regression import IsotonicRegressionModel
 from pyspark.sql import DataFrame, functions as F
 
 from riskweave.functions.columns import first_match
 from riskweave.operators import clusters as archetypes
 from riskweave.operators import models as m
-from riskweave.operators.features import ID, TARGET, build_features
+from riskweave.operators.features import AREA_GROUPS, ID, MONTH, TARGET, build_features
 from riskweave.operators.groups import EXCLUSIVE_GROUPS, exclusive_label, rubric_conditions
 from riskweave.operators.metrics import evaluate, score_models
 from riskweave.operators.split import calibration_half, temporal_split
+from riskweave.operators.thresholds import threshold_table
 from riskweave.session import materialise
+from riskweave.sources.tables import publish
 
 RUBRIC_TRAINED = ["CKD only", "HF only", "Cancer only", "Multi-condition"]
 
@@ -32,6 +35,11 @@ class Run:
     val: DataFrame
     best: str
     calibrator: IsotonicRegressionModel
+    auroc: float | None = None
+
+    def scoring_unit(self) -> PipelineModel:
+        """Encoding, best model and calibrator: what is saved, loaded and applied to a holdout or a stream."""
+        return self.trained.pipeline(self.best, self.calibrator)
 
     @property
     def score_columns(self) -> dict[str, str]:
@@ -49,15 +57,16 @@ def train_run(patients: DataFrame, settings: m.Settings = m.Settings(), sensitiv
     # Sketches, medians, weights and both sides read these rows: keep them, read the source once.
     rows = materialise(_labelled(temporal_split(build_features(patients))), "features")
     train = rows.filter(F.col("split") == "train")
-    keep = ["subgroup", "rubric", "split"]
+    keep = ["subgroup", "rubric", "split", *archetypes.PROFILE_COLUMNS]
     trained, prepared = m.train_models(train, settings, sensitive_as_features=sensitive_as_features, keep=keep)
     val = trained.score(rows.filter(F.col("split") == "val"), keep_features=True)
-    val = calibration_half(materialise(val.withColumn(TARGET, F.col(TARGET).cast("int")), "val"))
+    val = calibration_half(materialise(val.withColumn(TARGET, F.col(TARGET).cast("int")), "val"), written=True)
     records = score_models(val, {n: f"p_{n}" for n in trained.models}, TARGET)
-    best = records.orderBy(F.desc("auroc"), "model").first()["model"]
+    found = records.orderBy(F.desc("auroc"), "model").select("model", "auroc").first()
+    best = found["model"]
     first_half = val.filter(F.col("half") == "calibrate")
     calibrator = m.fit_isotonic(first_half, f"p_{best}", TARGET)
-    return Run(trained, prepared, val, best, calibrator)
+    return Run(trained, prepared, val, best, calibrator, found["auroc"])
 
 
 def calibrated(run: Run) -> DataFrame:
@@ -76,12 +85,12 @@ def stacked(run: Run) -> DataFrame:
     return materialise(out, "stacked")
 
 
-def comparison(run: Run) -> DataFrame:
+def comparison(run: Run, stacked_rows: DataFrame | None = None) -> DataFrame:
     """Records of the base models, the calibrated best and the calibrated stacker, best first.
 
     All are measured on the same rows: those that no calibration saw.
     """
-    scored = m.apply_isotonic(stacked(run), run.calibrator, f"p_{run.best}", "p_calibrated")
+    scored = m.apply_isotonic(stacked(run) if stacked_rows is None else stacked_rows, run.calibrator, f"p_{run.best}", "p_calibrated")
     columns = run.score_columns | {
         f"{run.best}_calibrated": "p_calibrated",
         "stacker_calibrated": "p_stack_calibrated",
@@ -120,6 +129,35 @@ def cluster_run(run: Run, restarts: int = archetypes.RESTARTS) -> ClusterRun:
     )
 
 
+def cluster_profile(run: Run, found: ClusterRun) -> DataFrame:
+    """Means of the profile columns per cluster, over the training rows as the models see them: imputed."""
+    medians = {c: float(v) for c, v in run.trained.encoding.medians.items() if c in archetypes.PROFILE_COLUMNS}
+    columns = [F.coalesce(F.col(c).cast("double"), F.lit(medians.get(c))).alias(c) for c in archetypes.PROFILE_COLUMNS]
+    return archetypes.cluster_means(found.train.select("cluster", *columns))
+
+
+def scores_of(run: Run, stacked_rows: DataFrame | None = None, threshold: float | None = None) -> DataFrame:
+    """The eight-column score contract of a trained run.
+
+    Scores are those of the calibrated stacker, on the validation rows that no calibration
+    saw. ``threshold`` is the operating point; unset, it is the recommended one of these scores.
+    """
+    scored = stacked(run) if stacked_rows is None else stacked_rows
+    rows = scored.withColumn("y_true", F.col(TARGET).cast("int")).withColumn("y_prob", F.col("p_stack_calibrated"))
+    if threshold is None:
+        recommended = threshold_table(rows.select("y_true", "y_prob")).filter(F.col("kind") == "recommended")
+        cut = recommended.select("threshold").scalar()
+    else:
+        cut = F.lit(float(threshold))
+    flagged = (F.col("y_prob") >= cut).cast("int").alias("y_pred")
+    return rows.select(ID, "y_true", "y_prob", flagged, "subgroup", "DerivedRaceEthnicity", *AREA_GROUPS)
+
+
+def publish_scores(run: Run, view: str = "scores") -> DataFrame:
+    """The trained run's scores as a table that SQL reads under ``view``."""
+    return publish(materialise(scores_of(run), "scores"), view)
+
+
 def cluster_comparison(run: Run, found: ClusterRun) -> DataFrame:
     """General model, clusters as features, and one model per cluster, on the validation rows.
 
@@ -148,8 +186,14 @@ def cluster_comparison(run: Run, found: ClusterRun) -> DataFrame:
     )
 
 
+def score_rows(unit: PipelineModel, rows: DataFrame) -> DataFrame:
+    """Rows of the feature view through a (loaded) scoring unit; a table or a stream."""
+    made = [c for c in ("features", "scaled") if c not in rows.columns]
+    scored = unit.transform(rows)
+    helpers = [c for c in scored.columns if c.startswith(("raw_", "prob_", "pred_"))]
+    return scored.drop(*made, *helpers)
+
+
 def score_holdout(run: Run, holdout: DataFrame) -> DataFrame:
-    """Holdout rows through the training encoding, the best model and its calibrator."""
-    rows = build_features(holdout).withColumn("subgroup", exclusive_label())
-    scored = run.trained.score(rows, [run.best])
-    return m.apply_isotonic(scored, run.calibrator, f"p_{run.best}", "p_calibrated")
+    """Holdout rows through the training encoding, the best model and its calibrator, all one unit."""
+    return score_rows(run.scoring_unit(), build_features(holdout).withColumn("subgroup", exclusive_label()))

@@ -12,7 +12,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from riskweave.functions.columns import binarise, flag
-from riskweave.operators.features import SOURCE_COLUMNS, build_features
+from riskweave.operators.features import (
+    AREA_GROUPS, CANCER_SOURCES, CATEGORIES, CONDITION_SOURCES, SOURCE_COLUMNS, SPECIALTIES, VISITS, build_features,
+)
 from riskweave.operators.groups import exclusive_label
 
 
@@ -37,6 +39,7 @@ def _null_every(n: int, value: Column) -> Column:
 
 
 def _order_columns() -> dict[str, Column]:
+    """The input table's column names, each over columns of an order."""
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     small = lambda e: e.cast("int")
     return {
@@ -85,11 +88,7 @@ def _burden_columns(known: dict[str, Column]) -> dict[str, Column]:
     return {"last_12months_chronic_count": chronic, "last_12months_diagnosis_count_ccw": diagnoses}
 
 
-_VISIT_COLUMNS = [
-    "last_12months_officevisit_count", "last_6months_officevisit_count",
-    "last_12months_officevisit_distinct_specialty", "last_6months_officevisit_distinct_specialty",
-    "Specialty_internal_medicine", "Specialty_family_practice", "Specialty_nephrology", "Specialty_cardiology",
-]
+_VISIT_COLUMNS = VISITS + SPECIALTIES
 
 
 def _visits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,17 +135,14 @@ def patient_level(spark: SparkSession, sf_dir: str, columns: list[str] | None =
 
 
 # What a scored row needs besides its scores.
+_SCORED_FLAGS = ["flag_glaucoma", "flag_diabetes", "flag_ckd", "flag_hf"]
 _SCORED_META = [
-    "patientID", "EncMonth", "Outcome", "flag_glaucoma", "flag_diabetes", "flag_glaucoma_diabetic",
-    "flag_ckd", "flag_hf", "flag_cancer", "last_12months_chronic_count",
-    "ADINatRankQuintile", "CAHPIQuartile", "DerivedRaceEthnicity", "MaritalStatus", "sex",
+    "patientID", "EncMonth", "Outcome", *_SCORED_FLAGS, "flag_glaucoma_diabetic", "flag_cancer",
+    "last_12months_chronic_count", *AREA_GROUPS, *CATEGORIES,
 ]
 _SCORED_SOURCES = [
-    "patientID", "EncMonth", "Outcome", "cms_ccw_glaucoma_36", "cms_ccw_diabetes_36",
-    "cms_ccw_chronic_kidney_disease_36", "cms_ccw_heart_failure_36",
-    "cms_ccw_lung_cancer_36", "cms_ccw_colorectal_cancer_36", "cms_ccw_female_male_breast_cancer_36",
-    "last_12months_chronic_count",
-    "ADINatRankQuintile", "CAHPIQuartile", "DerivedRaceEthnicity", "MaritalStatus", "sex",
+    "patientID", "EncMonth", "Outcome", *[CONDITION_SOURCES[f] for f in _SCORED_FLAGS], *CANCER_SOURCES,
+    "last_12months_chronic_count", *AREA_GROUPS, *CATEGORIES,
 ]
 
 

@@ -21,8 +21,7 @@ def spark():
 
 @pytest.fixture
 def many_buckets(monkeypatch):
-    """Send even small data through the bucketed path."""
+    """Sketch few rows per bucket, so that small data fills many buckets unevenly."""
     from riskweave.operators import ranking
 
-    monkeypatch.setattr(ranking, "ONE_WINDOW_ROWS", 0)
     monkeypatch.setattr(ranking, "SKETCH_ROWS_PER_BUCKET", 20)

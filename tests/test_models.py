@@ -1,13 +1,13 @@
 import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 from test_features import patients
 
 from riskweave.operators import attribution as at, clusters as cl, metrics, models as m
 from riskweave.operators.features import build_features
-from riskweave.plans import training
+from riskweave.plans import reports, training
+from riskweave.streaming import scoring
 
 SMALL = m.Settings(rf_trees=8, rf_depth=4, gbt_rounds=6, gbt_depth=3, lr_iterations=50, min_leaf=5)
 
@@ -85,8 +85,6 @@ def test_comparison_has_all_models_best_first(run):
     assert len({r.n for r in got}) == 1
     stacked = next(r for r in got if r.model == "stacker_calibrated")
     assert stacked.auroc > 0.75
-    lifts = m.stack_lifts(training.comparison(run)).first()
-    assert lifts.lifts == (lifts.stacked_auroc > lifts.best_other_auroc)
 
 
 def test_specialised_models_and_small_groups(run):
@@ -111,44 +109,73 @@ def test_clusters(run):
         found.train.select("cluster", "split", "Outcome").unionByName(found.val.select("cluster", "split", "Outcome"))
     ).orderBy("cluster").collect()]
     assert sizes == sorted(sizes, reverse=True) and sum(sizes) == run.train.count()
-    means = cl.cluster_means(found.val)
-    assert means.filter("feature = 'flag_ckd'").count() == found.val.select("cluster").distinct().count()
+    means = training.cluster_profile(run, found)
+    assert means.filter("feature = 'flag_ckd'").count() == found.train.select("cluster").distinct().count()
+    # Unknown values count as the training median, over training rows only.
+    median = run.trained.encoding.medians["ADINatrank"]
+    filled = found.train.fillna({"ADINatrank": median}).groupBy("cluster").agg(F.avg("ADINatrank").alias("v"))
+    got = {r.cluster: r["mean"] for r in means.filter("feature = 'ADINatrank'").collect()}
+    assert got == {r.cluster: pytest.approx(r.v) for r in filled.collect()}
     got = {r.model: r for r in training.cluster_comparison(run, found).collect()}
     assert got["general"].auroc_delta == 0 and 0 < got["per_cluster"].covered <= 1
     assert got["cluster_feature"].verdict in {"adopt", "marginal", "no gain"}
 
 
-def test_holdout_goes_through_training_steps(run, planted, tmp_path):
+def test_holdout_goes_through_training_steps(spark, run, planted, tmp_path):
     later = planted.withColumn("EncMonth", F.lit(202101)).withColumn("ADINatrank", F.lit(None).cast("double"))
     scored = training.score_holdout(run, later)
     report = {r.subgroup: r for r in m.holdout_report(scored, "p_calibrated").collect()}
     assert report["Overall"].auroc > 0.8 and report["Overall"].n == scored.count()
     assert sum(r.n for k, r in report.items() if k != "Overall") == report["Overall"].n
-    pipe = run.trained.pipeline(run.best)
-    pipe.write().overwrite().save(str(tmp_path / "model"))
-    loaded = PipelineModel.load(str(tmp_path / "model"))
-    out = loaded.transform(build_features(later))
-    q = out.select("patientID", vector_to_array(f"prob_{run.best}")[1].alias("q"))
-    assert q.join(scored, "patientID").filter(F.abs(F.col("q") - F.col(f"p_{run.best}")) > 1e-12).count() == 0
+    # The saved unit holds the calibrator too, and scores a batch and a stream alike.
+    run.scoring_unit().write().overwrite().save(str(tmp_path / "model"))
+    unit = PipelineModel.load(str(tmp_path / "model"))
+    want = {r.patientID: r.p_calibrated for r in scored.select("patientID", "p_calibrated").collect()}
+    batch = training.score_rows(unit, build_features(later))
+    assert {r.patientID: r.p_calibrated for r in batch.select("patientID", "p_calibrated").collect()} == want
+    later.coalesce(2).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(later.schema).parquet(str(tmp_path / "in"))
+    arriving = scoring.score_stream(stream, lambda rows: training.score_rows(unit, rows)).select("patientID", "p_calibrated")
+    scoring.write_batches(arriving, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    assert {r.patientID: r.p_calibrated for r in spark.read.parquet(str(tmp_path / "out")).collect()} == want
+
+
+def test_trained_scores_carry_the_contract(run, spark):
+    rows = training.publish_scores(run, "trained_scores_test")
+    assert rows.columns == ["patientID", "y_true", "y_prob", "y_pred", "subgroup", "DerivedRaceEthnicity", "ADINatRankQuintile", "CAHPIQuartile"]
+    read = spark.table("trained_scores_test")
+    half = run.val.filter("half = 'evaluate'")
+    assert read.count() == half.count() and read.join(half, "patientID").count() == half.count()
+    assert metrics.evaluate(read).first().auroc > 0.75
+    flagged = read.agg(F.avg("y_pred").alias("f"), F.sum(F.col("y_pred") * F.col("y_true")).alias("tp"), F.sum("y_true").alias("p")).first()
+    assert 0 < flagged.f < 1 and flagged.tp / flagged.p >= 0.3
+    report = reports.validation_report(read)
+    assert report["decile lift"].agg(F.sum("n")).first()[0] == half.count() and report["confusion"].first().n == half.count()
 
 
 @pytest.mark.parametrize("name", ["rf", "gbt"])
 def test_tree_contributions_add_up_to_the_model(run, name):
-    sample = at.explained_sample(run.val, 40)
+    rows = run.val.limit(40)
     model = run.trained.models[name].stages[-1]
-    parts = at.tree_contributions(at.tree_nodes(model), sample)
-    total = {r.patientID: r.t for r in parts.groupBy("patientID").agg(F.sum("value").alias("t")).collect()}
-    assert len(total) == 40
-    for r in sample.collect():
+    parts = {r.patientID: r for r in at.tree_contributions(at.tree_nodes(model), rows).collect()}
+    assert len(parts) == 40
+    for r in rows.collect():
         want = model.predictProbability(r.features)[1] if name == "rf" else model.predictRaw(r.features)[1]
-        assert total[r.patientID] == pytest.approx(want, abs=1e-9)
+        assert parts[r.patientID].expected + sum(parts[r.patientID]["values"]) == pytest.approx(want, abs=1e-9)
 
 
-def test_attribution_finds_the_planted_features(run):
-    sample = at.explained_sample(run.val, 100)
-    for pipeline in run.trained.models.values():
-        top = [r.feature for r in at.strongest(at.attribution(sample, pipeline, run.trained.encoding.names), 4).collect()]
+def test_attribution_covers_all_rows_and_finds_the_planted_features(run):
+    names = run.trained.encoding.names
+    for name, pipeline in run.trained.models.items():
+        found = at.attribution(run.val, pipeline, names)
+        top = [r.feature for r in at.strongest(found, 4).collect()]
         assert "flag_ckd" in top and "last_12months_officevisit_count" in top
+        if name == "rf":
+            each = at.tree_contributions(at.tree_nodes(pipeline.stages[-1]), run.val)
+            i = names.index("flag_ckd")
+            want = each.agg(F.avg(F.abs(F.col("values")[i]))).first()[0]
+            assert each.count() == run.val.count()
+            assert found.filter("feature = 'flag_ckd'").first().mean_abs_shap == pytest.approx(want)
 
 
 def test_top_features_are_labelled_shares(run, spark):

@@ -1,4 +1,6 @@
 import numpy as np
+from decimal import Decimal
+
 import pytest
 from brute import tiles
 from hypothesis import HealthCheck, given, settings, strategies as st
@@ -68,12 +70,58 @@ def test_tile_totals(spark, descending, many_buckets):
     assert sorted(got.collect()) == sorted(want.collect())
 
 
-def test_bucketed_curve_equals_one_window(spark, monkeypatch):
+def test_curve_equals_one_window(spark, many_buckets):
     df = skewed(spark)
-    plain = sorted(map(tuple, ranking.score_curve(df, "p", "y", ["grp"]).collect()), key=str)
-    monkeypatch.setattr(ranking, "ONE_WINDOW_ROWS", 0)
-    bucketed = sorted(map(tuple, ranking.score_curve(df, "p", "y", ["grp"]).collect()), key=str)
-    assert plain == bucketed
+    runs = df.groupBy("grp", "p").agg(F.count("*").alias("n"), F.sum("y").alias("pos"))
+    group = Window.partitionBy("grp")
+    upto = group.orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
+    want = runs.select(
+        "grp", "p", "n", "pos", F.sum("n").over(upto), F.sum("pos").over(upto), F.sum("n").over(group), F.sum("pos").over(group)
+    )
+    got = ranking.score_curve(df, "p", "y", ["grp"])
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+
+
+@pytest.mark.parametrize("kind,value", [("bigint", lambda i: 2**60 + i // 3), ("decimal(38,18)", lambda i: Decimal(i // 3) / 10**18 + 7)])
+def test_scores_beyond_doubles(spark, kind, value):
+    """Scores that share a double keep their own order; equal ones go by the tie-break."""
+    rows = [(i, value(i if i % 4 else 0)) for i in range(4000)]
+    df = spark.createDataFrame(rows, f"id long, s {kind}")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        for descending in (True, False):
+            got = {r.id: r.rn for r in ranking.global_row_number(df, "s", "id", descending=descending).collect()}
+            want = sorted(rows, key=lambda r: (-r[1] if descending else r[1], r[0]))
+            assert got == {r[0]: n for n, r in enumerate(want, 1)}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def _records_read(spark, job):
+    """Rows that scans of the given job's files read: counted by an accumulator in the source."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    job(lambda df: df.mapInArrow(count, df.schema))
+    return seen.value
+
+
+@pytest.mark.parametrize("name", ["metrics_full", "decile_lift", "worklist", "calibration_half"])
+def test_the_source_is_read_once(spark, name):
+    from riskweave.operators import metrics, split, worklist
+
+    rows = [(i, 202001 + i % 5, (i * 7919 % 1000) / 1000, i % 3 == 0) for i in range(3000)]
+    df = spark.createDataFrame(rows, "patientID long, EncMonth int, y_prob double, y boolean").withColumn("y_true", F.col("y").cast("int")).drop("y")
+    jobs = {
+        "metrics_full": metrics.evaluate, "decile_lift": metrics.lift_table, "worklist": worklist.monthly_worklist,
+        "calibration_half": lambda x: split.calibration_half(x.select("patientID", "EncMonth")),
+    }
+    assert _records_read(spark, lambda counted: jobs[name](counted(df)).collect()) == 3000
 
 
 def test_no_single_task_over_rows(spark, many_buckets):
@@ -111,10 +159,7 @@ def test_long_ids_keep_their_digits(spark, many_buckets):
     assert df.filter(ranking.at_most_nth(df, "id", 7)).agg(F.max("id")).first()[0] == big + 6
 
 
-@pytest.mark.parametrize("path", ["one window", "buckets"])
-def test_text_ids(spark, path, request):
-    if path == "buckets":
-        request.getfixturevalue("many_buckets")
+def test_text_ids(spark, many_buckets):
     rows = [(f"patient-{i:06d}", 0.5 if i % 3 else i / 900, i % 2, 202001) for i in range(900)]
     df = spark.createDataFrame(rows, "patientID string, p double, y int, EncMonth int")
     order = Window.orderBy(F.desc("p"), F.xxhash64("patientID"), "patientID")
