@@ -19,7 +19,7 @@ answered by a scan of all entries, likewise in blocks.
 
 Cases: null vectors, zero vectors and those with null or non-finite components take no part, nor do
 those of another length than the fitted one (the most frequent in the sample, ties to the
-longer). Ties in distance go to the smaller id. A repeated id is a row of its own, but a
+longer). Ties in distance go to the smaller id. Rows of equal id and vector count once, and a
 query never finds rows of its own id; rows with a null id are never found. With fewer than k others all are returned. An
 empty table gives no rows. Other columns are not read, whatever their names.
 """
@@ -164,14 +164,14 @@ def _collapse(rows: DataFrame, keep: int) -> DataFrame:
         def out() -> pa.RecordBatch:
             keys = list(held)
             vectors = [np.frombuffer(k, dtype=np.float64) for k in keys]
-            return pa.RecordBatch.from_arrays([pa.array(vectors, pa.list_(pa.float64())), pa.array([sorted(held[k])[:keep] for k in keys], pa.list_(pa.int64()))], ["v", "ids"])
+            return pa.RecordBatch.from_arrays([pa.array(vectors, pa.list_(pa.float64())), pa.array([sorted(set(held[k]))[:keep] for k in keys], pa.list_(pa.int64()))], ["v", "ids"])
 
         for b in batches:
             for vec_id, v in zip(b.column(0).to_pylist(), b.column(1)):
                 ids = held.setdefault((np.asarray(v.values, dtype=np.float64) + 0.0).tobytes(), [])
                 ids.append(vec_id)
                 if len(ids) > 4 * keep:
-                    ids[:] = sorted(ids)[:keep]
+                    ids[:] = sorted(set(ids))[:keep]
             if len(held) > 100_000:
                 yield out()
                 held.clear()
@@ -179,7 +179,7 @@ def _collapse(rows: DataFrame, keep: int) -> DataFrame:
             yield out()
 
     small = rows.filter("vec_id is not null").mapInArrow(fewer, "v array<double>, ids array<long>")
-    merged = small.groupBy("v").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, keep).alias("ids"))
+    merged = small.groupBy("v").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, keep).alias("ids"))
     return merged.withColumn("first_id", F.element_at("ids", 1))
 
 
