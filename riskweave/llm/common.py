@@ -67,32 +67,11 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class WordHash:
-    """64-bit hashes of words, remembered for the words seen most recently.
-
-    ``bound`` caps the memory, never the words: a full memory is emptied and refilled.
-    """
-
-    def __init__(self, bound: int = 1_000_000):
-        self.bound = bound
-        self.known: dict[bytes, int] = {}
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        import xxhash
-
-        known = self.known
-        try:
-            return np.array([known[w] for w in words], dtype=np.uint64)
-        except KeyError:
-            pass
-        fresh = {w for w in words if w not in known}
-        if len(known) + len(fresh) > self.bound:
-            known.clear()
-            fresh = set(words)
-        digest = xxhash.xxh3_64_intdigest
-        for w in fresh:
-            known[w] = digest(w)
-        return np.array([known[w] for w in words], dtype=np.uint64)
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes of the words. Hashing anew is quicker than looking up a large memory."""
+    import xxhash
+
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:

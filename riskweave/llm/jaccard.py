@@ -4,9 +4,13 @@ Documents link when the intersection of their shingle sets is at least ``PERCENT
 union, that is when their distance is at most ``EPS``. The way there:
 
 1. Equal sets become one set. Documents of one set share its class.
-2. A set's *prefix* is its rarest shingles, so many that linked sets share one of them (an
-   exact rule). Sets that share prefix shingles, directly or through others, are a *block*;
-   links never leave a block. Most sets share nothing and are done.
+2. A set's *prefix* is the first of its shingles in one order of all shingles, so many that
+   linked sets share one of them (an exact rule). First in the order are the shingles of one
+   set alone: they are looked for among a fixed part of all hashes (``LOOKED_AT``), whose
+   postings are the one large shuffle. A set whose whole prefix is its own links with nothing
+   and is done, as most are. The others' prefixes go on with other shingles and end with the
+   most frequent ones. Sets that share prefix shingles, directly or through others, are a *block*;
+   links never leave a block.
 3. A block is joined in the metric space. Pivots split it into Voronoi regions; a set goes to the
    region of its nearest pivot and to each region whose pivot is nearer than that distance
    plus ``2 EPS``, which the triangle inequality proves to be enough for every link to lie in
@@ -37,21 +41,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from riskweave.llm.common import WordHash, ngram_hashes, ship, space_words, table
+from riskweave.llm.common import ngram_hashes, ship, space_words, table, word_hashes
 from riskweave.llm.components import components
 from riskweave.session import materialise
 
 WORDS = 3
 PERCENT = 90
 CAPACITY = 4_000_000  # shingles that one task's block or cell holds at most
+FILTER_BITS = 1 << 26  # 8 MiB
 LEAF = 512  # sets that are joined without further pivots
 PIVOTS = 16
 RINGS = 3  # levels of rings for cells over capacity
+LOOKED_AT = 0.22  # part of all hashes that is looked through for shingles of one set alone
 SAMPLE = 8_000  # documents read to learn which shingles are frequent; places only, no results
 FREQUENT = 100_000  # frequent shingles remembered at most
-_HASHER: list[WordHash] = []
 
 
 def shingles(text: str | None, n: int = WORDS) -> np.ndarray:
@@ -59,9 +64,7 @@ def shingles(text: str | None, n: int = WORDS) -> np.ndarray:
     words = space_words(text)
     if not words:
         return np.empty(0, dtype=np.uint64)
-    if not _HASHER:
-        _HASHER.append(WordHash(400_000))
-    return np.unique(ngram_hashes(_HASHER[0](words), min(n, len(words))))
+    return np.unique(ngram_hashes(word_hashes(words), min(n, len(words))))
 
 
 def set_id(hashes: np.ndarray) -> int:
@@ -214,47 +217,127 @@ def _frequent(docs: DataFrame, n: int, sample: int) -> np.ndarray:
     return grams[np.lexsort((grams, c))]
 
 
-def _sign(docs: DataFrame, n: int, percent: int, sample: int) -> DataFrame:
-    """(doc_id, key, n_shingles, sid, prefix) of every document; sid null for empty sets."""
-    frequent = _frequent(docs, n, sample)
-    order = np.argsort(frequent)
-    shared = docs.sparkSession.sparkContext.broadcast((frequent[order], order.astype(np.int64)))  # at most FREQUENT entries
+def _order_parts(s: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Masks of a set's shingles: frequent ones, and others in the part that is looked at."""
+    frequent = np.zeros(len(s), dtype=bool)
+    if len(known):
+        frequent = known[np.minimum(np.searchsorted(known, s), len(known) - 1)] == s
+    return frequent, (s < np.uint64(int(LOOKED_AT * 2**64))) & ~frequent
+
+
+def _sign(docs: DataFrame, n: int, sent) -> DataFrame:
+    """(doc_id, key, n_shingles, sid, looked_at) of every document; sid null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, rank = shared.value
+        known = sent.value[0]
         for b in batches:
-            sizes, ids, prefixes = [], [], []
+            sizes, ids, looked = [], [], []
             for text in b.column(2):
                 s = shingles(text.as_py(), n)
                 sizes.append(len(s))
                 ids.append(set_id(s) if len(s) else None)
-                place = np.full(len(s), -1, dtype=np.int64)
-                if len(known) and len(s):
-                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                    place = np.where(known[at] == s, rank[at], -1)
-                first = np.lexsort((s, place))[: prefix_size(len(s), percent)] if len(s) else []
-                prefixes.append(s[first].view(np.int64) if len(s) else [])
+                looked.append(int(_order_parts(s, known)[1].sum()))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))],
-                ["doc_id", "key", "n_shingles", "sid", "prefix"],
+                [b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(looked, pa.int64())],
+                ["doc_id", "key", "n_shingles", "sid", "looked_at"],
             )
 
     keyed = docs.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("key"), "text")
-    return materialise(keyed.mapInArrow(run, "doc_id long, key long, n_shingles long, sid long, prefix array<long>"), "signatures")
+    return materialise(keyed.mapInArrow(run, "doc_id long, key long, n_shingles long, sid long, looked_at long"), "signatures")
 
 
-def _sets_of(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
-    """(sid, g): the whole sets of the members (sid, first_id), made again from the texts."""
+def _shared_shingles(docs: DataFrame, n: int, sent) -> DataFrame:
+    """(sid, shared): for each set, its looked-at shingles that another set has too, rarest first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, seen = sent.value[0], set()
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                held = [shingles(t.as_py(), n) for t in b.column(0).slice(at, 500)]
-                yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in held], pa.int64()), pa.array([s.view(np.int64) for s in held], pa.list_(pa.int64()))], ["sid", "g"])
+            held: list[tuple[int, np.ndarray]] = []
+            for text in b.column(0):
+                s = shingles(text.as_py(), n)
+                sid = set_id(s) if len(s) else None
+                if sid is not None and sid not in seen:  # copies within a task post once
+                    seen.add(sid)
+                    held.append((sid, s[_order_parts(s, known)[1]]))
+            if held:
+                g = np.concatenate([x for _, x in held]).view(np.int64)
+                of = np.repeat(np.array([i for i, _ in held], dtype=np.int64), [len(x) for _, x in held])
+                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(of)], ["g", "sid"])
+
+    # The frequent shingles are not posted, so no shingle has many rows here.
+    posted = docs.select("text").mapInArrow(run, "g long, sid long")
+    of_one = Window.partitionBy("g")
+    both = posted.withColumns({"low": F.min("sid").over(of_one), "high": F.max("sid").over(of_one), "n": F.count(F.lit(1)).over(of_one)})
+    ranked = both.filter("low <> high").groupBy("sid").agg(F.array_sort(F.collect_set(F.struct("n", "g"))).alias("ranked"))
+    return ranked.select("sid", F.transform("ranked", lambda r: r["g"]).alias("shared"))
+
+
+def _filter_of(members: DataFrame) -> np.ndarray:
+    """One bit for each member's hash, of ``FILTER_BITS``: a set whose bit is not there is no member.
+
+    Its size is fixed. With very many members more sets pass that are none; the join by ``sid`` sorts them out.
+    """
+    slice_bits = 1 << 16
 
-    ids = members.select(F.col("first_id").alias("of_id")).distinct()
-    texts = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("of_id")), "left_semi").select("text")
-    return texts.mapInArrow(run, "sid long, g array<long>").dropDuplicates(["sid"])
+    def build(part: pa.Table) -> pa.Table:
+        at = part.column("sid").to_numpy().view(np.uint64) % np.uint64(FILTER_BITS)
+        bits = np.zeros(slice_bits, dtype=bool)
+        bits[(at % np.uint64(slice_bits)).astype(np.int64)] = True
+        return pa.table({"slice": pa.array([int(at[0]) // slice_bits], pa.int32()), "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.column(0).to_numpy().view(np.uint64) % np.uint64(FILTER_BITS)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array((at // np.uint64(slice_bits)).astype(np.int32))], ["sid", "slice"])
+
+    parts = members.select("sid").mapInArrow(place, "sid long, slice int").groupBy("slice").applyInArrow(build, "slice int, bits binary").toArrow()
+    out = np.zeros((FILTER_BITS // slice_bits, slice_bits // 8), dtype=np.uint8)
+    for at, bits in zip(parts.column("slice").to_pylist(), parts.column("bits").to_pylist()):
+        out[at] = np.frombuffer(bits, dtype=np.uint8)
+    return out.reshape(-1)
+
+
+def _whole_sets(docs: DataFrame, members: DataFrame, n: int, percent: int, sent) -> DataFrame:
+    """(sid, g, prefix): whole sets of the members (sid, shared), made again from the texts, which stay where they are.
+
+    ``prefix`` leaves out the shingles that no other set has.
+    """
+    passing = docs.sparkSession.sparkContext.broadcast(_filter_of(members))  # FILTER_BITS, fixed
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, seen = passing.value, set()
+        for b in batches:
+            ids, sets = [], []
+            for text in b.column(0):
+                s = shingles(text.as_py(), n)
+                sid = set_id(s) if len(s) else None
+                if sid is None or sid in seen:
+                    continue
+                at = sid % (1 << 64) % FILTER_BITS
+                if bits[at >> 3] >> (at & 7) & 1:
+                    seen.add(sid)
+                    ids.append(sid)
+                    sets.append(s.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["sid", "g"])
+
+    def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, rank = sent.value
+        for b in batches:
+            prefixes = []
+            for g, shared in zip(b.column(1), b.column(2)):
+                s = np.asarray(g.values).view(np.uint64)
+                frequent, looked = _order_parts(s, known)
+                others = np.asarray(shared.values, dtype=np.int64).view(np.uint64)
+                met = np.isin(s, others)
+                wanted = prefix_size(len(s), percent) - int((looked & ~met).sum())
+                # After its own: shared ones, rarest first; those not looked at, by hash; the frequent by rank.
+                last = s[frequent]
+                last = last[np.argsort(rank[np.searchsorted(known, last)])] if len(last) else last
+                prefixes.append(np.concatenate([others, s[~looked & ~frequent], last])[: max(0, wanted)].view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(prefixes, pa.list_(pa.int64()))], ["sid", "g", "prefix"])
+
+    whole = docs.select("text").mapInArrow(make, "sid long, g array<long>").dropDuplicates(["sid"])
+    return whole.join(members.select("sid", "shared"), "sid").select("sid", "g", "shared").mapInArrow(order, "sid long, g array<long>, prefix array<long>")
 
 
 _CLASS = "sid long, root long"
@@ -325,25 +408,30 @@ def _split_large(large: DataFrame, percent: int, capacity: int) -> DataFrame:
     return out
 
 
-def classes_of_sets(docs: DataFrame, signed: DataFrame, n: int, percent: int, capacity: int) -> DataFrame:
+def classes_of_sets(docs: DataFrame, signed: DataFrame, n: int, percent: int, capacity: int, sent) -> DataFrame:
     """(sid, root): sets that link with another set, and a set that stands for their class."""
-    # A set's prefix is the same in all its documents; one row a set before prefixes are dealt out.
-    sets = signed.filter("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("first_id"), F.first("prefix").alias("prefix"))
-    sets = materialise(sets, "sets")
-    posted = sets.select("sid", F.explode("prefix").alias("p"))
+    sets = signed.filter("sid is not null").groupBy("sid").agg(F.max("n_shingles").alias("n_shingles"), F.max("looked_at").alias("looked_at"))
+    prefix = F.col("n_shingles") - F.ceil(F.col("n_shingles") * percent / 100) + 1
+    met = sets.join(_shared_shingles(docs, n, sent), "sid", "left")
+    # Sets with as many shingles of their own as a prefix has are done.
+    own = F.col("looked_at") - F.coalesce(F.size("shared"), F.lit(0))
+    members = met.filter(own < prefix).select("sid", F.coalesce("shared", F.array().cast("array<long>")).alias("shared"))
+    members = materialise(members, "shared")
+    whole = materialise(_whole_sets(docs, members, n, percent, sent), "members")
+    posted = whole.select("sid", F.explode("prefix").alias("p"))
     common = posted.groupBy("p").agg(F.min("sid").alias("lead"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("p", "lead")
     regions = materialise(posted.join(common, "p"), "regions")
-    blocks = materialise(components(regions.select(F.col("sid").alias("a"), F.col("lead").alias("b"))), "blocks")
-    members = sets.select("sid", "first_id").join(blocks.select(F.col("node").alias("sid"), F.col("root").alias("cell")), "sid")
-    whole = materialise(_sets_of(docs, members, n).join(members.select("sid", "cell"), "sid").select("cell", "sid", "g"), "members")
-    weights = materialise(whole.groupBy("cell").agg(F.sum(F.size("g").cast("long")).alias("weight")), "cells")
+    blocks = components(regions.select(F.col("sid").alias("a"), F.col("lead").alias("b"))).select(F.col("node").alias("sid"), F.col("root").alias("cell"))
+    sizes = whole.select("sid", F.size("g").cast("long").alias("size"))
+    weights = materialise(sizes.join(blocks, "sid").groupBy("cell").agg(F.sum("size").alias("weight")), "cells")
+    whole = whole.select("sid", "g").join(blocks, "sid").select("cell", "sid", "g")
     total, most = weights.agg(F.sum("weight"), F.max("weight")).first()
     if total is None:
         return docs.sparkSession.createDataFrame([], _CLASS)
+    if most <= capacity:
+        return _join_cells(whole, total, percent, capacity)
     small = whole.join(weights.filter(F.col("weight") <= capacity).select("cell"), "cell", "left_semi")
     found = _join_cells(small, total, percent, capacity)
-    if most <= capacity:
-        return found
     large = whole.join(weights.filter(F.col("weight") > capacity).select("cell"), "cell", "left_semi").drop("cell")
     by_shingle = large.join(regions.select("sid", F.col("p").alias("cell")), "sid").select("cell", "sid", "g")
     parts = materialise(_split_large(materialise(by_shingle, "cells"), percent, capacity), "cells")
@@ -361,8 +449,11 @@ def jaccard_classes(
     """
     ship(docs.sparkSession)
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = _sign(narrow, n, percent, sample)
-    found = materialise(classes_of_sets(narrow, signed, n, percent, capacity), "classes")
+    frequent = _frequent(narrow, n, sample)
+    order = np.argsort(frequent)
+    sent = docs.sparkSession.sparkContext.broadcast((frequent[order], order.astype(np.int64)))  # at most FREQUENT entries
+    signed = _sign(narrow, n, sent)
+    found = materialise(classes_of_sets(narrow, signed, n, percent, capacity, sent), "classes")
     # The smallest id of each set, then of each class; both are summed up before they are shuffled.
     first = signed.filter("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("first_id")).join(found, "sid", "left")
     first = materialise(first.select("sid", "first_id", F.coalesce("root", "sid").alias("root")), "firsts")

@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from riskweave.llm.common import WordHash, fold, mix64, ngram_hashes, space_words, table
+from riskweave.llm.common import fold, mix64, ngram_hashes, space_words, table, word_hashes
 from riskweave.session import materialise
 
 BASE = 1.2
@@ -47,19 +47,10 @@ END = np.uint64(0x9E3779B97F4A7C15)
 FLUSH = 3_000_000  # tokens counted in memory before they are handed on
 MAX_LEVEL = 1 + int(math.log(2**62) / math.log(BASE))
 
-_HASHER: list[WordHash] = []
-
-
-def _hasher() -> WordHash:
-    if not _HASHER:
-        _HASHER.append(WordHash(400_000))
-    return _HASHER[0]
-
-
 def tokens_of(text: str | None) -> np.ndarray:
     """Hashes of the words and the end token."""
     words = space_words(text)
-    return np.append(_hasher()(words), END) if words else np.array([END], dtype=np.uint64)
+    return np.append(word_hashes(words), END) if words else np.array([END], dtype=np.uint64)
 
 
 def bigrams_of(tokens: np.ndarray) -> np.ndarray:
@@ -243,11 +234,12 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             is_known = (grams[at] == types) if len(grams) else np.zeros(len(types), bool)
             base = np.where(is_known, np.log10((c[at] if len(c) else np.zeros(len(types))) + 0.5) - floor, 0.0)
             # The model's probabilities, from the filter alone.
-            low = (bloom.counts(types) + 0.5) / denominator
+            read = bloom.counts(types)
+            low = (read + 0.5) / denominator
             before = np.empty_like(inverse)
             before[1:] = inverse[:-1]
             before[starts] = np.searchsorted(types, END)
-            of_context = bloom.counts(types)[before]
+            of_context = read[before]
             together = np.minimum(bloom.counts(pairs), of_context)
             p = np.minimum(1.0, (together + mu * low[inverse]) / (of_context + mu))
             rare = np.flatnonzero(~is_known[inverse])
