@@ -9,7 +9,8 @@ input. The way there:
    so a document is a row per anchor and not a row per byte.
 2. Anchors that occur once stand for strings that occur once. Only the others go on, with
    the bytes around them, dealt out by anchor; equal stretches of one task are sent once.
-3. Each part of these stretches is indexed: a Burrows-Wheeler transform, kept as runs with the text places of the run ends.
+3. Equal stretches are one, and one that is alone with its anchor matches no other. The
+   others are indexed, part by part: a Burrows-Wheeler transform, kept as runs with the text places of the run ends.
    All stretches are then streamed backwards through the runs; the place of each string
    among the sorted ones gives its block, the strings that match it for 100 bytes or more.
    In each block the earliest start stays.
@@ -28,6 +29,7 @@ their hashes; null ids come first. Very long texts are worked through in pieces
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -316,13 +318,22 @@ def piece_hashes_of(pieces: np.ndarray) -> np.ndarray:
 def _keep_earliest(part: pa.Table) -> pa.Table:
     """(doc, first, last): starts of strings that occur nowhere earlier, of one part's stretches."""
     first_of: dict[bytes, tuple[int, int]] = {}
-    for s, doc, start in zip(part.column("stretch").to_pylist(), part.column("doc").to_pylist(), part.column("start").to_pylist()):
+    key_of: dict[bytes, int] = {}
+    for key, s, doc, start in zip(*(part.column(c).to_pylist() for c in ("key", "stretch", "doc", "start"))):
         known = first_of.get(s)
         if known is None or (doc, start) < known:
             first_of[s] = (doc, start)
-    order = sorted(first_of, key=first_of.__getitem__)
+            key_of[s] = key
+    # Equal strings have one anchor: a stretch that is alone with its anchor matches no other one.
+    company = Counter(key_of[s] for s in first_of)
     docs, firsts, lasts = [], [], []
-    for s, found in zip(order, earliest(order)):
+    for s, (doc, start) in first_of.items():
+        if company[key_of[s]] == 1:
+            docs.append(doc)
+            firsts.append(start)
+            lasts.append(start + len(s) - LENGTH)
+    order = sorted((s for s in first_of if company[key_of[s]] > 1), key=first_of.__getitem__)
+    for s, found in zip(order, earliest(order) if order else []):
         doc, start = first_of[s]
         a, z = _runs(found + start)
         docs += [doc] * len(a)
@@ -394,7 +405,8 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         same = texts["doc_id"].eqNullSafe(order["doc_id"]) & (F.xxhash64(texts["text"]) == order["hash"])
         numbered = materialise(texts.join(order, same).select(F.coalesce("doc", F.lit(0)).alias("doc"), texts["text"]).distinct(), "documents")
     found = numbered.select("doc", "text").mapInArrow(_find_anchors, "anchor long, doc long, spot long")
-    repeated = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # As a table of its own, so that the join below can split a crowded anchor.
+    repeated = materialise(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "anchor-counts")
     again = found.join(repeated, "anchor").select("doc", "spot", (F.col("n") > hot).alias("hot"))
     spots = materialise(again, "repeated-anchors")
     parts = max(1, -(-spots.count() * (LENGTH + 40) // part_bytes))
@@ -402,9 +414,9 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     cut = numbered.join(by_doc, "doc", "left").filter("spots is not null").select("doc", "text", "spots", "hot")
     stretches = cut.mapInArrow(_cut_stretches, "key long, stretch binary, doc long, start long")
     kept = stretches.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts))).groupBy("part").applyInArrow(_keep_earliest, "doc long, first long, last long")
-    firsts = materialise(kept, "earliest")
-    keep_by_doc = firsts.groupBy("doc").agg(F.collect_list("first").alias("firsts"), F.collect_list("last").alias("lasts"))
-    whole = numbered.join(by_doc.drop("hot"), "doc", "left").join(keep_by_doc, "doc", "left")
+    # No table in between: both joins by document read one shuffle of the texts.
+    keep_by_doc = kept.groupBy("doc").agg(F.collect_list("first").alias("firsts"), F.collect_list("last").alias("lasts"))
+    whole = numbered.join(by_doc, "doc", "left").join(keep_by_doc, "doc", "left")
     done = whole.select("doc", "text", "spots", "firsts", "lasts").mapInArrow(_apply, "doc long, n_bytes long, spans array<struct<from: bigint, until: bigint>>, kept binary")
     if order is None:
         return done.withColumnRenamed("doc", "doc_id")
