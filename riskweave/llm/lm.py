@@ -10,9 +10,11 @@ Dirichlet smoothing over the counts read back:
 
 with ``c(h w)`` at most ``c(h)``. The first token follows the end token.
 
-The filter is the only model that is broadcast. Its size follows the number of events, up to
-``MAX_BITS``; beyond that, the rarest n-grams are left to the smoothing (the least count kept
-rises until the rest fits), while counting itself covers every token. The exact unigram score
+The filter holds every n-gram of the training documents, those seen once included, and its size
+follows their number. It is made of slices; an n-gram's events lie in one of them. The first
+slices, up to ``MAX_BITS``, are broadcast. The others stay a table: the distinct n-grams of a chunk of
+documents that lie there are sent to their slices, and the levels found come back to the chunk.
+Which slices are broadcast moves data and changes no result. The exact unigram score
 needs exact counts: frequent tokens (at most ``FREQUENT`` of them) are looked up in a
 broadcast table, and all other tokens meet their counts in a join.
 
@@ -32,6 +34,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from riskweave.llm.common import fold, mix64, ngram_hashes, space_words, table, word_hashes
@@ -39,12 +42,13 @@ from riskweave.session import materialise
 
 BASE = 1.2
 PROBES = 4
-MAX_BITS = 1 << 28  # 32 MiB
+MAX_BITS = 1 << 28  # 32 MiB of the filter are broadcast at most
 SLICE_BITS = 1 << 16
 FREQUENT = 1 << 19
 MU = 60.0
 END = np.uint64(0x9E3779B97F4A7C15)
 FLUSH = 3_000_000  # tokens counted in memory before they are handed on
+CHUNK = 1 << 22  # bytes of text whose n-grams ask the slices together
 MAX_LEVEL = 1 + int(math.log(2**62) / math.log(BASE))
 
 def tokens_of(text: str | None) -> np.ndarray:
@@ -66,20 +70,33 @@ def level_of(counts: np.ndarray) -> np.ndarray:
 LEVEL_COUNT = np.concatenate([[0.0], [max(1.0, BASE ** (q - 0.5)) if q > 1 else 1.0 for q in range(1, MAX_LEVEL + 2)]])
 
 
+def slice_of(ngrams: np.ndarray, slices: int) -> np.ndarray:
+    return mix64(ngrams) % np.uint64(slices)
+
+
 def event_places(ngrams: np.ndarray, level: int | np.ndarray, slices: int) -> np.ndarray:
     """Bit positions, one row per probe. All probes of an n-gram stay within one slice."""
     offsets = np.uint64(SLICE_BITS - 1)
-    base = mix64(ngrams) % np.uint64(slices) * np.uint64(SLICE_BITS)
+    base = slice_of(ngrams, slices) * np.uint64(SLICE_BITS)
     h = mix64(ngrams + np.asarray(level).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
     return np.stack([base + ((h >> np.uint64(16 * k)) & offsets) for k in range(PROBES)])
 
 
 @dataclass
 class LogBloom:
-    """Bits of the events; ``slices`` blocks of SLICE_BITS."""
+    """Bits of the events: blocks of SLICE_BITS, ``sent`` of the filter's ``slices`` from ``first`` on."""
 
     slices: int
     bits: np.ndarray
+    first: int = 0
+
+    @property
+    def sent(self) -> int:
+        return len(self.bits) * 8 // SLICE_BITS
+
+    def holds(self, ngrams: np.ndarray) -> np.ndarray:
+        """Whether the n-grams' slices are here."""
+        return slice_of(ngrams, self.slices) - np.uint64(self.first) < np.uint64(self.sent)
 
     def has(self, places: np.ndarray) -> np.ndarray:
         found = np.ones(places.shape[1], dtype=bool)
@@ -90,19 +107,17 @@ class LogBloom:
         return found
 
     def levels(self, ngrams: np.ndarray) -> np.ndarray:
-        """Level of each n-gram, by probing until a level is absent."""
+        """Level of each n-gram, by probing until a level is absent; 0 if its slice is not here."""
         out = np.zeros(len(ngrams), dtype=np.int64)
-        live = np.arange(len(ngrams))
+        live = np.arange(len(ngrams)) if self.sent == self.slices else np.flatnonzero(self.holds(ngrams))
+        before = np.uint64(self.first * SLICE_BITS)
         for level in range(1, MAX_LEVEL + 1):
             if not len(live):
                 break
-            live = live[self.has(event_places(ngrams[live], level, self.slices))]
+            live = live[self.has(event_places(ngrams[live], level, self.slices) - before)]
             out[live] = level
         return out
 
-    def counts(self, ngrams: np.ndarray) -> np.ndarray:
-        return LEVEL_COUNT[self.levels(ngrams)]
-
 
 def count_ngrams(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(n, gram, c): exact counts of all unigrams and bigrams, by hash."""
@@ -144,6 +159,7 @@ class Model:
     n_tokens: int
     n_types: int
     bloom: LogBloom
+    slices: DataFrame | None  # (slice, bits) of the slices that are not in ``bloom``
     frequent: tuple[np.ndarray, np.ndarray]
     frequent_from: int
 
@@ -159,21 +175,17 @@ def _least_that_fits(histogram: list[tuple[int, int]], weight, bound: float) ->
     return least if least is not None else (1 << 62)
 
 
-def _bloom(counts: DataFrame, histogram: list[tuple[int, int]], max_bits: int) -> LogBloom:
-    """The filter over all n-grams that fit, built slice by slice in tasks."""
-    spark = counts.sparkSession
+def _bloom(counts: DataFrame, histogram: list[tuple[int, int]], max_bits: int) -> tuple[LogBloom, DataFrame | None]:
+    """The filter over all n-grams, built slice by slice in tasks: what is broadcast, and the table of the other slices."""
     bits_each = PROBES / math.log(2)
-    # Counts seen once are what the smoothing stands for: the filter starts at two.
-    repeated = [(c, rows) for c, rows in histogram if c >= 2]
-    weight = lambda c: float(level_of(np.array([c]))[0]) * bits_each
-    least = max(2, _least_that_fits(repeated, weight, max_bits))
-    wanted = sum(rows * weight(c) for c, rows in repeated if c >= least)
+    wanted = sum(rows * float(level_of(np.array([c]))[0]) * bits_each for c, rows in histogram)
     slices = max(1, math.ceil(wanted / SLICE_BITS))
+    sent = min(slices, max_bits // SLICE_BITS)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             grams = b.column(0).to_numpy().view(np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array((mix64(grams) % np.uint64(slices)).astype(np.int32)), b.column(0), b.column(1)], ["slice", "gram", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array(slice_of(grams, slices).astype(np.int32)), b.column(0), b.column(1)], ["slice", "gram", "c"])
 
     def build(batch: pa.Table) -> pa.Table:
         grams, levels = batch.column("gram").to_numpy().view(np.uint64), level_of(batch.column("c").to_numpy())
@@ -182,13 +194,18 @@ def _bloom(counts: DataFrame, histogram: list[tuple[int, int]], max_bits: int) -
             bits[event_places(grams[levels >= level], level, slices) % np.uint64(SLICE_BITS)] = True
         return pa.table({"slice": batch.column("slice").slice(0, 1), "bits": [np.packbits(bits, bitorder="little").tobytes()]})
 
-    kept = counts.filter(F.col("c") >= least).select("gram", "c")
     # A slice takes a bounded number of events, so its group is small at any size of input.
-    parts = kept.mapInArrow(place, "slice int, gram long, c long").groupBy("slice").applyInArrow(build, "slice int, bits binary").toArrow()
-    out = np.zeros((slices, SLICE_BITS // 8), dtype=np.uint8)
-    for s, bits in zip(parts.column("slice").to_pylist(), parts.column("bits").to_pylist()):
+    parts = counts.select("gram", "c").mapInArrow(place, "slice int, gram long, c long").groupBy("slice").applyInArrow(build, "slice int, bits binary")
+    others = None
+    if sent < slices:
+        parts = materialise(parts, "filter")
+        others = parts.filter(F.col("slice") >= sent)
+        parts = parts.filter(F.col("slice") < sent)
+    found = parts.toArrow()  # at most max_bits
+    out = np.zeros((sent, SLICE_BITS // 8), dtype=np.uint8)
+    for s, bits in zip(found.column("slice").to_pylist(), found.column("bits").to_pylist()):
         out[s] = np.frombuffer(bits, dtype=np.uint8)
-    return LogBloom(slices, out.reshape(-1))
+    return LogBloom(slices, out.reshape(-1)), others
 
 
 def learn(docs: DataFrame, text_col: str = "text", max_bits: int = MAX_BITS, frequent: int = FREQUENT) -> Model:
@@ -199,17 +216,77 @@ def learn(docs: DataFrame, text_col: str = "text", max_bits: int = MAX_BITS, fre
     by_count = counts.groupBy("n", floor.alias("at_least")).agg(F.count(F.lit(1)).alias("rows"), F.sum("c").alias("tokens")).collect()
     n_tokens = sum(r.tokens for r in by_count if r.n == 1)
     n_types = sum(r["rows"] for r in by_count if r.n == 1)
-    bloom = _bloom(counts, [(r.at_least, r["rows"]) for r in by_count], max_bits)
+    bloom, slices = _bloom(counts, [(r.at_least, r["rows"]) for r in by_count], max_bits)
     least = _least_that_fits([(r.at_least, r["rows"]) for r in by_count if r.n == 1], lambda _: 1, frequent)
     top = counts.filter((F.col("n") == 1) & (F.col("c") >= least)).select("gram", "c").toArrow()  # at most ``frequent`` rows
     grams, c = top.column("gram").to_numpy().view(np.uint64), top.column("c").to_numpy()
     order = np.argsort(grams)
-    return Model(counts, n_tokens, n_types, bloom, (grams[order], c[order]), least)
+    return Model(counts, n_tokens, n_types, bloom, slices, (grams[order], c[order]), least)
 
 
 _SCORED = "row long, n_tokens long, n_known long, base_score double, score double, rare array<long>"
 
 
+def _in_chunks(numbered: DataFrame) -> DataFrame:
+    """The rows with the chunk they belong to, written once; a chunk is named by its first row."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, held = None, 0
+        for b in batches:
+            chunks = []
+            for row, size in zip(b.column(0).to_pylist(), pc.binary_length(b.column(1)).to_pylist()):
+                if chunk is None or held + (size or 0) > CHUNK:
+                    chunk, held = row, 0
+                held += size or 0
+                chunks.append(chunk)
+            yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), *b.columns], ["chunk", *b.schema.names])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in numbered.schema)
+    return materialise(numbered.mapInArrow(deal, f"chunk long, {schema}"), "lm-chunks")
+
+
+def _answers(chunks: DataFrame, model: Model, shared) -> DataFrame:
+    """(chunk, gram, level): the chunks' n-grams that the slices not broadcast hold; all others there have level 0."""
+    slices = model.bloom.slices
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bloom = shared.value[0]
+        for b in batches:
+            of = b.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)] if len(of) else [0]
+            for low, high in zip(cuts[:-1], cuts[1:]):
+                texts = [tokens_of(t.as_py()) for t in b.column(1).slice(low, high - low)]
+                grams = np.unique(np.concatenate([*texts, *map(bigrams_of, texts)]))
+                grams = grams[~bloom.holds(grams)]
+                for at in range(0, len(grams), 1 << 18):
+                    g = grams[at : at + (1 << 18)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(slice_of(g, slices).astype(np.int32)), pa.array(np.full(len(g), of[low])), pa.array(g.view(np.int64))], ["slice", "chunk", "gram"]
+                    )
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here = None
+        for b in batches:
+            of = b.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)] if len(of) else [0]
+            for low, high in zip(cuts[:-1], cuts[1:]):
+                if b.column(3)[low].is_valid:  # the slice itself comes before its n-grams
+                    here = LogBloom(slices, np.frombuffer(b.column(3)[low].as_py(), dtype=np.uint8), int(of[low]))
+                    low += 1
+                if low == high or here is None or here.first != of[low]:
+                    continue  # a slice without a row has no n-grams
+                chunk, gram = b.column(1).slice(low, high - low).to_numpy(), b.column(2).slice(low, high - low).to_numpy()
+                level = here.levels(gram.view(np.uint64))
+                yes = level > 0
+                yield pa.RecordBatch.from_arrays([pa.array(chunk[yes]), pa.array(gram[yes]), pa.array(level[yes].astype(np.int8))], ["chunk", "gram", "level"])
+
+    asked = chunks.select("chunk", "text").mapInArrow(ask, "slice int, chunk long, gram long").withColumn("bits", F.lit(None).cast("binary"))
+    kept = model.slices.select("slice", F.lit(0).cast("long").alias("chunk"), F.lit(0).cast("long").alias("gram"), "bits")
+    # A slice and its n-grams pass by in order: one slice is held at a time, however many ask it.
+    by_slice = kept.unionByName(asked).repartition("slice").sortWithinPartitions("slice", F.col("bits").isNull())
+    return by_slice.mapInArrow(answer, "chunk long, gram long, level tinyint")
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: dict[str, Column] | None = None, mu: float = MU) -> DataFrame:
     """Per document: tokens, known tokens, exact unigram score, model score."""
     spark = docs.sparkSession
@@ -220,9 +297,17 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def by_document(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
         return np.add.reduceat(values, starts)
 
-    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rate(batches: Iterator[pa.RecordBatch], answers: tuple[np.ndarray, np.ndarray] | None = None) -> Iterator[pa.RecordBatch]:
         bloom, (grams, c) = shared.value
 
+        def counts_of(ngrams: np.ndarray) -> np.ndarray:
+            levels = bloom.levels(ngrams)
+            if answers is not None and len(answers[0]):
+                at = np.minimum(np.searchsorted(answers[0], ngrams), len(answers[0]) - 1)
+                # Only n-grams of slices that are not here have an answer.
+                levels = np.where(answers[0][at] == ngrams, answers[1][at], levels)
+            return LEVEL_COUNT[levels]
+
         def emit(rows: list[int], texts: list[np.ndarray]) -> pa.RecordBatch:
             sizes = np.array([len(t) for t in texts])
             starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
@@ -234,13 +319,13 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             is_known = (grams[at] == types) if len(grams) else np.zeros(len(types), bool)
             base = np.where(is_known, np.log10((c[at] if len(c) else np.zeros(len(types))) + 0.5) - floor, 0.0)
             # The model's probabilities, from the filter alone.
-            read = bloom.counts(types)
+            read = counts_of(types)
             low = (read + 0.5) / denominator
             before = np.empty_like(inverse)
             before[1:] = inverse[:-1]
             before[starts] = np.searchsorted(types, END)
             of_context = read[before]
-            together = np.minimum(bloom.counts(pairs), of_context)
+            together = np.minimum(counts_of(pairs), of_context)
             p = np.minimum(1.0, (together + mu * low[inverse]) / (of_context + mu))
             rare = np.flatnonzero(~is_known[inverse])
             cuts = np.searchsorted(rare, starts)
@@ -271,15 +356,25 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     names = [k for k in numbered.columns if k not in ("row", "text")]
     kept_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in numbered.select(*names).schema)
 
-    def rate_and_keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rate_and_keep(batches: Iterator[pa.RecordBatch], answers: tuple[np.ndarray, np.ndarray] | None = None) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = 0
-            for out in rate(iter([b])):
+            for out in rate(iter([b]), answers):
                 kept = [b.column(i).slice(at, out.num_rows) for i in range(2, b.num_columns)]
                 at += out.num_rows
                 yield pa.RecordBatch.from_arrays([*out.columns, *kept], [*out.schema.names, *names])
 
-    scored = materialise(numbered.mapInArrow(rate_and_keep, f"{_SCORED}, {kept_schema}"), "lm-scores")
+    def rate_chunk(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        found, first = np.unique(answers.column("gram").to_numpy().view(np.uint64), return_index=True)
+        levels = answers.column("level").to_numpy()[first].astype(np.int64)
+        return pa.Table.from_batches(list(rate_and_keep(rows.drop_columns("chunk").to_batches(), (found, levels))))
+
+    if model.slices is None:
+        rated = numbered.mapInArrow(rate_and_keep, f"{_SCORED}, {kept_schema}")
+    else:
+        chunks = _in_chunks(numbered)
+        rated = chunks.groupBy("chunk").cogroup(_answers(chunks, model, shared).groupBy("chunk")).applyInArrow(rate_chunk, f"{_SCORED}, {kept_schema}")
+    scored = materialise(rated, "lm-scores")
     rare_counts = model.counts.filter((F.col("n") == 1) & (F.col("c") < model.frequent_from)).select("gram", "c")
     rare = scored.select("row", F.explode("rare").alias("gram")).groupBy("row", "gram").agg(F.count(F.lit(1)).alias("times"))
     met = rare.join(rare_counts, "gram", "left").select("row", "times", F.coalesce("c", F.lit(0)).alias("c"))
