@@ -1,7 +1,8 @@
 """Documents to training sequences: five stages, each over all that the one before kept.
 
 1. quality: documents that the classifier scores under 0.7 go.
-2. near_duplicates: of each class of linked documents the one with the smallest id stays.
+2. near_duplicates: of each class of linked documents (five-word shingles, similarity of 0.8 or more) the one with the
+   smallest id stays.
 3. decontamination: documents that a benchmark contaminates go.
 4. secrets: secrets are masked in the texts, whose stored length follows; all documents stay.
 5. packing: the documents as power-of-two sequences of token ids.
@@ -15,6 +16,10 @@ from riskweave.llm import decontaminate, jaccard, packing, quality, secrets
 from riskweave.llm.common import fold, ship, table
 from riskweave.session import materialise
 
+# The job's limits for near duplicates; op3's query has its own.
+WORDS = 5
+PERCENT = 80
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows scored 0.7 or more, by a model of the labelled rows that op2 learns from."""
@@ -24,9 +29,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each class of near duplicates."""
+    """One row of each class of near duplicates: texts that share `PERCENT` per cent of their `WORDS`-word shingles."""
     ship(spark)
-    return jaccard.one_of_each(docs)
+    return jaccard.one_of_each(docs, n=WORDS, percent=PERCENT)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

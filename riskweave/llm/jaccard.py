@@ -54,7 +54,7 @@ FILTER_BITS = 1 << 26  # 8 MiB
 LEAF = 512  # sets that are joined without further pivots
 PIVOTS = 16
 RINGS = 3  # levels of rings for cells over capacity
-LOOKED_AT = 0.22  # part of all hashes that is looked through for shingles of one set alone
+LOOKED_AT = 0.22  # part of all hashes that is looked through for shingles of one set alone, for prefixes of a tenth
 SAMPLE = 8_000  # documents read to learn which shingles are frequent; places only, no results
 FREQUENT = 100_000  # frequent shingles remembered at most
 
@@ -217,26 +217,26 @@ def _frequent(docs: DataFrame, n: int, sample: int) -> np.ndarray:
     return grams[np.lexsort((grams, c))]
 
 
-def _order_parts(s: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _order_parts(s: np.ndarray, known: np.ndarray, below: np.uint64) -> tuple[np.ndarray, np.ndarray]:
     """Masks of a set's shingles: frequent ones, and others in the part that is looked at."""
     frequent = np.zeros(len(s), dtype=bool)
     if len(known):
         frequent = known[np.minimum(np.searchsorted(known, s), len(known) - 1)] == s
-    return frequent, (s < np.uint64(int(LOOKED_AT * 2**64))) & ~frequent
+    return frequent, (s < below) & ~frequent
 
 
 def _sign(docs: DataFrame, n: int, sent) -> DataFrame:
     """(doc_id, key, n_shingles, sid, looked_at) of every document; sid null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value[0]
+        known, _, below = sent.value
         for b in batches:
             sizes, ids, looked = [], [], []
             for text in b.column(2):
                 s = shingles(text.as_py(), n)
                 sizes.append(len(s))
                 ids.append(set_id(s) if len(s) else None)
-                looked.append(int(_order_parts(s, known)[1].sum()))
+                looked.append(int(_order_parts(s, known, below)[1].sum()))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(looked, pa.int64())],
                 ["doc_id", "key", "n_shingles", "sid", "looked_at"],
@@ -250,7 +250,7 @@ def _shared_shingles(docs: DataFrame, n: int, sent) -> DataFrame:
     """(sid, shared): for each set, its looked-at shingles that another set has too, rarest first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen = sent.value[0], set()
+        (known, _, below), seen = sent.value, set()
         for b in batches:
             held: list[tuple[int, np.ndarray]] = []
             for text in b.column(0):
@@ -258,7 +258,7 @@ def _shared_shingles(docs: DataFrame, n: int, sent) -> DataFrame:
                 sid = set_id(s) if len(s) else None
                 if sid is not None and sid not in seen:  # copies within a task post once
                     seen.add(sid)
-                    held.append((sid, s[_order_parts(s, known)[1]]))
+                    held.append((sid, s[_order_parts(s, known, below)[1]]))
             if held:
                 g = np.concatenate([x for _, x in held]).view(np.int64)
                 of = np.repeat(np.array([i for i, _ in held], dtype=np.int64), [len(x) for _, x in held])
@@ -321,12 +321,12 @@ def _whole_sets(docs: DataFrame, members: DataFrame, n: int, percent: int, sent)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["sid", "g"])
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, rank = sent.value
+        known, rank, below = sent.value
         for b in batches:
             prefixes = []
             for g, shared in zip(b.column(1), b.column(2)):
                 s = np.asarray(g.values).view(np.uint64)
-                frequent, looked = _order_parts(s, known)
+                frequent, looked = _order_parts(s, known, below)
                 others = np.asarray(shared.values, dtype=np.int64).view(np.uint64)
                 met = np.isin(s, others)
                 wanted = prefix_size(len(s), percent) - int((looked & ~met).sum())
@@ -451,7 +451,9 @@ def jaccard_classes(
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     frequent = _frequent(narrow, n, sample)
     order = np.argsort(frequent)
-    sent = docs.sparkSession.sparkContext.broadcast((frequent[order], order.astype(np.int64)))  # at most FREQUENT entries
+    # Longer prefixes are looked for in a larger part of the hashes, or few sets would be done.
+    below = np.uint64(int(min(0.99, LOOKED_AT * (100 - percent) / 10) * 2**64))
+    sent = docs.sparkSession.sparkContext.broadcast((frequent[order], order.astype(np.int64), below))  # at most FREQUENT entries
     signed = _sign(narrow, n, sent)
     found = materialise(classes_of_sets(narrow, signed, n, percent, capacity, sent), "classes")
     # The smallest id of each set, then of each class; both are summed up before they are shuffled.
