@@ -287,7 +287,17 @@ def gaps(manifest: DataFrame, records: DataFrame) -> DataFrame:
     return spans.unionByName(ends).select("path", before.alias("from"), F.col("offset").alias("until")).filter("from < until")
 
 
+def whole(manifest: DataFrame, records: DataFrame) -> DataFrame:
+    """The settled records of archives in which none may be missing; the gaps are logged in the shared folder."""
+    log, kept = materialise(gaps(manifest, records), "warc-gaps"), settle(records)
+    n_gaps, lost = log.agg(F.count(F.lit(1)), F.sum(F.col("until") - F.col("from"))).first()
+    written, read = manifest.agg(F.sum("records")).first()[0] or 0, kept.count()
+    if n_gaps or read != written:
+        raise ValueError(f"{written} records were written and {read} read; {n_gaps} gaps of {lost or 0} bytes, logged in {log.inputFiles()[:1]}")
+    return kept
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = write_archives(table(spark, sf_dir, "pages"), fresh_path(spark, "warc"))
-    records = read_archives(manifest)
-    return settle(records.drop("payload", "url")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    records = materialise(read_archives(manifest).drop("payload", "url"), "warc-records")
+    return whole(manifest, records).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
