@@ -14,6 +14,7 @@ from riskweave.llm.neighbours import op10_neighbours
 from riskweave.llm.packing import op4_packing
 from riskweave.llm.quality import op2_quality
 from riskweave.llm.repeats import op5_repeats
+from riskweave.llm.resample import op12_resample, op12_sql
 from riskweave.llm.secrets import op8_secrets
 from riskweave.llm.warc import op7_warc
 
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_licenses, op2_quality, op3_jaccard_join, op4_packing, op5_repeats,
         op6_lm_score, op7_warc, op8_secrets, op9_decontamination, op10_neighbours,
+        op12_resample,
     )
 }
-SQL: dict[str, str] = {"op1_licenses": op1_sql()}
+SQL: dict[str, str] = {"op1_licenses": op1_sql(), "op12_resample": op12_sql()}
