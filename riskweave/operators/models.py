@@ -1,41 +1,46 @@
-"""Training, scoring, calibration and stacking on MLlib.
+"""Training, scoring, calibration and stacking.
 
 Every fitted statistic (medians, levels, scales, weights, models) comes from the
 training rows and lives in pipeline stages, so a holdout goes through the very same
 steps and a model can be saved and loaded.
 
-Where MLlib and the usual single-machine libraries differ: balanced weights of the
-forest are global, not per bootstrap sample; boosted trees grow level by level, not
-leaf by leaf; the scaler divides by the sample deviation.
+All fits of one kind are made together: the model of all rows, those of the folds and those of groups or
+clusters share every scan (``lockstep``, ``newton``). Class weights are those of each fit's own rows, and of each bag in a forest.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import partial
 from typing import Any
 
+import numpy as np
 from pyspark import inheritable_thread_target
 
 from pyspark.ml import PipelineModel, Transformer
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from riskweave.functions.columns import logit
-from riskweave.operators.encode import MAX_LEVELS, Encoding, balance_weights, fit_encoding
+from riskweave.operators.encode import MAX_LEVELS, Encoding, fit_encoding
 from riskweave.operators.features import CATEGORIES, ID, NUMERIC_FEATURES, TARGET
+from riskweave.operators.fitted import FittedLinear, FittedTrees
+from riskweave.operators.isotonic import isotonic_blocks
+from riskweave.operators.lockstep import BoostSettings, ForestSettings, boost, fit_bins, fit_counts, grow_forests, pack
 from riskweave.operators.metrics import evaluate
+from riskweave.operators.newton import fit_logistics
 from riskweave.operators.split import fold
-from riskweave.session import materialise
+from riskweave.session import materialise, ship
 
 MODEL_NAMES = ("logreg", "rf", "gbt")
 FITS_AT_ONCE = 8
 LOWEST_GAIN = 0.01
+LEAST_GROUP = 50  # training rows that a group needs for a model of its own
+ALL = "all"
 
 
 @dataclass(frozen=True)
@@ -49,7 +54,7 @@ class Settings:
     gbt_rounds: int = 500
     gbt_step: float = 0.05
     gbt_depth: int = 6
-    gbt_subsample: float = 0.8
+    gbt_leaves: int = 31
     gbt_columns: float = 0.8
     min_leaf: int = 20
     stack_c: float = 1.0
@@ -57,59 +62,57 @@ class Settings:
     folds: int = 5
     seed: int = 42
 
+    @property
+    def boosting(self) -> BoostSettings:
+        return BoostSettings(self.gbt_rounds, self.gbt_step, self.gbt_leaves, self.gbt_depth, self.min_leaf, self.gbt_columns, self.seed)
 
-def _logistic(features: str, c: float, n: int, iterations: int, name: str, weight: str | None) -> LogisticRegression:
-    """Ridge penalty of strength 1/C on the summed loss, which MLlib averages."""
-    lr = LogisticRegression(
-        featuresCol=features, labelCol=TARGET, regParam=1.0 / (c * max(n, 1)), elasticNetParam=0.0,
-        standardization=False, maxIter=iterations, tol=1e-6,
-        rawPredictionCol=f"raw_{name}", probabilityCol=f"prob_{name}", predictionCol=f"pred_{name}",
-    )
-    return lr.setWeightCol(weight) if weight else lr
-
-
-def _forest(features: str, s: Settings) -> RandomForestClassifier:
-    return RandomForestClassifier(
-        featuresCol=features, labelCol=TARGET, weightCol="weight", numTrees=s.rf_trees, maxDepth=s.rf_depth,
-        minInstancesPerNode=s.min_leaf, seed=s.seed,
-        rawPredictionCol="raw_rf", probabilityCol="prob_rf", predictionCol="pred_rf",
-    )
-
-
-def _boosted(features: str, s: Settings) -> GBTClassifier:
-    gbt = GBTClassifier(
-        featuresCol=features, labelCol=TARGET, weightCol="weight", maxIter=s.gbt_rounds, stepSize=s.gbt_step,
-        maxDepth=s.gbt_depth, subsamplingRate=s.gbt_subsample, featureSubsetStrategy=str(s.gbt_columns),
-        minInstancesPerNode=s.min_leaf, seed=s.seed,
-    )
-    return gbt.setRawPredictionCol("raw_gbt").setProbabilityCol("prob_gbt").setPredictionCol("pred_gbt")
+    @property
+    def forest(self) -> ForestSettings:
+        return ForestSettings(self.rf_trees, self.rf_depth, self.min_leaf, self.seed)
 
 
 def concurrently(jobs: Sequence[Callable[[], Any]], at_once: int = FITS_AT_ONCE) -> list:
-    """Results of independent fits, submitted together: a boosted fit alone is a long line of small jobs."""
+    """Results of independent fits, submitted together: each is a line of small jobs that leaves cores idle."""
     inherit = inheritable_thread_target(SparkSession.active())
     with ThreadPoolExecutor(max_workers=max(1, min(at_once, len(jobs)))) as pool:
         return [f.result() for f in [pool.submit(inherit(j)) for j in jobs]]
 
 
-def fit_one(name: str, prepared: DataFrame, n: int, settings: Settings, features: str = "features") -> PipelineModel:
-    """Fit one named model on rows that have features, target and weight."""
+def fit_many(
+    name: str, prepared: DataFrame, fits: Mapping[str, Column], settings: Settings, features: str = "features", widths: Mapping[str, int] | None = None
+) -> dict[str, PipelineModel]:
+    """One named model per fit, all in lock step; a fit is a condition on the rows it learns from.
+
+    ``prepared`` are written rows with features and target. ``widths`` limits the named fits to leading features (boosting only).
+    """
+    if name not in MODEL_NAMES:
+        raise ValueError(f"unknown model: {name}")
+    ship(prepared.sparkSession)
+    keys, conditions = list(fits), list(fits.values())
     if name == "logreg":
-        scaler = StandardScaler(inputCol=features, outputCol="scaled", withMean=True, withStd=True).fit(prepared)
-        lr = _logistic("scaled", settings.lr_c, n, settings.lr_iterations, "logreg", "weight")
-        return PipelineModel([scaler, lr.fit(scaler.transform(prepared))])
+        found = fit_logistics(prepared, TARGET, conditions, settings.lr_c, features, iterations=settings.lr_iterations)
+        return {k: PipelineModel([FittedLinear.of(f).named(name, features)]) for k, f in zip(keys, found)}
+    counts = fit_counts(prepared, TARGET, conditions)
+    bins = fit_bins(prepared, ID, features)
+    blocks = pack(prepared, ID, TARGET, conditions, bins, int(counts.sum()), features)
+    width = len(bins.edges)
     if name == "rf":
-        return PipelineModel([_forest(features, settings).fit(prepared)])
-    if name == "gbt":
-        return PipelineModel([_boosted(features, settings).fit(prepared)])
-    raise ValueError(f"unknown model: {name}")
+        found = grow_forests(blocks, bins, counts, settings.forest)
+    else:
+        limits = [(widths or {}).get(k, width) for k in keys]
+        found = boost(blocks, bins, counts, np.zeros(len(keys)), limits, settings.boosting)
+    return {k: PipelineModel([FittedTrees.of(f, bins, width, name == "rf").named(name, features)]) for k, f in zip(keys, found)}
+
+
+def fit_one(name: str, prepared: DataFrame, settings: Settings, features: str = "features") -> PipelineModel:
+    """The named model of all rows."""
+    return fit_many(name, prepared, {ALL: F.lit(True)}, settings, features)[ALL]
 
 
 def add_probability(df: DataFrame, name: str, model: Transformer, out: str | None = None) -> DataFrame:
     """Transform and keep the probability of the positive class only."""
-    made = [f"raw_{name}", f"prob_{name}", f"pred_{name}", "scaled"]
     scored = model.transform(df)
-    return scored.withColumn(out or f"p_{name}", vector_to_array(F.col(f"prob_{name}"))[1]).drop(*made)
+    return scored.withColumn(out or f"p_{name}", vector_to_array(F.col(f"prob_{name}"))[1]).drop(f"raw_{name}", f"prob_{name}", f"pred_{name}")
 
 
 @dataclass
@@ -121,6 +124,8 @@ class Trained:
     models: dict[str, PipelineModel]
     settings: Settings
     n_train: int = 0
+    #: Models of folds and groups: (fit, model name) to model.
+    others: dict[tuple[str, str], PipelineModel] = field(default_factory=dict)
 
     def prepared(self, df: DataFrame) -> DataFrame:
         return self.prepare.transform(df)
@@ -146,9 +151,17 @@ class Trained:
 
 
 def training_frame(prepared: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """Only what fitting needs: id, target, features, weight and the named extras."""
-    slim = prepared.select(ID, F.col(TARGET).cast("int").alias(TARGET), "features", *keep)
-    return balance_weights(slim)
+    """Only what fitting needs: id, target, features and the named extras."""
+    return prepared.select(ID, F.col(TARGET).cast("int").alias(TARGET), "features", *keep)
+
+
+def fold_fits(folds: int) -> dict[str, Column]:
+    """Fits that leave one fold out each."""
+    return {f"without fold {k}": fold(ID, folds) != k for k in range(folds)}
+
+
+def group_fits(group: str, groups: Sequence) -> dict[str, Column]:
+    return {f"{group} = {g}": F.col(group) == g for g in groups}
 
 
 def train_models(
@@ -160,18 +173,32 @@ def train_models(
     sensitive_as_features: bool = False,
     keep: Sequence[str] = (),
     max_levels: int = MAX_LEVELS,
+    also: Mapping[str, Column] | None = None,
+    groups: Mapping[str, Column] | None = None,
 ) -> tuple[Trained, DataFrame]:
     """Fit the encoding and every named model on training rows.
 
     Returns the trained set and the training frame, written once and read by every fit.
-    A category with more than ``max_levels`` levels is an error.
+    A category with more than ``max_levels`` levels is an error. ``also`` are further fits of every model, ``groups`` further
+    fits of the boosted trees alone, made in lock step; groups with too few rows or one class are left out.
     """
     encoding = fit_encoding(train, numeric, categories, sensitive_as_features, max_levels)
     prepare = PipelineModel(encoding.stages())
     prepared = materialise(training_frame(prepare.transform(train), keep), "train")
-    n = prepared.count()
-    models = dict(zip(names, concurrently([partial(fit_one, name, prepared, n, settings) for name in names])))
-    return Trained(encoding, prepare, models, settings, n), prepared
+    large, n = {}, 0
+    if groups or also:
+        wanted = {ALL: F.lit(True)} | dict(groups or {})
+        counts = dict(zip(wanted, fit_counts(prepared, TARGET, list(wanted.values()))))
+        n = int(counts.pop(ALL).sum())
+        large = {k: wanted[k] for k, c in counts.items() if c.sum() >= LEAST_GROUP and c.min() > 0}
+    else:
+        n = prepared.count()
+    fits = {ALL: F.lit(True)} | dict(also or {})
+    jobs = [partial(fit_many, name, prepared, fits | (large if name == "gbt" else {}), settings) for name in names]
+    found = dict(zip(names, concurrently(jobs)))
+    models = {name: found[name].pop(ALL) for name in names}
+    others = {(k, name): model for name in names for k, model in found[name].items()}
+    return Trained(encoding, prepare, models, settings, n, others), prepared
 
 
 # --- calibration -----------------------------------------------------------------
@@ -180,13 +207,12 @@ def train_models(
 def fit_isotonic(df: DataFrame, score: str, label: str) -> IsotonicRegressionModel:
     """Increasing step fit of outcome on score.
 
-    Rows collapse to (score, outcome, count) first: the fit is the same and a
-    heavily tied score costs two rows.
+    The fit is pooled by ranges of score in tasks (``isotonic_blocks``); the built-in model is made of the finished blocks,
+    their ends as points, which it leaves as they are.
     """
-    pairs = df.groupBy(F.col(score).cast("double").alias("score"), F.col(label).cast("double").alias("outcome")).agg(
-        F.count(F.lit(1)).cast("double").alias("rows")
-    )
-    return IsotonicRegression(featuresCol="score", labelCol="outcome", weightCol="rows", predictionCol="fitted").fit(pairs)
+    ends = F.when(F.col("low") == F.col("high"), F.array("low")).otherwise(F.array("low", "high"))
+    points = isotonic_blocks(df, score, label).select(F.explode(ends).alias("score"), F.col("fitted").alias("outcome"), (F.col("n") / F.size(ends)).alias("rows"))
+    return IsotonicRegression(featuresCol="score", labelCol="outcome", weightCol="rows", predictionCol="fitted").fit(points)
 
 
 def apply_isotonic(df: DataFrame, model: IsotonicRegressionModel, score: str, out: str) -> DataFrame:
@@ -199,24 +225,24 @@ def apply_isotonic(df: DataFrame, model: IsotonicRegressionModel, score: str, ou
 # --- stacking --------------------------------------------------------------------
 
 
-def out_of_fold(prepared: DataFrame, settings: Settings, names: Sequence[str] = MODEL_NAMES) -> DataFrame:
-    """``p_<name>`` of every training row from models that did not see it."""
-    tagged = prepared.withColumn("__fold", fold(ID, settings.folds))
-    sizes = {r["__fold"]: r["n"] for r in tagged.groupBy("__fold").agg(F.count(F.lit(1)).alias("n")).collect()}
-    total = sum(sizes.values())
-    tasks = [(k, name) for k in range(settings.folds) for name in names]
-    jobs = [partial(fit_one, name, tagged.filter(F.col("__fold") != k), total - sizes.get(k, 0), settings) for k, name in tasks]
-    fitted = dict(zip(tasks, concurrently(jobs)))
-    parts = []
-    for k in range(settings.folds):
-        part = tagged.filter(F.col("__fold") == k)
+def out_of_fold(
+    prepared: DataFrame, settings: Settings, names: Sequence[str] = MODEL_NAMES, fitted: Mapping[tuple[str, str], PipelineModel] | None = None
+) -> DataFrame:
+    """``p_<name>`` of every training row from models that did not see it.
+
+    ``fitted`` has the fold models if they were made before (``fold_fits``).
+    """
+    fits = fold_fits(settings.folds)
+    if not fitted or any((k, name) not in fitted for k in fits for name in names):
+        made = concurrently([partial(fit_many, name, prepared, fits, settings) for name in names])
+        fitted = {(k, name): m for name, found in zip(names, made) for k, m in found.items()}
+    out = None
+    for number, k in enumerate(fits):
+        part = prepared.filter(fold(ID, settings.folds) == number)
         for name in names:
             part = add_probability(part, name, fitted[k, name])
-        parts.append(part)
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return materialise(out.drop("__fold", "features"), "out-of-fold")
+        out = part if out is None else out.unionByName(part)
+    return materialise(out.drop("features"), "out-of-fold")
 
 
 def stack_inputs(df: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -227,9 +253,11 @@ def stack_inputs(df: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def fit_stacker(oof: DataFrame, settings: Settings, names: Sequence[str] = MODEL_NAMES) -> PipelineModel:
-    inputs = stack_inputs(oof, names)
-    lr = _logistic("stacked", settings.stack_c, inputs.count(), settings.stack_iterations, "stack", None)
-    return PipelineModel([lr.fit(inputs)])
+    """A regression of the outcome on the stacked inputs, neither balanced nor standardised."""
+    found = fit_logistics(
+        stack_inputs(oof, names), TARGET, [F.lit(True)], settings.stack_c, "stacked", balance=False, standardise=False, iterations=settings.stack_iterations
+    )
+    return PipelineModel([FittedLinear.of(found[0]).named("stack", "stacked")])
 
 
 def apply_stacker(df: DataFrame, stacker: PipelineModel, names: Sequence[str] = MODEL_NAMES) -> DataFrame:
@@ -249,12 +277,13 @@ def specialised_scores(
     min_val: int,
     name: str = "gbt",
     out: str = "p_special",
+    fitted: Mapping[tuple[str, str], PipelineModel] | None = None,
 ) -> tuple[DataFrame | None, DataFrame]:
     """One model per group, scored on that group's validation rows and put back together.
 
     Returns the scored rows (None if no group was large enough) and a row per group
     with its sizes and status. Rows of groups without a model are not in the result:
-    coverage is a left join away.
+    coverage is a left join away. ``fitted`` has the groups' models if they were made before (``group_fits``).
     """
     train_n, classes = _group_sizes(prepared_train, group, groups)
     val_n, _ = _group_sizes(prepared_val, group, groups)
@@ -268,11 +297,12 @@ def specialised_scores(
         else:
             status.append((str(g), n_tr, n_va, "ok"))
             large.append(g)
-    rows = {g: balance_weights(prepared_train.filter(F.col(group) == g).drop("weight")) for g in large}
-    fitted = concurrently([partial(fit_one, name, rows[g], train_n[g], settings) for g in large])
+    fits = group_fits(group, large)
+    if large and (not fitted or any((k, name) not in fitted for k in fits)):
+        fitted = {(k, name): model for k, model in fit_many(name, prepared_train, fits, settings).items()}
     scored = None
-    for g, model in zip(large, fitted):
-        part = add_probability(prepared_val.filter(F.col(group) == g), name, model, out).drop("features")
+    for g, k in zip(large, fits):
+        part = add_probability(prepared_val.filter(F.col(group) == g), name, fitted[k, name], out).drop("features")
         scored = part if scored is None else scored.unionByName(part)
     spark = prepared_train.sparkSession
     if scored is not None:

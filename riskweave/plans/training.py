@@ -19,6 +19,7 @@ from riskweave.operators.thresholds import threshold_table
 from riskweave.session import materialise
 from riskweave.sources.tables import publish
 
+SUBGROUPS_TRAINED = EXCLUSIVE_GROUPS[:3]
 RUBRIC_TRAINED = ["CKD only", "HF only", "Cancer only", "Multi-condition"]
 
 
@@ -58,7 +59,11 @@ def train_run(patients: DataFrame, settings: m.Settings = m.Settings(), sensitiv
     rows = materialise(_labelled(temporal_split(build_features(patients))), "features")
     train = rows.filter(F.col("split") == "train")
     keep = ["subgroup", "rubric", "split", *archetypes.PROFILE_COLUMNS]
-    trained, prepared = m.train_models(train, settings, sensitive_as_features=sensitive_as_features, keep=keep)
+    # Folds and groups are fitted in lock step with the models of all rows: they cost no jobs of their own.
+    groups = m.group_fits("subgroup", SUBGROUPS_TRAINED) | m.group_fits("rubric", RUBRIC_TRAINED)
+    trained, prepared = m.train_models(
+        train, settings, sensitive_as_features=sensitive_as_features, keep=keep, also=m.fold_fits(settings.folds), groups=groups
+    )
     val = trained.score(rows.filter(F.col("split") == "val"), keep_features=True)
     val = calibration_half(materialise(val.withColumn(TARGET, F.col(TARGET).cast("int")), "val"), written=True)
     records = score_models(val, {n: f"p_{n}" for n in trained.models}, TARGET)
@@ -78,7 +83,7 @@ def calibrated(run: Run) -> DataFrame:
 def stacked(run: Run) -> DataFrame:
     """Validation rows not used for calibration, with the calibrated stacked score."""
     names = list(run.trained.models)
-    stacker = m.fit_stacker(m.out_of_fold(run.train, run.trained.settings, names), run.trained.settings, names)
+    stacker = m.fit_stacker(m.out_of_fold(run.train, run.trained.settings, names, run.trained.others), run.trained.settings, names)
     scored = m.apply_stacker(run.val.drop("features"), stacker, names)
     fitted = m.fit_isotonic(scored.filter(F.col("half") == "calibrate"), "p_stack", TARGET)
     out = m.apply_isotonic(scored.filter(F.col("half") == "evaluate"), fitted, "p_stack", "p_stack_calibrated")
@@ -101,8 +106,8 @@ def comparison(run: Run, stacked_rows: DataFrame | None = None) -> DataFrame:
 def general_vs_specialised(run: Run, group: str = "subgroup", groups: list[str] | None = None, min_val: int = 20) -> DataFrame:
     """Per group: records of the general and of the group's own model, gain and verdicts."""
 
-    groups = groups or EXCLUSIVE_GROUPS[:3]
-    scored, status = m.specialised_scores(run.train, run.val, group, groups, run.trained.settings, 50, min_val)
+    groups = groups or SUBGROUPS_TRAINED
+    scored, status = m.specialised_scores(run.train, run.val, group, groups, run.trained.settings, m.LEAST_GROUP, min_val, fitted=run.trained.others)
     general = evaluate(run.val.filter(F.col(group).isin(groups)), f"p_{run.best}", TARGET, ID, [group])
     general = general.withColumnRenamed(group, "subgroup")
     if scored is None:
@@ -166,10 +171,17 @@ def cluster_comparison(run: Run, found: ClusterRun) -> DataFrame:
     """
     settings = run.trained.settings
     k = found.fitted.k
-    augmented = m.fit_one("gbt", archetypes.with_indicators(found.train, k), run.trained.n_train, settings)
-    with_aug = m.add_probability(archetypes.with_indicators(found.val, k), "gbt", augmented, "p_augmented")
+    # One lock step for all: the clusters' own models know only the features without the indicators.
+    known = m.group_fits("cluster", list(range(k)))
+    width = len(run.trained.encoding.names)
+    rows = materialise(archetypes.with_indicators(found.train, k), "clusters-wide")
+    counts = dict(zip(known, m.fit_counts(rows, TARGET, list(known.values()))))
+    known = {name: c for name, c in known.items() if counts[name].sum() >= m.LEAST_GROUP and counts[name].min() > 0}
+    fitted = m.fit_many("gbt", rows, {m.ALL: F.lit(True)} | known, settings, widths=dict.fromkeys(known, width))
+    with_aug = m.add_probability(archetypes.with_indicators(found.val, k), "gbt", fitted.pop(m.ALL), "p_augmented")
     wide = with_aug.select(ID, TARGET, F.col(f"p_{run.best}").alias("general"), F.col("p_augmented").alias("cluster_feature"))
-    per_cluster, _ = m.specialised_scores(found.train, found.val, "cluster", list(range(k)), settings, 50, 10)
+    own = {(name, "gbt"): model for name, model in fitted.items()}
+    per_cluster, _ = m.specialised_scores(found.train, found.val, "cluster", list(range(k)), settings, m.LEAST_GROUP, 10, fitted=own)
     pairs = [F.struct(F.lit(c).alias("model"), F.col(c).alias("score")) for c in ("general", "cluster_feature")]
     long = wide.select(ID, TARGET, F.explode(F.array(*pairs)).alias("s")).select(ID, TARGET, "s.*")
     if per_cluster is not None:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +30,21 @@ def local_session(app: str = "riskweave", cores: int | str = "*", shuffle_partit
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, by Spark's own file service."""
+    context = spark.sparkContext
+    if getattr(context, "_riskweave_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    handle, path = tempfile.mkstemp(prefix="riskweave-", suffix=".zip")
+    os.close(handle)
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+        for f in sorted(package.rglob("*.py")):
+            out.write(f, f.relative_to(package.parent))
+    context.addPyFile(path)
+    context._riskweave_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, named by ``spark.checkpoint.dir``.
 

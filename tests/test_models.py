@@ -187,4 +187,4 @@ def test_top_features_are_labelled_shares(run, spark):
 
 def test_unknown_model(run):
     with pytest.raises(ValueError, match="unknown model"):
-        m.fit_one("svm", run.train, 1, SMALL)
+        m.fit_one("svm", run.train, SMALL)
