@@ -1,55 +1,67 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
-Counts of all unigrams and bigrams of the training documents are gathered by a shuffle. A
-count ``c`` is quantised to level ``1 + floor(log(c) / log(BASE))`` and the filter holds the events (n-gram, 1) up to
-(n-gram, level). A reader probes levels 1, 2, 3, ... until one is absent, so an error can only
-raise a level, and each level raised has to be hit by all probes of an event. Scores use
-Dirichlet smoothing over the counts read back:
+Counts of all unigrams and bigrams of the training documents are gathered by a shuffle and quantised: counts up to ``EXACT`` are their own
+level, larger ones share a level with those within a factor of ``BASE``. The filter holds the events (n-gram, 1) up to (n-gram, level). A reader probes
+levels 1, 2, 3, ... until one is absent, so an error can only raise a level. A level read stands for the mean count of the n-grams that
+read so, errors included. Scores use Dirichlet smoothing over the counts read back:
 
     P(w | h) = (c(h w) + MU * P(w)) / (c(h) + MU),  P(w) = (c(w) + 1/2) / (N + (V + 1) / 2)
 
 with ``c(h w)`` at most ``c(h)``. The first token follows the end token.
 
-The filter holds every n-gram of the training documents, those seen once included, and its size
-follows their number. It is made of slices; an n-gram's events lie in one of them. The first
-slices, up to ``MAX_BITS``, are broadcast. The others stay a table: the distinct n-grams of a chunk of
-documents that lie there are sent to their slices, and the levels found come back to the chunk.
-Which slices are broadcast moves data and changes no result. The exact unigram score
-needs exact counts: frequent tokens (at most ``FREQUENT`` of them) are looked up in a
-broadcast table, and all other tokens meet their counts in a join.
+These are probabilities only if absent bigrams read 0: of V tokens, V times the error of level 1 are paid in error for a context. So an event of level
+1 has as many probes as keep this under ``LEAK`` of MU (their number follows V), those of higher levels ``PROBES``. With filters half full an
+absent n-gram is known with a chance of 1 / 2 ** probes: under LEAK * MU / V, which is 1 in 70,000 at 360,000 distinct tokens. P(. | h) then adds up to 1 but for LEAK and the
+rounding of levels (tests hold it to 5 %).
 
-Words are compared by 64-bit hashes.
+The filter holds every n-gram of the training documents, those seen once included. N-grams are dealt out by
+the first bits of their hash to groups, whose number follows the input; counting, quantising and building a group's bits
+is one step after one shuffle. The first groups, up to ``MAX_BYTES``, are broadcast. The others stay a table: chunks of documents ask them,
+one block of distinct n-grams per chunk and group, and the levels come back in the order asked. Which groups
+are broadcast moves data and changes no result. The exact unigram score needs exact counts: frequent tokens (at
+most ``FREQUENT`` of them) are broadcast, all other tokens ask their groups for counts too.
+
+Words are compared by 64-bit hashes, n-grams by ``GRAM_BITS``.
 
 Cases: a null or empty text is its end token alone. Repeated rows are scored one by one and
 learned from as often as they stand there; a null id counts as the empty text for the fold.
 With no training row, N and V are 0 and every known count 0; the scores stay finite. An empty table gives no
-rows. Very long texts are handled in parts of tokens. Other columns are not read.
+rows. A task holds one text whole, and a chunk of others. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from riskweave.llm.common import fold, mix64, ngram_hashes, space_words, table, word_hashes
+from riskweave.llm.common import fold, mix64, ngram_hashes, ship, space_words, table, word_hashes
 from riskweave.session import materialise
 
-BASE = 1.2
-PROBES = 4
-MAX_BITS = 1 << 28  # 32 MiB of the filter are broadcast at most
-SLICE_BITS = 1 << 16
+EXACT = 10  # counts that are a level each
+BASE = 1.08
+MAX_LEVEL = 255  # counts of 1.5 billion and more
+PROBES = 6  # of an event above level 1
+LEAK = 0.02
+MU = 250.0  # of 60 to 16,000 the best on held-out documents at 3 million training tokens
+MAX_BYTES = 32 << 20  # of the filter that are broadcast
 FREQUENT = 1 << 19
-MU = 60.0
 END = np.uint64(0x9E3779B97F4A7C15)
 FLUSH = 3_000_000  # tokens counted in memory before they are handed on
-CHUNK = 1 << 22  # bytes of text whose n-grams ask the slices together
-MAX_LEVEL = 1 + int(math.log(2**62) / math.log(BASE))
+CHUNK = 8 << 20  # bytes of text that ask together
+GROUP_BYTES = 4_000_000  # text bytes of a group's n-grams, about
+GRAM_BITS = 56
+LEAST_GROUP_BITS = 8  # so that the rest of an n-gram is six bytes
+MOST_GROUP_BITS = 20
+BATCH_TOKENS = 400_000
+_SECOND = 0xD1B54A32D192ED03
+_UP = 1 / math.log(BASE)
+
 
 def tokens_of(text: str | None) -> np.ndarray:
     """Hashes of the words and the end token."""
@@ -62,65 +74,147 @@ def bigrams_of(tokens: np.ndarray) -> np.ndarray:
     return ngram_hashes(np.concatenate([[END], tokens]), 2)
 
 
+def gram(hashes: np.ndarray) -> np.ndarray:
+    """The bits of a hash by which n-grams are compared. Unigrams are hashed once more, away from the words' own order."""
+    return mix64(hashes) >> np.uint64(64 - GRAM_BITS)
+
+
 def level_of(counts: np.ndarray) -> np.ndarray:
-    return 1 + np.floor(np.log(np.maximum(counts, 1)) / math.log(BASE) + 1e-9).astype(np.int64)
+    over = EXACT + np.floor(np.log(np.maximum(counts, 1) / EXACT) * _UP + 1e-9).astype(np.int64)
+    return np.minimum(np.where(counts <= EXACT, counts, over), MAX_LEVEL)
 
 
-#: What a level stands for: the middle of its counts, in logarithms.
-LEVEL_COUNT = np.concatenate([[0.0], [max(1.0, BASE ** (q - 0.5)) if q > 1 else 1.0 for q in range(1, MAX_LEVEL + 2)]])
+def _places(hashes: np.ndarray, level: int, probe: int, size: np.ndarray | int) -> np.ndarray:
+    """Bit of one probe within a group of ``size`` bits."""
+    first = mix64(hashes + np.uint64(level * _SECOND & 0xFFFFFFFFFFFFFFFF))
+    at = first + np.uint64(probe) * (mix64(first) | np.uint64(1)) if probe else first
+    return ((at >> np.uint64(32)) * np.asarray(size).astype(np.uint64)) >> np.uint64(32)
 
 
-def slice_of(ngrams: np.ndarray, slices: int) -> np.ndarray:
-    return mix64(ngrams) % np.uint64(slices)
+def first_probes(types: float, mu: float = MU) -> int:
+    """Probes of level 1: absent bigrams of ``types`` tokens add up to at most ``LEAK`` of ``mu``."""
+    return max(PROBES, math.ceil(math.log2(max(1.0, types / (LEAK * mu)))))
 
 
-def event_places(ngrams: np.ndarray, level: int | np.ndarray, slices: int) -> np.ndarray:
-    """Bit positions, one row per probe. All probes of an n-gram stay within one slice."""
-    offsets = np.uint64(SLICE_BITS - 1)
-    base = slice_of(ngrams, slices) * np.uint64(SLICE_BITS)
-    h = mix64(ngrams + np.asarray(level).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
-    return np.stack([base + ((h >> np.uint64(16 * k)) & offsets) for k in range(PROBES)])
+def build_bits(grams: np.ndarray, levels: np.ndarray, probes: int) -> tuple[int, bytes]:
+    """(size, bits) of one group, half of them set."""
+    size = max(64, math.ceil((len(grams) * probes + int((levels - 1).sum()) * PROBES) / math.log(2)))
+    bits = np.zeros(size, dtype=bool)
+    for level in range(1, int(levels.max(initial=0)) + 1):
+        here = grams[levels >= level]
+        for probe in range(probes if level == 1 else PROBES):
+            bits[_places(here, level, probe, size).astype(np.int64)] = True
+    return size, np.packbits(bits, bitorder="little").tobytes()
 
 
 @dataclass
 class LogBloom:
-    """Bits of the events: blocks of SLICE_BITS, ``sent`` of the filter's ``slices`` from ``first`` on."""
+    """Bits of some of the 2 ** ``group_bits`` groups; ``first`` is -1 for those that are not here."""
 
-    slices: int
+    group_bits: int
+    first: np.ndarray  # first byte of a group
+    size: np.ndarray  # its bits
+    probes: np.ndarray  # of its events of level 1
     bits: np.ndarray
-    first: int = 0
-
-    @property
-    def sent(self) -> int:
-        return len(self.bits) * 8 // SLICE_BITS
-
-    def holds(self, ngrams: np.ndarray) -> np.ndarray:
-        """Whether the n-grams' slices are here."""
-        return slice_of(ngrams, self.slices) - np.uint64(self.first) < np.uint64(self.sent)
-
-    def has(self, places: np.ndarray) -> np.ndarray:
-        found = np.ones(places.shape[1], dtype=bool)
-        for row in places:
-            live = np.flatnonzero(found)
-            at = row[live]
-            found[live] = (self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
-        return found
-
-    def levels(self, ngrams: np.ndarray) -> np.ndarray:
-        """Level of each n-gram, by probing until a level is absent; 0 if its slice is not here."""
-        out = np.zeros(len(ngrams), dtype=np.int64)
-        live = np.arange(len(ngrams)) if self.sent == self.slices else np.flatnonzero(self.holds(ngrams))
-        before = np.uint64(self.first * SLICE_BITS)
+
+    @staticmethod
+    def of(group_bits: int, groups: list[tuple[int, int, int, bytes]]) -> LogBloom:
+        """From (group, size, probes, bits)."""
+        first, size, probes = np.full(1 << group_bits, -1), np.ones(1 << group_bits, np.int64), np.ones(1 << group_bits, np.int64)
+        at = 0
+        for g, n, k, bits in groups:
+            first[g], size[g], probes[g] = at, n, k
+            at += len(bits)
+        return LogBloom(group_bits, first, size, probes, np.frombuffer(b"".join(b for *_, b in groups), dtype=np.uint8))
+
+    def group_of(self, grams: np.ndarray) -> np.ndarray:
+        return (grams >> np.uint64(GRAM_BITS - self.group_bits)).astype(np.int64)
+
+    def holds(self, grams: np.ndarray) -> np.ndarray:
+        return self.first[self.group_of(grams)] >= 0
+
+    def levels(self, grams: np.ndarray) -> np.ndarray:
+        """Level of each n-gram, by probing until a level is absent; 0 if its group is not here."""
+        out = np.zeros(len(grams), dtype=np.int64)
+        group = self.group_of(grams)
+        live = np.flatnonzero(self.first[group] >= 0)
+        first, size, probes = (a[group[live]] for a in (self.first, self.size, self.probes))
+        most = int(probes.max(initial=0))
         for level in range(1, MAX_LEVEL + 1):
-            if not len(live):
-                break
-            live = live[self.has(event_places(ngrams[live], level, self.slices) - before)]
+            here = grams[live]
+            for probe in range(most if level == 1 else PROBES):
+                if not len(live):
+                    return out
+                at = _places(here, level, probe, size).astype(np.int64)
+                known = (self.bits[first + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1 == 1
+                if level == 1:
+                    known |= probe >= probes
+                live, here, first, size, probes = (a[known] for a in (live, here, first, size, probes))
             out[live] = level
         return out
 
 
-def count_ngrams(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(n, gram, c): exact counts of all unigrams and bigrams, by hash."""
+def _six(grams: np.ndarray) -> bytes:
+    """The six lower bytes of each; the group has the rest."""
+    return grams.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _whole(six: bytes, group: int, group_bits: int) -> np.ndarray:
+    out = np.zeros((len(six) // 6, 8), dtype=np.uint8)
+    out[:, :6] = np.frombuffer(six, np.uint8).reshape(-1, 6)
+    low = out.view("<u8").ravel() & np.uint64((1 << (GRAM_BITS - group_bits)) - 1)
+    return low | (np.uint64(group) << np.uint64(GRAM_BITS - group_bits))
+
+
+def _by_group(grams: np.ndarray, group_bits: int) -> Iterator[tuple[int, slice]]:
+    """Runs of ordered n-grams that lie in one group."""
+    group = (grams >> np.uint64(GRAM_BITS - group_bits)).astype(np.int64)
+    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(grams)] if len(grams) else [0]
+    for low, high in zip(cuts[:-1], cuts[1:]):
+        yield int(group[low]), slice(low, high)
+
+
+@dataclass
+class Model:
+    """``groups`` is the written filter: (group, size, probes, bits) and the exact counts of the group's unigrams (unis, counts)."""
+
+    groups: DataFrame | None
+    group_bits: int
+    n_tokens: int
+    n_types: int
+    bloom: LogBloom
+    all_sent: bool
+    #: Mean counts that a level read stands for, of unigrams and of bigrams.
+    means: tuple[np.ndarray, np.ndarray]
+    frequent: tuple[np.ndarray, np.ndarray]
+    all_frequent: bool
+
+    def unigram(self, levels: np.ndarray) -> np.ndarray:
+        return (self.means[0][levels] + 0.5) / (self.n_tokens + 0.5 * (self.n_types + 1))
+
+    def bigram(self, together: np.ndarray, context: np.ndarray, low: np.ndarray, mu: float = MU) -> np.ndarray:
+        """P(w | h) from the levels read of the pair and of the context, and P(w)."""
+        of_context = self.means[0][context]
+        return np.minimum(1.0, (np.minimum(self.means[1][together], of_context) + mu * low) / (of_context + mu))
+
+
+def mean_counts(histogram: dict[int, tuple[int, int]]) -> np.ndarray:
+    """What each level read stands for, from (n-grams, their counts) by true level: a level is raised by one with a chance of 1 / 2 ** PROBES."""
+    n, total = np.zeros(MAX_LEVEL + 1), np.zeros(MAX_LEVEL + 1)
+    for level, (grams, counts) in histogram.items():
+        n[level], total[level] = grams, counts
+    out, held_n, held_total = np.zeros(MAX_LEVEL + 1), 0.0, 0.0
+    for level in range(1, MAX_LEVEL + 1):
+        held_n, held_total = held_n / 2**PROBES + n[level], held_total / 2**PROBES + total[level]
+        usual = level if level <= EXACT else EXACT * BASE ** (level - EXACT + 0.5)
+        # Where next to nothing read so in training, the level's own middle.
+        out[level] = held_total / held_n if held_n > 1e-6 else usual
+    return out
+
+
+def _count(group_bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Tasks hand on counted n-grams, a block for each group."""
+    names = ["group", "n", "grams", "counts", "large"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[list, list] = ([], [])
@@ -130,267 +224,318 @@ def count_ngrams(docs: DataFrame, text_col: str = "text") -> DataFrame:
             for n, parts in enumerate(held, 1):
                 if parts:
                     grams, c = np.unique(np.concatenate(parts), return_counts=True)
-                    for at in range(0, len(grams), 1 << 18):
-                        g = grams[at : at + (1 << 18)].view(np.int64)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), n, np.int8)), pa.array(g), pa.array(c[at : at + (1 << 18)])], ["n", "gram", "c"])
                     parts.clear()
+                    rows = []
+                    for g, at in _by_group(grams, group_bits):
+                        some = c[at]
+                        rows.append((g, n, _six(grams[at]), np.minimum(some, 255).astype(np.uint8).tobytes(), some[some >= 255].astype("<i8").tobytes()))
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int8(), *[pa.binary()] * 3))], names)
 
         for b in batches:
             for text in b.column(0):
                 tokens = tokens_of(text.as_py())
-                held[0].append(tokens)
-                held[1].append(bigrams_of(tokens))
+                held[0].append(gram(tokens))
+                held[1].append(gram(bigrams_of(tokens)))
                 size += len(tokens)
                 if size >= FLUSH:
                     yield from flush()
                     size = 0
         yield from flush()
 
-    # Tasks hand on counted grams; dealing them out by gram first leaves one summing step.
-    partial = docs.select(F.col(text_col).cast("string")).mapInArrow(count, "n tinyint, gram long, c long")
-    return partial.repartition("n", "gram").groupBy("n", "gram").agg(F.sum("c").alias("c"))
+    return count
 
 
-@dataclass
-class Model:
-    """What scoring needs besides the counts table."""
+_GROUP_ROW = "group int, size long, probes int, bits binary, unis binary, counts binary, levels array<struct<n: int, level: int, grams: long, total: long>>"
 
-    counts: DataFrame
-    n_tokens: int
-    n_types: int
-    bloom: LogBloom
-    slices: DataFrame | None  # (slice, bits) of the slices that are not in ``bloom``
-    frequent: tuple[np.ndarray, np.ndarray]
-    frequent_from: int
 
+def _build(group_bits: int, mu: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def finish(group: int, parts: dict[int, list[tuple[np.ndarray, np.ndarray]]]) -> tuple:
+        grams, counts, levels, histogram = {}, {}, {}, []
+        for n, some in parts.items():
+            every = np.concatenate([g for g, _ in some])
+            grams[n], inverse = np.unique(every, return_inverse=True)
+            counts[n] = np.bincount(inverse, np.concatenate([c for _, c in some])).astype(np.int64)
+            levels[n] = level_of(counts[n])
+            of, at = np.unique(levels[n], return_inverse=True)
+            for level, many, total in zip(of.tolist(), np.bincount(at).tolist(), np.bincount(at, counts[n]).tolist()):
+                histogram.append({"n": n, "level": level, "grams": many, "total": int(total)})
+        # Hashes spread evenly: a group's tokens stand for all groups' ones.
+        probes = first_probes(len(grams.get(1, ())) << group_bits, mu)
+        size, bits = build_bits(np.concatenate(list(grams.values())), np.concatenate(list(levels.values())), probes)
+        unis, c = grams.get(1, np.empty(0, np.uint64)), counts.get(1, np.empty(0, np.int64))
+        return group, size, probes, bits, _six(unis), c.astype("<i8").tobytes(), histogram
 
-def _least_that_fits(histogram: list[tuple[int, int]], weight, bound: float) -> int:
-    """The least count to keep so that the kept rows' weights stay within the bound."""
-    total, least = 0.0, None
-    for c, rows in sorted(histogram, reverse=True):
-        total += rows * weight(c)
-        if total > bound:
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, parts = None, {}
+        for b in batches:
+            for group, n, six, small, large in zip(*(c.to_pylist() for c in b.columns)):
+                if group != here:
+                    if parts:
+                        yield rows([finish(here, parts)])
+                    here, parts = group, {}
+                counts = np.frombuffer(small, np.uint8).astype(np.int64)
+                counts[counts == 255] = np.frombuffer(large, "<i8")
+                parts.setdefault(n, []).append((_whole(six, group, group_bits), counts))
+        if parts:
+            yield rows([finish(here, parts)])
+
+    names = ["group", "size", "probes", "bits", "unis", "counts", "levels"]
+    kind = pa.list_(pa.struct([("n", pa.int32()), ("level", pa.int32()), ("grams", pa.int64()), ("total", pa.int64())]))
+    types = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 3, kind]
+    rows = lambda found: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), types)], names)
+    return build
+
+
+def _tasks(spark: SparkSession, group_bits: int) -> int:
+    """Tasks of a step by group: four groups each, at most."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), (1 << group_bits) // 4)
+
+
+def learn(docs: DataFrame, text_col: str = "text", max_bytes: int = MAX_BYTES, frequent: int = FREQUENT, mu: float = MU) -> Model:
+    """Filter and exact unigram counts of the documents; ``mu`` is the smoothing that the filter's errors are held to."""
+    spark = docs.sparkSession
+    ship(spark)
+    text = docs.select(F.col(text_col).cast("string").alias("text"))
+    size = text.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    group_bits = min(MOST_GROUP_BITS, max(LEAST_GROUP_BITS, math.ceil(math.log2(max(1, size / GROUP_BYTES)))))
+    counted = text.mapInArrow(_count(group_bits), "group int, n tinyint, grams binary, counts binary, large binary")
+    by_group = counted.repartition(_tasks(spark, group_bits), "group").sortWithinPartitions("group")
+    groups = materialise(by_group.mapInArrow(_build(group_bits, mu), _GROUP_ROW), "filter")
+    rows = groups.select(F.explode("levels").alias("l")).groupBy("l.n", "l.level").agg(F.sum("l.grams").alias("grams"), F.sum("l.total").alias("total")).collect()
+    histograms = [{r.level: (r.grams, r.total) for r in rows if r.n == n} for n in (1, 2)]
+    n_types, n_tokens = (sum(v[i] for v in histograms[0].values()) for i in (0, 1))
+    # The first groups that fit are broadcast.
+    sizes = groups.select("group", F.octet_length("bits").alias("bytes")).orderBy("group").collect()  # a row per group
+    upto, sent = 0, []
+    for r in sizes:
+        upto += r.bytes
+        if upto > max_bytes:
             break
-        least = c
-    return least if least is not None else (1 << 62)
-
-
-def _bloom(counts: DataFrame, histogram: list[tuple[int, int]], max_bits: int) -> tuple[LogBloom, DataFrame | None]:
-    """The filter over all n-grams, built slice by slice in tasks: what is broadcast, and the table of the other slices."""
-    bits_each = PROBES / math.log(2)
-    wanted = sum(rows * float(level_of(np.array([c]))[0]) * bits_each for c, rows in histogram)
-    slices = max(1, math.ceil(wanted / SLICE_BITS))
-    sent = min(slices, max_bits // SLICE_BITS)
+        sent.append(r.group)
+    here = groups.filter(F.col("group") <= sent[-1]).select("group", "size", "probes", "bits").toArrow().to_pydict() if sent else {}
+    bloom = LogBloom.of(group_bits, list(zip(*here.values())))
+    top, least = 0, MAX_LEVEL + 1
+    for level in sorted(histograms[0], reverse=True):
+        top += histograms[0][level][0]
+        if top > frequent:
+            break
+        least = level
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            grams = b.column(0).to_numpy().view(np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(slice_of(grams, slices).astype(np.int32)), b.column(0), b.column(1)], ["slice", "gram", "c"])
-
-    def build(batch: pa.Table) -> pa.Table:
-        grams, levels = batch.column("gram").to_numpy().view(np.uint64), level_of(batch.column("c").to_numpy())
-        bits = np.zeros(SLICE_BITS, dtype=bool)
-        for level in range(1, int(levels.max()) + 1):
-            bits[event_places(grams[levels >= level], level, slices) % np.uint64(SLICE_BITS)] = True
-        return pa.table({"slice": batch.column("slice").slice(0, 1), "bits": [np.packbits(bits, bitorder="little").tobytes()]})
-
-    # A slice takes a bounded number of events, so its group is small at any size of input.
-    parts = counts.select("gram", "c").mapInArrow(place, "slice int, gram long, c long").groupBy("slice").applyInArrow(build, "slice int, bits binary")
-    others = None
-    if sent < slices:
-        parts = materialise(parts, "filter")
-        others = parts.filter(F.col("slice") >= sent)
-        parts = parts.filter(F.col("slice") < sent)
-    found = parts.toArrow()  # at most max_bits
-    out = np.zeros((sent, SLICE_BITS // 8), dtype=np.uint8)
-    for s, bits in zip(found.column("slice").to_pylist(), found.column("bits").to_pylist()):
-        out[s] = np.frombuffer(bits, dtype=np.uint8)
-    return LogBloom(slices, out.reshape(-1)), others
-
-
-def learn(docs: DataFrame, text_col: str = "text", max_bits: int = MAX_BITS, frequent: int = FREQUENT) -> Model:
-    counts = materialise(count_ngrams(docs, text_col), "ngrams")
-    # Counts by value: exact below 1024, by their leading digits above.
-    step = F.pow(F.lit(2.0), F.floor(F.log2("c")) - 9).cast("long")
-    floor = F.when(F.col("c") < 1024, F.col("c")).otherwise(F.floor(F.col("c") / step) * step).cast("long")
-    by_count = counts.groupBy("n", floor.alias("at_least")).agg(F.count(F.lit(1)).alias("rows"), F.sum("c").alias("tokens")).collect()
-    n_tokens = sum(r.tokens for r in by_count if r.n == 1)
-    n_types = sum(r["rows"] for r in by_count if r.n == 1)
-    bloom, slices = _bloom(counts, [(r.at_least, r["rows"]) for r in by_count], max_bits)
-    least = _least_that_fits([(r.at_least, r["rows"]) for r in by_count if r.n == 1], lambda _: 1, frequent)
-    top = counts.filter((F.col("n") == 1) & (F.col("c") >= least)).select("gram", "c").toArrow()  # at most ``frequent`` rows
-    grams, c = top.column("gram").to_numpy().view(np.uint64), top.column("c").to_numpy()
-    order = np.argsort(grams)
-    return Model(counts, n_tokens, n_types, bloom, slices, (grams[order], c[order]), least)
+            for group, six, counts in zip(*(c.to_pylist() for c in b.columns)):
+                c = np.frombuffer(counts, "<i8")
+                keep = level_of(c) >= least
+                yield pa.RecordBatch.from_arrays([pa.array(_whole(six, group, group_bits)[keep].view(np.int64)), pa.array(c[keep])], ["gram", "c"])
 
+    found = groups.select("group", "unis", "counts").mapInArrow(often, "gram long, c long").toArrow()  # at most ``frequent`` rows
+    grams, c = found.column("gram").to_numpy().view(np.uint64), found.column("c").to_numpy()
+    order = np.argsort(grams)
+    means = (mean_counts(histograms[0]), mean_counts(histograms[1]))
+    return Model(groups, group_bits, n_tokens, n_types, bloom, len(sent) == len(sizes), means, (grams[order], c[order]), len(grams) == n_types)
 
-_SCORED = "row long, n_tokens long, n_known long, base_score double, score double, rare array<long>"
 
+def _find(known: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places in the ordered ``known``, whether the asked is there)."""
+    if not len(known):
+        return np.zeros(len(asked), dtype=np.int64), np.zeros(len(asked), dtype=bool)
+    at = np.minimum(np.searchsorted(known, asked), len(known) - 1)
+    return at, known[at] == asked
 
-def _in_chunks(numbered: DataFrame) -> DataFrame:
-    """The rows with the chunk they belong to, written once; a chunk is named by its first row."""
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, held = None, 0
-        for b in batches:
-            chunks = []
-            for row, size in zip(b.column(0).to_pylist(), pc.binary_length(b.column(1)).to_pylist()):
-                if chunk is None or held + (size or 0) > CHUNK:
-                    chunk, held = row, 0
-                held += size or 0
-                chunks.append(chunk)
-            yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), *b.columns], ["chunk", *b.schema.names])
+def _questions(texts: list[np.ndarray], model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens whose counts are asked, n-grams whose levels are asked) of a chunk, ordered and distinct."""
+    tokens = np.unique(gram(np.concatenate(texts)))
+    often = _find(model.frequent[0], tokens)[1]
+    pairs = np.unique(gram(np.concatenate([bigrams_of(t) for t in texts])))
+    if model.all_sent:
+        return tokens[~often], pairs[:0]
+    others = np.union1d(pairs, tokens[often])
+    return tokens[~often], others[~model.bloom.holds(others)]
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in numbered.schema)
-    return materialise(numbered.mapInArrow(deal, f"chunk long, {schema}"), "lm-chunks")
 
+class _Ask:
+    """Chunks of the numbered rows, and what they ask."""
 
-def _answers(chunks: DataFrame, model: Model, shared) -> DataFrame:
-    """(chunk, gram, level): the chunks' n-grams that the slices not broadcast hold; all others there have level 0."""
-    slices = model.bloom.slices
+    def __init__(self, shared) -> None:
+        self.shared = shared
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bloom = shared.value[0]
+    @staticmethod
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+        """(chunk, rows): runs of rows of up to ``CHUNK`` bytes of text; a chunk is numbered within its ``part``, the partition that was read."""
+        number, held = None, 0
         for b in batches:
-            of = b.column(0).to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)] if len(of) else [0]
-            for low, high in zip(cuts[:-1], cuts[1:]):
-                texts = [tokens_of(t.as_py()) for t in b.column(1).slice(low, high - low)]
-                grams = np.unique(np.concatenate([*texts, *map(bigrams_of, texts)]))
-                grams = grams[~bloom.holds(grams)]
-                for at in range(0, len(grams), 1 << 18):
-                    g = grams[at : at + (1 << 18)]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(slice_of(g, slices).astype(np.int32)), pa.array(np.full(len(g), of[low])), pa.array(g.view(np.int64))], ["slice", "chunk", "gram"]
-                    )
+            sizes = pc.fill_null(pc.binary_length(b.column("text")), 0).to_pylist()
+            start = 0
+            for i, size in enumerate(sizes):
+                if number is None:
+                    number = b.column("part")[0].as_py() << 32
+                if held and held + size > CHUNK:
+                    if i > start:
+                        yield number, b.slice(start, i - start)
+                    start, held, number = i, 0, number + 1
+                held += size
+            if len(sizes) > start:
+                yield number, b.slice(start)
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, texts = None, []
+        for chunk, rows in self.chunks(batches):
+            if chunk != here and texts:
+                yield from self.blocks(here, texts)
+                texts = []
+            here = chunk
+            texts += [tokens_of(t.as_py()) for t in rows.column("text")]
+        if texts:
+            yield from self.blocks(here, texts)
+
+    def blocks(self, chunk: int, texts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        model = self.shared.value
+        questions = _questions(texts, model)
+        asked = [dict(_by_group(q, model.group_bits)) for q in questions]
+        rows = []
+        for g in sorted({*asked[0], *asked[1]}):
+            blocks = [_six(q[of[g]]) if g in of else b"" for q, of in zip(questions, asked)]
+            rows.append((g, chunk, *blocks))
+        if rows:
+            types = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["group", "chunk", "tokens", "others"])
+
+
+_ANSWER = "chunk long, group int, counts binary, levels binary, others binary"
+
+
+def _answers(numbered: DataFrame, model: Model, shared) -> DataFrame:
+    """Per chunk and group asked: counts and levels of the tokens, levels of the other n-grams, in the order asked."""
+    group_bits = model.group_bits
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here = None
+        here, bloom, unis, counts = None, None, None, None
         for b in batches:
-            of = b.column(0).to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)] if len(of) else [0]
-            for low, high in zip(cuts[:-1], cuts[1:]):
-                if b.column(3)[low].is_valid:  # the slice itself comes before its n-grams
-                    here = LogBloom(slices, np.frombuffer(b.column(3)[low].as_py(), dtype=np.uint8), int(of[low]))
-                    low += 1
-                if low == high or here is None or here.first != of[low]:
-                    continue  # a slice without a row has no n-grams
-                chunk, gram = b.column(1).slice(low, high - low).to_numpy(), b.column(2).slice(low, high - low).to_numpy()
-                level = here.levels(gram.view(np.uint64))
-                yes = level > 0
-                yield pa.RecordBatch.from_arrays([pa.array(chunk[yes]), pa.array(gram[yes]), pa.array(level[yes].astype(np.int8))], ["chunk", "gram", "level"])
-
-    asked = chunks.select("chunk", "text").mapInArrow(ask, "slice int, chunk long, gram long").withColumn("bits", F.lit(None).cast("binary"))
-    kept = model.slices.select("slice", F.lit(0).cast("long").alias("chunk"), F.lit(0).cast("long").alias("gram"), "bits")
-    # A slice and its n-grams pass by in order: one slice is held at a time, however many ask it.
-    by_slice = kept.unionByName(asked).repartition("slice").sortWithinPartitions("slice", F.col("bits").isNull())
-    return by_slice.mapInArrow(answer, "chunk long, gram long, level tinyint")
-
-
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: dict[str, Column] | None = None, mu: float = MU) -> DataFrame:
-    """Per document: tokens, known tokens, exact unigram score, model score."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((model.bloom, model.frequent))
-    total, floor = model.n_tokens, math.log10(model.n_tokens + 0.5 * (model.n_types + 1))
-    denominator = model.n_tokens + 0.5 * (model.n_types + 1)
-
-    def by_document(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(values, starts)
-
-    def rate(batches: Iterator[pa.RecordBatch], answers: tuple[np.ndarray, np.ndarray] | None = None) -> Iterator[pa.RecordBatch]:
-        bloom, (grams, c) = shared.value
-
-        def counts_of(ngrams: np.ndarray) -> np.ndarray:
-            levels = bloom.levels(ngrams)
-            if answers is not None and len(answers[0]):
-                at = np.minimum(np.searchsorted(answers[0], ngrams), len(answers[0]) - 1)
-                # Only n-grams of slices that are not here have an answer.
-                levels = np.where(answers[0][at] == ngrams, answers[1][at], levels)
-            return LEVEL_COUNT[levels]
-
-        def emit(rows: list[int], texts: list[np.ndarray]) -> pa.RecordBatch:
-            sizes = np.array([len(t) for t in texts])
-            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            tokens = np.concatenate(texts)
-            pairs = np.concatenate([bigrams_of(t) for t in texts])
-            types, inverse = np.unique(tokens, return_inverse=True)
-            # Exact counts of the frequent tokens; the others are handed on.
-            at = np.minimum(np.searchsorted(grams, types), max(0, len(grams) - 1))
-            is_known = (grams[at] == types) if len(grams) else np.zeros(len(types), bool)
-            base = np.where(is_known, np.log10((c[at] if len(c) else np.zeros(len(types))) + 0.5) - floor, 0.0)
-            # The model's probabilities, from the filter alone.
-            read = counts_of(types)
-            low = (read + 0.5) / denominator
-            before = np.empty_like(inverse)
-            before[1:] = inverse[:-1]
-            before[starts] = np.searchsorted(types, END)
-            of_context = read[before]
-            together = np.minimum(counts_of(pairs), of_context)
-            p = np.minimum(1.0, (together + mu * low[inverse]) / (of_context + mu))
-            rare = np.flatnonzero(~is_known[inverse])
-            cuts = np.searchsorted(rare, starts)
-            lists = pa.ListArray.from_arrays(pa.array(np.append(cuts, len(rare)).astype(np.int32)), pa.array(tokens[rare].view(np.int64)))
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(rows, pa.int64()), pa.array(sizes.astype(np.int64)), pa.array(by_document(is_known[inverse].astype(np.int64), starts)),
-                    pa.array(by_document(base[inverse], starts)), pa.array(by_document(np.log10(p), starts)), lists,
-                ],
-                ["row", "n_tokens", "n_known", "base_score", "score", "rare"],
-            )
-
-        for b in batches:
-            rows, texts, held = [], [], 0
-            for row, text in zip(b.column(0).to_pylist(), b.column(1)):
-                rows.append(row)
-                texts.append(tokens_of(text.as_py()))
-                held += len(texts[-1])
-                if held >= 400_000:
-                    yield emit(rows, texts)
-                    rows, texts, held = [], [], 0
+            rows = []
+            for group, chunk, tokens, others, size, probes, bits, six, c in zip(*(x.to_pylist() for x in b.columns)):
+                if chunk < 0:  # a group comes before what it is asked
+                    here, bloom = group, LogBloom.of(group_bits, [(group, size, probes, bits)])
+                    unis, counts = _whole(six, group, group_bits), np.frombuffer(c, "<i8")
+                    continue
+                asked, more = _whole(tokens, group, group_bits), _whole(others, group, group_bits)
+                if group == here:
+                    at, known = _find(unis, asked)
+                    found = [np.where(known, counts[at] if len(counts) else 0, 0), bloom.levels(asked), bloom.levels(more)]
+                else:  # a group without a row has no n-grams
+                    found = [np.zeros(len(asked)), np.zeros(len(asked)), np.zeros(len(more))]
+                rows.append((chunk, group, found[0].astype("<i8").tobytes(), found[1].astype(np.uint8).tobytes(), found[2].astype(np.uint8).tobytes()))
             if rows:
-                yield emit(rows, texts)
-
-    # Rows are numbered by place in the scan, which moves nothing; the number and the columns
-    # kept are written together with the scores, so they stay what they are.
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(text_col).cast("string").alias("text"), *[v.alias(k) for k, v in (keep or {id_col: F.col(id_col)}).items()])
-    names = [k for k in numbered.columns if k not in ("row", "text")]
-    kept_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in numbered.select(*names).schema)
-
-    def rate_and_keep(batches: Iterator[pa.RecordBatch], answers: tuple[np.ndarray, np.ndarray] | None = None) -> Iterator[pa.RecordBatch]:
+                types = (pa.int64(), pa.int32(), *[pa.binary()] * 3)
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], ["chunk", "group", "counts", "levels", "others"])
+
+    asked = numbered.select("text", F.spark_partition_id().alias("part")).mapInArrow(_Ask(shared), "group int, chunk long, tokens binary, others binary")
+    nothing = {"size": "long", "probes": "int", "bits": "binary", "unis": "binary", "counts": "binary"}
+    asked = asked.select("*", *[F.lit(None).cast(t).alias(c) for c, t in nothing.items()])
+    none = F.lit(None).cast("binary")
+    kept = model.groups.select("group", F.lit(-1).cast("long").alias("chunk"), none.alias("tokens"), none.alias("others"), *nothing)
+    # A group and its questions pass by in order: one group is held at a time, however many ask it.
+    dealt = kept.unionByName(asked).repartition(_tasks(numbered.sparkSession, group_bits), "group").sortWithinPartitions("group", "chunk")
+    return dealt.mapInArrow(answer, _ANSWER)
+
+
+def score(
+    docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: dict[str, Column] | None = None, mu: float = MU, as_stored: bool = False
+) -> DataFrame:
+    """Per document: tokens, known tokens, exact unigram score, model score.
+
+    Documents are read twice where groups are asked, and must be the same rows in the same order: frames are written first, unless
+    they are ``as_stored``, the rows of a table as it is.
+    """
+    spark = docs.sparkSession
+    ship(spark)
+    kept = [v.alias(k) for k, v in (keep or {id_col: F.col(id_col)}).items()]
+    numbered = docs.select(F.col(text_col).cast("string").alias("text"), *kept)
+    names = numbered.columns[1:]
+    schema = "n_tokens long, n_known long, base_score double, score double" + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in numbered.schema.fields[1:])
+    shared = spark.sparkContext.broadcast(replace(model, groups=None))
+    made = ["n_tokens", "n_known", "base_score", "score"]
+
+    def rate(rows: pa.RecordBatch, asked: tuple[np.ndarray, np.ndarray, np.ndarray], levels: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """Scores of rows, a bounded number of tokens at a time. ``asked``: tokens, their counts, other n-grams; ``levels`` of both kinds."""
+        start, texts, held = 0, [], 0
+        for i, text in enumerate(rows.column(0)):
+            texts.append(tokens_of(text.as_py()))
+            held += len(texts[-1])
+            if held >= BATCH_TOKENS or i + 1 == rows.num_rows:
+                yield scored(rows.slice(start, len(texts)), texts, asked, levels)
+                start, texts, held = i + 1, [], 0
+
+    def scored(rows: pa.RecordBatch, texts: list[np.ndarray], asked, levels) -> pa.RecordBatch:
+        m = shared.value
+        sizes = np.array([len(t) for t in texts])
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        tokens, inverse = np.unique(gram(np.concatenate(texts)), return_inverse=True)
+        pairs = gram(np.concatenate([bigrams_of(t) for t in texts]))
+        at, often = _find(m.frequent[0], tokens)
+        count = np.where(often, m.frequent[1][at] if len(m.frequent[1]) else 0, 0)
+        at, there = _find(asked[0], tokens)
+        if not (m.all_frequent or (often | there).all()):
+            raise RuntimeError("the documents changed between two readings")
+        count = np.where(there, asked[1][at] if len(asked[1]) else 0, count)
+
+        def level(grams: np.ndarray) -> np.ndarray:
+            found = m.bloom.levels(grams)
+            if not m.all_sent:
+                away = np.flatnonzero(~m.bloom.holds(grams))
+                for known, read in ((asked[2], levels[1]), (asked[0], levels[0])):
+                    at, yes = _find(known, grams[away])
+                    found[away[yes]] = read[at[yes]]
+                    away = away[~yes]
+                if len(away):
+                    raise RuntimeError("the documents changed between two readings")
+            return found
+
+        floor = math.log10(m.n_tokens + 0.5 * (m.n_types + 1))
+        base = np.log10(count + 0.5) - floor
+        read = level(tokens)
+        before = np.empty_like(inverse)
+        before[1:] = inverse[:-1]
+        before[starts] = np.searchsorted(tokens, gram(np.array([END]))[0])
+        p = m.bigram(level(pairs), read[before], m.unigram(read)[inverse], mu)
+        by_text = [np.add.reduceat(v, starts) for v in ((count > 0).astype(np.int64)[inverse], base[inverse], np.log10(p))]
+        return pa.RecordBatch.from_arrays([pa.array(sizes.astype(np.int64)), *map(pa.array, by_text), *rows.columns[1:]], [*made, *names])
+
+    nobody = np.empty(0, np.uint64)
+    nothing = (nobody, np.empty(0, np.int64), nobody), (np.empty(0, np.int64), np.empty(0, np.int64))
+
+    def rate_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = 0
-            for out in rate(iter([b]), answers):
-                kept = [b.column(i).slice(at, out.num_rows) for i in range(2, b.num_columns)]
-                at += out.num_rows
-                yield pa.RecordBatch.from_arrays([*out.columns, *kept], [*out.schema.names, *names])
+            yield from rate(b, *nothing)
 
     def rate_chunk(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        found, first = np.unique(answers.column("gram").to_numpy().view(np.uint64), return_index=True)
-        levels = answers.column("level").to_numpy()[first].astype(np.int64)
-        return pa.Table.from_batches(list(rate_and_keep(rows.drop_columns("chunk").to_batches(), (found, levels))))
-
-    if model.slices is None:
-        rated = numbered.mapInArrow(rate_and_keep, f"{_SCORED}, {kept_schema}")
+        rows = rows.drop_columns("chunk").combine_chunks().to_batches()
+        m = shared.value
+        texts = [tokens_of(t.as_py()) for b in rows for t in b.column(0)]
+        questions = _questions(texts, m)
+        answers = answers.sort_by("group")
+        counts, levels, others = (np.frombuffer(b"".join(answers.column(c).to_pylist()), t) for c, t in (("counts", "<i8"), ("levels", np.uint8), ("others", np.uint8)))
+        if len(counts) != len(questions[0]) or len(others) != len(questions[1]):
+            raise RuntimeError("the documents changed between two readings")
+        found = (questions[0], counts, questions[1]), (levels.astype(np.int64), others.astype(np.int64))
+        return pa.Table.from_batches([r for b in rows for r in rate(b, *found)])
+
+    if model.all_sent and model.all_frequent:
+        rated = numbered.mapInArrow(rate_rows, schema)
     else:
-        chunks = _in_chunks(numbered)
-        rated = chunks.groupBy("chunk").cogroup(_answers(chunks, model, shared).groupBy("chunk")).applyInArrow(rate_chunk, f"{_SCORED}, {kept_schema}")
-    scored = materialise(rated, "lm-scores")
-    rare_counts = model.counts.filter((F.col("n") == 1) & (F.col("c") < model.frequent_from)).select("gram", "c")
-    rare = scored.select("row", F.explode("rare").alias("gram")).groupBy("row", "gram").agg(F.count(F.lit(1)).alias("times"))
-    met = rare.join(rare_counts, "gram", "left").select("row", "times", F.coalesce("c", F.lit(0)).alias("c"))
-    met = met.groupBy("row").agg(
-        F.sum(F.col("times") * (F.log10(F.col("c") + F.lit(0.5)) - F.lit(floor))).alias("more_base"),
-        F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("more_known"),
-    )
-    joined = scored.join(met, "row", "left")
-    return joined.select(
-        *names, "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"), (F.col("base_score") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"), "score",
-    )
+        numbered = numbered if as_stored else materialise(numbered, "lm-rows")
+        deal = lambda batches: (
+            pa.RecordBatch.from_arrays([pa.array(np.full(rows.num_rows, chunk)), *rows.columns[1:]], ["chunk", *rows.schema.names[1:]]) for chunk, rows in _Ask.chunks(batches)
+        )
+        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in numbered.schema)
+        chunks = numbered.select(F.spark_partition_id().alias("part"), "*").mapInArrow(deal, f"chunk long, {fields}")
+        answers = _answers(numbered, model, shared)
+        rated = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(rate_chunk, schema)
+    return rated.select(*names, "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = fold("doc_id", 5) == 1
     model = learn(docs.filter(~held_out))
-    return score(docs, model, keep={"doc_id": F.col("doc_id"), "held_out": held_out})
+    return score(docs, model, keep={"doc_id": F.col("doc_id"), "held_out": held_out}, as_stored=True)

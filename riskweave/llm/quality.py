@@ -8,22 +8,26 @@ as much as one structure feature each), structure statistics cut at fixed edges,
 stored text length as metadata, likewise cut. Labels, language, source and id are no features.
 
 The model is fitted on at most ``MAX_ROWS`` labelled rows, chosen by a hash of the id; it is
-a few hundred kB and scoring is one pass over the documents without a shuffle.
+a few hundred kB and scoring is one pass over the documents without a shuffle. A row that is learned from comes to the
+driver as two bytes a feature.
 
 Cases: a null or empty text is scored by its structure features alone. A null stored length
 has a feature of its own. Repeated rows get equal scores. Rows without a usable label (null id, null or other
-than 0 and 1) are not learned from, and a document with several labels is learned with each.
+than 0 and 1) are not learned from, a document with several labels is learned with each, and of several rows of one id and
+label the one whose features hash lowest is learned.
 With no labelled row the model is empty and every score 0.5. An empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from dataclasses import dataclass
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from riskweave.llm.common import fold, table
@@ -41,8 +45,9 @@ _UPPER_WORD = re.compile(rb"(?<![^\s])[A-Z]{2,}")
 _EDGES = np.array([0.002, 0.005, 0.01, 0.02, 0.035, 0.05, 0.08, 0.12, 0.2, 0.35, 0.5, 0.7, 0.9])
 _SIZES = np.array([1, 2, 4, 8, 16, 32, 64, 128, 256, 512, 1024, 2048, 4096, 16384, 65536])
 _N_SHARES = 10
+_N_SLOTS = _N_SHARES + 3
 _SLOTS = 16
-STRUCTURE = (_N_SHARES + 3) * _SLOTS
+STRUCTURE = _N_SLOTS * _SLOTS
 WIDTH = BUCKETS + STRUCTURE
 
 _WORDS: dict[bytes, int] = {}
@@ -108,13 +113,29 @@ class FactorisationMachine:
         return 1 / (1 + np.exp(-np.clip(self.margin(ids, values, starts)[0], -30, 30)))
 
 
+class FlatRows(Sequence):
+    """The features of many texts in one array: (positions, values) of text k, its words before its structure."""
+
+    def __init__(self, ids: np.ndarray, starts: np.ndarray, order: np.ndarray) -> None:
+        self.ids, self.starts, self.order = ids, starts, order
+
+    def __len__(self) -> int:
+        return len(self.order)
+
+    def __getitem__(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        at = self.order[k]
+        ids = self.ids[self.starts[at] : self.starts[at + 1]].astype(np.int64)
+        words = len(ids) - _N_SLOTS
+        return ids, np.append(np.full(words, 1 / np.sqrt(max(1, words))), np.ones(_N_SLOTS))
+
+
 def fit(
-    rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, width: int = WIDTH, factors: int = FACTORS,
+    rows: Sequence[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, width: int = WIDTH, factors: int = FACTORS,
     epochs: int = 8, batch: int = 64, rate: float = 0.08, decay: float = 2e-4, seed: int = 7,
 ) -> FactorisationMachine:
     """Adaptive-gradient descent on the logistic loss, in small batches."""
     model = FactorisationMachine.empty(width, factors)
-    if not rows:
+    if not len(rows):
         return model
     rng = np.random.default_rng(seed)
     model.factors = rng.normal(0, 0.02, (width, factors))
@@ -125,10 +146,10 @@ def fit(
         order = rng.permutation(len(rows))
         for at in range(0, len(order), batch):
             part = order[at : at + batch]
-            sizes = np.array([len(rows[i][0]) for i in part])
+            texts = [rows[i] for i in part]
+            sizes = np.array([len(t[0]) for t in texts])
             starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            ids = np.concatenate([rows[i][0] for i in part])
-            values = np.concatenate([rows[i][1] for i in part])
+            ids, values = np.concatenate([t[0] for t in texts]), np.concatenate([t[1] for t in texts])
             margins, sums = model.margin(ids, values, starts)
             error = 1 / (1 + np.exp(-np.clip(margins, -30, 30))) - labels[part]
             each = np.repeat(error, sizes) * values
@@ -148,9 +169,6 @@ def fit(
     return model
 
 
-_FEATURE_ROW = "ids array<int>, values array<float>, label double"
-
-
 def train(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars",
     label_col: str = "quality", learn: Column | None = None, max_rows: int = MAX_ROWS,
@@ -169,24 +187,26 @@ def train(
     def extract(batches):
         for b in batches:
             names = b.schema.names
-            rows = [features(t.as_py(), s.as_py()) for t, s in zip(b.column(names.index("text")), b.column(names.index("stored")))]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([r[0].astype(np.int32) for r in rows], pa.list_(pa.int32())),
-                    pa.array([r[1].astype(np.float32) for r in rows], pa.list_(pa.float32())),
-                    b.column(names.index("label")).cast(pa.float64()),
-                ],
-                ["ids", "values", "label"],
-            )
-
-    # Repeated documents could make more rows than labels: the bound holds for what is gathered.
-    found = wanted.mapInArrow(extract, _FEATURE_ROW).limit(max_rows).toArrow()
-    rows = [(np.asarray(i.values), np.asarray(v.values)) for i, v in zip(found["ids"], found["values"])]
-    rows = [(i.astype(np.int64), v.astype(np.float64)) for i, v in rows]
-    y = np.asarray(found["label"])
-    # Which rows are learned is fixed by the hash order; so is their order, whatever tasks returned first.
-    order = sorted(range(len(rows)), key=lambda k: (rows[k][0].tobytes(), y[k]))
-    return fit([rows[k] for k in order], y[order] if len(rows) else y)
+            rows = [features(t.as_py(), s.as_py())[0].astype(np.uint16).tobytes() for t, s in zip(b.column(names.index("text")), b.column(names.index("stored")))]
+            kept = [b.column(names.index(c)) for c in ("label_of", "label")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(rows, pa.binary())], ["label_of", "label", "ids"])
+
+    id_type = wanted.schema["label_of"].dataType.simpleString()
+    made = wanted.mapInArrow(extract, f"label_of {id_type}, label double, ids binary").withColumn("hash", F.xxhash64("ids", "label"))
+    # One row for each id and label chosen: repeated documents do not make more rows than the bound.
+    found = made.groupBy("label_of", "label").agg(F.min(F.struct("hash", "ids")).alias("r")).select("label", "r.hash", "r.ids").toArrow().combine_chunks()
+    if not found.num_rows:
+        return FactorisationMachine.empty()
+    texts = found.column("ids").combine_chunks()
+    sizes = pc.binary_length(texts).to_numpy() // 2
+    flat = np.frombuffer(b"".join(texts.to_pylist()), np.uint16)
+    y = found.column("label").to_numpy()
+    # The order in which rows are learned follows their hashes, whatever tasks returned first.
+    order = np.lexsort((y, found.column("hash").to_numpy()))
+    rows = FlatRows(flat, np.append(0, np.cumsum(sizes)), order)
+    del found, texts
+    pa.default_memory_pool().release_unused()
+    return fit(rows, y[order])
 
 
 def score_of(text: Column, stored: Column | None, model: FactorisationMachine, spark: SparkSession) -> Column:

@@ -1,12 +1,15 @@
-"""The filter holds every n-gram, and which of its slices are broadcast changes no score."""
+"""The filter holds every n-gram, its scores are probabilities, and what is broadcast changes none."""
 
-from collections import Counter
+import collections
+import math
+import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from riskweave.llm import lm
+from riskweave.llm.common import fold
 
 SF = "/root/testdata/sf0.001"
 
@@ -18,41 +21,113 @@ def docs(spark):
 
 
 def exact(texts):
-    counts = Counter()
+    """Counts of unigrams and of bigrams, by n-gram."""
+    one, two = collections.Counter(), collections.Counter()
     for t in texts:
         tokens = lm.tokens_of(t)
-        counts.update(tokens.tolist())
-        counts.update(lm.bigrams_of(tokens).tolist())
-    return counts
+        one.update(lm.gram(tokens).tolist())
+        two.update(lm.gram(lm.bigrams_of(tokens)).tolist())
+    return one, two
 
 
-def test_filter_grows_with_the_ngrams(spark, docs):
+def arrays(counts):
+    return np.array(list(counts), dtype=np.uint64), np.array(list(counts.values()))
+
+
+def test_levels_and_six_bytes():
+    counts = np.array([1, 2, 10, 11, 100, 10**6, 10**12])
+    levels = lm.level_of(counts)
+    assert levels[:3].tolist() == [1, 2, 10] and (np.diff(levels) >= 0).all() and levels[-1] == lm.MAX_LEVEL
+    grams = np.sort(np.random.default_rng(0).integers(0, 1 << lm.GRAM_BITS, 5000).astype(np.uint64))
+    for bits in (8, 11, 20):
+        back = [lm._whole(lm._six(grams[at]), g, bits) for g, at in lm._by_group(grams, bits)]
+        assert (np.concatenate(back) == grams).all()
+
+
+def test_filter_never_lowers_a_level():
+    rng = np.random.default_rng(1)
+    grams = rng.integers(0, 1 << lm.GRAM_BITS, 30_000).astype(np.uint64)
+    levels = lm.level_of(rng.integers(1, 50, len(grams)))
+    group = grams >> np.uint64(lm.GRAM_BITS - 8)
+    made = [(g, *(lambda s, b: (s, 12, b))(*lm.build_bits(grams[group == g], levels[group == g], 12))) for g in range(256)]
+    bloom = lm.LogBloom.of(8, made)
+    found = bloom.levels(grams)
+    assert (found >= levels).all() and (found > levels).mean() < 1.5 / 2**lm.PROBES
+    absent = rng.integers(0, 1 << lm.GRAM_BITS, 400_000).astype(np.uint64)
+    assert (bloom.levels(absent) > 0).mean() < 2 / 2**12
+    part = lm.LogBloom.of(8, made[:100])
+    assert (part.holds(grams) == (group < 100)).all() and (part.levels(grams) == np.where(group < 100, found, 0)).all()
+
+
+def test_filter_grows_with_the_ngrams(docs):
     train = docs.filter(F.col("doc_id") % 5 != 1)
-    counts = exact(r.text for r in train.collect())
-    grams = np.array(list(counts), dtype=np.uint64)
-    wanted = lm.level_of(np.array(list(counts.values())))
-    assert (wanted == 1).any()
-    whole = lm.learn(train)
-    assert whole.slices is None and (whole.bloom.levels(grams) >= wanted).all()  # n-grams seen once are known
-    part = lm.learn(train, max_bits=lm.SLICE_BITS)
-    assert part.bloom.slices == whole.bloom.slices > 2 and part.bloom.sent == 1
-    assert part.slices.count() == whole.bloom.slices - 1
-    levels = whole.bloom.levels(grams)
-    assert (levels == wanted).mean() > 0.9
-
-
-@pytest.mark.parametrize("max_bits", [lm.SLICE_BITS, 0])
-def test_broadcast_bound_changes_no_score(docs, monkeypatch, max_bits):
+    one, two = exact(r.text for r in train.collect())
+    model = lm.learn(train)
+    assert model.n_types == len(one) and model.n_tokens == sum(one.values()) and model.all_sent and model.all_frequent
+    for n, counts in enumerate((one, two)):
+        grams, c = arrays(counts)
+        read = model.bloom.levels(grams)
+        assert (read >= lm.level_of(c)).all() and (read == lm.level_of(c)).mean() > 0.95  # n-grams seen once are known
+        # Levels stand for what they hold in the mean, so the counts read add up to those counted.
+        assert model.means[n][read].sum() == pytest.approx(c.sum(), rel=0.02)
+    part = lm.learn(train, max_bytes=model.bloom.bits.nbytes // 3, frequent=50)
+    assert not part.all_sent and not part.all_frequent and 0 < len(part.bloom.bits) < model.bloom.bits.nbytes
+    assert part.groups.count() == model.groups.count()
+
+
+@pytest.mark.parametrize("bound", [100_000, 0])
+def test_broadcast_bound_changes_no_score(docs, monkeypatch, bound):
     monkeypatch.setattr(lm, "CHUNK", 20_000)  # many chunks
+    monkeypatch.setattr(lm, "FLUSH", 5_000)
+    monkeypatch.setattr(lm, "BATCH_TOKENS", 700)
     train = docs.filter(F.col("doc_id") % 5 != 1)
     order = ["doc_id", "n_tokens", "score"]
     wide = lm.score(docs, lm.learn(train)).toPandas().sort_values(order, ignore_index=True)
-    narrow = lm.score(docs, lm.learn(train, max_bits=max_bits, frequent=50)).toPandas().sort_values(order, ignore_index=True)
+    narrow = lm.score(docs, lm.learn(train, max_bytes=bound, frequent=50)).toPandas().sort_values(order, ignore_index=True)
     assert len(wide) == docs.count()
     assert (wide.doc_id.fillna(-1) == narrow.doc_id.fillna(-1)).all() and (wide[["n_tokens", "n_known"]] == narrow[["n_tokens", "n_known"]]).all().all()
     assert np.allclose(wide.score, narrow.score, rtol=1e-12) and np.allclose(wide.base_score, narrow.base_score, rtol=1e-9)
 
 
+@pytest.mark.parametrize("folder", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
+def test_conditional_probabilities_add_up_to_one(spark, folder):
+    """Over the whole vocabulary and one unknown word, for contexts of all frequencies, at two sizes."""
+    train = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").filter(fold("doc_id", 5) != 1)
+    model = lm.learn(train)
+    words = np.unique(np.concatenate([lm.tokens_of(r.text) for r in train.collect()]))
+    counts = exact(r.text for r in train.collect())[0]
+    ranked = sorted(words.tolist(), key=lambda w: -counts[int(lm.gram(np.array([w], np.uint64))[0])])
+    low = model.unigram(model.bloom.levels(lm.gram(words)))
+    unknown = 0.5 / (model.n_tokens + 0.5 * (model.n_types + 1))
+    assert low.sum() + unknown == pytest.approx(1, abs=0.02)
+    for h in [*ranked[:6], *ranked[50:2000:400], *ranked[-3:]]:
+        pairs = lm.gram(np.concatenate([lm.ngram_hashes(np.array([h, w], np.uint64), 2) for w in words.tolist()]))
+        context = np.full(len(words), model.bloom.levels(lm.gram(np.array([h], np.uint64)))[0])
+        total = model.bigram(model.bloom.levels(pairs), context, low).sum()
+        assert total == pytest.approx(1, abs=0.05)
+
+
+def test_scores_are_near_those_of_exact_counts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    data = {r.doc_id: lm.tokens_of(r.text) for r in docs.collect()}
+    one, two = collections.Counter(), collections.Counter()
+    for i, t in data.items():
+        if not held(i):
+            one.update(t.tolist())
+            two.update(lm.bigrams_of(t).tolist())
+    n, v = sum(one.values()), len(one)
+    got = {r.doc_id: r for r in lm.op6_lm_score(spark, "/root/testdata/sf0.01").collect()}
+    off = []
+    for i, t in data.items():
+        pairs, before = lm.bigrams_of(t).tolist(), [int(lm.END), *t[:-1].tolist()]
+        want = sum(math.log10((two[b] + lm.MU * (one[w] + 0.5) / (n + 0.5 * (v + 1))) / (one[h] + lm.MU)) for w, b, h in zip(t.tolist(), pairs, before))
+        off.append((got[i].score - want) / len(t))
+    # The stated distance: 0.01 of a digit per token in the mean, 0.1 for any document.
+    assert abs(np.mean(off)) < 0.01 and np.abs(off).max() < 0.1
+
+
 def test_no_training_rows(docs):
-    rows = lm.score(docs, lm.learn(docs.limit(0), max_bits=0)).toPandas()
-    assert len(rows) == docs.count() and np.isfinite(rows.score).all() and (rows.n_known == 0).all()
+    for bound in (0, lm.MAX_BYTES):
+        rows = lm.score(docs, lm.learn(docs.limit(0), max_bytes=bound)).toPandas()
+        assert len(rows) == docs.count() and np.isfinite(rows.score).all() and (rows.n_known == 0).all()

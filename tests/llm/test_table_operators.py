@@ -212,22 +212,6 @@ def test_repeat_query(spark):
 # language model --------------------------------------------------------------------------------
 
 
-def test_filter_never_lowers_a_level():
-    rng = np.random.default_rng(1)
-    grams = rng.integers(0, 2**63, 3000).astype(np.uint64)
-    levels = lm.level_of(rng.integers(1, 5000, 3000))
-    slices = 12
-    bits = np.zeros(slices * lm.SLICE_BITS, bool)
-    for level in range(1, levels.max() + 1):
-        bits[lm.event_places(grams[levels >= level], level, slices).astype(np.int64)] = True
-    bloom = lm.LogBloom(slices, np.packbits(bits, bitorder="little"))
-    found = bloom.levels(grams)
-    # Half of the bits are set: a probe of an absent event passes once in 2 ** PROBES, give or take.
-    wrong = 1.5 / 2**lm.PROBES
-    assert (found >= levels).all() and (found > levels).mean() < wrong
-    assert (bloom.levels(rng.integers(0, 2**63, 3000).astype(np.uint64)) > 0).mean() < wrong
-
-
 @pytest.mark.parametrize("frequent", [1 << 19, 20])
 def test_unigram_scores_are_exact(spark, frequent):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
