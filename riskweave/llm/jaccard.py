@@ -475,9 +475,12 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = jaccard_classes(docs, id_col, text_col, **options)
     order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("key").alias("c"))
     # An empty text is a class of its own, and its key could equal a set's: they are kept apart.
-    stay = rows.groupBy("class_key", (F.col("n_shingles") == 0).alias("empty")).agg(F.min(order).alias("first")).select(F.col("first.c").alias("_row_key")).distinct()
-    keyed = docs.withColumn("_row_key", row_key(F.col(id_col), F.col(text_col)))
-    return keyed.join(stay, "_row_key", "left_semi").dropDuplicates(["_row_key"]).drop("_row_key")
+    stay = rows.groupBy("class_key", (F.col("n_shingles") == 0).alias("empty")).agg(F.min(order).alias("first"))
+    name = "row_key"
+    while name in {c.lower() for c in docs.columns}:
+        name = f"_{name}"
+    keyed = docs.withColumn(name, row_key(F.col(id_col), F.col(text_col)))
+    return keyed.join(stay.select(F.col("first.c").alias(name)).distinct(), name, "left_semi").dropDuplicates([name]).drop(name)
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

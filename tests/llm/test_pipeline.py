@@ -34,6 +34,30 @@ def test_stages_keep_columns_and_clean_rows(spark, docs):
     assert all(stages[n](spark, docs.limit(0), SF).count() == 0 for n in stages)
 
 
+def test_helper_columns_clash_with_nothing(spark, docs):
+    named = docs.filter("doc_id < 12").select("*", *[F.concat(F.lit("kept "), F.col("doc_id")).alias(c) for c in ("hits", "_hits", "spans", "_spans", "row_key", "_row_key")])
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, named, SF)
+        assert out.columns == named.columns
+        assert all(r[c] == f"kept {r.doc_id}" for r in out.collect() for c in named.columns[-6:]), name
+
+
+def test_nulls_and_repeats_in_quality_and_packing(spark, docs):
+    odd = spark.createDataFrame([(None, None), (None, ""), (7001, "one two"), (7001, "one two"), (7002, None)], "doc_id long, text string")
+    rows = odd.select("doc_id", "text", F.lit(None).cast("string").alias("lang"), F.lit("s").alias("source"), F.lit(None).cast("long").alias("n_chars"))
+    stages = dict(pipeline.STAGES)
+    kept = stages["quality"](spark, docs.unionByName(rows), SF)
+    assert kept.filter("doc_id = 7001").count() in (0, 2)
+    packed = stages["packing"](spark, rows, SF).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert {r.doc_id: r.n for r in packed} == {None: 2, 7001: 2 * (packed_tokens("one two") + 1), 7002: 1}
+
+
+def packed_tokens(text):
+    from tokenizers import Tokenizer
+
+    return len(Tokenizer.from_file("/opt/tokenizers/byte_bpe_50k.json").encode(text, add_special_tokens=False).ids)
+
+
 def test_run(spark, docs):
     assert [n for n, _ in pipeline.STAGES] == ["quality", "near_duplicates", "decontamination", "secrets", "packing"]
     packed = pipeline.run(spark, SF).toPandas()
