@@ -59,6 +59,7 @@ GRAM_BITS = 56
 LEAST_GROUP_BITS = 8  # so that the rest of an n-gram is six bytes
 MOST_GROUP_BITS = 20
 BATCH_TOKENS = 400_000
+ANSWERED_AT_ONCE = 6_000_000  # bytes of questions
 _SECOND = 0xD1B54A32D192ED03
 _UP = 1 / math.log(BASE)
 
@@ -84,11 +85,15 @@ def level_of(counts: np.ndarray) -> np.ndarray:
     return np.minimum(np.where(counts <= EXACT, counts, over), MAX_LEVEL)
 
 
-def _places(hashes: np.ndarray, level: int, probe: int, size: np.ndarray | int) -> np.ndarray:
-    """Bit of one probe within a group of ``size`` bits."""
+def _walks(hashes: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first, step) of the probes of an event: probe i looks at ``first + i * step``."""
     first = mix64(hashes + np.uint64(level * _SECOND & 0xFFFFFFFFFFFFFFFF))
-    at = first + np.uint64(probe) * (mix64(first) | np.uint64(1)) if probe else first
-    return ((at >> np.uint64(32)) * np.asarray(size).astype(np.uint64)) >> np.uint64(32)
+    return first, mix64(first) | np.uint64(1)
+
+
+def _place(at: np.ndarray, size: np.ndarray | np.uint64) -> np.ndarray:
+    """Bit of a probe within a group of ``size`` bits, under 2 ** 32."""
+    return (((at >> np.uint64(32)) * size) >> np.uint64(32)).astype(np.int64)
 
 
 def first_probes(types: float, mu: float = MU) -> int:
@@ -101,9 +106,10 @@ def build_bits(grams: np.ndarray, levels: np.ndarray, probes: int) -> tuple[int,
     size = max(64, math.ceil((len(grams) * probes + int((levels - 1).sum()) * PROBES) / math.log(2)))
     bits = np.zeros(size, dtype=bool)
     for level in range(1, int(levels.max(initial=0)) + 1):
-        here = grams[levels >= level]
-        for probe in range(probes if level == 1 else PROBES):
-            bits[_places(here, level, probe, size).astype(np.int64)] = True
+        at, step = _walks(grams[levels >= level], level)
+        for _ in range(probes if level == 1 else PROBES):
+            bits[_place(at, np.uint64(size))] = True
+            at += step
     return size, np.packbits(bits, bitorder="little").tobytes()
 
 
@@ -138,18 +144,22 @@ class LogBloom:
         out = np.zeros(len(grams), dtype=np.int64)
         group = self.group_of(grams)
         live = np.flatnonzero(self.first[group] >= 0)
-        first, size, probes = (a[group[live]] for a in (self.first, self.size, self.probes))
+        first, size, probes = (a[group[live]] for a in (self.first, self.size.astype(np.uint64), self.probes))
         most = int(probes.max(initial=0))
         for level in range(1, MAX_LEVEL + 1):
-            here = grams[live]
+            at, step = _walks(grams[live], level)
             for probe in range(most if level == 1 else PROBES):
                 if not len(live):
                     return out
-                at = _places(here, level, probe, size).astype(np.int64)
-                known = (self.bits[first + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1 == 1
+                bit = _place(at, size)
+                known = (self.bits[first + (bit >> 3)] >> (bit & 7).astype(np.uint8)) & 1 == 1
                 if level == 1:
                     known |= probe >= probes
-                live, here, first, size, probes = (a[known] for a in (live, here, first, size, probes))
+                if known.all():
+                    at = at + step
+                    continue
+                live, at, step, first, size, probes = (a[known] for a in (live, at, step, first, size, probes))
+                at += step
             out[live] = level
         return out
 
@@ -166,6 +176,17 @@ def _whole(six: bytes, group: int, group_bits: int) -> np.ndarray:
     return low | (np.uint64(group) << np.uint64(GRAM_BITS - group_bits))
 
 
+def _write_counts(c: np.ndarray) -> tuple[bytes, bytes]:
+    """A byte for each count; those of 255 and more follow apart."""
+    return np.minimum(c, 255).astype(np.uint8).tobytes(), c[c >= 255].astype("<i8").tobytes()
+
+
+def _read_counts(small: bytes, large: bytes) -> np.ndarray:
+    out = np.frombuffer(small, np.uint8).astype(np.int64)
+    out[out == 255] = np.frombuffer(large, "<i8")
+    return out
+
+
 def _by_group(grams: np.ndarray, group_bits: int) -> Iterator[tuple[int, slice]]:
     """Runs of ordered n-grams that lie in one group."""
     group = (grams >> np.uint64(GRAM_BITS - group_bits)).astype(np.int64)
@@ -176,7 +197,7 @@ def _by_group(grams: np.ndarray, group_bits: int) -> Iterator[tuple[int, slice]]
 
 @dataclass
 class Model:
-    """``groups`` is the written filter: (group, size, probes, bits) and the exact counts of the group's unigrams (unis, counts)."""
+    """``groups`` is the written filter: (group, size, probes, bits) and the exact counts of the group's unigrams (unis, counts, large)."""
 
     groups: DataFrame | None
     group_bits: int
@@ -186,8 +207,10 @@ class Model:
     all_sent: bool
     #: Mean counts that a level read stands for, of unigrams and of bigrams.
     means: tuple[np.ndarray, np.ndarray]
-    frequent: tuple[np.ndarray, np.ndarray]
+    #: Ordered n-grams of the frequent tokens, their counts and the levels that the filter reads.
+    frequent: tuple[np.ndarray, np.ndarray, np.ndarray]
     all_frequent: bool
+    last_sent: int
 
     def unigram(self, levels: np.ndarray) -> np.ndarray:
         return (self.means[0][levels] + 0.5) / (self.n_tokens + 0.5 * (self.n_types + 1))
@@ -227,8 +250,7 @@ def _count(group_bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
                     parts.clear()
                     rows = []
                     for g, at in _by_group(grams, group_bits):
-                        some = c[at]
-                        rows.append((g, n, _six(grams[at]), np.minimum(some, 255).astype(np.uint8).tobytes(), some[some >= 255].astype("<i8").tobytes()))
+                        rows.append((g, n, _six(grams[at]), *_write_counts(c[at])))
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int8(), *[pa.binary()] * 3))], names)
 
         for b in batches:
@@ -245,7 +267,7 @@ def _count(group_bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     return count
 
 
-_GROUP_ROW = "group int, size long, probes int, bits binary, unis binary, counts binary, levels array<struct<n: int, level: int, grams: long, total: long>>"
+_GROUP_ROW = "group int, size long, probes int, bits binary, unis binary, counts binary, large binary, levels array<struct<n: int, level: int, grams: long, total: long>>"
 
 
 def _build(group_bits: int, mu: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -263,7 +285,7 @@ def _build(group_bits: int, mu: float) -> Callable[[Iterator[pa.RecordBatch]], I
         probes = first_probes(len(grams.get(1, ())) << group_bits, mu)
         size, bits = build_bits(np.concatenate(list(grams.values())), np.concatenate(list(levels.values())), probes)
         unis, c = grams.get(1, np.empty(0, np.uint64)), counts.get(1, np.empty(0, np.int64))
-        return group, size, probes, bits, _six(unis), c.astype("<i8").tobytes(), histogram
+        return group, size, probes, bits, _six(unis), *_write_counts(c), histogram
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, parts = None, {}
@@ -273,15 +295,13 @@ def _build(group_bits: int, mu: float) -> Callable[[Iterator[pa.RecordBatch]], I
                     if parts:
                         yield rows([finish(here, parts)])
                     here, parts = group, {}
-                counts = np.frombuffer(small, np.uint8).astype(np.int64)
-                counts[counts == 255] = np.frombuffer(large, "<i8")
-                parts.setdefault(n, []).append((_whole(six, group, group_bits), counts))
+                parts.setdefault(n, []).append((_whole(six, group, group_bits), _read_counts(small, large)))
         if parts:
             yield rows([finish(here, parts)])
 
-    names = ["group", "size", "probes", "bits", "unis", "counts", "levels"]
+    names = ["group", "size", "probes", "bits", "unis", "counts", "large", "levels"]
     kind = pa.list_(pa.struct([("n", pa.int32()), ("level", pa.int32()), ("grams", pa.int64()), ("total", pa.int64())]))
-    types = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 3, kind]
+    types = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4, kind]
     rows = lambda found: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), types)], names)
     return build
 
@@ -323,16 +343,19 @@ def learn(docs: DataFrame, text_col: str = "text", max_bytes: int = MAX_BYTES, f
 
     def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for group, six, counts in zip(*(c.to_pylist() for c in b.columns)):
-                c = np.frombuffer(counts, "<i8")
+            for group, size, probes, bits, six, small, large in zip(*(c.to_pylist() for c in b.columns)):
+                c = _read_counts(small, large)
                 keep = level_of(c) >= least
-                yield pa.RecordBatch.from_arrays([pa.array(_whole(six, group, group_bits)[keep].view(np.int64)), pa.array(c[keep])], ["gram", "c"])
+                tokens = _whole(six, group, group_bits)[keep]
+                read = LogBloom.of(group_bits, [(group, size, probes, bits)]).levels(tokens)
+                yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(c[keep]), pa.array(read)], ["gram", "c", "level"])
 
-    found = groups.select("group", "unis", "counts").mapInArrow(often, "gram long, c long").toArrow()  # at most ``frequent`` rows
-    grams, c = found.column("gram").to_numpy().view(np.uint64), found.column("c").to_numpy()
+    found = groups.select("group", "size", "probes", "bits", "unis", "counts", "large").mapInArrow(often, "gram long, c long, level long").toArrow()  # at most ``frequent`` rows
+    grams = found.column("gram").to_numpy().view(np.uint64)
     order = np.argsort(grams)
+    top_tokens = (grams[order], found.column("c").to_numpy()[order], found.column("level").to_numpy()[order])
     means = (mean_counts(histograms[0]), mean_counts(histograms[1]))
-    return Model(groups, group_bits, n_tokens, n_types, bloom, len(sent) == len(sizes), means, (grams[order], c[order]), len(grams) == n_types)
+    return Model(groups, group_bits, n_tokens, n_types, bloom, len(sent) == len(sizes), means, top_tokens, len(grams) == n_types, sent[-1] if sent else -1)
 
 
 def _find(known: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -344,14 +367,10 @@ def _find(known: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def _questions(texts: list[np.ndarray], model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """(tokens whose counts are asked, n-grams whose levels are asked) of a chunk, ordered and distinct."""
+    """(tokens that are not frequent, bigrams whose groups are not here) of a chunk, ordered and distinct."""
     tokens = np.unique(gram(np.concatenate(texts)))
-    often = _find(model.frequent[0], tokens)[1]
     pairs = np.unique(gram(np.concatenate([bigrams_of(t) for t in texts])))
-    if model.all_sent:
-        return tokens[~often], pairs[:0]
-    others = np.union1d(pairs, tokens[often])
-    return tokens[~often], others[~model.bloom.holds(others)]
+    return tokens[~_find(model.frequent[0], tokens)[1]], pairs[:0] if model.all_sent else pairs[~model.bloom.holds(pairs)]
 
 
 class _Ask:
@@ -409,31 +428,48 @@ def _answers(numbered: DataFrame, model: Model, shared) -> DataFrame:
     """Per chunk and group asked: counts and levels of the tokens, levels of the other n-grams, in the order asked."""
     group_bits = model.group_bits
 
+    types = (pa.int64(), pa.int32(), *[pa.binary()] * 3)
+
+    def together(group: int, held: tuple | None, pending: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
+        """All questions of some chunks to one group, looked up at once."""
+        tokens, others = ([_whole(p[i], group, group_bits) for p in pending] for i in (1, 2))
+        every = np.concatenate([*tokens, *others])
+        counts, levels = np.zeros(len(every), np.int64), np.zeros(len(every), np.int64)
+        if held is not None:  # a group without a row has no n-grams
+            bloom, unis, c = held
+            at, known = _find(unis, every)
+            counts[known] = c[at[known]]
+            levels = levels if bloom is None else bloom.levels(every)
+        cuts = np.cumsum([len(x) for x in (*tokens, *others)])[:-1]
+        n = len(pending)
+        counts, levels = np.split(counts.astype("<i8"), cuts), np.split(levels.astype(np.uint8), cuts)
+        rows = [(p[0], group, counts[i].tobytes(), levels[i].tobytes(), levels[n + i].tobytes()) for i, p in enumerate(pending)]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], ["chunk", "group", "counts", "levels", "others"])
+
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, bloom, unis, counts = None, None, None, None
+        here, held, pending, size = None, None, [], 0
         for b in batches:
-            rows = []
-            for group, chunk, tokens, others, size, probes, bits, six, c in zip(*(x.to_pylist() for x in b.columns)):
-                if chunk < 0:  # a group comes before what it is asked
-                    here, bloom = group, LogBloom.of(group_bits, [(group, size, probes, bits)])
-                    unis, counts = _whole(six, group, group_bits), np.frombuffer(c, "<i8")
-                    continue
-                asked, more = _whole(tokens, group, group_bits), _whole(others, group, group_bits)
-                if group == here:
-                    at, known = _find(unis, asked)
-                    found = [np.where(known, counts[at] if len(counts) else 0, 0), bloom.levels(asked), bloom.levels(more)]
-                else:  # a group without a row has no n-grams
-                    found = [np.zeros(len(asked)), np.zeros(len(asked)), np.zeros(len(more))]
-                rows.append((chunk, group, found[0].astype("<i8").tobytes(), found[1].astype(np.uint8).tobytes(), found[2].astype(np.uint8).tobytes()))
-            if rows:
-                types = (pa.int64(), pa.int32(), *[pa.binary()] * 3)
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], ["chunk", "group", "counts", "levels", "others"])
+            for group, chunk, tokens, others, bits_size, probes, bits, six, small, large in zip(*(x.to_pylist() for x in b.columns)):
+                if pending and (group != here or size > ANSWERED_AT_ONCE):
+                    yield together(here, held, pending)
+                    pending, size = [], 0
+                if group != here:
+                    here, held = group, None
+                if chunk < 0:  # a group comes before what it is asked; those that are broadcast come without bits
+                    bloom = None if bits is None else LogBloom.of(group_bits, [(group, bits_size, probes, bits)])
+                    held = bloom, _whole(six, group, group_bits), _read_counts(small, large)
+                else:
+                    pending.append((chunk, tokens, others))
+                    size += len(tokens) + len(others)
+        if pending:
+            yield together(here, held, pending)
 
     asked = numbered.select("text", F.spark_partition_id().alias("part")).mapInArrow(_Ask(shared), "group int, chunk long, tokens binary, others binary")
-    nothing = {"size": "long", "probes": "int", "bits": "binary", "unis": "binary", "counts": "binary"}
+    nothing = {"size": "long", "probes": "int", "bits": "binary", "unis": "binary", "counts": "binary", "large": "binary"}
     asked = asked.select("*", *[F.lit(None).cast(t).alias(c) for c, t in nothing.items()])
     none = F.lit(None).cast("binary")
-    kept = model.groups.select("group", F.lit(-1).cast("long").alias("chunk"), none.alias("tokens"), none.alias("others"), *nothing)
+    away = model.groups.withColumn("bits", F.when(F.col("group") > model.last_sent, F.col("bits")))
+    kept = away.select("group", F.lit(-1).cast("long").alias("chunk"), none.alias("tokens"), none.alias("others"), *nothing)
     # A group and its questions pass by in order: one group is held at a time, however many ask it.
     dealt = kept.unionByName(asked).repartition(_tasks(numbered.sparkSession, group_bits), "group").sortWithinPartitions("group", "chunk")
     return dealt.mapInArrow(answer, _ANSWER)
@@ -471,33 +507,26 @@ def score(
         sizes = np.array([len(t) for t in texts])
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         tokens, inverse = np.unique(gram(np.concatenate(texts)), return_inverse=True)
-        pairs = gram(np.concatenate([bigrams_of(t) for t in texts]))
+        pairs, of_pair = np.unique(gram(np.concatenate([bigrams_of(t) for t in texts])), return_inverse=True)
+        pair_levels, read = m.bloom.levels(pairs), m.bloom.levels(tokens)
         at, often = _find(m.frequent[0], tokens)
-        count = np.where(often, m.frequent[1][at] if len(m.frequent[1]) else 0, 0)
-        at, there = _find(asked[0], tokens)
-        if not (m.all_frequent or (often | there).all()):
+        there_at, there = _find(asked[0], tokens)
+        count = np.zeros(len(tokens), dtype=np.int64)
+        count[often], read[often] = m.frequent[1][at[often]], m.frequent[2][at[often]]
+        count[there] = asked[1][there_at[there]]
+        away = there & ~m.bloom.holds(tokens)
+        read[away] = levels[0][there_at[away]]
+        missing = np.flatnonzero(~m.bloom.holds(pairs)) if not m.all_sent else np.empty(0, np.int64)
+        at, answered = _find(asked[2], pairs[missing])
+        if not (m.all_frequent or (often | there).all()) or not answered.all():
             raise RuntimeError("the documents changed between two readings")
-        count = np.where(there, asked[1][at] if len(asked[1]) else 0, count)
-
-        def level(grams: np.ndarray) -> np.ndarray:
-            found = m.bloom.levels(grams)
-            if not m.all_sent:
-                away = np.flatnonzero(~m.bloom.holds(grams))
-                for known, read in ((asked[2], levels[1]), (asked[0], levels[0])):
-                    at, yes = _find(known, grams[away])
-                    found[away[yes]] = read[at[yes]]
-                    away = away[~yes]
-                if len(away):
-                    raise RuntimeError("the documents changed between two readings")
-            return found
-
+        pair_levels[missing] = levels[1][at]
         floor = math.log10(m.n_tokens + 0.5 * (m.n_types + 1))
         base = np.log10(count + 0.5) - floor
-        read = level(tokens)
         before = np.empty_like(inverse)
         before[1:] = inverse[:-1]
         before[starts] = np.searchsorted(tokens, gram(np.array([END]))[0])
-        p = m.bigram(level(pairs), read[before], m.unigram(read)[inverse], mu)
+        p = m.bigram(pair_levels[of_pair], read[before], m.unigram(read)[inverse], mu)
         by_text = [np.add.reduceat(v, starts) for v in ((count > 0).astype(np.int64)[inverse], base[inverse], np.log10(p))]
         return pa.RecordBatch.from_arrays([pa.array(sizes.astype(np.int64)), *map(pa.array, by_text), *rows.columns[1:]], [*made, *names])
 
@@ -508,11 +537,9 @@ def score(
         for b in batches:
             yield from rate(b, *nothing)
 
-    def rate_chunk(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        rows = rows.drop_columns("chunk").combine_chunks().to_batches()
-        m = shared.value
-        texts = [tokens_of(t.as_py()) for b in rows for t in b.column(0)]
-        questions = _questions(texts, m)
+    def rate_chunk(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        rows = [b for block in blocks.sort_by("place").column("rows") for b in pa.ipc.open_stream(block.as_buffer())]
+        questions = _questions([tokens_of(t.as_py()) for b in rows for t in b.column(0)], shared.value)
         answers = answers.sort_by("group")
         counts, levels, others = (np.frombuffer(b"".join(answers.column(c).to_pylist()), t) for c, t in (("counts", "<i8"), ("levels", np.uint8), ("others", np.uint8)))
         if len(counts) != len(questions[0]) or len(others) != len(questions[1]):
@@ -520,15 +547,20 @@ def score(
         found = (questions[0], counts, questions[1]), (levels.astype(np.int64), others.astype(np.int64))
         return pa.Table.from_batches([r for b in rows for r in rate(b, *found)])
 
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Chunks as compressed blocks of their rows."""
+        for place, (chunk, rows) in enumerate(_Ask.chunks(batches)):
+            rows = pa.RecordBatch.from_arrays(rows.columns[1:], rows.schema.names[1:])
+            out = pa.BufferOutputStream()
+            with pa.ipc.new_stream(out, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                writer.write_batch(rows)
+            yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([place]), pa.array([out.getvalue().to_pybytes()])], ["chunk", "place", "rows"])
+
     if model.all_sent and model.all_frequent:
         rated = numbered.mapInArrow(rate_rows, schema)
     else:
         numbered = numbered if as_stored else materialise(numbered, "lm-rows")
-        deal = lambda batches: (
-            pa.RecordBatch.from_arrays([pa.array(np.full(rows.num_rows, chunk)), *rows.columns[1:]], ["chunk", *rows.schema.names[1:]]) for chunk, rows in _Ask.chunks(batches)
-        )
-        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in numbered.schema)
-        chunks = numbered.select(F.spark_partition_id().alias("part"), "*").mapInArrow(deal, f"chunk long, {fields}")
+        chunks = numbered.select(F.spark_partition_id().alias("part"), "*").mapInArrow(deal, "chunk long, place long, rows binary")
         answers = _answers(numbered, model, shared)
         rated = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(rate_chunk, schema)
     return rated.select(*names, "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
