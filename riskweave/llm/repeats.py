@@ -359,24 +359,25 @@ def removed_spans(spots: np.ndarray, keep_first: np.ndarray, keep_last: np.ndarr
     return [(a, z) for a, z in spans]
 
 
-def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, n_bytes, spans, kept) from (doc, text, spots, firsts, lasts)."""
-    kind = pa.list_(pa.struct([("from", pa.int64()), ("until", pa.int64())]))
-    for b in batches:
-        sizes, spans_of, kept = [], [], []
-        for data, spots, firsts, lasts in zip(_data(b.column(1)), b.column(2), b.column(3), b.column(4)):
-            none = np.empty(0, dtype=np.int64)
-            lists = [none if x.values is None else np.asarray(x.values) for x in (spots, firsts, lasts)]
-            spans = removed_spans(*lists)
-            raw, at, parts = data.tobytes(), 0, []
-            for a, z in spans:
-                parts.append(raw[at:a])
-                at = z
-            parts.append(raw[at:])
-            sizes.append(len(raw))
-            spans_of.append([{"from": a, "until": z} for a, z in spans])
-            kept.append(b"".join(parts))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(spans_of, kind), pa.array(kept, pa.binary())], ["doc", "n_bytes", "spans", "kept"])
+_LEFT = "struct<n_bytes: bigint, spans: array<struct<from: bigint, until: bigint>>, kept: binary>"
+
+
+def _apply(texts: pa.Array, spots: pa.Array, firsts: pa.Array, lasts: pa.Array) -> pa.Array:
+    """Bytes, removed spans and what stays of each text; null where the text is."""
+    kind = pa.struct([("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("from", pa.int64()), ("until", pa.int64())]))), ("kept", pa.binary())])
+    out, none = [], np.empty(0, dtype=np.int64)
+    for text, *found in zip(texts, spots, firsts, lasts):
+        if not text.is_valid:
+            out.append(None)
+            continue
+        raw, at, parts = text.as_py().encode("utf-8", "surrogatepass"), 0, []
+        spans = removed_spans(*(none if x.values is None else np.asarray(x.values) for x in found))
+        for a, z in spans:
+            parts.append(raw[at:a])
+            at = z
+        parts.append(raw[at:])
+        out.append({"n_bytes": len(raw), "spans": [{"from": a, "until": z} for a, z in spans], "kept": b"".join(parts)})
+    return pa.array(out, kind)
 
 
 def _in_order(texts: DataFrame) -> DataFrame | None:
@@ -417,7 +418,14 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # No table in between: both joins by document read one shuffle of the texts.
     keep_by_doc = kept.groupBy("doc").agg(F.collect_list("first").alias("firsts"), F.collect_list("last").alias("lasts"))
     whole = numbered.join(by_doc, "doc", "left").join(keep_by_doc, "doc", "left")
-    done = whole.select("doc", "text", "spots", "firsts", "lasts").mapInArrow(_apply, "doc long, n_bytes long, spans array<struct<from: bigint, until: bigint>>, kept binary")
+    # A text without a repeated anchor stays as it is, and out of Python.
+    touched = F.col("spots").isNotNull()
+    cut_down = whole.select("doc", "text", touched.alias("touched"), F.arrow_udf(_apply, _LEFT)(F.when(touched, F.col("text")), "spots", "firsts", "lasts").alias("r"))
+    either = lambda made, kept: F.when(F.col("touched"), F.col(f"r.{made}")).otherwise(kept).alias(made)
+    done = cut_down.select(
+        "doc", either("n_bytes", F.octet_length("text").cast("long")), either("spans", F.array().cast("array<struct<from: bigint, until: bigint>>")),
+        either("kept", F.col("text").cast("binary")),
+    )
     if order is None:
         return done.withColumnRenamed("doc", "doc_id")
     done = done.join(order.withColumnRenamed("doc", "of_doc"), F.col("doc") == F.col("of_doc")).drop("doc", "of_doc")
