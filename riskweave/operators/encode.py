@@ -2,75 +2,103 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from riskweave.operators.features import CATEGORIES, NUMERIC_FEATURES, TARGET
+from riskweave.session import ship
 
 MAX_LEVELS = 1000
-BRACKET_ROWS = 1_000_000  # values of one column that are ranked in one task at most
+DIGIT = 12  # bits that one pass over the values tells apart
+_LARGEST = (1 << 63) - 1
 
 
-def column_medians(df: DataFrame, columns: Sequence[str], in_one_window: int = BRACKET_ROWS) -> DataFrame:
-    """Exact median per column, ignoring nulls: rows (column, median).
+def column_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Exact median per column, ignoring nulls: rows (column, median), selected by digits.
 
-    Built-in exact percentiles keep every distinct value of a column in one task. Here an
-    approximate percentile of every column gives a bracket around its median, a second pass counts the
-    values below and inside, and only values inside are shuffled and ranked. A bracket that
-    missed is widened, one with more than ``in_one_window`` rows is narrowed, so the answer is exact.
+    A double is read as a 64-bit number of the same order. A pass counts, within the values that
+    share the digits known so far, how many have each next digit, with their least and greatest value; the digit that holds the wanted
+    rank is kept, until all values behind it are one. Nothing is shuffled but these counts, at most ``2 ** DIGIT`` per column and pass, and the number
+    of passes is bounded by the bits of a double.
     """
+    ship(df.sparkSession)
     known = list(columns)
     doubles = df.select([F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(known)])
-    first = doubles.agg(*[F.count(c).alias(f"n_{c}") for c in doubles.columns], *[_near(F.col(c), 0.5, 0.01).alias(c) for c in doubles.columns]).first()
-    size = {c: first[f"n_{c}"] for c in doubles.columns}
-    bracket = {c: tuple(first[c]) for c in doubles.columns if size[c]}
-    spread = dict.fromkeys(bracket, 0.01)
-    below: dict[str, int] = {}
-    while unsure := [c for c in bracket if c not in below]:
-        inside = {c: F.col(c).between(*map(F.lit, bracket[c])) for c in unsure}
-        counted = doubles.agg(
-            *[F.count_if(F.col(c) < bracket[c][0]).alias(f"b_{c}") for c in unsure], *[F.count_if(i).alias(f"i_{c}") for c, i in inside.items()]
-        ).first()
-        again = {}
-        for c in unsure:
-            under, within = counted[f"b_{c}"], counted[f"i_{c}"]
-            low, high = (size[c] - 1) // 2, size[c] // 2
-            if not (under <= low and high < under + within):
-                spread[c] *= 8
-                again[c] = _near(F.col(c), 0.5, spread[c])
-            elif within > in_one_window and bracket[c][0] < bracket[c][1]:
-                again[c] = _near(F.when(inside[c], F.col(c)), (low - under) / within, max(0.01, 2 / within))
+    # What is sought: (column, rank within the values that begin with the prefix, prefix, bits known).
+    sought: dict[tuple[int, bool], tuple[int, int, int]] = {}
+    values: dict[tuple[int, bool], float] = {}
+    cells = {(i, 0, 0) for i in range(len(known))}
+    while cells:
+        counted: dict[tuple[int, int, int], list[tuple[int, int, int, int]]] = {}
+        for r in _digits(doubles, cells).collect():  # at most 2 ** DIGIT rows a cell
+            counted.setdefault((r.at, r.prefix, r.bits), []).append((r.digit, r.n, r.low, r.high))
+        if not sought:
+            for i in range(len(known)):
+                n = sum(d[1] for d in counted.get((i, 0, 0), ()))
+                sought |= {(i, False): ((n - 1) // 2, 0, 0), (i, True): (n // 2, 0, 0)} if n else {}
+        for key, (rank, prefix, bits) in list(sought.items()):
+            for digit, n, low, high in sorted(counted[key[0], prefix, bits]):
+                if rank < n:
+                    break
+                rank -= n
+            if low == high:
+                values[key] = of_image(low)
+                del sought[key]
             else:
-                below[c] = under
-        if again:
-            # A missed bracket that reached the ends, and one that no longer shrinks, stay as they are.
-            found = doubles.agg(*[v.alias(c) for c, v in again.items()]).first()
-            for c in again:
-                wide = (float("-inf"), float("inf")) if spread[c] >= 0.5 else tuple(found[c])
-                if wide == bracket[c]:
-                    below[c] = counted[f"b_{c}"]
-                bracket[c] = wide
-    index = {c: i for i, c in enumerate(doubles.columns)}
-    pairs = [F.when(F.col(c).between(*map(F.lit, bracket[c])), F.struct(F.lit(index[c]).alias("at"), F.col(c).alias("score"))) for c in bracket]
-    places = [(index[c], known[index[c]], below[c], (size[c] - 1) // 2, size[c] // 2) for c in bracket]
-    dim = df.sparkSession.createDataFrame(places, "at int, column string, below long, low long, high long")
-    if not pairs:
-        return dim.select("column", F.lit(None).cast("double").alias("median"))
-    # Counted before they are shuffled: a value that many rows share is one row.
-    runs = doubles.select(F.explode(F.array_compact(F.array(*pairs))).alias("v")).groupBy("v.at", "v.score").agg(F.count(F.lit(1)).alias("n"))
-    running = Window.partitionBy("at").orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = runs.withColumn("upto", F.sum("n").over(running)).join(F.broadcast(dim), "at").withColumn("upto", F.col("upto") + F.col("below"))
-    holds = lambda r: F.max(F.when((F.col("upto") > r) & (F.col("upto") - F.col("n") <= r), F.col("score")))
-    low, high = holds(F.col("low")), holds(F.col("high"))
-    return ranked.groupBy("column").agg((low + (high - low) * 0.5).alias("median"))
-
-
-def _near(c: Column, at: float, spread: float) -> Column:
-    """An approximate bracket around a quantile."""
-    return F.percentile_approx(c, [max(0.0, at - spread), min(1.0, at + spread)], 2000)
+                sought[key] = (rank, (prefix << DIGIT) | digit, bits + DIGIT)
+        cells = {(i, prefix, bits) for (i, _), (_, prefix, bits) in sought.items()}
+    halfway = lambda i: values[i, False] + (values[i, True] - values[i, False]) * 0.5
+    rows = [(c, halfway(i)) for i, c in enumerate(known) if (i, False) in values]
+    return df.sparkSession.createDataFrame(rows, "column string, median double")
+
+
+def ordered_image(x: np.ndarray) -> np.ndarray:
+    """64-bit integers in the order of the doubles; both zeros are one, and NaN is one value after all others."""
+    raw = np.where(np.isnan(x), np.nan, x + 0.0).view(np.int64)
+    return np.where(raw < 0, raw ^ np.int64(_LARGEST), raw)
+
+
+def of_image(image: int) -> float:
+    return float(np.int64(image ^ _LARGEST if image < 0 else image).view(np.float64))
+
+
+def _digits(doubles: DataFrame, cells: set[tuple[int, int, int]]) -> DataFrame:
+    """(at, prefix, bits, digit, n, low, high): the images of a column that begin with a prefix, by their next digit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int, int], list[np.ndarray]] = {c: [] for c in cells}
+        for b in batches:
+            for at in sorted({c[0] for c in cells}):
+                image = ordered_image(b.column(at).drop_null().to_numpy(zero_copy_only=False))
+                raised = image.view(np.uint64) ^ np.uint64(1 << 63)
+                for cell in (c for c in cells if c[0] == at):
+                    _, prefix, bits = cell
+                    live = np.flatnonzero(raised >> np.uint64(64 - bits) == np.uint64(prefix)) if bits else np.arange(len(image))
+                    width = min(DIGIT, 64 - bits)
+                    digit = ((raised[live] >> np.uint64(64 - bits - width)) & np.uint64((1 << width) - 1)).astype(np.int64)
+                    held[cell].append(_by_digit(digit, np.ones(len(live), np.int64), image[live], image[live]))
+        for (at, prefix, bits), parts in held.items():
+            if parts:
+                digit, n, low, high = _by_digit(*np.concatenate(parts, axis=1))
+                same = [pa.array(np.full(len(digit), v, np.int64)) for v in (at, prefix, bits)]
+                yield pa.RecordBatch.from_arrays([*same, *map(pa.array, (digit, n, low, high))], ["at", "prefix", "bits", "digit", "n", "low", "high"])
+
+    parts = doubles.mapInArrow(run, "at long, prefix long, bits long, digit long, n long, low long, high long")
+    return parts.groupBy("at", "prefix", "bits", "digit").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+
+
+def _by_digit(digit: np.ndarray, n: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Rows (digit, count, least, greatest), one column per digit."""
+    order = np.argsort(digit, kind="stable")
+    begins = np.flatnonzero(np.append(True, digit[order][1:] != digit[order][:-1])) if len(digit) else np.empty(0, np.int64)
+    if not len(begins):
+        return np.empty((4, 0), np.int64)
+    return np.stack([digit[order][begins], np.add.reduceat(n[order], begins), np.minimum.reduceat(low[order], begins), np.maximum.reduceat(high[order], begins)])
 
 
 def category_levels(df: DataFrame, columns: Sequence[str], max_levels: int = MAX_LEVELS) -> dict[str, list[str]]:

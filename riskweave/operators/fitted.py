@@ -176,3 +176,23 @@ def _sent(model: FittedTrees):
     from pyspark.sql import SparkSession
 
     return SparkSession.active().sparkContext.broadcast(_Numbers(model))
+
+
+class FittedCentres(Model, HasFeaturesCol, HasPredictionCol, DefaultParamsReadable, DefaultParamsWritable):
+    """The number of the nearest centre, the first of equally near ones; one expression."""
+
+    content = Param(Params._dummy(), "content", "the centres as JSON", TypeConverters.toString)
+
+    @staticmethod
+    def of(centres: np.ndarray, features: str, out: str) -> FittedCentres:
+        return FittedCentres()._set(content=json.dumps(centres.tolist()), featuresCol=features, predictionCol=out)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        kind = df.schema[self.getFeaturesCol()].dataType.typeName()
+        x = F.col(self.getFeaturesCol()) if kind == "array" else vector_to_array(self.getFeaturesCol())
+        away = []
+        for centre in json.loads(self.getOrDefault(self.content)):
+            gaps = F.zip_with(x, F.array(*[F.lit(float(c)) for c in centre]), lambda a, b: (a - b) * (a - b))
+            away.append(F.aggregate(gaps, F.lit(0.0), lambda total, g: total + g))
+        distances = F.array(*away)
+        return df.withColumn(self.getPredictionCol(), (F.array_position(distances, F.array_min(distances)) - 1).cast("int"))

@@ -36,17 +36,17 @@ from riskweave.session import materialise
 
 MAX_BINS = 255
 BIN_ROWS = 100_000  # rows that bin edges are taken from at most
-BLOCK_ROWS = 32_768
+BLOCK_ROWS = 16_384  # so that a block's sums are exact in doubles
 PAIRS_PER_TASK = 20_000  # below which more tasks cost more than they save
 WHOLE_ROWS = 200_000  # rows of a fit that one task may grow (a byte for each feature, and 40 bytes)
 TREES_PER_TASK = 75
 REBASE = 4  # rounds whose trees are applied anew in every job
-GRADIENT = float(1 << 20)  # units a gradient of the largest class weight has
-HESSIAN = float(1 << 15)
+GRADIENT_BITS = 32  # of a gradient of the largest class weight; fewer for more rows than 2 ** 30
+HESSIAN = float(1 << 23)
 LEAST_HESSIAN = 1e-3
 FOREST_BINS = 32
 SUMS = 3_000_000  # numbers in the sums of one forest job, about
-_ONE = 1 << 17  # a row, beside its rounded second derivative
+_ONE = 1 << 15  # a row's place beside its rounded second derivative
 _BAG = 1 << 20  # a row of class 0, beside those of class 1
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 # Chances of 0, 1, 2, ... copies of a row in a bag, added up, in units of 2^-32.
@@ -243,8 +243,9 @@ def _scores(block: Block, since: Sequence[Trees], pairs: np.ndarray) -> np.ndarr
     return raw
 
 
-def _level_sums(blocks: Iterable[Block], since: Sequence[Trees], trees: Trees, slots: np.ndarray, n_slots: int, starts: np.ndarray, weights: np.ndarray) -> Iterator[np.ndarray]:
+def _level_sums(blocks: Iterable[Block], since: Sequence[Trees], trees: Trees, slots: np.ndarray, n_slots: int, layout: _Layout, weights: np.ndarray) -> Iterator[np.ndarray]:
     """(slots, 3, places) sums of rows, gradients and second derivatives of the nodes that have a slot."""
+    starts = layout.starts
     width = int(starts[-1])
     out = np.zeros((3, n_slots * width), dtype=np.int64)
     for block in blocks:
@@ -257,7 +258,7 @@ def _level_sums(blocks: Iterable[Block], since: Sequence[Trees], trees: Trees, s
         p = 1 / (1 + np.exp(-_scores(block, since, pairs)))
         # In units of the fit's larger class weight: a block's sums stay exact in doubles.
         w = weights[fit, y] / weights[fit].max(axis=1)
-        gradient = np.rint((p - y) * w * GRADIENT)
+        gradient = np.rint((p - y) * w * layout.gradient)
         curve = np.rint(p * (1 - p) * 4 * w * HESSIAN) * _ONE + 1
         at = (slot * width + (block.bins[:, row] + starts[:-1, None])).ravel()
         each = (len(starts) - 1, len(pairs))
@@ -289,9 +290,14 @@ class Ensemble:
 
 @dataclass(frozen=True)
 class _Layout:
-    """Where the sums of a feature's bins lie."""
+    """Where the sums of a feature's bins lie, and how many units a gradient has."""
 
     counts: np.ndarray
+    gradient: float
+
+    @staticmethod
+    def of(bins: Bins, rows: int) -> _Layout:
+        return _Layout(bins.counts, float(1 << min(GRADIENT_BITS, 62 - int(rows).bit_length())))
 
     @property
     def starts(self) -> np.ndarray:
@@ -319,7 +325,7 @@ def boost(
 
     ``counts``: (fits, 2) rows by class; ``start``: the fits' first scores; ``widths``: the number of leading features a fit may use.
     """
-    weights, layout = balanced(counts), _Layout(bins.counts)
+    weights, layout = balanced(counts), _Layout.of(bins, int(counts.sum(axis=1).max()))
     small = counts.sum(axis=1) <= whole_rows
     out: dict[int, Ensemble] = {}
     if small.any():
@@ -344,7 +350,7 @@ def _boost_in_step(base: RDD, layout: _Layout, weights: np.ndarray, start: np.nd
             since = []
 
         def count(trees: Trees, fit: np.ndarray, node: np.ndarray, base: RDD = base, since: list = since) -> np.ndarray:
-            level = partial(_level_sums, since=since, trees=trees, slots=_slots(trees, fit, node), n_slots=len(fit), starts=layout.starts, weights=weights)
+            level = partial(_level_sums, since=since, trees=trees, slots=_slots(trees, fit, node), n_slots=len(fit), layout=layout, weights=weights)
             return base.mapPartitions(level).treeReduce(np.add)
 
         trees = _grow(count, layout, _columns(widths, len(layout.counts), settings, number), weights, settings)
@@ -364,7 +370,7 @@ def _boost_here(number: int, blocks: list[Block], layout: _Layout, weights: np.n
     blocks = [_started(start[number : number + 1], _only(np.array([number]), b)) for b in blocks]
 
     def count(trees: Trees, fit: np.ndarray, node: np.ndarray) -> np.ndarray:
-        return next(_level_sums(blocks, [], trees, _slots(trees, fit, node), len(fit), layout.starts, here))
+        return next(_level_sums(blocks, [], trees, _slots(trees, fit, node), len(fit), layout, here))
 
     for i in range(settings.rounds):
         trees = _grow(count, layout, _columns([widths[number]], len(layout.counts), settings, i), here, settings)
@@ -441,7 +447,7 @@ def _grow(count: Count, layout: _Layout, chosen: np.ndarray, weights: np.ndarray
     starts, feature_of, last = layout.starts, layout.feature_of, layout.last
     first = feature_of == 0
     trees = Trees.empty(fits, settings.depth)
-    unit = np.stack([np.ones(fits), top / GRADIENT, top / (4 * HESSIAN)], axis=1)[:, :, None]  # what one of each sum stands for
+    unit = np.stack([np.ones(fits), top / layout.gradient, top / (4 * HESSIAN)], axis=1)[:, :, None]  # what one of each sum stands for
     fit, node = np.arange(fits), np.ones(fits, dtype=np.int64)
     totals = np.zeros((*trees.feature.shape, 3))
     sums = count(trees, fit, node)

@@ -25,7 +25,7 @@ from riskweave.operators import (
 )
 from riskweave.operators.features import NUMERIC_FEATURES, build_features
 from riskweave.operators.worklist import monthly_worklist
-from riskweave.plans import training
+from riskweave.plans import fixed_models, training
 from riskweave.session import fresh_path, materialise
 from riskweave.sources import documents
 from riskweave.sources.adapter import patient_level, scores
@@ -493,5 +493,5 @@ def recurring_queries() -> dict[str, Query]:
 def all_queries() -> dict[str, Query]:
     return (
         recurring_queries() | profile_queries() | score_queries() | matrix_queries() | export_queries()
-        | fixed_queries() | source_queries() | model_queries()
+        | fixed_queries() | source_queries() | fixed_models.queries() | model_queries()
     )
