@@ -40,11 +40,16 @@ def isotonic_blocks(df: DataFrame, score: str, label: str, by: Sequence[str] = (
 
     Rows with a null or NaN score or a null label have no part.
     """
-    ship(df.sparkSession)
     keys = list(by)
     value, outcome = F.col(score).cast("double"), F.col(label).cast("double")
     usable = df.filter(value.isNotNull() & ~F.isnan(value) & outcome.isNotNull()).select(*keys, (value + 0.0).alias("low"), outcome.alias("y"))
-    runs = usable.groupBy(*keys, "low").agg(F.sum("y").alias("total"), F.count(F.lit(1)).alias("n"))
+    return blocks_of_runs(usable.groupBy(*keys, "low").agg(F.sum("y").alias("total"), F.count(F.lit(1)).alias("n")), keys)
+
+
+def blocks_of_runs(runs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The same from runs: rows (by, low, total, n) of one score each, with the sum of its labels and its rows."""
+    ship(runs.sparkSession)
+    keys = list(by)
     order = [*keys, "low"]
     fields = [runs.schema[k] for k in keys] + [StructField(c, DoubleType()) for c in ("low", "high", "total")] + [StructField(c, LongType()) for c in ("n", "range")]
     schema = StructType(fields)
@@ -79,3 +84,39 @@ def isotonic_blocks(df: DataFrame, score: str, label: str, by: Sequence[str] = (
         blocks = materialise(wider.mapInArrow(pooled, schema), "isotonic")
     return blocks.select(*keys, "low", "high", (F.col("total") / F.col("n")).alias("fitted"), "n")
 
+
+
+# --- recurring recalibration ---------------------------------------------------------------------
+
+
+def calibration_state(df: DataFrame, score: str, label: str, month: str) -> DataFrame:
+    """(month, score, n, positives): all that a later refit needs of a month's rows."""
+    usable = df.filter(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")) & F.col(label).isNotNull())
+    rows = usable.select(F.col(month).alias("month"), (F.col(score).cast("double") + 0.0).alias("score"), F.col(label).cast("bigint").alias("y"))
+    return rows.groupBy("month", "score").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("positives"))
+
+
+def merged_states(*states: DataFrame) -> DataFrame:
+    """The state of all rows behind several states: sums, in any order. Rows that came late are a state of their own."""
+    every = states[0]
+    for s in states[1:]:
+        every = every.unionByName(s)
+    return every.groupBy("month", "score").agg(F.sum("n").alias("n"), F.sum("positives").alias("positives"))
+
+
+def recalibrated(state: DataFrame, months: int) -> DataFrame:
+    """(as_of, low, high, fitted, n): for every month of the state, the fit of the ``months`` that end with it.
+
+    Months are yyyymm. Rows are not read again: windows add up the months' sums.
+    """
+    number = lambda c: F.floor(c / 100) * 12 + c % 100 - 1
+    known = state.select(number(F.col("month")).alias("m")).distinct()
+    last = known.agg(F.max("m")).scalar()
+    reach = F.explode(F.sequence(F.col("m"), F.least(F.col("m") + months - 1, last))).alias("a")
+    windows = state.withColumn("m", number(F.col("month"))).select("score", "n", "positives", reach)
+    # Months without a row have no fit of their own.
+    windows = windows.join(known.withColumnRenamed("m", "a"), "a", "left_semi")
+    runs = windows.groupBy("a", F.col("score").alias("low")).agg(F.sum("positives").cast("double").alias("total"), F.sum("n").alias("n"))
+    fits = blocks_of_runs(runs, ["a"])
+    as_of = (F.floor(F.col("a") / 12) * 100 + F.col("a") % 12 + 1).cast("int")
+    return fits.select(as_of.alias("as_of"), "low", "high", "fitted", "n")

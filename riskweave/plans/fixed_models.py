@@ -19,9 +19,11 @@ from riskweave.operators.groups import exclusive_label
 from riskweave.operators.newton import fit_logistics
 from riskweave.plans import training
 from riskweave.plans.oracle import _FEATURES, _SCORES, with_
-from riskweave.session import materialise, ship
+from riskweave.session import fresh_path, materialise, ship
 from riskweave.sources.adapter import patient_level, scores
 from riskweave.sources.tables import optional_flag
+from riskweave.streaming import outcomes
+from riskweave.streaming.scoring import write_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
 GROUPS = ("Glaucoma only", "Diabetic only", "Glaucoma+Diabetic")
@@ -322,6 +324,84 @@ def optional_conditions_sql() -> str:
     )
 
 
+# --- recurring jobs ------------------------------------------------------------------------------------
+
+RECENT = 6
+
+
+def calibration_state(spark: SparkSession, d: str) -> DataFrame:
+    """Calibration sums of every month; the earlier and the later rows arrive as two states."""
+    rows = scores(spark, d)
+    parts = (isotonic.calibration_state(rows.filter(f"patientID % 2 = {i}"), "y_prob", "y_true", "EncMonth") for i in (0, 1))
+    return isotonic.merged_states(*parts)
+
+
+def calibration_state_sql() -> str:
+    return with_(_SCORES, select="SELECT EncMonth AS month, y_prob AS score, count(*) AS n, CAST(sum(y_true) AS BIGINT) AS positives FROM sc GROUP BY 1, 2")
+
+
+def recalibrated(spark: SparkSession, d: str) -> DataFrame:
+    """As of every month the isotonic fit of the last half year, from the months' sums alone."""
+    return _rounded(isotonic.recalibrated(materialise(calibration_state(spark, d), "calibration-state"), RECENT), 10, "fitted")
+
+
+def recalibrated_sql() -> str:
+    return with_(
+        _SCORES,
+        f"""
+numbered AS (SELECT EncMonth AS month, EncMonth // 100 * 12 + EncMonth % 100 - 1 AS m, y_prob, y_true FROM sc),
+months AS (SELECT DISTINCT month, m AS a FROM numbered),
+pts AS (
+  SELECT t.month AS as_of, y_prob AS x, count(*) AS w, sum(y_true) AS s, row_number() OVER (PARTITION BY t.month ORDER BY y_prob) AS i
+  FROM months t JOIN numbered r ON r.m BETWEEN t.a - {RECENT - 1} AND t.a GROUP BY t.month, y_prob),
+cum AS (SELECT *, sum(w) OVER (PARTITION BY as_of ORDER BY i) AS cw, sum(s) OVER (PARTITION BY as_of ORDER BY i) AS cs FROM pts),
+spans AS (SELECT j.as_of, j.i AS j, k.i AS k, CAST(k.cs - j.cs + j.s AS DOUBLE) / (k.cw - j.cw + j.w) AS a
+  FROM cum j JOIN cum k ON j.as_of = k.as_of AND j.i <= k.i),
+lows AS (SELECT as_of, j, k AS i, min(a) OVER (PARTITION BY as_of, j ORDER BY k DESC) AS lo FROM spans),
+fit AS (SELECT p.as_of, p.x, p.w, max(lo) AS f FROM lows JOIN pts p ON p.i = lows.i AND p.as_of = lows.as_of GROUP BY ALL)""",
+        select="SELECT as_of, min(x) AS low, max(x) AS high, round(f, 10) AS fitted, CAST(sum(w) AS BIGINT) AS n FROM fit GROUP BY as_of, f",
+    )
+
+
+#: Half a day off the dates, so that no date lies on the edge of what is still awaited.
+AWAITED = "30 days 12 hours"
+
+
+def late_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """Scored orders joined with the first returned line shipped within a year, both as streams, by quarter."""
+    orders = "o_orderkey bigint, o_orderdate timestamp_ntz"
+    lines = "l_orderkey bigint, l_linenumber int, l_returnflag string, l_shipdate timestamp_ntz"
+    day = lambda c: F.timestamp_seconds(F.unix_date(F.col(c).cast("date")).cast("bigint") * 86400)
+
+    def scored(df: DataFrame) -> DataFrame:
+        quarter = F.make_date(F.year("o_orderdate"), 3 * F.quarter("o_orderdate") - 2, F.lit(1))
+        return df.select("o_orderkey", day("o_orderdate").alias("at"), (F.col("o_orderkey") * 7919 % 1000 / 1000.0).alias("y_prob"), quarter.alias("quarter"))
+
+    events = spark.readStream.schema(lines).parquet(f"{d}/lineitem*.parquet").filter("l_linenumber = 1 and l_returnflag = 'R'")
+    events = events.select(F.col("l_orderkey").alias("o_orderkey"), day("l_shipdate").alias("observed"))
+    arriving = scored(spark.readStream.schema(orders).parquet(f"{d}/orders*.parquet"))
+    out, state = fresh_path(spark, "matured"), fresh_path(spark, "outcome-state")
+    matured = outcomes.join_outcomes(arriving, events, "o_orderkey", "at", "observed", disorder=AWAITED)
+    write_batches(matured.select("o_orderkey", "outcome"), out, state).awaitTermination()
+    every = scored(spark.read.schema(orders).parquet(f"{d}/orders.parquet"))
+    report = outcomes.maturity_report(every, spark.read.schema("o_orderkey bigint, outcome int").parquet(out), "o_orderkey", "quarter")
+    return _rounded(report, 10, "mean_prob", "actual_rate", "cal_gap")
+
+
+def late_outcomes_sql() -> str:
+    return """
+WITH events AS (SELECT l_orderkey, l_shipdate FROM lineitem WHERE l_linenumber = 1 AND l_returnflag = 'R'),
+mark AS (SELECT least((SELECT max(o_orderdate) FROM orders), (SELECT max(l_shipdate) FROM events)) - INTERVAL '30 days 12 hours' AS w),
+known AS (
+  SELECT o_orderdate, CAST(o_orderkey * 7919 % 1000 AS DOUBLE) / 1000 AS p,
+    CASE WHEN l_orderkey IS NOT NULL THEN 1 WHEN o_orderdate + INTERVAL 365 DAY < w THEN 0 END AS outcome
+  FROM orders CROSS JOIN mark LEFT JOIN events ON l_orderkey = o_orderkey AND l_shipdate BETWEEN o_orderdate AND o_orderdate + INTERVAL 365 DAY)
+SELECT CAST(date_trunc('quarter', o_orderdate) AS DATE) AS quarter, count(*) AS n, count(outcome) AS matured, count(*) - count(outcome) AS immature,
+  CAST(sum(outcome) AS BIGINT) AS events, round(avg(p) FILTER (WHERE outcome IS NOT NULL), 10) AS mean_prob, round(avg(outcome), 10) AS actual_rate,
+  round(avg(outcome) - avg(p) FILTER (WHERE outcome IS NOT NULL), 10) AS cal_gap
+FROM known GROUP BY 1"""
+
+
 _ALL: dict[str, tuple[Query, Callable[[], str]]] = {
     "tree_splits": (tree_splits, tree_splits_sql),
     "logistic_fits": (logistic_fits, logistic_fits_sql),
@@ -334,6 +414,9 @@ _ALL: dict[str, tuple[Query, Callable[[], str]]] = {
     "scoring_unit": (scoring_unit, scoring_unit_sql),
     "stacker_inputs": (stacker_inputs, stacker_inputs_sql),
     "optional_conditions": (optional_conditions, optional_conditions_sql),
+    "calibration_state": (calibration_state, calibration_state_sql),
+    "recalibrated": (recalibrated, recalibrated_sql),
+    "late_outcomes": (late_outcomes, late_outcomes_sql),
 }
 
 
