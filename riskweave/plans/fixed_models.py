@@ -413,7 +413,7 @@ _ALL: dict[str, tuple[Query, Callable[[], str]]] = {
     "specialised_fixed": (specialised_fixed, specialised_fixed_sql),
     "scoring_unit": (scoring_unit, scoring_unit_sql),
     "stacker_inputs": (stacker_inputs, stacker_inputs_sql),
-    "optional_conditions": (optional_conditions, optional_conditions_sql),
+    "missing_condition": (optional_conditions, optional_conditions_sql),
     "calibration_state": (calibration_state, calibration_state_sql),
     "recalibrated": (recalibrated, recalibrated_sql),
     "late_outcomes": (late_outcomes, late_outcomes_sql),

@@ -8,7 +8,7 @@ from pathlib import Path
 import pytest
 
 ROOT = Path(__file__).resolve().parents[1]
-LIST = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()), any(q.startswith('op') or q == 'pipeline' for q in e.queries()))"
+LIST = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()), any(q == 'pipeline' or q[:2] == 'op' and q[2:3].isdigit() for q in e.queries()))"
 
 
 @pytest.mark.parametrize("pipeline_stays", [True, False])
