@@ -9,11 +9,11 @@ input. The way there:
    so a document is a row per anchor and not a row per byte.
 2. Anchors that occur once stand for strings that occur once. Only the others go on, with
    the bytes around them, dealt out by anchor; equal stretches of one task are sent once.
-3. Equal stretches are one, and one that is alone with its anchor matches no other. The
-   others are indexed, part by part: a Burrows-Wheeler transform, kept as runs with the text places of the run ends.
-   All stretches are then streamed backwards through the runs; the place of each string
-   among the sorted ones gives its block, the strings that match it for 100 bytes or more.
-   In each block the earliest start stays.
+3. Equal stretches are one, and one that is alone with its anchor matches no other. Of the
+   others, part by part, the earliest one of each anchor is indexed: a Burrows-Wheeler transform, kept as runs with the text places of the run ends.
+   All later stretches are streamed backwards through the runs for their matching statistics; starts that match for 100 bytes
+   or more are not the earliest. What is left of them goes the same way again, with four times as many stretches of each anchor
+   in the index, until nothing is left. There the indexed stretches walk their own rows: of equal strings among them the earliest stays.
 4. In a document, the strings at repeated anchors that are not the earliest are removed.
 
 The index is by part and bounded (``PART_BYTES``), as a single one over all documents would
@@ -101,11 +101,32 @@ def anchors(data: np.ndarray, length: int = LENGTH, piece: int = PIECE) -> tuple
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
+def _words(text: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place (the text has eight more than are asked for), as one number; no copy."""
+    return np.ndarray((len(text) - 7,), dtype="<u8", buffer=text, strides=(1,))
+
+
+def common_bytes(a: np.ndarray, at_a: np.ndarray, b: np.ndarray, at_b: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    """How many bytes are equal from the places in both texts (as words), up to ``limit`` each."""
+    out = limit.astype(np.int64)
+    live, step = np.flatnonzero(limit > 0), 0
+    while len(live):
+        differ = a[at_a[live] + step] ^ b[at_b[live] + step]
+        low = np.flatnonzero(differ)
+        bit = differ[low] & (~differ[low] + np.uint64(1))
+        equal = step + (np.frexp(bit.astype(np.float64))[1] - 1 >> 3)
+        out[live[low]] = np.minimum(equal, limit[live[low]])
+        step += 8
+        live = live[differ == 0]
+        live = live[limit[live] > step]
+    return out
+
+
 class RunIndex:
     """Run-length Burrows-Wheeler transform of several stretches, each with an end of its own.
 
     ``run_start``: first row of each run; ``run_step``: where a run's first row leads, one byte
-    back; ``run_char``: its byte (0: an end); ``run_place``: text place of the run's last row.
+    back; ``run_kind``: its byte plus 1 (0: an end); ``run_first``, ``run_place``: text places of the run's first and last row.
     ``block_start``: rows that share fewer than ``length`` bytes with the row before.
     """
 
@@ -115,14 +136,11 @@ class RunIndex:
         text = np.frombuffer(b"\0".join(stretches) + b"\0", dtype=np.uint8)
         ends = np.cumsum(self.sizes + 1) - 1
         to_end = np.repeat(ends, self.sizes + 1) - np.arange(len(text))
-        rows, same = self._sorted(text, to_end, int(self.sizes.max()), length)
-        char = text[rows - 1].copy()
-        char[rows == 0] = 0
-        char[np.isin(rows - 1, ends)] = 0
+        self.to_end, self.words = to_end, _words(np.concatenate([text, np.zeros(8, dtype=np.uint8)]))
+        rows = self._sorted(text, to_end, int(self.sizes.max()))
         # Byte 0 of a text is told from an end by its class: ends come first of all.
-        kind = char.astype(np.int16) + 1
-        is_end = (rows == 0) | np.isin(rows - 1, ends)
-        kind[is_end] = 0
+        kind = text[rows - 1].astype(np.int16) + 1
+        kind[(rows == 0) | (to_end[rows - 1] == 0)] = 0
         first = np.concatenate([[True], kind[1:] != kind[:-1]])
         self.run_start = np.flatnonzero(first)
         run_size = np.diff(np.append(self.run_start, len(kind)))
@@ -134,43 +152,115 @@ class RunIndex:
         within = np.cumsum(run_size[order]) - run_size[order]
         self.run_step = np.empty(len(order), dtype=np.int64)
         self.run_step[order] = within
-        self.run_place = rows[self.run_start + run_size - 1]
-        self.block_start = np.flatnonzero(~same)
+        self.run_end = self.run_start + run_size - 1
+        self.run_first, self.run_place = rows[self.run_start], rows[self.run_end]
+        self.run_kind = run_kind.astype(np.int64)
+        self.kind_runs = self.run_kind[order] * len(order) + order  # runs by byte, then in order
+        self.block_start = self._blocks(rows, length)
 
     @staticmethod
-    def _sorted(text: np.ndarray, to_end: np.ndarray, longest: int, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places in the order of their suffixes (each up to its end, then by place), and whether
-        each shares ``length`` bytes with the one before."""
-        n = len(text)
-        word = np.zeros(n, dtype=np.uint64)
-        # Six bytes and a count of how many of them there are, so that ends sort first.
-        for k in range(6):
-            byte = np.zeros(n, dtype=np.uint64)
-            byte[: n - k] = text[k:]
-            word = (word << np.uint64(9)) | np.where(to_end > k, byte + np.uint64(1), np.uint64(0))
-        rank = np.unique(word, return_inverse=True)[1]
-        depth, at_depth = 6, {6: rank}
-        while depth < max(longest, length):
-            rank = RunIndex._longer(rank, to_end, depth, depth)
-            depth *= 2
-            at_depth = {d: r for d, r in at_depth.items() if d * 2 > length / 2} | {depth: rank}
-        rows = np.argsort(rank, kind="stable")
-        half = max(d for d in at_depth if d <= length) if any(d <= length for d in at_depth) else None
-        if half is None:
-            raise ValueError("the length must be at least 6")
-        exact = RunIndex._longer(at_depth[half], to_end, length - half, half) if half < length else at_depth[half]
-        shared = np.zeros(n, dtype=bool)
-        shared[1:] = (exact[rows[1:]] == exact[rows[:-1]]) & (to_end[rows[1:]] >= length) & (to_end[rows[:-1]] >= length)
-        return rows, shared
+    def _sorted(text: np.ndarray, to_end: np.ndarray, longest: int) -> np.ndarray:
+        """Places in the order of their suffixes (each up to its end, then by place).
 
-    @staticmethod
-    def _longer(rank: np.ndarray, to_end: np.ndarray, step: int, depth: int) -> np.ndarray:
-        """Ranks by the first ``depth`` bytes, then by those ``step`` further on."""
-        n = len(rank)
-        second = np.zeros(n, dtype=np.int64)
-        second[: n - step] = rank[step:] + 1
-        second[to_end < step] = 0
-        return np.unique(rank.astype(np.int64) * (n + 2) + second, return_inverse=True)[1]
+        A rank is the place of a group's first member; only groups of several go on to be told apart.
+        """
+        n = len(text)
+        code = np.zeros(256, dtype=np.int64)
+        present = np.unique(text[to_end > 0])
+        code[present] = np.arange(1, len(present) + 1)
+        bits = max(1, int(len(present)).bit_length())
+        # As many bytes as fit a word, ends first; words of 1, 2, 4, ... bytes are put together.
+        word, depth = np.where(to_end > 0, code[text], 0), 1
+        while depth < min(63 // bits, longest):
+            more = min(depth, 63 // bits - depth)
+            after = np.zeros(n, dtype=np.int64)
+            after[: n - depth] = word[depth:] >> bits * (depth - more)
+            after[to_end < depth] = 0
+            word, depth = word << bits * more | after, depth + more
+        rank, active, key = np.zeros(n, dtype=np.int64), np.arange(n), word
+        width = int(n + 1).bit_length()
+        parts = 3 if 3 * width <= 63 else 2
+        while True:
+            order = np.argsort(key)
+            found, ordered, old = active[order], key[order], rank[active[order]]
+            at = np.arange(len(order))
+            cut = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+            group = np.concatenate([[True], old[1:] != old[:-1]])
+            rank[found] = old + np.maximum.accumulate(np.where(cut, at, 0)) - np.maximum.accumulate(np.where(group, at, 0))
+            active = np.sort(found[~(cut & np.append(cut[1:], True))])
+            if depth >= longest or not len(active):
+                break
+            key = rank[active]
+            for step in range(depth, depth * parts, depth):
+                inside = to_end[active] >= step
+                key = key << width | np.where(inside, rank[np.where(inside, active + step, 0)] + 1, 0)
+            depth *= parts
+        rows = np.empty(n, dtype=np.int64)
+        single = np.ones(n, dtype=bool)
+        single[active] = False
+        rows[rank[single]] = np.flatnonzero(single)
+        tied = np.sort(rank[active] << 32 | active)
+        first = np.concatenate([[True], tied[1:] >> 32 != tied[:-1] >> 32]) if len(tied) else np.empty(0, dtype=bool)
+        at = np.arange(len(tied))
+        rows[(tied >> 32) + at - np.maximum.accumulate(np.where(first, at, 0))] = tied & 0xFFFFFFFF
+        return rows
+
+    def _blocks(self, rows: np.ndarray, length: int) -> np.ndarray:
+        """Rows that share fewer than ``length`` bytes with the row before."""
+        shared = np.zeros(len(rows), dtype=bool)
+        long_enough = self.to_end[rows] >= length
+        at = np.flatnonzero(long_enough[1:] & long_enough[:-1]) + 1
+        for step in [*range(0, length - 8, 8), max(0, length - 8)]:
+            at = at[self.words[rows[at] + step] == self.words[rows[at - 1] + step]] if length >= 8 else at
+        if length < 8:
+            at = at[common_bytes(self.words, rows[at], self.words, rows[at - 1], np.full(len(at), length)) >= length]
+        shared[at] = True
+        return np.flatnonzero(~shared)
+
+    def statistics(self, stretches: list[bytes], length: int = LENGTH) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(stretch, start in it, bytes from there that occur in the index, up to ``length``), one step back at a time.
+
+        A row stands for the longest match so far. Where its byte is the next one of a stretch, it steps back;
+        else the nearest runs of that byte above and below are tried at their sampled ends, and the longer match goes on.
+        """
+        sizes = np.array([len(s) for s in stretches], dtype=np.int64)
+        ends = np.cumsum(sizes + 1) - 1
+        text = np.frombuffer(b"\0".join(stretches) + b"\0" * 9, dtype=np.uint8)
+        words = _words(text)
+        live = np.argsort(-sizes, kind="stable")
+        sizes, ends = sizes[live], ends[live]
+        row, matched = np.zeros(len(live), dtype=np.int64), np.zeros(len(live), dtype=np.int64)
+        n_runs = len(self.run_start)
+        for step in range(1, int(sizes[0]) + 1 if len(sizes) else 0):
+            more = int(np.searchsorted(-sizes, -step, "right"))
+            live, sizes, ends, row, matched = live[:more], sizes[:more], ends[:more], row[:more], matched[:more]
+            kind = text[ends - step].astype(np.int64) + 1
+            run = np.searchsorted(self.run_start, row, "right") - 1
+            lost = np.flatnonzero(self.run_kind[run] != kind)
+            if len(lost):
+                at = np.searchsorted(self.kind_runs, kind[lost] * n_runs + run[lost])
+                best, chosen = np.full(len(lost), -1), np.zeros(len(lost), dtype=np.int64)
+                limit = np.minimum(length, step - 1)
+                for near, places, last in ((at - 1, self.run_place, True), (at, self.run_first, False)):
+                    good = np.flatnonzero((near >= 0) & (near < n_runs))
+                    good = good[self.kind_runs[near[good]] // n_runs == kind[lost[good]]]
+                    r = self.kind_runs[near[good]] % n_runs
+                    place = places[r]
+                    both = common_bytes(words, ends[lost[good]] - step + 1, self.words, place, np.minimum(limit, self.to_end[place]))
+                    better = both > best[good]
+                    best[good[better]] = both[better]
+                    chosen[good[better]] = (self.run_end[r] if last else self.run_start[r])[better]
+                some = best >= 0
+                row[lost[some]], matched[lost] = chosen[some], best
+                run[lost[some]] = np.searchsorted(self.run_start, chosen[some], "right") - 1
+                stays = np.ones(len(row), dtype=bool)
+                stays[lost[~some]] = False  # a byte that the index does not hold: nothing matches
+            else:
+                stays = np.ones(len(row), dtype=bool)
+            row = np.where(stays, self.run_step[run] + row - self.run_start[run], row)
+            matched = np.minimum(matched + 1, length)
+            if step >= length:
+                yield live, sizes - step, matched.copy()
 
     def stream(self, length: int = LENGTH) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(stretch, start in it, block) for all strings of ``length``, one step back at a time."""
@@ -192,15 +282,28 @@ class RunIndex:
                 yield live, sizes - step, np.searchsorted(self.block_start, row, "right") - 1
 
 
-def earliest(stretches: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
-    """For each stretch, in order of place, the starts whose string occurs in none before."""
-    index = RunIndex(stretches, length)
+def _earliest(index: RunIndex, length: int = LENGTH) -> list[np.ndarray]:
     which, start, block = (np.concatenate(x) for x in zip(*index.stream(length)))
     order = np.lexsort((start, which, block))
     first = np.concatenate([[True], block[order][1:] != block[order][:-1]])
     keep = order[first]
     keep = keep[np.lexsort((start[keep], which[keep]))]
-    return np.split(start[keep], np.searchsorted(which[keep], np.arange(1, len(stretches))))
+    return np.split(start[keep], np.searchsorted(which[keep], np.arange(1, index.n)))
+
+
+def earliest(stretches: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
+    """For each stretch, in order of place, the starts whose string occurs in none before."""
+    return _earliest(RunIndex(stretches, length), length)
+
+
+def unmatched(index: RunIndex, stretches: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
+    """For each stretch the starts whose string does not occur in the index, by matching statistics."""
+    if not stretches:
+        return []
+    which, start, matched = (np.concatenate(x) for x in zip(*index.statistics(stretches, length)))
+    which, start = which[matched < length], start[matched < length]
+    order = np.lexsort((start, which))
+    return np.split(start[order], np.searchsorted(which[order], np.arange(1, len(stretches))))
 
 
 def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -317,28 +420,50 @@ def piece_hashes_of(pieces: np.ndarray) -> np.ndarray:
 
 def _keep_earliest(part: pa.Table) -> pa.Table:
     """(doc, first, last): starts of strings that occur nowhere earlier, of one part's stretches."""
-    first_of: dict[bytes, tuple[int, int]] = {}
-    key_of: dict[bytes, int] = {}
-    for key, s, doc, start in zip(*(part.column(c).to_pylist() for c in ("key", "stretch", "doc", "start"))):
-        known = first_of.get(s)
-        if known is None or (doc, start) < known:
-            first_of[s] = (doc, start)
-            key_of[s] = key
-    # Equal strings have one anchor: a stretch that is alone with its anchor matches no other one.
-    company = Counter(key_of[s] for s in first_of)
     docs, firsts, lasts = [], [], []
-    for s, (doc, start) in first_of.items():
-        if company[key_of[s]] == 1:
-            docs.append(doc)
-            firsts.append(start)
-            lasts.append(start + len(s) - LENGTH)
-    order = sorted((s for s in first_of if company[key_of[s]] > 1), key=first_of.__getitem__)
-    for s, found in zip(order, earliest(order) if order else []):
-        doc, start = first_of[s]
+
+    def keep(doc: int, start: int, found: np.ndarray) -> None:
         a, z = _runs(found + start)
-        docs += [doc] * len(a)
-        firsts += a.tolist()
-        lasts += z.tolist()
+        docs.extend([doc] * len(a))
+        firsts.extend(a.tolist())
+        lasts.extend(z.tolist())
+
+    rows = zip(*(part.column(c).to_pylist() for c in ("key", "stretch", "doc", "start")))
+    indexed = 1
+    while rows:
+        first_of: dict[bytes, tuple[int, int]] = {}
+        key_of: dict[bytes, int] = {}
+        for key, s, doc, start in rows:
+            known = first_of.get(s)
+            if known is None or (doc, start) < known:
+                first_of[s] = (doc, start)
+                key_of[s] = key
+        # Equal strings have one anchor: a stretch that is alone with its anchor matches no other one.
+        company = Counter(key_of.values())
+        taken: Counter[int] = Counter()
+        index, others = [], []
+        for s in sorted(first_of, key=first_of.__getitem__):
+            doc, start = first_of[s]
+            key = key_of[s]
+            if company[key] == 1:
+                keep(doc, start, np.arange(len(s) - LENGTH + 1))
+                continue
+            taken[key] += 1
+            (index if taken[key] <= indexed else others).append(s)
+        rows = []
+        if not index:
+            break
+        runs = RunIndex(index)
+        # Strings of one stretch differ, as equal ones would pick equal anchor places; so do those of one stretch per anchor.
+        own = _earliest(runs) if indexed > 1 else [np.arange(len(s) - LENGTH + 1) for s in index]
+        for s, found in zip(index, own):
+            keep(*first_of[s], found)
+        # Every indexed stretch of an anchor starts before all others of that anchor: what matches is not the earliest.
+        for s, found in zip(others, unmatched(runs, others)):
+            doc, start = first_of[s]
+            for a, z in zip(*(x.tolist() for x in _runs(found))):
+                rows.append((key_of[s], s[a : z + LENGTH], doc, start + a))
+        indexed *= 4
     return pa.table({"doc": pa.array(docs, pa.int64()), "first": pa.array(firsts, pa.int64()), "last": pa.array(lasts, pa.int64())})
 
 

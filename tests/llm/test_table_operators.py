@@ -190,6 +190,48 @@ def test_run_index_finds_blocks():
         assert got[j].tolist() == want
 
 
+@pytest.mark.parametrize("seed", range(40))
+def test_matching_statistics_against_plain_search(seed):
+    rng = random.Random(seed)
+    length = rng.choice([6, 8, 9, 13, 20, 100])
+    alphabet = bytes(rng.sample(range(256), rng.choice([1, 2, 3, 30, 200]))) + b"\0" * rng.randint(0, 1)
+    base = bytes(rng.choice(alphabet) for _ in range(300))
+    stretches = []
+    for _ in range(rng.randint(2, 24)):
+        a = rng.randint(0, 190)
+        s = bytearray(base[a : a + length + rng.randint(0, 80)])
+        for _ in range(rng.randint(0, 3)):
+            s[rng.randrange(len(s))] = rng.choice(alphabet)
+        stretches.append(bytes(s))
+    held, others = stretches[: len(stretches) // 2], stretches[len(stretches) // 2 :]
+    index = repeats.RunIndex(held, length)
+    for which, start, matched in index.statistics(others, length):
+        for j, a, m in zip(which, start, matched):
+            s = others[j][a : a + length]
+            assert m == next(n for n in range(length, -1, -1) if any(s[:n] in h for h in held))
+    strings = {h[i : i + length] for h in held for i in range(len(h) - length + 1)}
+    want = [[i for i in range(len(s) - length + 1) if s[i : i + length] not in strings] for s in others]
+    assert [f.tolist() for f in repeats.unmatched(index, others, length)] == want
+
+
+def test_many_variants_of_one_passage(spark):
+    rng = random.Random(8)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(400))
+    texts = []
+    for _ in range(150):  # two or three variants at each of some places: several rounds of what is left
+        t = list(passage)
+        for at in (30, 150, 155, 260, 390):
+            t[at] = rng.choice("XYZ")
+        texts.append("".join(t))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    want = plain_repeats([t.encode() for t in texts])
+    for r in repeats.find_repeats(frame).collect():
+        got = np.zeros(len(texts[r.doc_id]), bool)
+        for s in r.spans:
+            got[s["from"] : s["until"]] = True
+        assert (got == want[r.doc_id]).all()
+
+
 def test_repeat_cases(spark):
     rows = [(None, "x" * 250), (1, "x" * 120), (1, "y" * 300), (1, "y" * 300), (2, None), (3, ""), (None, None)]
     frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("doc", F.lit("c")).withColumn("spans", F.lit(1))
