@@ -10,10 +10,10 @@ input. The way there:
 2. Anchors that occur once stand for strings that occur once. Only the others go on, with
    the bytes around them, dealt out by anchor; equal stretches of one task are sent once.
 3. Equal stretches are one, and one that is alone with its anchor matches no other. Of the
-   others, part by part, the earliest one of each anchor is indexed: a Burrows-Wheeler transform, kept as runs with the text places of the run ends.
+   others, part by part, the earliest few (``FIRST``) of each anchor are indexed: a Burrows-Wheeler transform, kept as runs with the text places of the run ends.
    All later stretches are streamed backwards through the runs for their matching statistics; starts that match for 100 bytes
-   or more are not the earliest. What is left of them goes the same way again, with four times as many stretches of each anchor
-   in the index, until nothing is left. There the indexed stretches walk their own rows: of equal strings among them the earliest stays.
+   or more are not the earliest. What is left of them goes the same way again, with more stretches of each anchor
+   in the index (``GROWTH`` times as many), until nothing is left. Of equal strings among the indexed stretches, neighbours in the order of suffixes, the earliest stays.
 4. In a document, the strings at repeated anchors that are not the earliest are removed.
 
 The index is by part and bounded (``PART_BYTES``), as a single one over all documents would
@@ -43,6 +43,7 @@ LENGTH = 100
 PIECE = 20
 CHUNK = 1 << 21  # bytes worked on at a time
 PART_BYTES = 3 << 20  # bytes of stretches that one index holds, about
+FIRST, GROWTH = 4, 64  # stretches of an anchor that the first index holds, and how many times more each further one
 HOT = 10_000  # places of an anchor beyond which strings are dealt out one by one
 _B = np.uint64(0x9E3779B97F4A7C15)
 
@@ -127,7 +128,7 @@ class RunIndex:
 
     ``run_start``: first row of each run; ``run_step``: where a run's first row leads, one byte
     back; ``run_kind``: its byte plus 1 (0: an end); ``run_first``, ``run_place``: text places of the run's first and last row.
-    ``block_start``: rows that share fewer than ``length`` bytes with the row before.
+    ``firsts``: the first place of each string of ``length`` bytes, in order.
     """
 
     def __init__(self, stretches: list[bytes], length: int = LENGTH):
@@ -156,7 +157,9 @@ class RunIndex:
         self.run_first, self.run_place = rows[self.run_start], rows[self.run_end]
         self.run_kind = run_kind.astype(np.int64)
         self.kind_runs = self.run_kind[order] * len(order) + order  # runs by byte, then in order
-        self.block_start = self._blocks(rows, length)
+        # The first place of each block of rows that share ``length`` bytes.
+        firsts = np.minimum.reduceat(rows, self._blocks(rows, length))
+        self.ends, self.firsts = ends, np.sort(firsts[to_end[firsts] >= length])
 
     @staticmethod
     def _sorted(text: np.ndarray, to_end: np.ndarray, longest: int) -> np.ndarray:
@@ -222,18 +225,23 @@ class RunIndex:
 
         A row stands for the longest match so far. Where its byte is the next one of a stretch, it steps back;
         else the nearest runs of that byte above and below are tried at their sampled ends, and the longer match goes on.
+        A match grows by one byte a step, so a stretch is left where what remains of it can no longer reach ``length``.
         """
         sizes = np.array([len(s) for s in stretches], dtype=np.int64)
         ends = np.cumsum(sizes + 1) - 1
         text = np.frombuffer(b"\0".join(stretches) + b"\0" * 9, dtype=np.uint8)
         words = _words(text)
-        live = np.argsort(-sizes, kind="stable")
-        sizes, ends = sizes[live], ends[live]
+        live = np.arange(len(sizes))
         row, matched = np.zeros(len(live), dtype=np.int64), np.zeros(len(live), dtype=np.int64)
         n_runs = len(self.run_start)
-        for step in range(1, int(sizes[0]) + 1 if len(sizes) else 0):
-            more = int(np.searchsorted(-sizes, -step, "right"))
-            live, sizes, ends, row, matched = live[:more], sizes[:more], ends[:more], row[:more], matched[:more]
+        for step in range(1, int(sizes.max(initial=0)) + 1):
+            more = sizes >= step
+            if step > 1:
+                more &= matched + sizes - step + 1 >= length
+            if not more.all():
+                live, sizes, ends, row, matched = live[more], sizes[more], ends[more], row[more], matched[more]
+            if not len(live):
+                return
             kind = text[ends - step].astype(np.int64) + 1
             run = np.searchsorted(self.run_start, row, "right") - 1
             lost = np.flatnonzero(self.run_kind[run] != kind)
@@ -260,50 +268,30 @@ class RunIndex:
             row = np.where(stays, self.run_step[run] + row - self.run_start[run], row)
             matched = np.minimum(matched + 1, length)
             if step >= length:
-                yield live, sizes - step, matched.copy()
-
-    def stream(self, length: int = LENGTH) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(stretch, start in it, block) for all strings of ``length``, one step back at a time."""
-        live = np.argsort(-self.sizes, kind="stable")
-        sizes = self.sizes[live]
-        row = live.astype(np.int64).copy()  # the rows of the ends come first, in order
-        place = (np.cumsum(self.sizes + 1) - 1)[live]
-        for step in range(1, int(sizes[0]) + 1 if len(sizes) else 0):
-            more = int(np.searchsorted(-sizes, -step, "right"))
-            live, sizes, row, place = live[:more], sizes[:more], row[:more], place[:more]
-            run = np.searchsorted(self.run_start, row, "right") - 1
-            # A row at its run's end must stand where the sample says.
-            last = np.append(self.run_start[1:], self.n + int(self.sizes.sum()))[run] - 1 == row
-            if (self.run_place[run][last] != place[last]).any():
-                raise AssertionError("the index lost its place")
-            row = self.run_step[run] + row - self.run_start[run]
-            place = place - 1
-            if step >= length:
-                yield live, sizes - step, np.searchsorted(self.block_start, row, "right") - 1
+                yield live, sizes - step, matched.copy()  # the next step changes it
 
 
-def _earliest(index: RunIndex, length: int = LENGTH) -> list[np.ndarray]:
-    which, start, block = (np.concatenate(x) for x in zip(*index.stream(length)))
-    order = np.lexsort((start, which, block))
-    first = np.concatenate([[True], block[order][1:] != block[order][:-1]])
-    keep = order[first]
-    keep = keep[np.lexsort((start[keep], which[keep]))]
-    return np.split(start[keep], np.searchsorted(which[keep], np.arange(1, index.n)))
+def _earliest(index: RunIndex) -> list[np.ndarray]:
+    """For each indexed stretch the starts whose string occurs in none before."""
+    of = np.searchsorted(index.ends, index.firsts)
+    begins = index.ends - index.sizes
+    return np.split(index.firsts - begins[of], np.searchsorted(of, np.arange(1, index.n)))
 
 
 def earliest(stretches: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
     """For each stretch, in order of place, the starts whose string occurs in none before."""
-    return _earliest(RunIndex(stretches, length), length)
+    return _earliest(RunIndex(stretches, length))
 
 
 def unmatched(index: RunIndex, stretches: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
     """For each stretch the starts whose string does not occur in the index, by matching statistics."""
-    if not stretches:
-        return []
-    which, start, matched = (np.concatenate(x) for x in zip(*index.statistics(stretches, length)))
-    which, start = which[matched < length], start[matched < length]
-    order = np.lexsort((start, which))
-    return np.split(start[order], np.searchsorted(which[order], np.arange(1, len(stretches))))
+    n_starts = np.array([len(s) - length + 1 for s in stretches], dtype=np.int64)
+    first = np.cumsum(n_starts) - n_starts
+    alone = np.ones(int(n_starts.sum()), dtype=bool)
+    for which, start, matched in index.statistics(stretches, length):
+        full = matched >= length
+        alone[first[which[full]] + start[full]] = False
+    return [np.flatnonzero(x) for x in np.split(alone, first[1:])] if stretches else []
 
 
 def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -423,13 +411,13 @@ def _keep_earliest(part: pa.Table) -> pa.Table:
     docs, firsts, lasts = [], [], []
 
     def keep(doc: int, start: int, found: np.ndarray) -> None:
-        a, z = _runs(found + start)
+        a, z = _runs(found + start) if len(found) and found[-1] - found[0] >= len(found) else (found[:1] + start, found[-1:] + start)
         docs.extend([doc] * len(a))
         firsts.extend(a.tolist())
         lasts.extend(z.tolist())
 
     rows = zip(*(part.column(c).to_pylist() for c in ("key", "stretch", "doc", "start")))
-    indexed = 1
+    indexed = FIRST
     while rows:
         first_of: dict[bytes, tuple[int, int]] = {}
         key_of: dict[bytes, int] = {}
@@ -454,16 +442,17 @@ def _keep_earliest(part: pa.Table) -> pa.Table:
         if not index:
             break
         runs = RunIndex(index)
-        # Strings of one stretch differ, as equal ones would pick equal anchor places; so do those of one stretch per anchor.
-        own = _earliest(runs) if indexed > 1 else [np.arange(len(s) - LENGTH + 1) for s in index]
-        for s, found in zip(index, own):
+        for s, found in zip(index, _earliest(runs)):
             keep(*first_of[s], found)
         # Every indexed stretch of an anchor starts before all others of that anchor: what matches is not the earliest.
         for s, found in zip(others, unmatched(runs, others)):
             doc, start = first_of[s]
+            if len(found) == len(s) - LENGTH + 1:
+                rows.append((key_of[s], s, doc, start))
+                continue
             for a, z in zip(*(x.tolist() for x in _runs(found))):
                 rows.append((key_of[s], s[a : z + LENGTH], doc, start + a))
-        indexed *= 4
+        indexed *= GROWTH
     return pa.table({"doc": pa.array(docs, pa.int64()), "first": pa.array(firsts, pa.int64()), "last": pa.array(lasts, pa.int64())})
 
 

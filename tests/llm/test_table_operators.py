@@ -9,6 +9,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -208,13 +209,16 @@ def test_matching_statistics_against_plain_search(seed):
     for which, start, matched in index.statistics(others, length):
         for j, a, m in zip(which, start, matched):
             s = others[j][a : a + length]
-            assert m == next(n for n in range(length, -1, -1) if any(s[:n] in h for h in held))
+            assert m == next(n for n in range(length, -1, -1) if any(s[:n] in h for h in held))  # of stretches that may still reach the length
     strings = {h[i : i + length] for h in held for i in range(len(h) - length + 1)}
     want = [[i for i in range(len(s) - length + 1) if s[i : i + length] not in strings] for s in others]
     assert [f.tolist() for f in repeats.unmatched(index, others, length)] == want
 
 
-def test_many_variants_of_one_passage(spark):
+@pytest.mark.parametrize("first,growth", [(1, 2), (4, 64)])
+def test_many_variants_of_one_passage(first, growth, monkeypatch):
+    monkeypatch.setattr(repeats, "FIRST", first)
+    monkeypatch.setattr(repeats, "GROWTH", growth)
     rng = random.Random(8)
     passage = "".join(rng.choice("abcdefgh ") for _ in range(400))
     texts = []
@@ -223,13 +227,18 @@ def test_many_variants_of_one_passage(spark):
         for at in (30, 150, 155, 260, 390):
             t[at] = rng.choice("XYZ")
         texts.append("".join(t))
-    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
-    want = plain_repeats([t.encode() for t in texts])
-    for r in repeats.find_repeats(frame).collect():
-        got = np.zeros(len(texts[r.doc_id]), bool)
-        for s in r.spans:
-            got[s["from"] : s["until"]] = True
-        assert (got == want[r.doc_id]).all()
+    # Stretches around one place, as a part gets them, in any order.
+    rows = [(at, t[at : at + 180].encode(), doc, at) for at in (0, 200) for doc, t in enumerate(texts)]
+    rng.shuffle(rows)
+    part = pa.table({c: [r[i] for r in rows] for i, c in enumerate(("key", "stretch", "doc", "start"))})
+    got = sorted((d, s) for d, a, z in zip(*repeats._keep_earliest(part).to_pydict().values()) for s in range(a, z + 1))
+    seen, want = set(), []
+    for at, stretch, doc, start in sorted(rows, key=lambda r: r[2:]):
+        for i in range(len(stretch) - 99):
+            if (at, stretch[i : i + 100]) not in seen:
+                seen.add((at, stretch[i : i + 100]))
+                want.append((doc, start + i))
+    assert got == sorted(want)
 
 
 def test_repeat_cases(spark):
