@@ -21,6 +21,10 @@ one block of distinct n-grams per chunk and group, and the levels come back in t
 are broadcast moves data and changes no result. The exact unigram score needs exact counts: frequent tokens (at
 most ``FREQUENT`` of them) are broadcast, all other tokens ask their groups for counts too.
 
+Where the documents learned from are among those scored (``learn_and_score``), nothing is broadcast or asked apart: a chunk's block
+of distinct n-grams, with their counts in the texts learned from, goes to a group once, and the group builds its
+bits of all blocks, reads every distinct n-gram from them, and answers each block. That filter is not kept.
+
 Words are compared by 64-bit hashes, n-grams by ``GRAM_BITS``.
 
 Cases: a null or empty text is its end token alone. Repeated rows are scored one by one and
@@ -71,7 +75,7 @@ def tokens_of(text: str | None) -> np.ndarray:
 
 
 def bigrams_of(tokens: np.ndarray) -> np.ndarray:
-    """Hashes of (previous, token) for every token; the first follows the end token."""
+    """Hashes of (previous, token) for every token; the first follows the end token. Texts may follow each other: each ends with it."""
     return ngram_hashes(np.concatenate([[END], tokens]), 2)
 
 
@@ -267,24 +271,76 @@ def _count(group_bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     return count
 
 
+def _pose(group_bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A block for each chunk and group: distinct n-grams, and how often the texts learned from hold each. From (part, text, learns)."""
+    names = ["group", "chunk", "tokens", "counts", "large", "others", "other_counts", "other_large"]
+    types = (pa.int32(), pa.int64(), *[pa.binary()] * 6)
+
+    def blocks(chunk: int, texts: list[np.ndarray], learns: list[bool]) -> pa.RecordBatch:
+        tokens = np.concatenate(texts)
+        learned = np.repeat(np.array(learns, dtype=np.uint64), [len(t) for t in texts])
+        columns: list[list[dict[int, bytes]]] = []
+        for hashes in (tokens, bigrams_of(tokens)):
+            marked = np.sort(gram(hashes) << np.uint64(1) | learned)
+            grams = marked >> np.uint64(1)
+            first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
+            grams, counts = grams[first], np.add.reduceat((marked & np.uint64(1)).astype(np.int64), first)
+            six, (small, large) = _six(grams), _write_counts(counts)
+            many = np.concatenate([[0], np.cumsum(counts >= 255)])
+            columns.append([{}, {}, {}])
+            for g, at in _by_group(grams, group_bits):
+                a, z = at.start, at.stop
+                columns[-1][0][g], columns[-1][1][g], columns[-1][2][g] = six[6 * a : 6 * z], small[a:z], large[8 * many[a] : 8 * many[z]]
+        groups = sorted({*columns[0][0], *columns[1][0]})
+        arrays = [pa.array(groups, types[0]), pa.array([chunk] * len(groups), types[1])]
+        return pa.RecordBatch.from_arrays([*arrays, *(pa.array([of.get(g, b"") for g in groups], pa.binary()) for kind in columns for of in kind)], names)
+
+    def pose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, texts, learns = None, [], []
+        for chunk, rows in _Ask.chunks(batches):
+            if chunk != here and texts:
+                yield blocks(here, texts, learns)
+                texts, learns = [], []
+            here = chunk
+            texts += [tokens_of(t.as_py()) for t in rows.column("text")]
+            learns += rows.column("learns").to_pylist()
+        if texts:
+            yield blocks(here, texts, learns)
+
+    return pose
+
+
 _GROUP_ROW = "group int, size long, probes int, bits binary, unis binary, counts binary, large binary, levels array<struct<n: int, level: int, grams: long, total: long>>"
 
 
+_HISTOGRAM = pa.list_(pa.struct([("n", pa.int32()), ("level", pa.int32()), ("grams", pa.int64()), ("total", pa.int64())]))
+
+
+def _fit(counted: dict[int, tuple[np.ndarray, np.ndarray]], group_bits: int, mu: float) -> tuple[int, int, bytes, list[dict]]:
+    """(size, probes, bits) of a group and its histogram of levels, from the n-grams and counts by n."""
+    levels, histogram = [], []
+    for n, (_, counts) in counted.items():
+        levels.append(level_of(counts))
+        of, at = np.unique(levels[-1], return_inverse=True)
+        for level, many, total in zip(of.tolist(), np.bincount(at).tolist(), np.bincount(at, counts).tolist()):
+            histogram.append({"n": n, "level": level, "grams": many, "total": int(total)})
+    # Hashes spread evenly: a group's tokens stand for all groups' ones.
+    probes = first_probes(len(counted[1][0]) << group_bits if 1 in counted else 0, mu)
+    size, bits = build_bits(np.concatenate([grams for grams, _ in counted.values()]), np.concatenate(levels), probes)
+    return size, probes, bits, histogram
+
+
+def _add_up(every: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct n-grams in order, their counts, place of each given one among them)."""
+    grams, inverse = np.unique(every, return_inverse=True)
+    return grams, np.bincount(inverse, counts, len(grams)).astype(np.int64), inverse
+
+
 def _build(group_bits: int, mu: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def finish(group: int, parts: dict[int, list[tuple[np.ndarray, np.ndarray]]]) -> tuple:
-        grams, counts, levels, histogram = {}, {}, {}, []
-        for n, some in parts.items():
-            every = np.concatenate([g for g, _ in some])
-            grams[n], inverse = np.unique(every, return_inverse=True)
-            counts[n] = np.bincount(inverse, np.concatenate([c for _, c in some])).astype(np.int64)
-            levels[n] = level_of(counts[n])
-            of, at = np.unique(levels[n], return_inverse=True)
-            for level, many, total in zip(of.tolist(), np.bincount(at).tolist(), np.bincount(at, counts[n]).tolist()):
-                histogram.append({"n": n, "level": level, "grams": many, "total": int(total)})
-        # Hashes spread evenly: a group's tokens stand for all groups' ones.
-        probes = first_probes(len(grams.get(1, ())) << group_bits, mu)
-        size, bits = build_bits(np.concatenate(list(grams.values())), np.concatenate(list(levels.values())), probes)
-        unis, c = grams.get(1, np.empty(0, np.uint64)), counts.get(1, np.empty(0, np.int64))
+        counted = {n: _add_up(*(np.concatenate(x) for x in zip(*some)))[:2] for n, some in parts.items()}
+        size, probes, bits, histogram = _fit(counted, group_bits, mu)
+        unis, c = counted.get(1, (np.empty(0, np.uint64), np.empty(0, np.int64)))
         return group, size, probes, bits, _six(unis), *_write_counts(c), histogram
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,29 +356,82 @@ def _build(group_bits: int, mu: float) -> Callable[[Iterator[pa.RecordBatch]], I
             yield rows([finish(here, parts)])
 
     names = ["group", "size", "probes", "bits", "unis", "counts", "large", "levels"]
-    kind = pa.list_(pa.struct([("n", pa.int32()), ("level", pa.int32()), ("grams", pa.int64()), ("total", pa.int64())]))
-    types = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4, kind]
+    types = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4, _HISTOGRAM]
     rows = lambda found: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), types)], names)
     return build
 
 
+_ANSWER = "chunk long, group int, counts binary, large binary, levels binary, others binary"
+_POSED = "group int, chunk long, tokens binary, counts binary, large binary, others binary, other_counts binary, other_large binary"
+
+
+def _build_and_answer(group_bits: int, mu: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Answers to the blocks posed to a group, from the filter of what they count, and a row without a chunk for its histogram."""
+    names = ["chunk", "group", "counts", "large", "levels", "others", "histogram"]
+    types = [pa.int64(), pa.int32(), *[pa.binary()] * 4, _HISTOGRAM]
+
+    def finish(group: int, posed: list[tuple]) -> pa.RecordBatch:
+        chunks, *columns = zip(*posed)
+        found, counted = [], {}
+        for n, (six, small, large) in enumerate((columns[:3], columns[3:]), 1):
+            found.append(_add_up(_whole(b"".join(six), group, group_bits), _read_counts(b"".join(small), b"".join(large))))
+            grams, counts, _ = found[-1]
+            counted[n] = grams[counts > 0], counts[counts > 0]
+        size, probes, bits, histogram = _fit(counted, group_bits, mu)
+        bloom = LogBloom.of(group_bits, [(group, size, probes, bits)])
+        read = [bloom.levels(grams).astype(np.uint8)[inverse].tobytes() for grams, _, inverse in found]
+        counts = found[0][1][found[0][2]]
+        small, large = _write_counts(counts)
+        many = np.concatenate([[0], np.cumsum(counts >= 255)])
+        rows, a, b = [(None, group, None, None, None, None, histogram)], 0, 0
+        for chunk, tokens, others in zip(chunks, columns[0], columns[3]):
+            z, y = a + len(tokens) // 6, b + len(others) // 6
+            rows.append((chunk, group, small[a:z], large[8 * many[a] : 8 * many[z]], read[0][a:z], read[1][b:y], None))
+            a, b = z, y
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, posed = None, []
+        for b in batches:
+            for group, *block in zip(*(c.to_pylist() for c in b.columns)):
+                if group != here and posed:
+                    yield finish(here, posed)
+                    posed = []
+                here = group
+                posed.append(block)
+        if posed:
+            yield finish(here, posed)
+
+    return build
+
+
 def _tasks(spark: SparkSession, group_bits: int) -> int:
     """Tasks of a step by group: four groups each, at most."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), (1 << group_bits) // 4)
 
 
+def _group_bits(text: DataFrame) -> int:
+    size = text.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return min(MOST_GROUP_BITS, max(LEAST_GROUP_BITS, math.ceil(math.log2(max(1, size / GROUP_BYTES)))))
+
+
+def _histograms(levels: DataFrame) -> list[dict[int, tuple[int, int]]]:
+    """(n-grams, their counts) by level, of unigrams and of bigrams, from the groups' histograms."""
+    one = levels.select(F.explode(levels.columns[0]).alias("l")).groupBy("l.n", "l.level")
+    rows = one.agg(F.sum("l.grams").alias("grams"), F.sum("l.total").alias("total")).collect()
+    return [{r.level: (r.grams, r.total) for r in rows if r.n == n} for n in (1, 2)]
+
+
 def learn(docs: DataFrame, text_col: str = "text", max_bytes: int = MAX_BYTES, frequent: int = FREQUENT, mu: float = MU) -> Model:
     """Filter and exact unigram counts of the documents; ``mu`` is the smoothing that the filter's errors are held to."""
     spark = docs.sparkSession
     ship(spark)
     text = docs.select(F.col(text_col).cast("string").alias("text"))
-    size = text.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    group_bits = min(MOST_GROUP_BITS, max(LEAST_GROUP_BITS, math.ceil(math.log2(max(1, size / GROUP_BYTES)))))
+    group_bits = _group_bits(text)
     counted = text.mapInArrow(_count(group_bits), "group int, n tinyint, grams binary, counts binary, large binary")
     by_group = counted.repartition(_tasks(spark, group_bits), "group").sortWithinPartitions("group")
     groups = materialise(by_group.mapInArrow(_build(group_bits, mu), _GROUP_ROW), "filter")
-    rows = groups.select(F.explode("levels").alias("l")).groupBy("l.n", "l.level").agg(F.sum("l.grams").alias("grams"), F.sum("l.total").alias("total")).collect()
-    histograms = [{r.level: (r.grams, r.total) for r in rows if r.n == n} for n in (1, 2)]
+    histograms = _histograms(groups.select("levels"))
     n_types, n_tokens = (sum(v[i] for v in histograms[0].values()) for i in (0, 1))
     # The first groups that fit are broadcast.
     sizes = groups.select("group", F.octet_length("bits").alias("bytes")).orderBy("group").collect()  # a row per group
@@ -366,11 +475,9 @@ def _find(known: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, known[at] == asked
 
 
-def _questions(texts: list[np.ndarray], model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """(tokens that are not frequent, bigrams whose groups are not here) of a chunk, ordered and distinct."""
-    tokens = np.unique(gram(np.concatenate(texts)))
-    pairs = np.unique(gram(np.concatenate([bigrams_of(t) for t in texts])))
-    return tokens[~_find(model.frequent[0], tokens)[1]], pairs[:0] if model.all_sent else pairs[~model.bloom.holds(pairs)]
+def _asks(tokens: np.ndarray, pairs: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Which of a chunk's distinct tokens are not frequent, and which bigrams' groups are not here."""
+    return ~_find(model.frequent[0], tokens)[1], np.zeros(len(pairs), dtype=bool) if model.all_sent else ~model.bloom.holds(pairs)
 
 
 class _Ask:
@@ -410,7 +517,9 @@ class _Ask:
 
     def blocks(self, chunk: int, texts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         model = self.shared.value
-        questions = _questions(texts, model)
+        every = np.concatenate(texts)
+        distinct = np.unique(gram(every)), np.unique(gram(bigrams_of(every)))
+        questions = [d[asks] for d, asks in zip(distinct, _asks(*distinct, model))]
         asked = [dict(_by_group(q, model.group_bits)) for q in questions]
         rows = []
         for g in sorted({*asked[0], *asked[1]}):
@@ -421,14 +530,11 @@ class _Ask:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["group", "chunk", "tokens", "others"])
 
 
-_ANSWER = "chunk long, group int, counts binary, levels binary, others binary"
-
-
 def _answers(numbered: DataFrame, model: Model, shared) -> DataFrame:
     """Per chunk and group asked: counts and levels of the tokens, levels of the other n-grams, in the order asked."""
     group_bits = model.group_bits
 
-    types = (pa.int64(), pa.int32(), *[pa.binary()] * 3)
+    types = (pa.int64(), pa.int32(), *[pa.binary()] * 4)
 
     def together(group: int, held: tuple | None, pending: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
         """All questions of some chunks to one group, looked up at once."""
@@ -442,9 +548,9 @@ def _answers(numbered: DataFrame, model: Model, shared) -> DataFrame:
             levels = levels if bloom is None else bloom.levels(every)
         cuts = np.cumsum([len(x) for x in (*tokens, *others)])[:-1]
         n = len(pending)
-        counts, levels = np.split(counts.astype("<i8"), cuts), np.split(levels.astype(np.uint8), cuts)
-        rows = [(p[0], group, counts[i].tobytes(), levels[i].tobytes(), levels[n + i].tobytes()) for i, p in enumerate(pending)]
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], ["chunk", "group", "counts", "levels", "others"])
+        counts, levels = np.split(counts, cuts), np.split(levels.astype(np.uint8), cuts)
+        rows = [(p[0], group, *_write_counts(counts[i]), levels[i].tobytes(), levels[n + i].tobytes()) for i, p in enumerate(pending)]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], ["chunk", "group", "counts", "large", "levels", "others"])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, held, pending, size = None, None, [], 0
@@ -485,89 +591,125 @@ def score(
     """
     spark = docs.sparkSession
     ship(spark)
-    kept = [v.alias(k) for k, v in (keep or {id_col: F.col(id_col)}).items()]
-    numbered = docs.select(F.col(text_col).cast("string").alias("text"), *kept)
-    names = numbered.columns[1:]
-    schema = "n_tokens long, n_known long, base_score double, score double" + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in numbered.schema.fields[1:])
+    numbered = _rows(docs, id_col, text_col, keep)
     shared = spark.sparkContext.broadcast(replace(model, groups=None))
-    made = ["n_tokens", "n_known", "base_score", "score"]
-
-    def rate(rows: pa.RecordBatch, asked: tuple[np.ndarray, np.ndarray, np.ndarray], levels: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        """Scores of rows, a bounded number of tokens at a time. ``asked``: tokens, their counts, other n-grams; ``levels`` of both kinds."""
-        start, texts, held = 0, [], 0
-        for i, text in enumerate(rows.column(0)):
-            texts.append(tokens_of(text.as_py()))
-            held += len(texts[-1])
-            if held >= BATCH_TOKENS or i + 1 == rows.num_rows:
-                yield scored(rows.slice(start, len(texts)), texts, asked, levels)
-                start, texts, held = i + 1, [], 0
-
-    def scored(rows: pa.RecordBatch, texts: list[np.ndarray], asked, levels) -> pa.RecordBatch:
-        m = shared.value
+    if model.all_sent and model.all_frequent:
+        rater = _Rate(shared, mu, numbered.columns[1:])
+        return _finished(numbered.mapInArrow(rater.rows, _rated(numbered)), numbered, model)
+    numbered = numbered if as_stored else materialise(numbered, "lm-rows")
+    return _by_chunk(numbered, _answers(numbered, model, shared), model, shared, mu)
+
+
+def learn_and_score(
+    docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str = "text", keep: dict[str, Column] | None = None, mu: float = MU, as_stored: bool = False
+) -> DataFrame:
+    """What ``score`` gives for the documents, with the filter of those that ``learns`` marks. One shuffle of n-grams both counts and asks."""
+    spark = docs.sparkSession
+    ship(spark)
+    docs = docs if as_stored else materialise(docs, "lm-rows")
+    text = docs.select(F.col(text_col).cast("string").alias("text"), F.coalesce(learns, F.lit(False)).alias("learns"))
+    group_bits = _group_bits(text)
+    posed = text.select(F.spark_partition_id().alias("part"), "text", "learns").mapInArrow(_pose(group_bits), _POSED)
+    by_group = posed.repartition(_tasks(spark, group_bits), "group").sortWithinPartitions("group")
+    histogram = "histogram array<struct<n: int, level: int, grams: long, total: long>>"
+    answered = materialise(by_group.mapInArrow(_build_and_answer(group_bits, mu), f"{_ANSWER}, {histogram}"), "answers")
+    histograms = _histograms(answered.filter("chunk is null").select("histogram"))
+    n_types, n_tokens = (sum(v[i] for v in histograms[0].values()) for i in (0, 1))
+    nobody = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+    means = (mean_counts(histograms[0]), mean_counts(histograms[1]))
+    model = Model(None, group_bits, n_tokens, n_types, LogBloom.of(group_bits, []), False, means, nobody, False, -1)
+    answers = answered.filter("chunk is not null").drop("histogram")
+    return _by_chunk(_rows(docs, id_col, text_col, keep), answers, model, spark.sparkContext.broadcast(model), mu)
+
+
+_MADE = ["n_tokens", "n_known", "base_score", "score"]
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str, keep: dict[str, Column] | None) -> DataFrame:
+    kept = [v.alias(k) for k, v in (keep or {id_col: F.col(id_col)}).items()]
+    return docs.select(F.col(text_col).cast("string").alias("text"), *kept)
+
+
+def _rated(numbered: DataFrame) -> str:
+    return "n_tokens long, n_known long, base_score double, score double" + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in numbered.schema.fields[1:])
+
+
+def _finished(rated: DataFrame, numbered: DataFrame, model: Model) -> DataFrame:
+    return rated.select(*numbered.columns[1:], "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+class _Rate:
+    """Scores of rows (text and ``names``), from what is broadcast and, by chunk, what is answered."""
+
+    def __init__(self, shared, mu: float, names: list[str]) -> None:
+        self.shared, self.mu, self.names = shared, mu, names
+
+    def rows(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Without questions, a bounded number of tokens at a time."""
+        for b in batches:
+            start, texts, held = 0, [], 0
+            for i, text in enumerate(b.column(0)):
+                texts.append(tokens_of(text.as_py()))
+                held += len(texts[-1])
+                if held >= BATCH_TOKENS or i + 1 == b.num_rows:
+                    yield self.scored(b.columns[1:], start, texts)
+                    start, texts, held = i + 1, [], 0
+
+    def chunk(self, blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        rows = pa.Table.from_batches([b for block in blocks.sort_by("place").column("rows") for b in pa.ipc.open_stream(block.as_buffer())])
+        texts = [tokens_of(t.as_py()) for t in rows.column(0)]
+        answers = answers.sort_by("group")
+        small, large, levels, others = (b"".join(answers.column(c).to_pylist()) for c in ("counts", "large", "levels", "others"))
+        read = (np.frombuffer(x, np.uint8).astype(np.int64) for x in (levels, others))
+        return pa.Table.from_batches([self.scored([c.combine_chunks() for c in rows.columns[1:]], 0, texts, (_read_counts(small, large), *read))])
+
+    def scored(self, kept: list[pa.Array], start: int, texts: list[np.ndarray], answers: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> pa.RecordBatch:
+        """Of the texts of the rows from ``start``. Answers: counts and levels of the tokens asked, levels of the other n-grams, in order."""
+        m = self.shared.value
         sizes = np.array([len(t) for t in texts])
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        tokens, inverse = np.unique(gram(np.concatenate(texts)), return_inverse=True)
-        pairs, of_pair = np.unique(gram(np.concatenate([bigrams_of(t) for t in texts])), return_inverse=True)
-        pair_levels, read = m.bloom.levels(pairs), m.bloom.levels(tokens)
+        starts = np.cumsum(sizes) - sizes
+        every = np.concatenate(texts)
+        tokens, inverse = np.unique(gram(every), return_inverse=True)
+        pairs, of_pair = np.unique(gram(bigrams_of(every)), return_inverse=True)
+        pair_levels, read, count = m.bloom.levels(pairs), m.bloom.levels(tokens), np.zeros(len(tokens), dtype=np.int64)
         at, often = _find(m.frequent[0], tokens)
-        there_at, there = _find(asked[0], tokens)
-        count = np.zeros(len(tokens), dtype=np.int64)
         count[often], read[often] = m.frequent[1][at[often]], m.frequent[2][at[often]]
-        count[there] = asked[1][there_at[there]]
-        away = there & ~m.bloom.holds(tokens)
-        read[away] = levels[0][there_at[away]]
-        missing = np.flatnonzero(~m.bloom.holds(pairs)) if not m.all_sent else np.empty(0, np.int64)
-        at, answered = _find(asked[2], pairs[missing])
-        if not (m.all_frequent or (often | there).all()) or not answered.all():
-            raise RuntimeError("the documents changed between two readings")
-        pair_levels[missing] = levels[1][at]
+        if answers is not None:
+            counts, levels, others = answers
+            asked, asked_pairs = _asks(tokens, pairs, m)
+            if len(counts) != asked.sum() or len(others) != asked_pairs.sum():
+                raise RuntimeError("the documents changed between two readings")
+            count[asked] = counts
+            read[asked] = np.where(m.bloom.holds(tokens[asked]), read[asked], levels)  # groups that are broadcast answer no level
+            pair_levels[asked_pairs] = others
         floor = math.log10(m.n_tokens + 0.5 * (m.n_types + 1))
         base = np.log10(count + 0.5) - floor
-        before = np.empty_like(inverse)
-        before[1:] = inverse[:-1]
-        before[starts] = np.searchsorted(tokens, gram(np.array([END]))[0])
-        p = m.bigram(pair_levels[of_pair], read[before], m.unigram(read)[inverse], mu)
+        before = np.roll(inverse, 1)  # each text ends with the end token, the last one too
+        p = m.bigram(pair_levels[of_pair], read[before], m.unigram(read)[inverse], self.mu)
         by_text = [np.add.reduceat(v, starts) for v in ((count > 0).astype(np.int64)[inverse], base[inverse], np.log10(p))]
-        return pa.RecordBatch.from_arrays([pa.array(sizes.astype(np.int64)), *map(pa.array, by_text), *rows.columns[1:]], [*made, *names])
+        return pa.RecordBatch.from_arrays([pa.array(sizes.astype(np.int64)), *map(pa.array, by_text), *(c.slice(start, len(texts)) for c in kept)], [*_MADE, *self.names])
 
-    nobody = np.empty(0, np.uint64)
-    nothing = (nobody, np.empty(0, np.int64), nobody), (np.empty(0, np.int64), np.empty(0, np.int64))
 
-    def rate_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield from rate(b, *nothing)
+def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks as compressed blocks of their rows."""
+    for place, (chunk, rows) in enumerate(_Ask.chunks(batches)):
+        rows = pa.RecordBatch.from_arrays(rows.columns[1:], rows.schema.names[1:])
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+            writer.write_batch(rows)
+        yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([place]), pa.array([out.getvalue().to_pybytes()])], ["chunk", "place", "rows"])
 
-    def rate_chunk(blocks: pa.Table, answers: pa.Table) -> pa.Table:
-        rows = [b for block in blocks.sort_by("place").column("rows") for b in pa.ipc.open_stream(block.as_buffer())]
-        questions = _questions([tokens_of(t.as_py()) for b in rows for t in b.column(0)], shared.value)
-        answers = answers.sort_by("group")
-        counts, levels, others = (np.frombuffer(b"".join(answers.column(c).to_pylist()), t) for c, t in (("counts", "<i8"), ("levels", np.uint8), ("others", np.uint8)))
-        if len(counts) != len(questions[0]) or len(others) != len(questions[1]):
-            raise RuntimeError("the documents changed between two readings")
-        found = (questions[0], counts, questions[1]), (levels.astype(np.int64), others.astype(np.int64))
-        return pa.Table.from_batches([r for b in rows for r in rate(b, *found)])
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Chunks as compressed blocks of their rows."""
-        for place, (chunk, rows) in enumerate(_Ask.chunks(batches)):
-            rows = pa.RecordBatch.from_arrays(rows.columns[1:], rows.schema.names[1:])
-            out = pa.BufferOutputStream()
-            with pa.ipc.new_stream(out, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-                writer.write_batch(rows)
-            yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([place]), pa.array([out.getvalue().to_pybytes()])], ["chunk", "place", "rows"])
 
-    if model.all_sent and model.all_frequent:
-        rated = numbered.mapInArrow(rate_rows, schema)
-    else:
-        numbered = numbered if as_stored else materialise(numbered, "lm-rows")
-        chunks = numbered.select(F.spark_partition_id().alias("part"), "*").mapInArrow(deal, "chunk long, place long, rows binary")
-        answers = _answers(numbered, model, shared)
-        rated = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(rate_chunk, schema)
-    return rated.select(*names, "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+def _by_chunk(numbered: DataFrame, answers: DataFrame, model: Model, shared, mu: float) -> DataFrame:
+    """Scores of the chunks of rows, each with what it was answered."""
+    rater = _Rate(shared, mu, numbered.columns[1:])
+    chunks = numbered.select(F.spark_partition_id().alias("part"), "*").mapInArrow(_deal, "chunk long, place long, rows binary")
+    # One function per frame: Spark tells Arrow's ways of grouping by the arguments it is given.
+    rated = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda blocks, found: rater.chunk(blocks, found), _rated(numbered))
+    return _finished(rated, numbered, model)
 
 
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = fold("doc_id", 5) == 1
-    model = learn(docs.filter(~held_out))
-    return score(docs, model, keep={"doc_id": F.col("doc_id"), "held_out": held_out}, as_stored=True)
+    return learn_and_score(docs, ~held_out, keep={"doc_id": F.col("doc_id"), "held_out": held_out}, as_stored=True)

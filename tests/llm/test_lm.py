@@ -131,3 +131,43 @@ def test_no_training_rows(docs):
     for bound in (0, lm.MAX_BYTES):
         rows = lm.score(docs, lm.learn(docs.limit(0), max_bytes=bound)).toPandas()
         assert len(rows) == docs.count() and np.isfinite(rows.score).all() and (rows.n_known == 0).all()
+
+
+@pytest.mark.parametrize("chunk", [20_000, lm.CHUNK])
+def test_one_shuffle_of_ngrams_gives_the_scores_of_two(docs, monkeypatch, chunk):
+    """Counting and asking at once, in chunks of one text and of many, with repeated and null rows; folds of all, some and none."""
+    monkeypatch.setattr(lm, "CHUNK", chunk)
+    order = ["doc_id", "n_tokens", "score"]
+    held = fold("doc_id", 5) == 1
+    for learns in (~held, F.lit(True), F.lit(False), F.when(~held, True)):
+        apart = lm.score(docs, lm.learn(docs.filter(learns))).toPandas().sort_values(order, ignore_index=True)
+        at_once = lm.learn_and_score(docs, learns).toPandas().sort_values(order, ignore_index=True)
+        assert len(apart) == docs.count() and list(apart.columns) == list(at_once.columns)
+        assert (apart.doc_id.fillna(-1) == at_once.doc_id.fillna(-1)).all()
+        assert (apart[["n_tokens", "n_known", "train_tokens"]] == at_once[["n_tokens", "n_known", "train_tokens"]]).all().all()
+        assert np.allclose(apart.score, at_once.score, rtol=1e-12) and np.allclose(apart.base_score, at_once.base_score, rtol=1e-12)
+    assert lm.learn_and_score(docs.limit(0), ~held).count() == 0
+
+
+def test_blocks_posed_hold_counts_of_any_size():
+    """Counts of 255 and more travel apart from the others, in each group's block and in the answers."""
+    import pyarrow as pa
+
+    texts = ["the " * 300 + "end", "the cat " * 260, "a cat sat"]
+    batch = pa.RecordBatch.from_pydict({"part": pa.array([0] * 3, pa.int32()), "text": texts, "learns": [True, True, False]})
+    posed = [b for b in lm._pose(8)(iter([batch]))]
+    by_group = pa.Table.from_batches(posed).sort_by("group").to_batches()
+    answers = pa.Table.from_batches(list(lm._build_and_answer(8, lm.MU)(iter(by_group)))).to_pylist()
+    one, _ = exact(texts[:2])
+    asked = {g: a for g, a in zip(sorted({t for t in lm.gram(np.concatenate([lm.tokens_of(t) for t in texts])).tolist()}), lm._read_counts(*(b"".join(r[c] for r in answers if r["chunk"] is not None) for c in ("counts", "large"))).tolist())}
+    assert asked == {g: one.get(g, 0) for g in asked} and max(asked.values()) == 560 and min(asked.values()) == 0
+    # A block of bigrams is posed once for every chunk and group, counted and asked alike: 6 bytes each.
+    two = {g for t in texts for g in lm.gram(lm.bigrams_of(lm.tokens_of(t))).tolist()}
+    assert sum(len(b) for p in posed for b in p.column("others").to_pylist()) == 6 * len(two)
+
+
+def test_query_shuffles_each_ngram_once(spark, monkeypatch):
+    """The query poses its n-grams in one shuffle: neither learns apart nor asks again."""
+    for name in ("learn", "_answers"):
+        monkeypatch.setattr(lm, name, lambda *_, **__: pytest.fail("n-grams would be shuffled twice"))
+    assert lm.op6_lm_score(spark, SF).count() == spark.read.parquet(f"{SF}/documents.parquet").count()
