@@ -4,8 +4,8 @@ A byte goes if it lies in a string of ``LENGTH`` (100) bytes that also starts ea
 smaller id, or earlier in the same one. Overlaps count, and strings are judged on the
 input. The way there:
 
-1. Every string of 100 bytes picks the smallest-hashed of its 20-byte pieces as its anchor (the first of
-   equals). Equal strings pick equal anchors. The strings that pick one anchor place start next to each other,
+1. Every string of 100 bytes picks the smallest-hashed of its 20-byte pieces as its anchor (by the upper bits of the hash, the
+   first of equals). Equal strings pick equal anchors. The strings that pick one anchor place start next to each other,
    so a document is a row per anchor and not a row per byte.
 2. Anchors that occur once stand for strings that occur once. Only the others go on, with
    the bytes around them, dealt out by anchor; equal stretches of one task are sent once.
@@ -42,6 +42,8 @@ from riskweave.session import materialise
 LENGTH = 100
 PIECE = 20
 CHUNK = 1 << 21  # bytes worked on at a time
+BLOCK = 1 << 15  # starts whose hashes stay in a core's cache
+PLACE_BITS = 20  # of a hash that give way to the place in a block
 PART_BYTES = 3 << 20  # bytes of stretches that one index holds, about
 FIRST, GROWTH = 4, 64  # stretches of an anchor that the first index holds, and how many times more each further one
 HOT = 10_000  # places of an anchor beyond which strings are dealt out one by one
@@ -65,6 +67,10 @@ def piece_hashes(data: np.ndarray, piece: int = PIECE) -> np.ndarray:
             break
         h = h[:-size] * power + h[size:]
         power, size = np.uint64(int(power) ** 2 % (1 << 64)), size * 2
+    return _mixed(out)
+
+
+def _mixed(out: np.ndarray) -> np.ndarray:
     out ^= out >> np.uint64(32)
     out *= np.uint64(0xD6E8FEB86659FD93)
     out ^= out >> np.uint64(29)
@@ -72,18 +78,18 @@ def piece_hashes(data: np.ndarray, piece: int = PIECE) -> np.ndarray:
 
 
 def _first_smallest(values: np.ndarray, width: int) -> np.ndarray:
-    """Place of the first smallest of the ``width`` values from each place."""
-    at = np.arange(len(values))
-    least, size = values, 1
+    """Place of the first smallest of the ``width`` values from each place, up to 2 ** ``PLACE_BITS`` values.
+
+    Values count without their lower bits, the same for any number of values; places stand there instead, so one minimum finds both.
+    """
+    low = np.uint64((1 << PLACE_BITS) - 1)
+    least, size = values & ~low | np.arange(len(values), dtype=np.uint64), 1
     while size * 2 <= width:
-        right = least[size:] < least[:-size]
-        at = np.where(right, at[size:], at[:-size])
-        least = np.where(right, least[size:], least[:-size])
+        least = np.minimum(least[size:], least[:-size])
         size *= 2
     if size < width:
-        shift = width - size
-        at = np.where(least[shift:] < least[:-shift], at[shift:], at[:-shift])
-    return at
+        least = np.minimum(least[width - size :], least[: size - width])
+    return (least & low).astype(np.int64)
 
 
 def anchors(data: np.ndarray, length: int = LENGTH, piece: int = PIECE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -92,11 +98,18 @@ def anchors(data: np.ndarray, length: int = LENGTH, piece: int = PIECE) -> tuple
     out: list[tuple] = []
     for begin in range(0, max(0, len(data) - length + 1), CHUNK):
         part = data[begin : begin + CHUNK + length - 1]
-        h = piece_hashes(part, piece)
-        at = _first_smallest(h, length - piece + 1)
-        cuts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-        ends = np.append(cuts[1:], len(at)) - 1
-        out.append((h[at[cuts]], at[cuts] + begin, cuts + begin, ends + begin))
+        found = []
+        for block in range(0, len(part) - length + 1, BLOCK):
+            h = piece_hashes(part[block : block + BLOCK + length - 1], piece)
+            at = _first_smallest(h, length - piece + 1)
+            cuts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+            found.append((h[at[cuts]], at[cuts] + block, cuts + block))
+        h, at, cuts = (np.concatenate(x) for x in zip(*found))
+        # An anchor may go on in the next block.
+        new = np.concatenate([[True], at[1:] != at[:-1]])
+        h, at, cuts = h[new], at[new], cuts[new]
+        ends = np.append(cuts[1:], len(part) - length + 1) - 1
+        out.append((h, at + begin, cuts + begin, ends + begin))
     if not out:
         return np.empty(0, dtype=np.uint64), empty, empty, empty
     return tuple(np.concatenate(x) for x in zip(*out))
@@ -396,14 +409,13 @@ def _cut_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def _keys_at(data: np.ndarray, place: np.ndarray) -> np.ndarray:
     """Hashes of the anchors' pieces, as found before."""
-    pieces = data[place[:, None] + np.arange(PIECE)]
-    return np.array([int(x) for x in piece_hashes_of(pieces)], dtype=np.uint64).view(np.int64)
+    return piece_hashes_of(data[place[:, None] + np.arange(PIECE)]).view(np.int64)
 
 
 def piece_hashes_of(pieces: np.ndarray) -> np.ndarray:
-    """piece_hashes of rows that are one piece each."""
-    flat = piece_hashes(np.ascontiguousarray(pieces).reshape(-1), pieces.shape[1])
-    return flat[:: pieces.shape[1]]
+    """piece_hashes of rows that are one piece each: the bytes plus one are digits to the base ``_B``."""
+    powers = np.cumprod(np.append(np.uint64(1), np.full(pieces.shape[1] - 1, _B)), dtype=np.uint64)[::-1]
+    return _mixed(((pieces.astype(np.uint64) + np.uint64(1)) * powers).sum(axis=1, dtype=np.uint64))
 
 
 def _keep_earliest(part: pa.Table) -> pa.Table:
@@ -460,17 +472,19 @@ def removed_spans(spots: np.ndarray, keep_first: np.ndarray, keep_last: np.ndarr
     """Byte spans (half open, merged) covered by strings at repeated anchors that are not kept."""
     if not len(spots):
         return []
-    _, first, last = _unpack(np.unique(spots))
-    starts = np.concatenate([np.arange(a, z + 1) for a, z in zip(first, last)])
-    kept = np.concatenate([np.arange(a, z + 1) for a, z in zip(keep_first, keep_last)]) if len(keep_first) else np.empty(0, np.int64)
-    gone = np.setdiff1d(starts, kept)
-    spans: list[list[int]] = []
-    for a, z in zip(*(x.tolist() for x in _runs(gone))):
-        if spans and a <= spans[-1][1]:
-            spans[-1][1] = z + LENGTH
-        else:
-            spans.append([a, z + LENGTH])
-    return [(a, z) for a, z in spans]
+    _, first, last = _unpack(spots)
+    # Bounds of both kinds of ranges in order: how many of each lie over what follows a bound.
+    at = np.concatenate([first, last + 1, keep_first, keep_last + 1])
+    order = np.argsort(at, kind="stable")
+    n, k = len(first), len(keep_first)
+    found, kept = (np.cumsum(np.repeat(steps, [n, n, k, k])[order]) for steps in ([1, -1, 0, 0], [0, 0, 1, -1]))
+    at = at[order]
+    gone = np.flatnonzero((found[:-1] > 0) & (kept[:-1] == 0) & (at[1:] > at[:-1]))
+    if not len(gone):
+        return []
+    begins, ends = at[gone], at[gone + 1] - 1 + LENGTH
+    apart = begins[1:] > ends[:-1]
+    return list(zip(begins[np.append(True, apart)].tolist(), ends[np.append(apart, True)].tolist()))
 
 
 _LEFT = "struct<n_bytes: bigint, spans: array<struct<from: bigint, until: bigint>>, kept: binary>"

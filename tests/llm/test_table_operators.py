@@ -176,6 +176,48 @@ def test_long_texts_are_worked_through_in_pieces(monkeypatch):
     assert spread(found) == spread(whole) and [s for _, s in spread(whole)] == list(range(len(data) - 99))
 
 
+@pytest.mark.parametrize("block", [1, 7, 300, 1 << 15])
+def test_anchors_do_not_depend_on_blocks(monkeypatch, block):
+    """Hashes are worked on in blocks that fit a cache; an anchor that goes on in the next block stays one."""
+    data = np.frombuffer(("".join(made_texts(5)) + "a" * 500).encode()[-3000:], np.uint8)
+    monkeypatch.setattr(repeats, "BLOCK", block)
+    h, place, first, last = repeats.anchors(data)
+    every = repeats.piece_hashes(data)
+    rank = [(int(x) >> repeats.PLACE_BITS, i) for i, x in enumerate(every)]
+    want = [min(rank[s : s + 81])[1] for s in range(len(data) - 99)]
+    assert [p for p, f, t in zip(place, first, last) for _ in range(f, t + 1)] == want
+    assert (np.diff(place) != 0).all() and (h == every[place]).all()
+
+
+def test_keys_hash_their_own_pieces_alone(monkeypatch):
+    data = np.random.default_rng(2).integers(0, 256, 4000).astype(np.uint8)
+    place = np.array([0, 1, 77, 1900, 3980])
+    want = repeats.piece_hashes(data)[place].view(np.int64)
+    monkeypatch.setattr(repeats, "piece_hashes", lambda *_: pytest.fail("hashes of every place are not needed"))
+    assert (repeats._keys_at(data, place) == want).all() and len(repeats._keys_at(data, place[:0])) == 0
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_removed_spans_from_bounds(monkeypatch, seed):
+    """By the bounds of the ranges alone, however many starts they hold; against a mask of all starts."""
+    rng = random.Random(seed)
+    firsts = sorted(rng.sample(range(2500), 25))
+    ranges = [(f, min(f + rng.randint(0, 80), n - 1)) for f, n in zip(firsts, [*firsts[1:], 2600])]
+    kept = [(a, z) for f, t in ranges if rng.random() < 0.6 for a in [rng.randint(f, t)] for z in [rng.randint(a, t)]]
+    gone = np.zeros(2800, bool)
+    starts = {s for f, t in ranges for s in range(f, t + 1)} - {s for a, z in kept for s in range(a, z + 1)}
+    for s in starts:
+        gone[s : s + 100] = True
+    first, last = np.array(ranges).T
+    spots = np.tile(repeats._pack(first, first, last), 2)  # equal rows give a document's spots twice
+    monkeypatch.setattr(np, "setdiff1d", lambda *_: pytest.fail("starts are not listed"))
+    got = repeats.removed_spans(spots, *np.array(kept, dtype=np.int64).reshape(-1, 2).T)
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
+    assert got == list(zip(edges[::2].tolist(), edges[1::2].tolist()))
+    everything = repeats.removed_spans(spots, first, last)
+    assert everything == []
+
+
 def test_run_index_finds_blocks():
     rng = random.Random(4)
     base = bytes(rng.choice(b"ab") for _ in range(90))
