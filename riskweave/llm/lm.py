@@ -683,10 +683,17 @@ class _Rate:
             read[asked] = np.where(m.bloom.holds(tokens[asked]), read[asked], levels)  # groups that are broadcast answer no level
             pair_levels[asked_pairs] = others
         floor = math.log10(m.n_tokens + 0.5 * (m.n_types + 1))
-        base = np.log10(count + 0.5) - floor
-        before = np.roll(inverse, 1)  # each text ends with the end token, the last one too
-        p = m.bigram(pair_levels[of_pair], read[before], m.unigram(read)[inverse], self.mu)
-        by_text = [np.add.reduceat(v, starts) for v in ((count > 0).astype(np.int64)[inverse], base[inverse], np.log10(p))]
+        known, base, low = (count > 0).astype(np.int64), np.log10(count + 0.5) - floor, m.unigram(read)
+        by_text = [np.empty(len(texts), kind) for kind in (np.int64, np.float64, np.float64)]
+        ends, a = np.cumsum(sizes), 0
+        while a < len(texts):  # a bounded number of tokens at a time
+            z = max(a + 1, int(np.searchsorted(ends, starts[a] + BATCH_TOKENS, "right")))
+            here = inverse[starts[a] : ends[z - 1]]
+            before = np.append(inverse[starts[a] - 1], here[:-1])  # each text ends with the end token, the last one too
+            p = m.bigram(pair_levels[of_pair[starts[a] : ends[z - 1]]], read[before], low[here], self.mu)
+            for out, v in zip(by_text, (known[here], base[here], np.log10(p))):
+                out[a:z] = np.add.reduceat(v, starts[a:z] - starts[a])
+            a = z
         return pa.RecordBatch.from_arrays([pa.array(sizes.astype(np.int64)), *map(pa.array, by_text), *(c.slice(start, len(texts)) for c in kept)], [*_MADE, *self.names])
 
 

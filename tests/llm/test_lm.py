@@ -133,10 +133,8 @@ def test_no_training_rows(docs):
         assert len(rows) == docs.count() and np.isfinite(rows.score).all() and (rows.n_known == 0).all()
 
 
-@pytest.mark.parametrize("chunk", [20_000, lm.CHUNK])
-def test_one_shuffle_of_ngrams_gives_the_scores_of_two(docs, monkeypatch, chunk):
-    """Counting and asking at once, in chunks of one text and of many, with repeated and null rows; folds of all, some and none."""
-    monkeypatch.setattr(lm, "CHUNK", chunk)
+def test_one_shuffle_of_ngrams_gives_the_scores_of_two(docs):
+    """Counting and asking at once, with repeated and null rows; folds of all, some, none and null."""
     order = ["doc_id", "n_tokens", "score"]
     held = fold("doc_id", 5) == 1
     for learns in (~held, F.lit(True), F.lit(False), F.when(~held, True)):
@@ -166,6 +164,51 @@ def test_blocks_posed_hold_counts_of_any_size():
     assert sum(len(b) for p in posed for b in p.column("others").to_pylist()) == 6 * len(two)
 
 
+def test_chunks_change_no_score(monkeypatch):
+    """Chunks of one text, of some and of all, through the steps as Spark would run them; few tokens at a time."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{min(rng.zipf(1.3), 400)}" for _ in range(rng.integers(0, 200))) for _ in range(60)] + [None, "", "nobody wrote this"]
+    learns = [i % 5 != 1 for i in range(len(texts))]
+    batch = pa.RecordBatch.from_pydict({"part": pa.array([3] * len(texts), pa.int32()), "text": texts, "learns": learns, "doc_id": list(range(len(texts)))})
+    one, two = exact(t for t, known in zip(texts, learns) if known)
+    scores, many = [], []
+    for chunk, at_once in ((1, 1), (2_000, 150), (lm.CHUNK, lm.BATCH_TOKENS)):
+        monkeypatch.setattr(lm, "CHUNK", chunk)
+        monkeypatch.setattr(lm, "BATCH_TOKENS", at_once)
+        batches = [batch.slice(0, 7), batch.slice(7, 40), batch.slice(47)]
+        posed = pa.Table.from_batches(list(lm._pose(8)(b.select(["part", "text", "learns"]) for b in batches))).sort_by("group")
+        answers = pa.Table.from_batches(list(lm._build_and_answer(8, lm.MU)(iter(posed.to_batches()))))
+        levels = collections.defaultdict(lambda: np.zeros(2, dtype=int))
+        for h in answers.column("histogram").to_pylist():
+            for r in h or []:
+                levels[r["n"], r["level"]] += (r["grams"], r["total"])
+        means = tuple(lm.mean_counts({at: tuple(v) for (k, at), v in levels.items() if k == n}) for n in (1, 2))
+        n_tokens, n_types = sum(one.values()), len(one)
+        assert sum(v[1] for (k, _), v in levels.items() if k == 2) == sum(two.values())
+        nobody = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        model = lm.Model(None, 8, n_tokens, n_types, lm.LogBloom.of(8, []), False, means, nobody, False, -1)
+        rater = lm._Rate(SimpleNamespace(value=model), lm.MU, ["doc_id"])
+        dealt = pa.Table.from_batches(list(lm._deal(b.select(["part", "text", "doc_id"]) for b in batches)))
+        found = []
+        for c in sorted(set(dealt.column("chunk").to_pylist())):
+            pick = lambda t: t.filter(pa.compute.equal(t.column("chunk"), c))
+            found += rater.chunk(pick(dealt), pick(answers)).to_pylist()
+        assert [r["doc_id"] for r in found] == list(range(len(texts)))
+        many.append(len(set(dealt.column("chunk").to_pylist())))
+        for r, t in zip(found, texts):
+            tokens = lm.gram(lm.tokens_of(t)).tolist()
+            assert r["n_tokens"] == len(tokens) and r["n_known"] == sum(g in one for g in tokens)
+            base = sum(math.log10((one[g] + 0.5) / (n_tokens + 0.5 * (n_types + 1))) for g in tokens)
+            assert r["base_score"] == pytest.approx(base, rel=1e-12)
+        scores.append([r["score"] for r in found])
+    assert many[0] > 50 > many[1] > many[2] == 1
+    assert np.allclose(scores[0], scores[1], rtol=1e-12) and np.allclose(scores[0], scores[2], rtol=1e-12)
+
+
 def test_query_shuffles_each_ngram_once(spark, monkeypatch):
     """The query poses its n-grams in one shuffle: neither learns apart nor asks again."""
     for name in ("learn", "_answers"):
