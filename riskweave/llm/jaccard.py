@@ -51,6 +51,7 @@ WORDS = 3
 PERCENT = 90
 CAPACITY = 4_000_000  # shingles that one task's block or cell holds at most
 FILTER_BITS = 1 << 26  # 8 MiB
+AT_ONCE = 1 << 18  # shingles of a block that are looked up at once
 LEAF = 512  # sets that are joined without further pivots
 PIVOTS = 16
 RINGS = 3  # levels of rings for cells over capacity
@@ -87,17 +88,30 @@ class Region:
         self.percent, self.eps = percent, 1 - percent / 100
         self.sizes = np.array([len(s) for s in sets], dtype=np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)]).astype(np.int64)
-        _, inverse, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        distinct, often = np.unique(np.concatenate(sets), return_counts=True)
         # Numbers in order of frequency: a set's first numbers are its rarest shingles.
-        rank = np.empty(len(often), dtype=np.int64)
-        rank[np.argsort(often, kind="stable")] = np.arange(len(often))
-        self.items = rank[inverse]
+        rank = np.empty(len(often), dtype=np.int32)
+        rank[np.argsort(often, kind="stable")] = np.arange(len(often), dtype=np.int32)
+        self.items = np.empty(self.starts[-1], dtype=np.int32)
         self.width = len(often)
-        self.marks = np.zeros(self.width, dtype=np.int64)
+        self.marks = np.zeros(self.width, dtype=bool)
+        for first, last in self.spans(self.sizes):
+            a, b = self.starts[first], self.starts[last]
+            self.items[a:b] = rank[np.searchsorted(distinct, np.concatenate(sets[first:last]))]
         for i in range(len(sets)):
             self.items[self.starts[i] : self.starts[i + 1]].sort()
         self.root = np.arange(len(sets))
 
+    @staticmethod
+    def spans(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Runs of sets of about ``AT_ONCE`` shingles, one set at least."""
+        ends = np.cumsum(sizes)
+        first = 0
+        while first < len(sizes):
+            last = max(first + 1, int(np.searchsorted(ends, ends[first] - sizes[first] + AT_ONCE, "right")))
+            yield first, last
+            first = last
+
     def of(self, i: int) -> np.ndarray:
         return self.items[self.starts[i] : self.starts[i + 1]]
 
@@ -106,12 +120,15 @@ class Region:
         if not len(others):
             return np.empty(0, dtype=np.int64)
         own = self.of(i)
-        self.marks[own] = 1
-        sizes = self.sizes[others]
-        ends = np.cumsum(sizes)
-        places = np.arange(ends[-1]) + np.repeat(self.starts[others] - (ends - sizes), sizes)
-        found = np.add.reduceat(self.marks[self.items[places]], ends - sizes)
-        self.marks[own] = 0
+        self.marks[own] = True
+        found = np.empty(len(others), dtype=np.int64)
+        for first, last in self.spans(self.sizes[others]):
+            part = others[first:last]
+            sizes = self.sizes[part]
+            ends = np.cumsum(sizes)
+            places = np.arange(ends[-1]) + np.repeat(self.starts[part] - (ends - sizes), sizes)
+            found[first:last] = np.add.reduceat(self.marks[self.items[places]], ends - sizes, dtype=np.int64)
+        self.marks[own] = False
         return found
 
     def distances(self, i: int, others: np.ndarray) -> np.ndarray:
