@@ -18,8 +18,10 @@ union, that is when their distance is at most ``EPS``. The way there:
    no longer split, a set is compared with those that share a prefix shingle and whose
    distances to the region's pivots differ from its own by at most ``EPS``.
    Classes are grown by search from set to set, so a set that has joined is not compared with others of its class again.
-4. Blocks with more shingles than one task should hold are spread first: by shared prefix
-   shingle, then by rings of width ``EPS`` around pivots, each set also
+4. Blocks with more shingles than one task should hold are cut first. Every set has a sketch, the parities of
+   its shingles' hashes, about a bit for each shingle: two sketches differ in at most as many bits as the sets in shingles, so sketches
+   that differ in more belong to no link. Sketches, not sets, meet by shared prefix shingle, and what they tie together is a
+   block anew. Blocks that are too large even so (of real near copies) are spread by rings of width ``EPS`` around pivots, each set also
    in the next ring, and what is still too large by pairs of chunks. Their links meet in
    connected components over tables.
 
@@ -212,6 +214,47 @@ def classes(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
     return np.array([region.find(i) for i in range(len(sets))])
 
 
+def sketch(hashes: np.ndarray) -> bytes:
+    """Parities of a set's hashes, as many bits as it has shingles or up to twice as many."""
+    bits = 1 << max(6, (len(hashes) - 1).bit_length())
+    odd = np.bincount((hashes % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def near_classes(sizes: np.ndarray, sketches: list[bytes], percent: int = PERCENT) -> np.ndarray:
+    """For each set the place of the first set that sketches tie it to, directly or through others.
+
+    Linked sets differ in at most (100 - percent) / (100 + percent) of their shingles, and their sketches in no more bits: all links are
+    among these ties.
+    """
+    root, words = np.arange(len(sizes)), np.array([len(s) // 8 for s in sketches])
+    # Sketches of each width: its own, and wider ones folded to it.
+    held = {}
+    for w in np.unique(words).tolist():
+        rows = np.flatnonzero(words >= w)
+        place = np.full(len(sizes), -1)
+        place[rows] = np.arange(len(rows))
+        held[w] = place, np.stack([np.bitwise_xor.reduce(np.frombuffer(sketches[i], np.uint64).reshape(-1, w), axis=0) for i in rows])
+    waiting = np.ones(len(sizes), dtype=bool)
+    for first in range(len(sizes)):
+        if not waiting[first]:
+            continue
+        waiting[first] = False
+        queue = [first]
+        while queue:
+            x = queue.pop()
+            near = np.flatnonzero(waiting & (100 * sizes >= percent * sizes[x]) & (100 * sizes[x] >= percent * sizes))
+            narrower = np.minimum(words[near], words[x])
+            for w in np.unique(narrower).tolist():
+                (place, bits), some = held[w], near[narrower == w]
+                apart = np.bitwise_count(bits[place[some]] ^ bits[place[x]]).sum(axis=1, dtype=np.int64)
+                found = some[(100 + percent) * apart <= (100 - percent) * (sizes[some] + sizes[x])]
+                waiting[found] = False
+                root[found] = first
+                queue.extend(found.tolist())
+    return root
+
+
 def row_key(doc_id: Column, text: Column) -> Column:
     """A hash that names a row by its id and text, nulls included."""
     return F.xxhash64(doc_id.cast("long"), F.coalesce(text.cast("string"), F.lit("")))
@@ -390,6 +433,15 @@ def _total(cells: DataFrame) -> int:
     return cells.agg(F.sum(F.size("g").cast("long"))).first()[0] or 0
 
 
+def _in_pairs(large: DataFrame, sums: DataFrame, capacity: int) -> DataFrame:
+    """The rows of cells in chunks: each pair of chunks is a cell, those within capacity stay whole. ``sums``: (cell, weight)."""
+    kept = [c for c in large.columns if c != "cell"]
+    n_chunks = F.when(F.col("weight") <= capacity, 1).otherwise(F.ceil(F.col("weight") * 2 / capacity).cast("int"))
+    chunked = large.join(sums, "cell").withColumn("chunks", n_chunks).withColumn("own", F.pmod(F.xxhash64("sid", F.lit(99)), F.col("chunks")).cast("int"))
+    pairs = chunked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    return pairs.select(F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), *kept)
+
+
 def _split_large(large: DataFrame, percent: int, capacity: int) -> DataFrame:
     """(cell, sid, g): the cells over capacity in parts of which each link lies in one."""
     eps = 1 - percent / 100
@@ -413,18 +465,48 @@ def _split_large(large: DataFrame, percent: int, capacity: int) -> DataFrame:
         # Linked sets are at most one ring apart: each set is in its own ring and the next.
         placed = ringed.select("cell", "sid", "g", F.explode(F.array("ring", F.col("ring") + 1)).alias("ring"))
         large = materialise(placed.select(F.xxhash64("cell", F.lit(level), "ring").alias("cell"), "sid", "g"), "rings")
-    sums = materialise(large.groupBy("cell").agg(F.sum(weight).alias("weight")), "cells")
     # What no pivot splits goes in pairs of chunks.
-    n_chunks = F.ceil(F.col("weight") * 2 / capacity).cast("int")
-    chunked = large.join(sums, "cell").withColumn("n", n_chunks).withColumn("own", F.pmod(F.xxhash64("sid", F.lit(99)), F.col("n")).cast("int"))
-    pairs = chunked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    done.append(pairs.select(F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "sid", "g"))
+    sums = materialise(large.groupBy("cell").agg(F.sum(weight).alias("weight")), "cells")
+    done.append(_in_pairs(large, sums, capacity))
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
     return out
 
 
+def _finer_blocks(large: DataFrame, posted: DataFrame, percent: int, capacity: int) -> DataFrame:
+    """(sid, cell): blocks of the sets (sid, g) by their sketches, which meet by shared prefix shingle (sid, p); sets that no sketch ties to another are left out."""
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            drawn = [sketch(np.asarray(g.values).view(np.uint64)) for g in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).value_lengths().cast(pa.int64()), pa.array(drawn, pa.binary())], ["sid", "n", "bits"])
+
+    def tie(group: pa.Table) -> pa.Table:
+        cell, sid, sizes, bits = (group.column(c).combine_chunks() for c in ("cell", "sid", "n", "bits"))
+        cell, sid, sizes, ties = cell.to_numpy(), sid.to_numpy(), sizes.to_numpy(), []
+        order = np.lexsort((sid, cell))
+        for part in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1):
+            found = near_classes(sizes[part], [bits[i].as_py() for i in part.tolist()], percent)
+            tied = np.flatnonzero(found != np.arange(len(part)))
+            ties.append(np.stack([sid[part[tied]], sid[part[found[tied]]]], axis=1))
+        # Sets that are tied by one shingle are by others too.
+        once = np.unique(np.concatenate(ties), axis=0)
+        return pa.table({"a": once[:, 0], "b": once[:, 1]})
+
+    drawn = materialise(large.mapInArrow(draw, "sid long, n long, bits binary"), "sketches")
+    # In eights of bytes, as shingles are, with what a row holds beside its sketch.
+    weight = (F.length("bits") / 8).cast("long") + 8
+    cells = posted.select("sid", F.col("p").alias("cell")).join(drawn, "sid").select("cell", "sid", "n", "bits")
+    sums = materialise(posted.select("sid", F.col("p").alias("cell")).join(drawn.select("sid", weight.alias("w")), "sid").groupBy("cell").agg(F.sum("w").alias("weight")), "cells")
+    total, most = sums.agg(F.sum("weight"), F.max("weight")).first()
+    if most > capacity:
+        cells = _in_pairs(cells, sums, capacity)
+    groups = max(1, -(-4 * total // max(1, capacity)))
+    ties = cells.withColumn("part", F.pmod(F.xxhash64("cell"), F.lit(groups))).groupBy("part").applyInArrow(tie, "a long, b long")
+    return components(ties).select(F.col("node").alias("sid"), F.col("root").alias("cell"))
+
+
 def classes_of_sets(docs: DataFrame, signed: DataFrame, n: int, percent: int, capacity: int, sent) -> DataFrame:
     """(sid, root): sets that link with another set, and a set that stands for their class."""
     sets = signed.filter("sid is not null").groupBy("sid").agg(F.max("n_shingles").alias("n_shingles"), F.max("looked_at").alias("looked_at"))
@@ -441,17 +523,28 @@ def classes_of_sets(docs: DataFrame, signed: DataFrame, n: int, percent: int, ca
     blocks = components(regions.select(F.col("sid").alias("a"), F.col("lead").alias("b"))).select(F.col("node").alias("sid"), F.col("root").alias("cell"))
     sizes = whole.select("sid", F.size("g").cast("long").alias("size"))
     weights = materialise(sizes.join(blocks, "sid").groupBy("cell").agg(F.sum("size").alias("weight")), "cells")
-    whole = whole.select("sid", "g").join(blocks, "sid").select("cell", "sid", "g")
     total, most = weights.agg(F.sum("weight"), F.max("weight")).first()
     if total is None:
         return docs.sparkSession.createDataFrame([], _CLASS)
+    whole = whole.select("sid", "g")
+    if most <= capacity:
+        return _join_cells(whole.join(blocks, "sid").select("cell", "sid", "g"), total, percent, capacity)
+    within = blocks.join(weights.filter(F.col("weight") <= capacity).select("cell"), "cell", "left_semi")
+    found = _join_cells(whole.join(within, "sid").select("cell", "sid", "g"), total, percent, capacity)
+    over = materialise(blocks.join(weights.filter(F.col("weight") > capacity).select("cell"), "cell", "left_semi").select("sid"), "over")
+    large = materialise(whole.join(over, "sid"), "large")
+    finer = _finer_blocks(large, regions.join(over, "sid", "left_semi"), percent, capacity)
+    large = materialise(large.join(finer, "sid").select("cell", "sid", "g"), "finer")
+    weights = materialise(large.groupBy("cell").agg(F.sum(F.size("g").cast("long")).alias("weight")), "cells")
+    total, most = weights.agg(F.sum("weight"), F.max("weight")).first()
+    if total is None:
+        return found
     if most <= capacity:
-        return _join_cells(whole, total, percent, capacity)
-    small = whole.join(weights.filter(F.col("weight") <= capacity).select("cell"), "cell", "left_semi")
-    found = _join_cells(small, total, percent, capacity)
-    large = whole.join(weights.filter(F.col("weight") > capacity).select("cell"), "cell", "left_semi").drop("cell")
-    by_shingle = large.join(regions.select("sid", F.col("p").alias("cell")), "sid").select("cell", "sid", "g")
-    parts = materialise(_split_large(materialise(by_shingle, "cells"), percent, capacity), "cells")
+        return found.unionByName(_join_cells(large, total, percent, capacity))
+    small = large.join(weights.filter(F.col("weight") <= capacity).select("cell"), "cell", "left_semi")
+    found = found.unionByName(_join_cells(small, total, percent, capacity))
+    large = large.join(weights.filter(F.col("weight") > capacity).select("cell"), "cell", "left_semi")
+    parts = materialise(_split_large(large, percent, capacity), "cells")
     links = materialise(_join_cells(parts, _total(parts), percent, capacity), "links")
     return found.unionByName(components(links.select(F.col("sid").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("sid"), "root"))
 
