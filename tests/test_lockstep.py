@@ -200,3 +200,53 @@ def test_newton_on_separable_and_constant_columns(spark):
     assert fit.coefficients[0] > 0.5 and fit.coefficients[1] == pytest.approx(0, abs=1e-9) and np.isfinite(fit.intercept)
     with pytest.raises(ValueError, match="no rows"):
         newton.fit_logistics(frame, "y", [F.lit(True), F.lit(False)], 0.1)
+
+
+def test_bundles_keep_the_sums_of_their_features():
+    rng = np.random.default_rng(6)
+    counts = np.array([2, 256, 1, 7, 2, 130, 3, 2, 16, 16, 255])
+    bins = np.stack([rng.integers(0, c, 900) for c in counts]).astype(np.uint8)
+    bundles = L._Bundles.of(counts)
+    assert sorted(f for m in bundles.members for f in m) == list(range(len(counts))) and len(bundles.members) < 7
+    slot, value = rng.integers(0, 3, 900), rng.integers(-9, 9, (2, 900))
+    sums = np.zeros((len(bundles.members), 2, 3, L.BUNDLE), dtype=np.int64)
+    for code, out in zip(bundles.codes(bins), sums):
+        for kind in range(2):
+            np.add.at(out[kind], (slot, code.astype(int)), value[kind])
+    starts = np.append(0, np.cumsum(counts))
+    want = np.zeros((3, 2, starts[-1]), dtype=np.int64)
+    for f, start in enumerate(starts[:-1]):
+        for kind in range(2):
+            np.add.at(want[:, kind], (slot, start + bins[f].astype(int)), value[kind])
+    assert (bundles.apart(sums) == want).all()
+
+
+def test_a_whole_fit_never_starts_again_at_the_root(rows, monkeypatch):
+    """Its task keeps the node of every row: no row walks down the tree for each level, and fits of half a million rows are grown so."""
+    import pickle
+    from functools import partial
+
+    assert L.WHOLE_ROWS >= 500_000
+    blocks, bins, counts = packed(rows)
+    how, forest = L.BoostSettings(rounds=4, depth=4, least_rows=10), L.ForestSettings(trees=5, depth=4, least_rows=10)
+    boosted, grown = (f(blocks, bins, counts, *rest, whole_rows=0)[0] for f, rest in ((L.boost, (np.zeros(3), [5] * 3, how)), (L.grow_forests, (forest,))))
+    dealt = [(0, L._only(np.array([0]), pickle.loads(pickle.dumps(b)))) for b in blocks.collect()]
+
+    def walk(*_):
+        raise AssertionError("walked from the root")
+
+    monkeypatch.setattr(L.Trees, "walk", walk)
+    layout = L._Layout.of(bins, int(counts.sum(axis=1).max()))
+    here = partial(L._boost_here, layout=layout, weights=L.balanced(counts), start=np.zeros(3), widths=[5] * 3, settings=how)
+    same([boosted], [one for _, one in L._each(here, 0, iter(dealt))])
+
+    class Dealt:
+        def mapPartitionsWithIndex(self, f):
+            self.found = list(f(0, iter(dealt)))
+            return self
+
+        def collect(self):
+            return self.found
+
+    monkeypatch.setattr(L, "_by_fit", lambda *_: Dealt())
+    same([grown], L.grow_forests(blocks, bins, counts[:1], forest))
